@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake.llm import quality, simhash
+from lintlake.llm import quality, secret_spans, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, ["doc_id"], quality.language_references(docs))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans."""
+    spans = F.col("spans")
+    found = secret_spans.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    counts = [secret_spans.n_spans(spans, k).alias(f"n_{k}") for k in secret_spans.KINDS]
+    base = F.sha2(secret_spans.span_text(F.filter(spans, lambda s: s.kind_order < 3)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_spans.span_text(spans).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: None of these is expressible in SQL as a whole; tests/llm holds each against a brute-force version.
