@@ -1,10 +1,11 @@
-"""Corpus pipeline: quality rules and SimHash near-dedup so far."""
+"""Corpus pipeline: quality rules, SimHash near-dedup, secret scans, best-fit packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import quality, simhash
+from lintlake.llm import packing, quality, secret_spans, simhash
+from lintlake.llm.queries import tokenizer_path
 from lintlake.llm.shared import written
 
 
@@ -14,11 +15,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: five-word shingles, similarity 0.8."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets replaced by a mark."""
+    return secret_spans.redacted(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit),
+]
+
+#: SQL can't express the hashing, the components and the tokenizer; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
