@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import packing, quality, secret_spans, simhash
+from lintlake.llm import html_text, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.page_texts(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts of every document."""
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.93 within a label."""
+    return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal row counts."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 4 bits or fewer."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
@@ -46,6 +66,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
+    "op3_license_scan": op3_license_scan,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_bounded_ring": op5_bounded_ring,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_quality_rules": op9_quality_rules,
