@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import html_text, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
+from lintlake.llm import bilinear, html_text, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +40,11 @@ def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return bilinear.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 4 bits or fewer."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_bounded_ring": op5_bounded_ring,
+    "op6_log_bilinear": op6_log_bilinear,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_quality_rules": op9_quality_rules,
