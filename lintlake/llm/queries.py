@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bilinear, html_text, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
+from lintlake.llm import bilinear, html_text, lattice_sampling, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, with a digest of their ids."""
+    return lattice_sampling.sampled_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 2, False).drop("ids")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.page_texts(_table(spark, sf_dir, "pages"), ["page_id", "url"])
@@ -71,6 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_sampling": op1_lattice_sampling,
     "op2_html_text": op2_html_text,
     "op3_license_scan": op3_license_scan,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
