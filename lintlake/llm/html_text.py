@@ -108,6 +108,7 @@ def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
 
 _PROSE = "The river rose in the night and by morning the lower road was under water, so the carts went round by the mill and came late to market."
 _WARY = "Nobody on the hill had seen it so high since the year of the two harvests, and few of them slept before the rain had gone."
+_BRIEF = "The bell of the mill rang twice and then the lane was quiet."
 # The small labelled table: pages, and the blocks of each that are main text.
 LABELLED: list[tuple[str, tuple[str, ...]]] = [
     (f"<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><div class=ad>Buy now and save.</div><article><h1>The flood</h1><p>{_PROSE}<p>So.<p>{_PROSE}</article><footer>&copy; The Mill Press, all rights reserved</footer>", ("The flood", _PROSE, "So.")),
@@ -119,7 +120,7 @@ LABELLED: list[tuple[str, tuple[str, ...]]] = [
     (f"<article><nav><a href=/a>Up</a></nav><header>By a clerk</header><p>{_PROSE}</p><table><tr><td>wheat<td>12</table><blockquote>Never.</blockquote><footer>Filed under floods</footer></article>", (_PROSE, "wheat", "12", "Never.")),
     (f"<p>The Mill Press</p><p><a href=/a>Front page</a></p><p>{_PROSE}</p><p>{_PROSE} {_PROSE}</p><p>{_WARY}</p><p><a href=/b>Next story</a></p><p>Call us</p>", (_PROSE, f"{_PROSE} {_PROSE}", _WARY)),
     (f"<div>Since 1871</div><div><p>{_WARY}</p><p>{_PROSE}</p><p>{_WARY} {_PROSE}</p></div><p>Tell a friend</p><p>Print</p><p><a href=/m>More stories from the valley and the hills beyond it that you may have missed this week</a></p>", (_WARY, _PROSE, f"{_WARY} {_PROSE}")),
-    (f"<table><tr><td><a href=/a>One</a><td><a href=/b>Two</a></table><td>{_PROSE}</td><p>{_WARY}</p><p>Page 3 of 9</p><p>{_WARY}</p>", (_PROSE, _WARY)),
+    (f"<table><tr><td><a href=/a>One</a><td><a href=/b>Two</a></table><td>{_PROSE}</td><p>{_WARY}</p><p>Page 3 of 9</p><p>{_WARY}</p><p>{_BRIEF}</p><p>{_PROSE}</p>", (_PROSE, _WARY, _BRIEF)),
     ("<nav><p>Menu</p></nav><article><h1>Short</h1><p>One.</p></article><footer><p>End</p></footer>", ("Short", "One.")),
 ]
 
