@@ -119,8 +119,9 @@ def changed_by_symbol(findings: DataFrame, blocks: DataFrame, changed_lines: Dat
     last = F.col("start_line") + F.col("line_count") - 1
     held = rest.join(blocks, "file_path").filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= last))
     named = F.coalesce((F.col("symbol") == F.col("name")) | F.col("symbol").endswith(F.concat(F.lit("."), F.col("name"))), F.lit(False))
+    # rank, so that repeated findings all stay: block_seq tells the blocks of a file apart.
     own = Window.partitionBy("file_path", "emit_seq", "fingerprint", "line").orderBy(named.desc(), "line_count", "block_seq")
-    smallest = held.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1").drop("_nth")
+    smallest = held.withColumn("_nth", F.rank().over(own)).filter("_nth = 1").drop("_nth")
     lines = changed_lines.select(F.col("file_path").alias("_file"), F.col("line").alias("_line"))
     on = (F.col("file_path") == F.col("_file")) & (F.col("_line") >= F.col("start_line")) & (F.col("_line") <= last)
     return direct.unionByName(smallest.join(lines, on, "left_semi").select(*findings.columns))
