@@ -192,6 +192,28 @@ def module_findings(table: DataFrame) -> DataFrame:
     return out.unionByName(_found(numbered(P.module_fan_out(items.filter("kind = 'mod'"))), [fan], 0))
 
 
+_PAIRED = [  # rule, message, pattern, pairs of groups that must agree
+    ("modernisation.manual-strip-prefix", "Use `strip_prefix` instead of slicing after `starts_with`.", r"if\s+(\w+)\s*\.starts_with\s*\(\s*(\w+)\s*\)\s*\{\s*&\s*(\w+)\s*\[\s*(\w+)\s*\.len\s*\(\s*\)\s*\.\.\s*\]", ((1, 3), (2, 4))),
+    ("modernisation.manual-unwrap-or-default", "Use `unwrap_or_default` instead of matching.", r"match\s+[A-Za-z_][\w\.]*\s*\{\s*Some\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*None\s*=>\s*(?:Default\s*::\s*default|String\s*::\s*new|Vec\s*::\s*new)\s*\(\s*\)", ((1, 2),)),
+    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,?\s*\}", ((1, 2), (3, 4))),
+    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,?\s*\}", ((1, 2), (3, 4))),
+    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"if\s+let\s+Err\s*\(\s*(\w+)\s*\)\s*=\s*[^{;]{1,200}?\{\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*;?\s*\}", ((1, 2),)),
+]
+
+
+def paired_findings(table: DataFrame) -> DataFrame:
+    """Shapes over several lines in which names must agree."""
+    out = None
+    for k, (rule, message, pattern, pairs) in enumerate(_PAIRED):
+        hits = text_rules.custom_matches(table, pattern, "code")
+        for a, b in pairs:
+            hits = hits.filter(F.regexp_extract("matched", pattern, a) == F.regexp_extract("matched", pattern, b))
+        shown = hits.select("file_path", F.col("first_line").alias("line"), F.col("match_index").alias("seq"))
+        part = _found(shown, [Rule(rule, "modernisation", "advisory", "high", "true", f"'{message}'", "null")], 20 + k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def crypto_findings(table: DataFrame) -> DataFrame:
     """Weak primitives, each once per file, imports first."""
     lines = code_lines(table)
@@ -227,7 +249,7 @@ def workflow_findings(sources: DataFrame) -> DataFrame:
     before = Window.partitionBy("file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     runs = F.collect_list(F.when(F.col("is_run") & F.col("value").rlike(r"^[|>]"), F.struct("at", "indent"))).over(before)
     ends = F.collect_list(F.struct("at", "indent")).over(before)
-    opened = marked.withColumns({"run": F.element_at(runs, -1), "above": ends})
+    opened = marked.withColumns({"run": F.try_element_at(runs, F.lit(-1)), "above": ends})
     inside = F.col("run").isNotNull() & (F.col("indent") > F.col("run.indent")) & ~F.exists("above", lambda x: (x["at"] > F.col("run.at")) & (x.indent <= F.col("run.indent")))
     hit = opened.filter(F.col("text").contains("github.event.") & (inside | (F.col("is_run") & ~F.col("value").rlike(r"^[|>]"))))
     rule = Rule("ci.github-event-shell-interpolation", "security", "warning", "high", "true", "'Workflow shell text interpolates github.event data.'", "null")
@@ -248,7 +270,7 @@ def rust_findings(sources: DataFrame) -> DataFrame:
     lines = _found(lines_in_context(table), LINE_RULES, 2)
     comments = _found(exploded(table, "comments"), COMMENT_RULES, 3)
     found = blocks
-    parts = (lines, comments, item_findings(table), module_findings(table), crypto_findings(table), sensitive_findings(sources), length_findings(sources))
+    parts = (lines, comments, item_findings(table), module_findings(table), crypto_findings(table), paired_findings(table), sensitive_findings(sources), length_findings(sources))
     for part in parts:
         found = found.unionByName(part)
     return deduped(identified(found.withColumn("end_line", F.lit(None).cast("int"))))
