@@ -264,8 +264,11 @@ def length_findings(sources: DataFrame, threshold: int = 600) -> DataFrame:
 
 
 def rust_findings(sources: DataFrame) -> DataFrame:
-    """Identified, deduplicated findings of all Rust rules over sources (file_path, content)."""
-    table = parsed(sources)
+    """Identified, deduplicated findings of all Rust rules over sources (file_path, content).
+
+    The scanner's table is persisted, as every group of rules reads it; files are scanned once.
+    """
+    table = parsed(sources).persist()
     blocks = _found(measured_blocks(table), BLOCK_RULES, 1, "start_line")
     lines = _found(lines_in_context(table), LINE_RULES, 2)
     comments = _found(exploded(table, "comments"), COMMENT_RULES, 3)

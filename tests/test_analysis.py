@@ -1,0 +1,92 @@
+"""Scanner, calibration, sources and the whole analysis on a small tree."""
+
+import json
+
+import pytest
+
+from lintlake.functions.rust_source import Scan, masked
+from lintlake.operators import findings as O
+from lintlake.plans import analyse, fixtures
+from lintlake.sources.discovery import walk
+from lintlake.sources.manifest import dependencies, locked_packages
+from lintlake.sources.patch import parse_patch, parse_ranges
+from lintlake.sources.settings import parse_settings
+
+
+def test_masks_keep_lines():
+    text = 'let a = "x // y"; // note "q"\nlet b = r#"raw " end"#; /* a /* b */ c */ let c = \'"\';\n'
+    kept, code, comments = masked(text)
+    assert (len(kept), len(code), kept.count("\n")) == (len(text), len(text), 2)
+    assert "x // y" not in kept and "note" in kept and "note" not in code and "let c" in code
+    assert [(c[0], c[1]) for c in comments] == [(1, 'note "q"'), (2, "a /* b */ c")]
+
+
+def test_scan_of_items():
+    scan = Scan("mod m {\n impl T for S { fn a(&self, x: u8) -> bool { true } }\n #[cfg(test)]\n fn b() {}\n}\npub fn c(k: M<A, B>, (l, n): (u8, u8)) -> io::Result<u8> { Ok(1) }\n")
+    assert [(b["name"], len(b["params"]), b["returns_bool"], b["returns_result"], b["test_context"]) for b in scan.blocks] == [("a", 1, True, False, False), ("b", 0, False, False, True), ("c", 2, False, True, False)]
+    assert [(i["name"], i["kind"], i["module_path"]) for i in scan.items] == [("m", "mod", ""), ("a", "method", "m"), ("b", "function", "m"), ("c", "function", "")]
+    assert Scan("fn a( {").error
+
+
+def test_every_rule_fires_and_keeps_still(spark):
+    rows = fixtures.rust_calibration(spark, "").collect()
+    assert len(rows) == len(fixtures.CASES)
+    assert [r["rule_id"] for r in rows if not (r["fires"] and r["silent"])] == []
+
+
+def test_patches():
+    patch = '--- a/old.rs\r\n+++ b/new.rs\r\n@@ -1,2 +10,4 @@\r\n ctx\r\n+one\r\n ctx\r\n+++ two\r\n-- gone\r\n--- a/x\n+++ "b/\\303\\251.rs"\n@@ -1 +0,0 @@\n-a\n'
+    assert parse_patch(patch) == ([("new.rs", 11), ("new.rs", 13)], ["new.rs", "é.rs"])
+    assert parse_ranges("3-5, 9") == [(3, 5), (9, 9)]
+    for bad in ("0-2", "5-3", "x"):
+        with pytest.raises(ValueError, match="range"):
+            parse_ranges(bad)
+    with pytest.raises(ValueError, match="file"):
+        parse_patch("nothing here")
+
+
+def test_manifests():
+    text = '[package]\nname = "p"\n[dependencies]\na = "1"\nb = { git = "u", rev = "r" }\n[target."cfg(unix)".dev-dependencies]\nc = { path = "../c" }\n'
+    assert dependencies(text) == [("a", "dependencies", 4, "1", None, None, None), ("b", "dependencies", 5, None, None, "u", "r"), ("c", "target.cfg(unix).dev-dependencies", 7, None, "../c", None, None)]
+    assert locked_packages('[[package]]\nname = "b"\nversion = "1"\n[[package]]\nname = "a"\nversion = "2"\n') == [("a", "2", 4, None), ("b", "1", 1, None)]
+
+
+def test_settings():
+    got = parse_settings("schemaVersion: v1\nrules:\n  ignore: [naming]\n  size.file-length: {enabled: false}\nexclude:\n  - {rule: docs.stale-todo, paths: ['src/**'], reason: r}\n")
+    assert (got.ignore, got.disabled, got.exclusions) == (("naming",), ("size.file-length",), (O.Exclusion(("docs.stale-todo",), ("src/**",), None, "r"),))
+    for bad in ("{}", "schemaVersion: v1\nnope: 1", "schemaVersion: v1\nrules: {a.b: {threshold: 1}}"):
+        with pytest.raises(ValueError, match="schemaVersion|unknown|together"):
+            parse_settings(bad)
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    files = {
+        ".gitignore": "skipped/\n*.txt\n!kept.txt\n", "src/lib.rs": "/// D.\npub fn handle(a: u8) {\n    a.unwrap();\n}\n", "skipped/x.rs": "fn foo() {}", "target/y.rs": "fn foo() {}",
+        "a.txt": "AKIA" + "ABCDEFGHIJKLMNOP", "kept.txt": "AKIA" + "ABCDEFGHIJKLMNOP\nTICKET-12", "Cargo.toml": '[package]\nname = "p"\n[dependencies]\na = "*"\n', ".git/config": "x",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "bad.md").write_bytes(b"\xff\xfe")
+    return root
+
+
+def test_walk_follows_ignore_files(tree):
+    assert {p for p, ignored in walk(str(tree)) if not ignored} == {"src/lib.rs", "kept.txt", "Cargo.toml", "bad.md"}
+    assert {p for p, ignored in walk(str(tree)) if ignored} == {"skipped", "target", "a.txt"}
+
+
+def test_analysis_of_a_tree(spark, tree, capsys):
+    custom = {"id": "ticket", "pillar": "design", "severity": "advisory", "message": "Ticket's name.", "scope": "text", "pattern": "TICKET-[0-9]+"}
+    scan = analyse.analyse(spark, str(tree), settings=analyse.Settings(custom_rules=(custom,), exclusions=(O.Exclusion(rules=("docs.missing-readme",)),)))
+    found = {(r["rule_id"], r["file_path"], r["line"]) for r in scan.findings.collect()}
+    assert {("naming.generic-function", "src/lib.rs", 1), ("sensitive-data.aws-access-key", "kept.txt", 1), ("dependency.wildcard-version", "Cargo.toml", 4), ("custom.ticket", "kept.txt", 2), ("dependency.missing-package-metadata", "Cargo.toml", 1)} <= found
+    assert {r["rule_id"] for r in scan.suppressed.collect()} == {"docs.missing-readme"}
+    assert [r["diagnostic_type"] for r in scan.diagnostics.collect()] == ["read-error"]
+    patch = "+++ b/src/lib.rs\n@@ -3 +3 @@\n+    a.unwrap();\n"
+    changed = analyse.analyse(spark, str(tree), patch=patch).findings.collect()
+    assert {(r["rule_id"], r["line"]) for r in changed} == {("waste.unwrap-expect", 3)}
+    assert analyse.main([str(tree), "--format", "json", "--fail-on", "error"]) == 2
+    assert json.loads(capsys.readouterr().out)["summary"]["error"] == 1
