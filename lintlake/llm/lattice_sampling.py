@@ -40,54 +40,69 @@ class Lattice:
     __slots__ = ("edges", "mass", "scale")
 
     def __init__(self, word: str, pieces: Pieces):
-        n, known, prefixes = len(word), pieces.known, pieces.prefixes
-        self.mass, self.scale = [1.0] * (n + 1), [0.0] * (n + 1)
-        self.edges: list[list[tuple[int, float, bytes]]] = [[]] * n
+        n, trie = len(word), pieces.trie
+        self.mass = mass = [1.0] * (n + 1)
+        self.scale = [0.0] * (n + 1) if n > 24 else None
+        self.edges = edges = [None] * n
         for i in range(n - 1, -1, -1):
-            found = []
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if part in known:
-                    found.append((j, *known[part]))
-                if part not in prefixes:
+            found, total, node, j = [], 0.0, trie, i
+            for c in word[i : i + pieces.longest]:
+                node = node.get(c)
+                if node is None:
                     break
-            found = found or [(i + 1, *pieces.by_bytes(word[i]))]
-            top = self.scale[i + 1]
-            if n > 24:
-                found = [(j, p * math.exp(self.scale[j] - top), own) for j, p, own in found]
-            total = sum([p * self.mass[j] for j, p, _ in found])
-            self.edges[i] = found
-            if n > 24:
-                self.mass[i], self.scale[i] = 1.0, top + math.log(total)
-                self.edges[i] = [(j, p / total, own) for j, p, own in found]
-            else:
-                self.mass[i] = total
-
-    def draw(self, uniform, ruled: dict[bytes, float] | None = None) -> tuple[float, bytes]:
-        """A path by its probability, but none of `ruled`: its log probability in this word, and its ids."""
-        i, n, share, ids, mass = 0, len(self.edges), 1.0, b"", self.mass
-        log = 0.0
+                j += 1
+                if (own := node.get(0)) is not None:
+                    w = own[0]
+                    total += w * mass[j]
+                    found.append((j, w, own[1]))
+            if not found:
+                w, own = pieces.by_bytes(word[i])
+                found, total = [(i + 1, w, own)], w * mass[i + 1]
+            if self.scale:
+                found, total = self._scaled(i, found)
+            edges[i] = found
+            mass[i] = total
+
+    def _scaled(self, i: int, found: list[tuple[int, float, bytes]]) -> tuple[list[tuple[int, float, bytes]], float]:
+        """Edges of a place of a long word as shares of its mass, which is set to 1; its log goes to `scale`."""
+        top = self.scale[i + 1]
+        parts = [(j, w * math.exp(self.scale[j] - top), own) for j, w, own in found]
+        total = sum([w for _, w, _ in parts])
+        self.scale[i] = top + math.log(total)
+        return [(j, w / total, own) for j, w, own in parts], 1.0
+
+    def draw(self, uniform) -> tuple[float, bytes]:
+        """A path by its probability: its log probability in this word, and its ids."""
+        edges, mass, i, share, log, ids = self.edges, self.mass, 0, 1.0, 0.0, []
+        n = len(edges)
         while i < n:
-            ways = [(p * mass[j] / mass[i], j, own) for j, p, own in self.edges[i]]
-            if ruled:
-                open_ways = [max(0.0, w - sum(math.exp(v - log) for r, v in ruled.items() if r.startswith(ids + own))) for w, _, own in ways]
-                u = uniform() * sum(open_ways)
-                for (w, j, own), free in zip(ways, open_ways, strict=True):  # noqa: B007
-                    u -= free
-                    if u < 0:
-                        break
-            else:
-                u = uniform()
-                for w, j, own in ways:  # noqa: B007
-                    u -= w
-                    if u < 0:
-                        break
+            u = uniform() * mass[i]
+            for j, w, own in edges[i]:
+                u -= w * mass[j]
+                if u < 0:
+                    break
             share *= w
-            if share < 1e-200 or ruled:
+            if share < 1e-200:
                 log, share = log + math.log(share), 1.0
+            ids.append(own)
+            i = j
+        return min(log + math.log(share / mass[0]), 0.0), b"".join(ids)
+
+    def draw_other(self, uniform, ruled: dict[bytes, float]) -> tuple[float, bytes]:
+        """A path by its probability among those that are not in `ruled` (ids to log probabilities)."""
+        i, n, ids, log, mass = 0, len(self.edges), b"", 0.0, self.mass
+        while i < n:
+            ways = [(w * mass[j] / mass[i], j, own) for j, w, own in self.edges[i]]
+            free = [max(0.0, w - sum(math.exp(v - log) for r, v in ruled.items() if r.startswith(ids + own))) for w, _, own in ways]
+            u = uniform() * sum(free)
+            for (w, j, own), share in zip(ways, free, strict=True):  # noqa: B007
+                u -= share
+                if u < 0:
+                    break
+            log += math.log(w)
             ids += own
             i = j
-        return min(log + math.log(share), 0.0), ids
+        return min(log, 0.0), ids
 
     def paths(self) -> list[tuple[float, bytes]] | None:
         """All paths, if there are few."""
@@ -127,7 +142,12 @@ class Pieces:
                 if "▁" not in piece[1:]:
                     self.known[piece] = (math.exp(-math.log(max(0.0, -score) + 1) - total), pack(i))
         self.byte = {b: (math.exp(-math.log(size) - total), pack(i)) for b, i in byte_ids.items()}
-        self.prefixes = {p[:n] for p in self.known for n in range(1, len(p))}
+        self.longest, self.trie = max(map(len, self.known)), {}  # a node: next characters, and at 0 a piece's share and id
+        for piece, own in self.known.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = own
         self.lines = not any("\n" in p for p in self.known)
         self.kept: dict[str, tuple[list[float], list[tuple[float, bytes]]] | Lattice] = {}
 
@@ -172,7 +192,7 @@ def sampled(text: str, k: int, key: int, pieces: Pieces) -> list[tuple[float, fl
 
     def differing(own, ruled: dict[bytes, float]) -> tuple[float, bytes]:
         if type(own) is not tuple:
-            return own.draw(uniform, ruled)
+            return own.draw_other(uniform, ruled)
         rest = [x for x in own[1] if x[1] not in ruled]
         return rng.choices(rest, [math.exp(w) for w, _ in rest])[0]
 
