@@ -18,6 +18,7 @@ import random
 import re
 import zlib
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,8 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEPT_WORDS = 80_000
+_TRIED_WORDS = 60_000
 _LISTED_PATHS = 32
+_ALPHABET = 255
+_GROUP = 256
 
 
 class Lattice:
@@ -148,8 +151,39 @@ class Pieces:
             for c in piece:
                 node = node.setdefault(c, {})
             node[0] = own
+        self._dense(pack)
         self.lines = not any("\n" in p for p in self.known)
-        self.kept: dict[str, tuple[list[float], list[tuple[float, bytes]]] | Lattice] = {}
+        self.kept: dict[str, tuple[list[float], list[tuple[float, bytes]]]] = {}
+        self.tried = 0
+
+    def _dense(self, pack) -> None:
+        """The trie of the pieces that use only the `_ALPHABET` most used characters, as a table of next states."""
+        used = Counter(c for p in self.known for c in p)
+        self.letters = [c for c, _ in used.most_common(_ALPHABET)]
+        self.code = np.zeros(0x110000, np.uint8)
+        self.code[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
+        number, self.alphabet = {c: k for k, c in enumerate(self.letters, 1)}, frozenset(self.letters)
+        rows, piece_of = [np.zeros(_ALPHABET + 1, np.int32), np.zeros(_ALPHABET + 1, np.int32)], [-1, -1]
+        self.weight, self.ids = [], []
+        for piece, (w, own) in self.known.items():
+            if all(c in number for c in piece):
+                at = 1
+                for c in piece:
+                    if not rows[at][number[c]]:
+                        rows[at][number[c]] = len(rows)
+                        rows.append(np.zeros(_ALPHABET + 1, np.int32))
+                        piece_of.append(-1)
+                    at = rows[at][number[c]]
+                piece_of[at] = len(self.ids)
+                self.weight.append(w)
+                self.ids.append(own)
+        self.lone = len(self.ids)  # from here on, a character by its bytes
+        for c in self.letters:
+            w, own = self.by_bytes(c)
+            self.weight.append(w)
+            self.ids.append(own)
+        self.weight = np.array(self.weight)
+        self.next, self.piece_of = np.array(rows), np.array(piece_of)
 
     def by_bytes(self, char: str) -> tuple[float, bytes]:
         own = [self.byte[b] for b in char.encode("utf-8", "replace")]
@@ -160,19 +194,87 @@ class Pieces:
         return re.findall("▁[^▁\n]*|\n|[^▁\n]+" if self.lines else "▁[^▁]*", "▁" + text.replace(" ", "▁"))
 
     def paths_of(self, word: str):
-        """The paths of a word with their running probabilities, or its lattice if they are many."""
+        """The paths of a word with their running probabilities, if they are few and kept; else None."""
         found = self.kept.get(word)
-        if found is None:
-            found = Lattice(word, self)
-            if len(self.kept) < _KEPT_WORDS and len(word) <= 24:
-                if paths := found.paths():
-                    cumulative = np.cumsum(np.exp([w for w, _ in paths])).tolist()
-                    cumulative[-1] = math.inf
-                    found = (cumulative, paths)
-                self.kept[word] = found
+        if found is None and self.tried < _TRIED_WORDS and len(word) <= 12:
+            self.tried += 1
+            if paths := Lattice(word, self).paths():
+                cumulative = np.cumsum(np.exp([w for w, _ in paths])).tolist()
+                cumulative[-1] = math.inf
+                found = self.kept[word] = (cumulative, paths)
         return found
 
 
+def _uniform(key: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 by mixing 64-bit keys."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+    return ((key ^ (key >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+
+
+class WordLattices:
+    """The lattices of many words at once, in arrays. A word has a slot for each place and one for its end."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.pieces = pieces
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.first = np.cumsum(sizes) - sizes
+        last = self.first + sizes - 1
+        code = pieces.code[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)]
+        end = np.repeat(last, sizes)
+        at = np.flatnonzero(np.arange(len(code)) < end)
+        state, places, parts = np.ones(len(at), np.int32), at, []
+        for n in range(1, pieces.longest + 1):
+            state = pieces.next[state, code[at + n - 1]]
+            on = state > 0
+            at, state = at[on], state[on]
+            piece = pieces.piece_of[state]
+            parts.append(np.stack([at, at + n, piece])[:, piece >= 0])
+            on = at + n < end[at]
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        edges = np.concatenate(parts, axis=1)
+        bare = places[~np.isin(places, edges[0])]
+        edges = np.concatenate([edges, np.stack([bare, bare + 1, pieces.lone + code[bare].astype(np.int64) - 1])], axis=1)
+        edges = edges[:, np.argsort(edges[0], kind="stable")]
+        start, self.to, self.piece = edges
+        weight = pieces.weight[self.piece]
+        count = np.bincount(start, minlength=len(code))
+        self.edge = np.cumsum(count) - count
+        mass, self.share = np.ones(len(code)), np.zeros(len(start))
+        order = np.argsort(end[start] - start, kind="stable")
+        far = (end[start] - start)[order]
+        cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(far) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(far)], strict=True):
+            own = order[a:b]
+            value = weight[own] * mass[self.to[own]]
+            where = np.flatnonzero(np.concatenate([[True], start[own][1:] != start[own][:-1]]))
+            mass[start[own][where]] = np.add.reduceat(value, where)
+            self.share[own] = value / mass[start[own]]
+        self.run = np.concatenate([[0.0], np.cumsum(self.share)])
+        self.count, self.last = count, last
+
+    def draw(self, word: np.ndarray, key: np.ndarray) -> list[tuple[float, bytes]]:
+        """A path of each listed word (by number), with a 64-bit key each: log probability and ids."""
+        at, end, log = self.first[word], self.last[word], np.zeros(len(word))
+        live, steps, ids = np.arange(len(word)), [], self.pieces.ids
+        while len(live):
+            now, key_now = at[live], key[live] + np.uint64(len(steps) * 0x632BE59BD9B4E019 % 2**64)
+            low = self.edge[now]
+            e = np.searchsorted(self.run, self.run[low] + _uniform(key_now), side="right") - 1
+            e = np.clip(e, low, low + self.count[now] - 1)
+            log[live] += np.log(self.share[e])
+            steps.append((live, self.piece[e]))
+            at[live] = self.to[e]
+            live = live[at[live] < end[live]]
+        out = [b""] * len(word)
+        for live, piece in steps:
+            for k, p in zip(live.tolist(), piece.tolist(), strict=True):
+                out[k] += ids[p]
+        return list(zip(np.minimum(log, 0.0).tolist(), out, strict=True))
+
+
 @cache
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -186,14 +288,53 @@ def decode(ids: bytes, pieces: Pieces) -> str:
 
 def sampled(text: str, k: int, key: int, pieces: Pieces) -> list[tuple[float, float, float, bytes]]:
     """(log probability, perturbed score, inclusion score, ids) of at most k distinct segmentations, best first."""
+    return sampled_group([text], k, [key], pieces)[0]
+
+
+def sampled_group(texts: list[str], k: int, keys: list[int], pieces: Pieces) -> list[list[tuple[float, float, float, bytes]]]:
+    """`sampled` for several texts. What a text gets does not depend on the others: all draws follow from its key.
+
+    Words with few paths, kept from before, are drawn from their lists; the lattices of all others are built together,
+    and each of their places gets the k paths that it could need.
+    """
+    split = [pieces.words(t) for t in texts]
+    listed = [list(map(pieces.paths_of, own)) for own in split]
+    number: dict[str, int] = {}
+    covers = pieces.alphabet.issuperset
+    places, long = [], {}
+    for d, (own, paths) in enumerate(zip(split, listed, strict=True)):
+        for t, path in enumerate(paths):
+            if path is None:
+                w = own[t]
+                if (at := number.get(w)) is None:
+                    if w in long or len(w) > 24 or not covers(w):
+                        long[w] = long.get(w) or Lattice(w, pieces)
+                        continue
+                    at = number[w] = len(number)
+                places.append((d, t, at))
+    drawn: list[list[list]] = [[[None] * len(own) for _ in range(k)] for own in split]
+    if places:
+        many = WordLattices(list(number), pieces)
+        of, at, word = np.array(places, np.int64).T
+        base = np.array(keys, np.uint64)[of] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for r in range(k):
+            for (d, t, _), path in zip(places, many.draw(word, base + np.uint64(r * 0xD1342543DE82EF95 % 2**64)), strict=True):
+                drawn[d][r][t] = path
+    return [_best_first(own, paths, rounds, long, k, key, pieces) for own, paths, rounds, key in zip(split, listed, drawn, keys, strict=True)]
+
+
+def _best_first(split: list[str], listed: list, drawn: list[list], long: dict[str, Lattice], k: int, key: int, pieces: Pieces) -> list[tuple[float, float, float, bytes]]:
     rng, seed = random.Random(key), np.random.default_rng(key)
     uniform = rng.random
-    words = [pieces.paths_of(w) for w in pieces.words(text)]
-
-    def differing(own, ruled: dict[bytes, float]) -> tuple[float, bytes]:
-        if type(own) is not tuple:
-            return own.draw_other(uniform, ruled)
-        rest = [x for x in own[1] if x[1] not in ruled]
+    for t, own in enumerate(listed):
+        if own is None and drawn[0][t] is None:
+            for rounds in drawn:
+                rounds[t] = long[split[t]].draw(uniform)
+
+    def differing(t: int, ruled: dict[bytes, float]) -> tuple[float, bytes]:
+        if listed[t] is None:
+            return (long.get(split[t]) or Lattice(split[t], pieces)).draw_other(uniform, ruled)
+        rest = [x for x in listed[t][1] if x[1] not in ruled]
         return rng.choices(rest, [math.exp(w) for w, _ in rest])[0]
 
     # A region: score, tie-break, the path it leaves, the word at which it leaves it, what it rules out there.
@@ -201,14 +342,14 @@ def sampled(text: str, k: int, key: int, pieces: Pieces) -> list[tuple[float, fl
     ties, found = 1, []
     while heap and len(found) < k:
         score, _, parent, start, ruled = heapq.heappop(heap)
-        score = -score
+        score, r = -score, len(found)
         path = parent[:start]
         if ruled:
-            step = differing(words[start], ruled)
+            step = differing(start, ruled)
             ruled = ruled | {step[1]: step[0]}
             path.append(step)
-        path += [own[1][bisect(own[0], uniform())] if type(own) is tuple else own.draw(uniform) for own in words[len(path) :]]
-        steps = np.fromiter((w for w, _ in path), float, len(path))
+        path += [own[1][bisect(own[0], uniform())] if own else there for own, there in zip(listed[len(path) :], drawn[r][len(path) :], strict=True)]
+        steps = np.array(next(zip(*path, strict=True)))
         before = np.cumsum(steps) - steps
         found.append((float(steps.sum()), score, path))
         gone = np.exp(steps[start:])
@@ -218,7 +359,8 @@ def sampled(text: str, k: int, key: int, pieces: Pieces) -> list[tuple[float, fl
         mass = before[start:][at] + np.log1p(-gone[at])
         bound = mass + seed.gumbel(size=len(at))
         low = -np.logaddexp(-score, -bound)  # Gumbel variables around the masses, cut off at the score
-        for c in np.argsort(-low, kind="stable")[: k + 1].tolist():
+        best = np.argpartition(-low, k)[: k + 1] if len(low) > k + 1 else np.arange(len(low))
+        for c in best.tolist():
             t = start + int(at[c])
             out = ruled if t == start and ruled else {path[t][1]: path[t][0]}
             heapq.heappush(heap, (-float(low[c]), ties, path, t, out))
@@ -239,10 +381,12 @@ def sampled_texts(docs: DataFrame, model: str, k: int = 2, with_ids: bool = True
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, rows = batch.slice(at, 256), []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["_text"].to_pylist(), strict=True):
-                    for r, (w, s, inclusion, ids) in enumerate(sampled(text, k, xxhash.xxh64_intdigest(f"{doc}\n{text}", 3), pieces)):
+            for at in range(0, len(batch), _GROUP):
+                part, rows = batch.slice(at, _GROUP), []
+                docs_, texts = part["doc_id"].to_pylist(), part["_text"].to_pylist()
+                keys = [xxhash.xxh64_intdigest(f"{doc}\n{text}", 3) for doc, text in zip(docs_, texts, strict=True)]
+                for doc, text, found in zip(docs_, texts, sampled_group(texts, k, keys, pieces), strict=True):
+                    for r, (w, s, inclusion, ids) in enumerate(found):
                         listed = np.frombuffer(ids, "<u4").astype(np.int32) if with_ids else None
                         rows.append((doc, r, w, s, inclusion, len(ids) // 4, listed, zlib.crc32(ids), decode(ids, pieces) == text))
                 kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
