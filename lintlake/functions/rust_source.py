@@ -59,6 +59,11 @@ def masked(text: str) -> tuple[str, str, list[tuple[int, str, bool]]]:
     return "".join(kept) + text[at:], "".join(code) + text[at:], comments
 
 
+def comments_only(kept: str, code: str) -> str:
+    """What two masks of `masked` differ in, which is the comments; blanks for the rest."""
+    return "".join(a if a != b or a.isspace() else " " for a, b in zip(kept, code, strict=True))
+
+
 class Scan:
     """Items of one file, from its code without literals and comments."""
 

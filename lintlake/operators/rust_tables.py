@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.rust_source import Scan, bindings, loop_lines
+from lintlake.functions.rust_source import Scan, bindings, comments_only, loop_lines
 
 _ABOUT = "name string, line int, module_path string, public boolean, externally_public boolean, cfg_gated boolean, test_context boolean, documented boolean, within string"
 BLOCK = (
@@ -26,30 +26,31 @@ PARSED = {
 
 
 def parsed(sources: DataFrame) -> DataFrame:
-    """file_path, content, masked, code, error, and the arrays of `PARSED`, for every Rust source (file_path, content).
+    """file_path, content, masked, code, comment_text, error, and the arrays of `PARSED`, for every Rust source (file_path, content).
 
     A file whose brackets don't match has an error and no items; its text columns are there all the same.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, codes, errors, facts = [], [], [], []
+            texts, codes, notes, errors, facts = [], [], [], [], []
             for text in batch["content"].to_pylist():
                 s = Scan(text or "")
                 for b in s.blocks:
                     b["loop_body"] = "\n".join(loop_lines(b["code_body"]))
                 texts.append(s.masked)
                 codes.append(s.code)
+                notes.append(comments_only(s.masked, s.code))
                 errors.append(s.error)
                 facts.append(json.dumps({
                     "blocks": s.blocks, "items": s.items, "fields": s.fields, "comments": [dict(zip(("line", "text", "is_doc"), c, strict=True)) for c in s.comments],
                     "bindings": [dict(zip(("line", "name"), b, strict=True)) for b in ([] if s.error else bindings(s.code))],
                 }))
-            yield pa.RecordBatch.from_arrays([batch["file_path"], batch["content"], *(pa.array(x, pa.string()) for x in (texts, codes, errors, facts))], ["file_path", "content", "masked", "code", "error", "facts"])
+            yield pa.RecordBatch.from_arrays([batch["file_path"], batch["content"], *(pa.array(x, pa.string()) for x in (texts, codes, notes, errors, facts))], ["file_path", "content", "masked", "code", "comment_text", "error", "facts"])
 
-    found = sources.select("file_path", "content").mapInArrow(scan, "file_path string, content string, masked string, code string, error string, facts string")
+    found = sources.select("file_path", "content").mapInArrow(scan, "file_path string, content string, masked string, code string, comment_text string, error string, facts string")
     schema = ", ".join(f"{k} {v}" for k, v in PARSED.items())
-    return found.withColumn("facts", F.from_json("facts", schema)).select("file_path", "content", "masked", "code", "error", "facts.*")
+    return found.withColumn("facts", F.from_json("facts", schema)).select("file_path", "content", "masked", "code", "comment_text", "error", "facts.*")
 
 
 def exploded(table: DataFrame, what: str) -> DataFrame:

@@ -31,12 +31,17 @@ def assignment_hits(sources: DataFrame) -> DataFrame:
 
 
 def custom_matches(sources: DataFrame, pattern: str, text: str = "content") -> DataFrame:
-    """file_path, match_index, matched, first_line of every match of a pattern, in order."""
+    """file_path, match_index, matched, first_line, start_byte of every match of a pattern, in order.
+
+    `first_line` is the line of the first character of the match that isn't blank.
+    """
     whole = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
-    hits = sources.filter(F.col(text).rlike(pattern)).select("file_path", text, F.posexplode(whole).alias("match_index", "matched"))
-    before = F.array_join(F.slice(F.split(text, pattern, -1), F.lit(1), F.col("match_index") + 1), "")
-    first_line = F.regexp_count(before, F.lit("\n")) + 1
-    return hits.select("file_path", "match_index", "matched", first_line.alias("first_line"))
+    gaps = F.split(text, pattern, -1)
+    hits = sources.filter(F.col(text).rlike(pattern)).select("file_path", gaps.alias("gaps"), whole.alias("all"), F.posexplode(whole).alias("match_index", "matched"))
+    before = [F.array_join(F.slice(c, F.lit(1), n), "") for c, n in (("gaps", F.col("match_index") + 1), ("all", F.col("match_index")))]
+    ends = sum((F.regexp_count(x, F.lit("\n")) for x in (*before, F.regexp_extract("matched", r"^\s*", 0))), F.lit(1))
+    start = sum((F.octet_length(x) for x in before), F.lit(0))
+    return hits.select("file_path", "match_index", "matched", ends.alias("first_line"), start.alias("start_byte"))
 
 
 def after_exit(found: DataFrame, pattern: str = r"\b(return|panic!|todo!|unimplemented!)", end: str = ";") -> DataFrame:

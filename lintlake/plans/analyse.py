@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.operators import findings as O
 from lintlake.operators import scoring, text_rules
 from lintlake.operators.rust_rules import Rule, _found, rust_findings, sensitive_findings, workflow_findings
+from lintlake.operators.rust_tables import parsed
 from lintlake.plans import render
 from lintlake.sources.discovery import source_files
 from lintlake.sources.manifest import manifest_findings
@@ -31,18 +32,22 @@ class Scan:
 
 
 def custom_findings(sources: DataFrame, rules: tuple[dict, ...]) -> DataFrame | None:
-    """Every match of every custom rule; the symbol is the byte at which the match starts."""
+    """Every match of every custom rule; the symbol is the byte at which the match starts.
+
+    The scope is the whole text of all files, or the code or the comments of Rust files.
+    """
     out = None
     for k, r in enumerate(rules):
-        within = sources
+        scope = {"text": "content", "rust-code": "code", "comments": "comment_text"}[r.get("scope", "text")]
+        within = sources if scope == "content" else parsed(sources.filter("is_rust")).select("file_path", scope)
         if r.get("include_paths"):
             within = within.filter(O.Exclusion(paths=r["include_paths"]).matches())
         if r.get("exclude_paths"):
             within = within.filter(~O.Exclusion(paths=r["exclude_paths"]).matches())
-        hits = text_rules.custom_matches(within, r["pattern"])
-        shown = hits.select("file_path", F.col("first_line").alias("line"), F.col("match_index").alias("seq"))
-        message = r["message"].replace("'", "''")
-        part = _found(shown, [Rule(f"custom.{r['id']}", r["pillar"], r["severity"], confidence_name(r.get("confidence")), "true", f"'{message}'", "concat('match:', seq)")], 40 + k)
+        hits = text_rules.custom_matches(within, r["pattern"], scope)
+        shown = hits.select("file_path", F.col("first_line").alias("line"), F.col("match_index").alias("seq"), F.concat(F.lit("byte:"), "start_byte").alias("name"))
+        message = r["message"].replace("\\", "\\\\").replace("'", "\\'")
+        part = _found(shown, [Rule(f"custom.{r['id']}", r["pillar"], r["severity"], confidence_name(r.get("confidence")), "true", f"'{message}'")], 40 + k)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -35,9 +35,9 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, pillar string, severity string, confidence string, threshold double")
 
 
-def suggestions(catalogue: DataFrame, wanted: str, most: int = 3) -> DataFrame:
-    """The ids nearest to a mistyped one, at most three edits away."""
-    near = catalogue.select("rule_id", F.levenshtein("rule_id", F.lit(wanted)).alias("distance")).filter("distance <= 3")
+def suggestions(catalogue: DataFrame, wanted: str, most: int = 3, most_edits: int = 3) -> DataFrame:
+    """The ids nearest to a mistyped one, at most `most_edits` edits away."""
+    near = catalogue.select("rule_id", F.levenshtein("rule_id", F.lit(wanted)).alias("distance")).filter(F.col("distance") <= most_edits)
     return near.orderBy("distance", "rule_id").limit(most)
 
 

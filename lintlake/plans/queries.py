@@ -293,6 +293,15 @@ def custom_regex(spark, sf_dir):
     return found.select("file_path", "match_index", "matched")
 
 
+@_query("SELECT p_name AS rule_id, levenshtein(p_name, 'part 12') AS distance FROM part WHERE levenshtein(p_name, 'part 12') <= 12 ORDER BY distance, rule_id LIMIT 3")
+def nearest_names(spark, sf_dir):
+    """The names nearest to a mistyped one."""
+    from lintlake.plans.catalog import suggestions
+
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("rule_id"))
+    return suggestions(names, "part 12", most_edits=12)
+
+
 @_query(r"""SELECT file_path, token, CASE WHEN length(token) <= 8 THEN repeat('*', length(token)) ELSE left(token, 4) || '...' || right(token, 4) END || ' (redacted, ' || length(token) || ' chars)' AS preview FROM (SELECT file_path, unnest(regexp_extract_all(content, '[A-Za-z0-9+/_-]{16,}')) AS token FROM sources) WHERE regexp_matches(token, '[0-9]')""", _SRC)
 def redact_preview(spark, sf_dir):
     """Previews of long tokens with a digit."""

@@ -85,6 +85,9 @@ def test_analysis_of_a_tree(spark, tree, capsys):
     assert {("naming.generic-function", "src/lib.rs", 1), ("sensitive-data.aws-access-key", "kept.txt", 1), ("dependency.wildcard-version", "Cargo.toml", 4), ("custom.ticket", "kept.txt", 2), ("dependency.missing-package-metadata", "Cargo.toml", 1)} <= found
     assert {r["rule_id"] for r in scan.suppressed.collect()} == {"docs.missing-readme"}
     assert [r["diagnostic_type"] for r in scan.diagnostics.collect()] == ["read-error"]
+    noted = [{"id": f"{scope}-d", "pillar": "design", "severity": "advisory", "message": "m", "scope": scope, "pattern": "D|u8"} for scope in ("rust-code", "comments")]
+    hits = analyse.custom_findings(scan.sources, tuple(noted)).collect()
+    assert {(r["rule_id"], r["line"], r["symbol"]) for r in hits} == {("custom.rust-code-d", 2, "byte:24"), ("custom.comments-d", 1, "byte:4")}
     patch = "+++ b/src/lib.rs\n@@ -3 +3 @@\n+    a.unwrap();\n"
     changed = analyse.analyse(spark, str(tree), patch=patch).findings.collect()
     assert {(r["rule_id"], r["line"]) for r in changed} == {("waste.unwrap-expect", 3)}
