@@ -117,7 +117,7 @@ def _js_distance(p: np.ndarray, q: np.ndarray) -> float:
 _COMMON_SLOT = {lang: {w.encode(): i for i, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
 
 
-def _input(docs: DataFrame, carried: list[str]) -> DataFrame:
+def _input(docs: DataFrame, carried: list) -> DataFrame:
     return docs.select(*carried, F.coalesce("text", F.lit("")).cast("binary").alias("_raw"), F.col("lang").alias("_lang"))
 
 
@@ -175,6 +175,27 @@ def _verdict(raw: bytes, lang: str | None, refs: dict, rules: QualityRules) -> t
     return n, points - blanks, symbols, dups, repeats, failed, chars, common, kept
 
 
+def _judged(docs: DataFrame, carried: list[str], refs: dict, rules: QualityRules) -> DataFrame:
+    """The columns `carried` as _c0, _c1... (no name of theirs can clash) and `VERDICT_COLUMNS`."""
+    plain = _input(docs, [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carried)])
+    names = [f"_c{k}" for k in range(len(carried))]
+    schema = plain.select(*names).schema.simpleString()[7:-1]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_verdict(raw, lang, refs, rules) for raw, lang in zip(batch["_raw"].to_pylist(), batch["_lang"].to_pylist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in range(len(carried))), *arrays], [*names, *VERDICT_COLUMNS])
+
+    return plain.mapInArrow(judge, ", ".join([*([schema] if schema else []), *(f"{k} {v}" for k, v in VERDICT_COLUMNS.items())]))
+
+
+def _named_back(judged: DataFrame, carried: list[str], *others: str) -> DataFrame:
+    return judged.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(carried)), *others)
+
+
 def quality_verdicts(docs: DataFrame, carried: list[str], refs: dict, rules: QualityRules = QualityRules()) -> DataFrame:
     """The columns `carried` of every row of `docs` and `VERDICT_COLUMNS`.
 
@@ -182,20 +203,9 @@ def quality_verdicts(docs: DataFrame, carried: list[str], refs: dict, rules: Qua
     unlisted language, or one with too few documents for a reference, has null distances, which reject nothing.
     Repeated rows each get a row; an empty table gives an empty one; further columns of `docs` are ignored.
     """
-    schema = docs.select(*carried).schema.simpleString()[7:-1]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_verdict(raw.as_py(), lang, refs, rules) for raw, lang in zip(batch["_raw"], batch["_lang"].to_pylist(), strict=True)]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in range(len(carried))), *arrays], [*carried, *VERDICT_COLUMNS])
-
-    return _input(docs, carried).mapInArrow(judged, ", ".join([*([schema] if schema else []), *(f"{k} {v}" for k, v in VERDICT_COLUMNS.items())]))
+    return _named_back(_judged(docs, carried, refs, rules), carried, *VERDICT_COLUMNS)
 
 
 def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of `docs` that no rule rejects, with their columns as they were."""
-    verdicts = quality_verdicts(docs, docs.columns, language_references(docs, rules), rules)
-    return verdicts.filter("kept").select(*docs.columns)
+    """The rows of `docs` that no rule rejects, with their columns as they were, whatever their names."""
+    return _named_back(_judged(docs, docs.columns, language_references(docs, rules), rules).filter("kept"), docs.columns)

@@ -183,5 +183,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", rules: RandomnessRules = R
 
     done = F.aggregate("spans", start, step)
     text = F.when(F.size("spans") > 0, F.concat(done.out, F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    found = secret_spans(docs, rules).withColumn("text", text)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ("text", "n_chars")}  # no name of theirs can clash
+    found = secret_spans(docs.withColumnsRenamed(others), rules).withColumn("text", text)
+    counted = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return counted.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ from lintlake.llm.components import connected_components
 from lintlake.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
-DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, words string, node string"
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, words string, kept string"
 LONG = "alpha beta gamma delta " * 3000
 ODD = [
     (1, None, "en"), (2, "", "en"), (3, "one two three four five", None), (3, "one two three four five", None), (None, "no id here", "xx"),
@@ -153,6 +153,10 @@ def test_random_tokens_are_told_from_text(spark):
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefgh12 and token: ABCDEFGHIJ.", 0), (2, None, None), (3, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_spans.redacted(docs).collect()}
+    clash = docs.withColumns({c: secret_spans.F.lit(c) for c in ("spans", "_base", "_tokens", "kept", "_raw", "n_words")})
+    for stage in (secret_spans.redacted, quality.kept_documents, simhash.one_of_each):
+        out = stage(clash.withColumn("lang", secret_spans.F.lit("en")))
+        assert out.columns == [*clash.columns, "lang"] and all((r["spans"], r["kept"]) == ("spans", "kept") for r in out.collect())
     assert got == {1: ("é [secret] and [secret]", 23), 2: (None, None), 3: ("clean", 5)}
 
 
