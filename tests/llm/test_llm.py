@@ -293,9 +293,16 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
 
 def test_segmentations_are_drawn_without_replacement(spark, odd):
     pieces = lattice_sampling._pieces(tokenizer_path("piece_bpe_32k.model"))
-    parts = [pieces.paths_of(w) for w in pieces.words("hat on")]
-    chance = {b"".join(i for _, i in c): math.exp(sum(w for w, _ in c)) for c in itertools.product(*(p[1] for p in parts))}
-    assert math.isclose(sum(chance.values()), 1)
+
+    def paths(word):
+        """All paths of a word by brute force: ids to weights."""
+        if not word:
+            return {(): 1.0}
+        heads = [(own, n) for n in range(1, len(word) + 1) if (own := pieces.known.get(word[:n]))]
+        return {own[1] + ids: math.exp(own[0]) * w for own, n in heads for ids, w in paths(word[n:]).items()}
+
+    weight = {np.array(a + b, "<i4").tobytes(): v * w for (a, v), (b, w) in itertools.product(paths("▁hat").items(), paths("▁on").items())}
+    chance = {ids: w / sum(weight.values()) for ids, w in weight.items()}
     first, second, total = Counter(), Counter(), 0.0
     for key in range(2000):
         a, b = lattice_sampling.sampled("hat on", 2, key, pieces)
@@ -312,6 +319,24 @@ def test_segmentations_are_drawn_without_replacement(spark, odd):
     assert {r["doc_id"] for r in got} == {i for i, *_ in ODD}
 
 
+def test_samples_do_not_depend_on_the_group(monkeypatch):
+    pieces = lattice_sampling._pieces(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["", "a", "two words", "line\n\nend \n", " 日本 😀" * 5, "x" * 300 + " and more", "tab\tand  blanks ", "▁mark"] + ["the same words again"] * 2
+    keys = list(range(len(texts)))
+    apart = [lattice_sampling.sampled(t, 3, key, pieces) for t, key in zip(texts, keys, strict=True)]
+    assert lattice_sampling.sampled_group(texts, 3, keys, pieces) == apart
+    monkeypatch.setattr(lattice_sampling, "_NEAR", 1e9)
+    assert lattice_sampling.sampled_group(texts, 3, keys, pieces) == apart
+    for text, found in zip(texts, apart, strict=True):
+        assert len({ids for *_, ids in found}) == len(found) and [x[1] for x in found] == sorted((x[1] for x in found), reverse=True)
+        if "▁" not in text:
+            assert all(lattice_sampling.decode(ids, pieces) == text for *_, ids in found)
+    monkeypatch.setattr(lattice_sampling, "_mixed", lambda key: key * 0 + 7)  # every hash is that of another word
+    words = lattice_sampling.Words(texts, pieces.lines)
+    one, number = words.distinct()
+    assert [words.word(t) for t in one[number]] == [words.word(t) for t in range(len(words.starts))]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
