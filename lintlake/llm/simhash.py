@@ -10,6 +10,7 @@ Gray rank; runs of them are factored into nested nodes that hold the bits all me
 nodes is pruned as a whole once the bits that both fix differ in more than `max_bits` places. A node with more
 than `node_rows` fingerprints is cut into chunks, each pair of which is searched by itself, so no task holds an
 unbounded node. A node returns a spanning forest of its links, at most one row for a member, never all pairs.
+`one_of_each` takes these links as candidates only and decides on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -29,23 +30,23 @@ from lintlake.llm.shared import written
 
 _LEAF = 16
 _FRONTIER = 2048
+_SHINGLES = 2_000_000
 
 
-def simhash(raw: bytes, words: int, width: int = 1, once: bool = False) -> np.ndarray:
-    """Fingerprint of a text's word shingles: bit set where over half of the shingles' XXH64 values have it.
-
-    Further fingerprint words (`width` over 1) come from mixes of the same hashes; `once` counts equal shingles once.
-    """
+def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
+    """XXH64 values of a text's word shingles in order; none for a wordless text."""
     found = raw.lower().split()
     if not found:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(found) - words + 1)].tolist()
     shingles = [joined[a:b] for a, b in zip(starts, ends[min(words, len(found)) - 1 :].tolist(), strict=True)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
-    if once:
-        hashes = np.unique(hashes)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
+
+
+def _majority(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprint words of shingle hashes."""
     total = np.zeros((width, 64), np.int64)
     for k in range(0, len(hashes), 32768):
         part = hashes[k : k + 32768]
@@ -57,6 +58,15 @@ def simhash(raw: bytes, words: int, width: int = 1, once: bool = False) -> np.nd
     return np.packbits(total * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def simhash(raw: bytes, words: int, width: int = 1, once: bool = False) -> np.ndarray:
+    """Fingerprint of a text's word shingles: bit set where over half of the shingles' XXH64 values have it.
+
+    Further fingerprint words (`width` over 1) come from mixes of the same hashes; `once` counts equal shingles once.
+    """
+    hashes = shingle_hashes(raw, words)
+    return _majority(np.unique(hashes) if once else hashes, width)
+
+
 def fingerprints(docs: DataFrame, words: int = 5, width: int = 1, once: bool = False) -> DataFrame:
     """`doc_id`, `f0`, `f1`... (64 bits in a long each) of every row; a null or wordless text has zeros."""
     names = [f"f{w}" for w in range(width)]
@@ -226,6 +236,18 @@ def _node_stream(max_bits: int, width: int):
     return stream
 
 
+def _meetings(member: str) -> Column:
+    """The pairs `x`, `y` of chunks, with the `half` of its own, in which a row of a key with `chunks` chunks takes part."""
+    own = F.pmod(F.xxhash64(member), "chunks").cast("int")
+
+    def meeting(other: Column) -> Column:
+        half = F.when(own == other, 0).when(own < other, 1).otherwise(2)
+        return F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), half.alias("half"))
+
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("half")))
+    return F.when(F.col("chunks").isNull(), alone).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meeting))
+
+
 def linked_fingerprints(fps: DataFrame, masks: list[list[int]], max_bits: int, node_rows: int = 8192) -> DataFrame:
     """Pairs `a`, `b` of ids of fingerprints that differ in at most `max_bits` bits: enough of them to connect all
     that meet under a mask. `fps` has a distinct `id` for each distinct fingerprint `f0`, `f1`..."""
@@ -237,15 +259,7 @@ def linked_fingerprints(fps: DataFrame, masks: list[list[int]], max_bits: int, n
     crowded = placed.groupBy("key").count().filter(F.col("count") > node_rows)
     crowded = crowded.select("key", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks"))
     placed = placed.join(crowded, "key", "left")
-    own = F.pmod(F.xxhash64("id"), "chunks").cast("int")
-
-    def meeting(other: Column) -> Column:
-        half = F.when(own == other, 0).when(own < other, 1).otherwise(2)
-        return F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), half.alias("half"))
-
-    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("half")))
-    meetings = F.when(F.col("chunks").isNull(), alone).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meeting))
-    dealt = placed.select("key", "id", *names, F.inline(meetings))
+    dealt = placed.select("key", "id", *names, F.inline(_meetings("id")))
     node = F.when((F.col("x") == 0) & (F.col("y") == 0), F.col("key")).otherwise(F.xxhash64("key", "x", "y"))
     dealt = dealt.select(node.alias("node"), "half", gray_rank(F.col("f0")).alias("gray"), "id", *names)
     dealt = dealt.repartition("node").sortWithinPartitions("node", "half", "gray")
@@ -277,18 +291,134 @@ def near_duplicates(
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, node_bits: int = 12, recall: float = 0.99) -> DataFrame:
-    """The row of `docs` with the smallest doc_id of each near-duplicate class, with its columns as they were.
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63)
+
 
-    Shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs differs with
-    probability acos(cosine) / pi. The limit is that expectation over 64 * `width` bits plus one and a half
-    standard deviations, so that few pairs at `similarity` itself are missed. Of rows that repeat a doc_id one stays;
-    rows with a null doc_id stay, as no id can stand for them.
+def shingle_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """`doc_id`, `set` (digest of the distinct shingles), `size` (their number) and fingerprint `f0`, `f1`... of every row."""
+    names = [f"f{w}" for w in range(width)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(raw, words)) for raw in batch["_raw"].to_pylist()]
+            columns = np.array([_majority(x, width) for x in found], np.uint64).reshape(-1, width).view(np.int64)
+            own = [pa.array([_set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *own, *(pa.array(columns[:, w]) for w in range(width))], ["doc_id", "set", "size", *names])
+
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
+    return texts.mapInArrow(hashed, ", ".join(f"{c} bigint" for c in ["doc_id", "set", "size", *names]))
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning forest, as places in `sets`, of all pairs of sets of Jaccard similarity `similarity` or more.
+
+    From each set in turn the search meets only sets that no class has reached yet, and only those of a size that
+    allows the similarity, so a class of n near copies takes about n comparisons.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    rest = np.argsort(sizes, kind="stable")
+    rest = rest[sizes[rest] > 0]
+    if len(rest) < 2:
+        return [], []
+    values, places = np.unique(np.concatenate([sets[x] for x in rest]), return_inverse=True)
+    mark, a, b = np.zeros(len(values), bool), [], []
+    while len(rest) > 1:
+        first, own = rest[0], places[: sizes[rest[0]]]
+        rest, places, work = rest[1:], places[len(own) :], [(first, own)]
+        while work and len(rest):
+            source, own = work.pop()
+            n, ends = len(own), np.cumsum(sizes[rest])
+            low, high = np.searchsorted(sizes[rest], [similarity * n * (1 - 1e-9), n / similarity * (1 + 1e-9)])
+            if low == high:
+                continue
+            mark[own] = True
+            starts = ends[low:high] - sizes[rest[low:high]]
+            shared = np.add.reduceat(mark[places[starts[0] : ends[high - 1]]], starts - starts[0], dtype=np.int64)
+            mark[own] = False
+            hits = low + np.flatnonzero(shared / (n + sizes[rest[low:high]] - shared) >= similarity)
+            if len(hits):
+                work += [(rest[h], places[ends[h] - sizes[rest[h]] : ends[h]]) for h in hits]
+                a += [int(source)] * len(hits)
+                b += rest[hits].tolist()
+                stay = np.ones(len(rest), bool)
+                stay[hits] = False
+                rest, places = rest[stay], places[stay.repeat(sizes[rest])]
+    return a, b
+
+
+def _similar_stream(words: int, similarity: float):
+    """Reads texts sorted by candidate class; keeps the distinct shingle sets of one unfinished class between batches."""
+
+    def linked(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids = list(held)
+        a, b = similar_sets(list(held.values()), similarity)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in a], pa.int64()), pa.array([ids[x] for x in b], pa.int64())], ["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            for now, own, raw in zip(batch["key"].to_pylist(), batch["set"].to_pylist(), batch["_raw"], strict=True):
+                if now != key:
+                    yield from linked(held)
+                    key, held = now, {}
+                hashes = np.unique(shingle_hashes(raw.as_py(), words))
+                if _set_id(hashes) == own:  # else another text under the same doc_id
+                    held[own] = hashes
+        yield from linked(held)
+
+    return stream
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, shingles: int = _SHINGLES) -> DataFrame:
+    """Pairs `a`, `b` of sets of one candidate class whose exact Jaccard similarity is `similarity` or more: enough
+    of them to connect all such pairs of the class.
+
+    `classes` has `set`, `size`, `least` (the doc_id that stands for the set) and `part`, the candidate class. A class of
+    more than `shingles` shingles is cut into chunks, each pair of which is compared by itself.
+    """
+    several = classes.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    chunks = F.when(F.col("total") > shingles, F.ceil(F.col("total") / shingles).cast("int"))
+    chosen = classes.join(several, "part").select("set", "part", "least", chunks.alias("chunks"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
+    met = texts.join(chosen, "least").select("part", "set", "_raw", F.inline(_meetings("set")))
+    dealt = met.select(F.xxhash64("part", "x", "y").alias("key"), "set", "_raw").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_similar_stream(words, similarity), "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, words: int, similarity: float, width: int, node_bits: int, recall: float) -> DataFrame:
+    """`doc_id`, `component_id` of every row with a doc_id: the smallest one reachable over pairs of shingle sets of
+    Jaccard similarity `similarity` or more.
+
+    Shingle sets of similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs differs with probability
+    acos(cosine) / pi. Candidates differ in at most that expectation over 64 * `width` bits plus three standard
+    deviations, which 1 in 700 pairs at `similarity` itself exceeds; the masks find a pair at that limit with
+    probability `recall`. Candidate classes are then compared by their exact shingle sets.
     """
     bits, differ = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    max_bits = round(bits * differ + 1.5 * math.sqrt(bits * differ * (1 - differ)))
+    max_bits = round(bits * differ + 3 * math.sqrt(bits * differ * (1 - differ)))
     masks = sampled_masks(width, max_bits, node_bits, recall)
-    gone = near_duplicates(docs, words, max_bits, masks, True).filter("doc_id <> component_id").select("doc_id").distinct()
+    names = [f"f{w}" for w in range(width)]
+    rows = written(shingle_sets(docs.filter("doc_id is not null"), words, width), "fingerprints")
+    sets = rows.groupBy("set", "size", *names).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*names))
+    sets = written(sets, "sets")
+    parts = connected_components(linked_fingerprints(sets.select("id", *names).dropDuplicates(["id"]), masks, max_bits))
+    classes = sets.join(parts, sets.id == parts.node, "left").select("set", "size", "least", F.coalesce("component", "id").alias("part"))
+    copies = connected_components(similar_links(docs, written(classes, "classes"), words, similarity))
+    members = sets.join(copies, sets.set == copies.node).select("set", "least", "component")
+    roots = members.groupBy("component").agg(F.min("least").alias("root"))
+    found = members.join(roots, "component").select("set", "root")
+    return rows.select("doc_id", "set").join(sets.select("set", "least"), "set").join(found, "set", "left").select("doc_id", F.coalesce("root", "least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, node_bits: int = 12, recall: float = 0.99) -> DataFrame:
+    """The row of `docs` with the smallest doc_id of each class of `near_copies`, with its columns as they were.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id stay, as no id can stand for them, and link
+    no others.
+    """
+    gone = near_copies(docs, words, similarity, width, node_bits, recall).filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     once = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns)
     return once.unionByName(left.filter("doc_id is null").select(*docs.columns))

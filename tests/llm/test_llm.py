@@ -96,6 +96,41 @@ def test_one_of_each_near_copy_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, *range(100, 130), 200]
 
 
+def test_near_copies_are_decided_on_shingle_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for k in range(120):
+        base = [f"w{x}" for x in rng.integers(0, 99999, 300)]
+        cut = int(rng.integers(20, 60))
+        for words in (base, base[: 300 - cut] + [f"v{x}" for x in rng.integers(0, 99999, cut)]):
+            rows.append((len(rows), " ".join(words)))
+            sets.append({tuple(words[i : i + 5]) for i in range(296)})
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.7 <= x < 0.8 for x in share) > 20 and sum(x >= 0.8 for x in share) > 20
+    wanted = [i for i in range(len(rows)) if i % 2 == 0 or share[i // 2] < 0.8]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == wanted
+
+
+@pytest.mark.parametrize("shingles", [2_000_000, 200])
+def test_similar_links_join_all_similar_sets_of_a_class(spark, shingles):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 9999, 80)]
+        for _ in range(5):
+            words = list(words)
+            words[int(rng.integers(80))] = f"v{rng.integers(9999)}"
+            texts.append(" ".join(words))
+    hashes = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    classes = spark.createDataFrame([(simhash._set_id(h), len(h), i, 1) for i, h in enumerate(hashes)], "set bigint, size bigint, least bigint, part bigint")
+    place = {simhash._set_id(h): i for i, h in enumerate(hashes)}
+    got = [(place[r["a"]], place[r["b"]]) for r in simhash.similar_links(docs, classes, 5, 0.8, shingles).collect()]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    wanted = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(hashes[a], hashes[b]) >= 0.8]
+    assert wanted and unions(got, place.values()) == unions(wanted, place.values())
+
+
 def test_quality_counts_by_definition(spark, odd):
     def by_hand(text):
         text = text or ""
