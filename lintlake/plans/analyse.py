@@ -94,10 +94,14 @@ def main(arguments: list[str] | None = None) -> int:
     elif args.format == "sarif":
         results = [json.loads(r[0]) for r in render.sarif_results(scan.findings).toLocalIterator()]
         out = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "lintlake"}}, "results": results}]}, indent=2)
+    elif args.format == "json":
+        sys.stdout.writelines(render.json_report(scan.findings))
+        out = None
     else:
         document = render.report(scan.findings)
-        out = {"json": lambda d: json.dumps(d, indent=2), "markdown": render.markdown, "hotspot": render.hotspot}[args.format](document)
-    print(out)
+        out = {"markdown": render.markdown, "hotspot": render.hotspot}[args.format](document)
+    if out is not None:
+        print(out)
     return scoring.exit_code(scan.findings, scan.diagnostics.count(), args.fail_on)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +30,40 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(result).alias("result"))
 
 
+def ordered(findings: DataFrame) -> DataFrame:
+    """What a report shows of each finding, in report order."""
+    shown = ("rule_id", "message", "file_path", "line", "severity", "pillar", "confidence", "symbol", "fingerprint")
+    return findings.orderBy("file_path", *scoring.report_order()).select(*shown)
+
+
 def report(findings: DataFrame, shown: int = 50) -> dict:
     """The report document: summary, score, pillars, worst files and the first `shown` findings in order.
 
     Only aggregates and top-k rows reach the driver; all findings are written with `DataFrame.write`.
     """
     scores = scoring.pillar_scores(findings)
-    first = findings.orderBy("file_path", *scoring.report_order()).limit(shown)
+    first = ordered(findings).limit(shown)
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
         "summary": rows(scoring.severity_summary(findings))[0],
         "score": rows(scoring.composite(scores))[0],
         "pillars": sorted(rows(scores), key=lambda r: r["pillar"]),
         "topOffenders": rows(scoring.top_files(findings)),
-        "findings": rows(first.select("rule_id", "message", "file_path", "line", "severity", "pillar", "confidence", "symbol", "fingerprint")),
+        "findings": rows(first),
     }
 
 
+def json_report(findings: DataFrame) -> Iterator[str]:
+    """The report document with all findings as JSON text, in parts; findings come one partition at a time."""
+    head = json.dumps(report(findings, 0) | {"findings": []}, indent=2)
+    yield head.removesuffix("]\n}")
+    between = "\n    "
+    for row in ordered(findings).toLocalIterator():
+        yield between + json.dumps(row.asDict())
+        between = ",\n    "
+    yield "\n  ]\n}\n"
+
+
 def markdown(document: dict) -> str:
     """A report document as Markdown."""
     out = [f"# Score {document['score']['score']:.1f} ({document['score']['grade']})", "", "| Pillar | Score | Findings |", "|---|---:|---:|"]

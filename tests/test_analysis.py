@@ -93,3 +93,13 @@ def test_analysis_of_a_tree(spark, tree, capsys):
     assert {(r["rule_id"], r["line"]) for r in changed} == {("waste.unwrap-expect", 3)}
     assert analyse.main([str(tree), "--format", "json", "--fail-on", "error"]) == 2
     assert json.loads(capsys.readouterr().out)["summary"]["error"] == 1
+
+
+def test_json_report_has_every_finding(spark, tmp_path, capsys):
+    body = "".join(f"pub fn f{k}(a: Option<u8>) {{\n    a.unwrap();\n}}\n" for k in range(60))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "lib.rs").write_text(body)
+    analyse.main([str(tmp_path), "--format", "json"])
+    document = json.loads(capsys.readouterr().out)
+    assert len(document["findings"]) == document["summary"]["total"] > 60
+    assert set(document) == {"summary", "score", "pillars", "topOffenders", "findings"}
