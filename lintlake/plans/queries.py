@@ -168,6 +168,12 @@ def pillar_scores(spark, sf_dir):
     return S.pillar_scores(M.findings(spark, sf_dir).filter(_FEW))
 
 
+@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="false", which="true"))
+def pillar_scores_all(spark, sf_dir):
+    """Pillar scores of all files."""
+    return S.pillar_scores(M.findings(spark, sf_dir))
+
+
 @_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="rule_id IN ('rule-3', 'rule-7', 'rule-11')", which="true"))
 def exclude_from_score(spark, sf_dir):
     """Pillar scores without the penalty of three rules."""
@@ -180,6 +186,12 @@ def composite_grade(spark, sf_dir):
     return S.composite(S.pillar_scores(M.findings(spark, sf_dir).filter(_FEW)))
 
 
+@_query(f"SELECT score, {_GRADE} AS grade FROM (SELECT avg(score) AS score FROM pillars WHERE scored)", _F, _PILLAR_SQL.format(unscored="false", which="true"))
+def composite_grade_all(spark, sf_dir):
+    """Composite score and grade of all files."""
+    return S.composite(S.pillar_scores(M.findings(spark, sf_dir)))
+
+
 @_query("SELECT file_path, count(*) AS findings, sum(penalty) AS penalty, greatest(0.0::DOUBLE, 100.0 - sum(penalty)) AS score FROM findings GROUP BY 1 ORDER BY score, findings DESC, file_path LIMIT 10", _F)
 def top_files(spark, sf_dir):
     """The ten worst files."""
@@ -252,6 +264,15 @@ def duplicate_versions(spark, sf_dir):
     return found.withColumn("versions", F.concat(F.lit("["), F.array_join("versions", ", "), F.lit("]")))
 
 
+@_query("SELECT p_brand AS name, list_sort(list(DISTINCT 'v' || (p_size % 7)))::VARCHAR AS versions, min(p_size) AS line FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 7) > 2")
+def duplicate_versions_all(spark, sf_dir):
+    """Packages locked in many versions, over every part."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    packages = rows.selectExpr("p_brand as name", "concat('v', p_size % 7) as version", "p_size as line")
+    found = P.duplicate_versions(packages)
+    return found.withColumn("versions", F.concat(F.lit("["), F.array_join("versions", ", "), F.lit("]")))
+
+
 @_query("SELECT word AS identifier, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM sources) GROUP BY 1", _SRC)
 def identifier_counts(spark, sf_dir):
     """Identifiers of all texts."""

@@ -118,3 +118,9 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_flagship(spark):
     assert flagship.documents_score(spark, DATA).count() == 11
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_scores_over_all_findings(spark):
+    total = queries.QUERIES["identities"](spark, DATA).count()
+    assert queries.QUERIES["pillar_scores_all"](spark, DATA).agg(F.sum("findings")).first()[0] == total
