@@ -26,6 +26,7 @@ _BLOCK = frozenset(
 )
 _CHROME = frozenset("aside button dialog fieldset footer form header label legend menu nav option search select".split())
 _CLOSES_SELF = frozenset("p li dt dd option tr td th".split())
+_WHOLE = frozenset("html body main article".split())
 _HINT = re.compile(
     r"\b(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|header|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|pagination|popup|promos?|promoted|related|replies|reply|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)\b",
@@ -33,7 +34,9 @@ _HINT = re.compile(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|title|textarea|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|(template|svg)\b[^>]*(?<!/)>.*?</\2\s*>"
+    r"|(noscript|iframe)\b[^>]*(?<!/)>(?:(?!<\3\b).)*?</\3\s*>)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -50,7 +53,9 @@ def _hinted(attributes: str) -> bool:
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in_article, in_chrome, hinted) of the blocks of a page, in order.
 
-    References are decoded and white space becomes one space. Scripts, styles, comments and the head hold no text.
+    References are decoded and white space becomes one space. Scripts, styles and comments hold no text,
+    nor does the head, which ends where anything stands that can't be in it. Self-closed and unclosed svg, template,
+    noscript and iframe elements are empty. Hints on html, body, main and article tell nothing of a block and don't count.
     """
     found, stack = [], []  # stack: (tag, in_article, in_chrome, hinted)
     parts: list[str] = []
@@ -72,7 +77,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if link:
                 linked.append(parts[-1])
         at = m.end()
-        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        closing, tag, attributes = (m[4], m[5], m[6]) if m[5] else (m[7], m[8], m[9])
         if not tag:
             continue
         tag = tag.lower()
@@ -90,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 if stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in _CLOSES_SELF)):
                     stack.pop()
                 _, article, chrome, hint = stack[-1] if stack else ("", False, False, False)
-                stack.append((tag, article or tag in ("article", "main"), chrome or tag in _CHROME, hint or ("=" in attributes and _hinted(attributes))))
+                stack.append((tag, article or tag in ("article", "main"), chrome or tag in _CHROME, hint or (tag not in _WHOLE and "=" in attributes and _hinted(attributes))))
     parts.append(page[at:])
     if link:
         linked.append(parts[-1])

@@ -251,6 +251,20 @@ def test_pages(spark):
     assert (html_text._judged(html_text.block_tree(), x) == y).all()
 
 
+def test_pages_without_end_tags_and_with_hints_on_the_whole():
+    prose = "The ferry left at six and came back empty, for nobody on the island had heard the bell."
+    article = f"<article><p>{prose}</p><p>No.</p></article>"
+    text = f"{prose}\n\nNo."
+    assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8><style>p {{}}</style><body>{article}") == text
+    for empty in ("<svg width=1 />", "<svg>", "<noscript>", "<template>", "<iframe src=x>", "<iframe />"):
+        assert html_text.main_text(f"<body>{empty}{article}</body>") == text
+    assert html_text.main_text(f"<noscript>{article}<noscript>gone</noscript>") == text
+    assert html_text.main_text(f"<svg><title>x</title><text>gone</text></svg><noscript><p>gone</p></noscript>{article}") == text
+    for hinted in ("<body class='has-sidebar'>", "<html class=nav-open><body>", "<body><main class='with-comments'>"):
+        assert html_text.main_text(hinted + article) == text
+    assert html_text.main_text(f"<article id=comments-open><p>{prose}</p><p>No.</p></article>") == text
+
+
 def test_licenses_by_definition(spark, odd):
     def by_hand(t):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
