@@ -11,7 +11,6 @@ third of all pieces share is not ranked in one task.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,15 +18,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.shared import written
 
-_KEPT_WORDS = 100_000
-_KEPT_STEMS = 500_000
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_SLICE_BYTES = 16_000_000
+_JOINED = 2000
+_RECENT = 300_000
+_MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+_LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 
 
 @dataclass(frozen=True)
@@ -54,12 +55,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
-def _kept_ids(path: str) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
-    """Ids of whole words, and of words without the marks that follow them, that this worker has met."""
-    return {}, {}
-
-
 @cache
 def _mark(path: str) -> tuple[int, str] | None:
     added = _tokenizer(path).get_added_tokens_decoder().items()
@@ -78,82 +73,137 @@ def _ends_word(path: str) -> np.ndarray:
     return ends if suffix else ends[:0]
 
 
-def _cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
-    whole = ids.tobytes()
-    return [whole[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-
-
-def _encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
-    """Ids of each word, from few calls: words of letters alone end where an id ends a word, and a special token
-    between two others keeps them apart."""
-    tokenizer, mark, ends_word = _tokenizer(path), _mark(path), _ends_word(path)
-    plain = [w for w in words if _LETTERS(w)] if len(ends_word) else []
-    found = {}
-    if plain:
-        ids = np.array(tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
-        ends = (np.flatnonzero(ends_word[ids]) + 1).tolist()
-        if len(ends) == len(plain) and ends[-1] == len(ids):
-            found = dict(zip(plain, _cut(ids, [0, *ends[:-1]], ends), strict=True))
-    rest = [w for w in words if w not in found]
-    texts = [w.decode("utf-8", "replace") for w in rest]
-    if rest and mark:
-        ids = np.array(tokenizer.encode(mark[1].join(texts), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == mark[0]).tolist()
-        if len(cuts) == len(rest) - 1:
-            return found | dict(zip(rest, _cut(ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]), strict=True))
-    return found | {w: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for w, t in zip(rest, texts, strict=True)}
-
-
-def token_ids(raws: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text under a tokenizer that lower-cases and never joins across a blank.
-
-    Each blank-separated word is encoded once and kept. A letter and an ASCII mark after it are always apart
-    too, so a word of ASCII or Latin-1 letters shares its ids with its forms before marks. What is kept is bounded
-    (`_KEPT_WORDS`, `_KEPT_STEMS`); words past that are encoded again for each batch. A text that could hold a
-    special token is encoded as it is.
-    """
-    words, stems = _kept_ids(path)
-    special = [b"<|" in raw for raw in raws]
-    split = [[] if odd else raw.lower().split() for raw, odd in zip(raws, special, strict=True)]
-    all_words = set().union(*split)
-    missing = all_words - words.keys()
-    found = words
+@cache
+def _recent(path: str) -> list[dict[str, bytes]]:
+    """Ids of the words of letters that this worker met last: the newer and the older half of what is kept."""
+    return [{}, {}]
+
+
+def _plain_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number in each word) of words of letters alone, which end where an id ends a word."""
+    newer, older = _recent(path)
+    found = [newer.get(w) or older.get(w) for w in words]
+    missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
     if missing:
-        cut = {w: (stem, w[len(stem) :]) for w in missing for stem in (w.rstrip(_MARKS),) if stem and _LETTERS(stem)}
-        parts = {x for pair in cut.values() for x in pair if x} | (missing - cut.keys())
-        unknown = [x for x in parts if x not in stems]
-        ids = _encoded(unknown, path)
-        known = {b"": b""} | ids | {x: stems[x] for x in parts if x in stems}
-        new = {w: known[a] + known[b] for w, (a, b) in cut.items()} | {w: known[w] for w in missing - cut.keys()}
-        if len(stems) < _KEPT_STEMS:
-            stems |= ids
-        if len(words) < _KEPT_WORDS:
-            words |= new
-        else:
-            found = new | {w: words[w] for w in all_words - missing}
-    out = [b"".join(map(found.__getitem__, own)) for own in split]
-    for k in np.flatnonzero(special):
-        out[k] = np.array(_tokenizer(path).encode(raws[k].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-    return out
+        joined = [" ".join(missing[k : k + _JOINED]) for k in range(0, len(missing), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in _tokenizer(path).encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(_ends_word(path)[ids]) + 1
+        if len(ends) != len(missing) or ends[-1] != len(ids):
+            ids, sizes = _any_ids(missing, path)
+            ends = np.cumsum(sizes)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        own = iter([raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+        found = [next(own) if ids is None else ids for ids in found]
+    newer.update(zip(words, found, strict=True))
+    if len(newer) > _RECENT:
+        _recent(path)[:] = {}, newer
+    return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+def _any_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number in each word) of any words; a special token between two keeps them apart."""
+    tokenizer, mark = _tokenizer(path), _mark(path)
+    if mark:
+        ids = np.array(tokenizer.encode(mark[1].join(words), add_special_tokens=False).ids, "<u4")
+        own = ids != mark[0]
+        ends = np.append(np.flatnonzero(~own), len(ids))
+        if len(ends) == len(words):
+            return ids[own], np.diff(ends, prepend=-1) - 1
+    found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return np.array([i for own in found for i in own], "<u4"), np.array([len(own) for own in found], np.int64)
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the rows `take` of a ragged array."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[take]
+    at = np.repeat(starts[take] - (np.cumsum(own) - own), own)
+    return values[at + np.arange(len(at))], own
+
+
+def _word_ids(words: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number in each word) of distinct words in lower case.
+
+    A letter and an ASCII mark after it are always apart, so that a word of ASCII or Latin-1 letters shares its ids with
+    its forms before marks: the letters and the marks are encoded once each.
+    """
+    stems = pc.ascii_rtrim(words, characters=_MARKS)
+    plain = pc.match_substring_regex(stems, _LETTERS).to_numpy(zero_copy_only=False) & bool(len(_ends_word(path)))
+    letters = stems.filter(pa.array(plain)).dictionary_encode()
+    marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()))
+    tails = [w[len(s) :] for w, s in zip(words.take(pa.array(marked)).to_pylist(), stems.take(pa.array(marked)).to_pylist(), strict=True)]
+    rest = pa.array(tails + words.filter(pa.array(~plain)).to_pylist(), pa.string()).dictionary_encode()
+    ids, sizes = _plain_ids(letters.dictionary.to_pylist(), path)
+    more, more_sizes = _any_ids(rest.dictionary.to_pylist(), path) if len(rest) else (ids[:0], sizes[:0])
+    none = len(sizes) + len(more_sizes)  # the part that has no ids
+    parts = np.full((len(words), 2), none, np.int64)
+    parts[plain, 0] = letters.indices.to_numpy()
+    others = rest.indices.to_numpy() + len(sizes)
+    parts[marked, 1], parts[~plain, 0] = others[: len(tails)], others[len(tails) :]
+    flat, own = _gathered(np.concatenate([ids, more]), np.concatenate([sizes, more_sizes, [0]]), parts.ravel())
+    return flat, own.reshape(-1, 2).sum(1)
+
+
+def token_ids(texts: pa.StringArray, path: str, separator: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number in each text) of texts, each with the separator at its end, under a tokenizer that
+    lower-cases and never joins across a blank.
+
+    Each distinct blank-separated word is encoded once. A text that could hold a special token is encoded as it is.
+    """
+    special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+    whole = [np.array(_tokenizer(path).encode(texts[int(k)].as_py(), add_special_tokens=False).ids, "<u4") for k in special]
+    if len(special):
+        kept = np.ones(len(texts), bool)
+        kept[special] = False
+        texts = pc.if_else(pa.array(kept), texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().dictionary_encode()
+    ids, sizes = _word_ids(words.dictionary, path)
+    ids = np.concatenate([ids, *whole, np.array([separator], "<u4")])
+    sizes = np.concatenate([sizes, np.array([len(x) for x in whole], np.int64), [1]])
+    first = split.offsets.to_numpy().astype(np.int64)
+    first = first - first[0]
+    codes = words.indices.to_numpy().astype(np.int64)
+    codes[first[special]] = len(words.dictionary) + np.arange(len(special))
+    flat, own = _gathered(ids, sizes, np.insert(codes, first[1:], len(sizes) - 1))
+    ends = np.concatenate([[0], np.cumsum(own)])[first + np.arange(len(first))]
+    return flat, np.diff(ends)
+
+
+def _slices(texts: pa.StringArray) -> Iterator[slice]:
+    """Runs of texts of about `_SLICE_BYTES` in all; a longer text is one by itself."""
+    seen = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = seen[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(seen, before + _SLICE_BYTES, "right")))
+        yield slice(first, last)
+        first = last
+
+
+def _strings(raw: pa.BinaryArray) -> pa.StringArray:
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the separator, cut only where over `max_tokens`."""
-    end = np.array([separator], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), token_ids(part["_raw"].to_pylist(), tokenizer), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, start in enumerate(range(0, n, max_tokens)):
-                        own = ids[4 * start : 4 * (start + max_tokens)]
-                        rows.append((doc, k, start, len(own) // 4, zlib.crc32(own)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = _strings(batch["_raw"])
+            for part in _slices(texts):
+                ids, sizes = token_ids(texts[part], tokenizer, separator)
+                many = -(-sizes // max_tokens)
+                row = np.repeat(np.arange(len(sizes)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * max_tokens
+                length = np.minimum(sizes[row] - start, max_tokens)
+                whole, at = memoryview(ids.tobytes()), 4 * (np.repeat(np.cumsum(sizes) - sizes, many) + start)
+                crc = [zlib.crc32(whole[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                columns = [batch["doc_id"][part].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
     return texts.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
@@ -208,22 +258,24 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return rows
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), bucket_rows: int = 500_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), bucket_rows: int = 250) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of `docs`.
 
     A null or empty text is one piece with the separator alone; repeated rows each get their pieces; rows with a
     null doc_id are packed too; an empty table gives an empty one; further columns are ignored. Pieces that tie
-    in length are interchangeable, so which of them goes where follows from hashes of their ids.
+    in length are interchangeable, so which of them goes where follows from hashes of their ids. The pieces of a
+    length are ranked in buckets of about `bucket_rows`, or of the root of their number where that is more.
     """
     spark = docs.sparkSession
     found = written(pieces(docs, tokenizer, capacity.max_tokens), "pieces")
     salt = F.xxhash64("doc_id", "piece", "ids_crc32")
-    buckets = max(1, found.count() // bucket_rows)
-    found = found.withColumn("bucket", F.pmod(salt, F.lit(buckets)))
+    counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most max_tokens rows
+    dealt = [(n, max(1, round(c / max(bucket_rows, c**0.5)))) for n, c in counts.items()]
+    buckets = F.broadcast(spark.createDataFrame(dealt, "length bigint, buckets bigint"))
+    found = found.join(buckets, "length").withColumn("bucket", F.pmod(salt, "buckets")).drop("buckets")
     groups = found.groupBy("length", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     groups = groups.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most max_tokens rows
     slots = spark.createDataFrame(_slots(pack_lengths(counts, capacity)), "length bigint, low bigint, high bigint, first bigint, offset bigint")
     order = Window.partitionBy("length", "bucket").orderBy(salt, "doc_id", "piece", "ids_crc32")
     ranked = found.withColumn("own", F.row_number().over(order) - 1).join(groups, ["length", "bucket"])

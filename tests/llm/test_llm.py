@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -232,8 +233,12 @@ def test_words_are_encoded_as_whole_texts():
 
     path = tokenizer_path("word_bpe_49k.json")
     texts = ["don't it's.the, a's, x.y?! ÀÉÜÑ×÷ a×. é.,;(b) 12,3. A'S <|ENDOFTEXT|>", "a <|endoftext|> b<|startoftext|>c", "é x́   a b ΑΣ İI ﬁ", "\x1c\x1d a\x85b", ""]
-    whole = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert packing.token_ids([t.encode() for t in texts], path) == whole
+    whole = [[*e.ids, 0] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = packing.token_ids(pa.array(texts), path, 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == whole
+    ids, sizes = packing.token_ids(pa.array(["left out", *texts])[1:], path, 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == whole
+    assert [(p.start, p.stop) for p in packing._slices(pa.array(["x" * 9_000_000] * 3 + ["y" * 17_000_000, "z"]))] == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
 
 
 def test_pages(spark):
