@@ -250,8 +250,10 @@ def test_pages(spark):
     got = html_text.page_texts(rows, ["page_id", "url"]).collect()
     text = f"A & B\n\n{prose} More text\n\nNo."
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in got) == Counter([(1, text, len(text)), (2, "", 0), (3, "", 0), (3, "", 0)])
-    free = f"<p>Menu</p><p>{prose}</p><p>{prose} {prose}</p><p><a href=/>{prose}</a></p>"
+    free = f"<div>Menu</div><p>{prose}</p><p>{prose} {prose}</p><p><a href=/>{prose}</a></p>"
     assert html_text.main_text(free) == f"{prose}\n\n{prose} {prose}"
+    clash = rows.selectExpr("*", "1 as text", "2 as n_chars", "3 as _html")
+    assert sorted(r["n_chars"] for r in html_text.page_texts(clash, ["page_id", "url"]).collect()) == [0, 0, 0, len(text)]
     x, y = html_text.labelled_table()
     assert (html_text._judged(html_text.block_tree(), x) == y).all()
 
@@ -270,6 +272,83 @@ def test_pages_without_end_tags_and_with_hints_on_the_whole():
     assert html_text.main_text(f"<article id=comments-open><p>{prose}</p><p>No.</p></article>") == text
 
 
+PROSE = "The ferry left at six and came back empty, for nobody on the island had heard the bell."
+BOTH = f"<p>{PROSE}</p><p>No.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "titles"),
+    [
+        (f'<body class="has-sidebar"><article>{BOTH}</article>', ()), (f'<main class="content with-sidebar">{BOTH}</main>', ()), (f'<body class="single share-enabled">{BOTH}', ()),
+        (f'<article id="notice-of-appeal">{BOTH}</article>', ()), (f'<div class="article related-tools-review">{BOTH}</div>', ()),
+        (f"<body><form id=aspnetForm><nav><a href=/>x</a></nav><h1>T</h1><div>{BOTH}</div></form></body>", ("T",)), (f"<form><article>{BOTH}</article></form>", ()),
+        (f"<html><head><title>T</title><body>{BOTH}", ()), (f"<article><header><h1>T</h1><p>By a clerk</p></header>{BOTH}</article>", ("T",)), (f"<div><h1>T</h1><p>Yes.</p>{BOTH}</div>", ("T", "Yes.")),
+        (f"<article>{BOTH}<section class=comments><article class=comment><p>{PROSE}</p></article></section></article>", ()),
+        (f'<div class="cookieNotice">{PROSE}</div><div class=widget-sidebar>{PROSE}</div><article>{BOTH}</article><div class=post-comments>{PROSE}</div>', ()),
+        (f"<article>{BOTH}<ul><li><a>One</a><li><a>Two</a></ul></article>", ()),
+    ],
+)
+def test_pages_that_only_look_like_chrome(page, titles):
+    assert html_text.main_text(page) == "\n\n".join([*titles, PROSE, "No."])
+
+
+def test_the_tree_reads_the_neighbours():
+    def used(tree):
+        return set() if isinstance(tree, float) else {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+    assert used(html_text.block_tree()) >= {"words", "link_density", "words_before", "density_before", "words_after", "density_after"}
+    menu = "<ul><li><a>One</a><li><a>Two</a></ul>"
+    for short in ("Print", "Call us now"):  # the same block beside text and beside links
+        assert html_text.main_text(f"<p>{PROSE}</p><p>{short}</p><p>{PROSE}</p>").split("\n\n") == [PROSE, short, PROSE]
+        assert html_text.main_text(f"<p>{PROSE}</p>{menu}<p>{short}</p>{menu}") == PROSE
+
+
+def test_generated_pages_read_like_a_plain_reader():
+    from html.parser import HTMLParser
+
+    dropped = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.path.append((tag, dict(attrs).get("class", "")))
+            if tag in ("p", "h1", "h2", "li", "td"):
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            tags = {t for t, _ in self.path}
+            if "article" in tags and not tags & dropped and not any(c for _, c in self.path):
+                self.out[-1] += data
+
+    rng = np.random.default_rng(8)
+    words = [*PROSE.split(), "&amp;", "caf&eacute;", "&#8364;5", "x&lt;y"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    for _ in range(300):
+        inside = []
+        for _ in range(int(rng.integers(1, 9))):
+            n, kind = int(rng.integers(1, 60)), int(rng.integers(9))
+            block = (
+                f"<p>{text(n)}</p>", f"<h2>{text(3)}</h2>", f"<ul><li>{text(2)}</li><li>{text(n)}</li></ul>", f"<p>{text(n)} <b>{text(1)}</b></p>", f"<aside><p>{text(n)}</p></aside>",
+                f"<div class='ad'><p>{text(n)}</p></div>", f"<form><p>{text(n)}</p></form>", f"<script>var x = '<p>{n}</p>'</script><p>{text(2)}</p>", f"<table><tr><td>{text(1)}</td><td>{text(2)}</td></tr></table>",
+            )[kind]
+            inside.append(block)
+        page = f"<nav><p><a>{text(2)}</a></p></nav><header><p>{text(4)}</p></header><article><h1>{text(5)}</h1>{''.join(inside)}</article><div class='comments'><p>{text(30)}</p></div><footer><p>{text(9)}</p></footer>"
+        reader = Reader()
+        reader.feed(page)
+        assert html_text.main_text(page) == "\n\n".join(" ".join(x.split()) for x in reader.out if x.strip())
+
+
+def test_a_very_long_page():
+    page = f"<article>{BOTH * 40_000}</article>"
+    assert html_text.main_text(page) == "\n\n".join([PROSE, "No."] * 40_000)
+
+
 def test_licenses_by_definition(spark, odd):
     def by_hand(t):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
