@@ -19,21 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.components import connected_components
+from lintlake.llm.components import connected_components, spread_join
 from lintlake.llm.shared import written
 
 
 @dataclass(frozen=True)
 class IndexRules:
-    """`cosine` links; `recall` is the target at that limit; `sample_rows` bounds what the codebooks are fitted on;
-    `cell_rows` is the mean number of vectors in a cell and `node_rows` the most that one task holds of a cell."""
+    """`cosine` links; `recall` is the target at that limit; `sample_rows` bounds what the codebooks are fitted on. A
+    codebook has from `least_codes` to `most_codes` codes, as many as cost least if shipping a copy of a vector to a cell
+    costs as much as `shipped` comparisons. `node_rows` is the most that one task holds of a cell."""
 
     cosine: float = 0.93
     recall: float = 0.995
     sample_rows: int = 8192
-    cell_rows: int = 128
-    most_codes: int = 256
-    node_rows: int = 4096
+    least_codes: int = 8
+    most_codes: int = 1024
+    shipped: int = 2000
+    node_rows: int = 16_384
 
 
 @dataclass
@@ -67,13 +69,12 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return codes
 
 
-def fitted(sample: np.ndarray, rows: int, rules: IndexRules) -> Index:
-    """Codebooks of a sample of unit vectors, for a table of `rows`, and the distance at which `recall` of vectors at
-    the limiting cosine have been visited, as found with random vectors at that cosine to the sample."""
+def _with_codes(sample: np.ndarray, codes: int, rules: IndexRules) -> Index:
+    """Codebooks of a sample of unit vectors, and the distance at which `recall` of vectors at the limiting cosine have been
+    visited, as found with random vectors at that cosine to the sample."""
     rng = np.random.default_rng(11)
     dims = sample.shape[1]
-    k = int(np.clip(np.ceil((rows / rules.cell_rows) ** 0.5), 1, min(rules.most_codes, len(sample))))
-    index = Index(tuple(_codebook(half, k, rng) for half in np.split(sample, [dims // 2], axis=1)), 0.0, dims)
+    index = Index(tuple(_codebook(half, codes, rng) for half in np.split(sample, [dims // 2], axis=1)), 0.0, dims)
     noise = rng.normal(size=sample.shape)
     noise -= (noise * sample).sum(1, keepdims=True) * sample
     norm = np.linalg.norm(noise, axis=1, keepdims=True)
@@ -84,6 +85,24 @@ def fitted(sample: np.ndarray, rows: int, rules: IndexRules) -> Index:
     return index
 
 
+def fitted(sample: np.ndarray, peers: float, rules: IndexRules) -> Index:
+    """The index that costs least where a vector has `peers` vectors of its label, by the visits of part of the sample.
+
+    A finer grid has fewer vectors in a cell, but a vector visits more cells: twice as many codes are tried while that pays.
+    """
+    best, least, codes = None, np.inf, min(rules.least_codes, len(sample))
+    while True:
+        index = _with_codes(sample, codes, rules)
+        left, right = index.excess(sample[:256])
+        visits = np.mean([sum(1 for _ in multi_sequence(a, b, index.limit)) for a, b in zip(left, right, strict=True)])
+        cost = visits * (1 + peers / codes**2 / rules.shipped)
+        if cost >= least:
+            return best
+        best, least, codes = index, cost, 2 * codes
+        if codes > min(rules.most_codes, len(sample) // 4):
+            return best
+
+
 def multi_sequence(left: np.ndarray, right: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
     """Cells (i, j) by increasing left[i] + right[j], up to the limit."""
     a, b = left.argsort(kind="stable"), right.argsort(kind="stable")
@@ -133,8 +152,8 @@ def _meetings(dims: int, cosine: float):
 
     def meet(held, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, labels: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
         h_ids, h_copies, h_unit = held
-        for at in range(0, len(ids), 512):
-            s = slice(at, at + 512)
+        for at in range(0, len(ids), 256):
+            s = slice(at, at + 256)
             hit = (unit[s] @ h_unit.T >= cosine) & (ids[s][:, None] < h_ids)
             if not hit.any():
                 continue
@@ -193,7 +212,7 @@ def near_vectors(vectors: DataFrame, rules: IndexRules = IndexRules()) -> DataFr
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), "embedding", usable.alias("usable"))
     distinct = rows.filter("usable").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     distinct = written(distinct.withColumn("id", F.xxhash64("label", "embedding")), "vectors")
-    total, dims = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    total, copies, dims = distinct.agg(F.count("*"), F.sum("copies"), F.max(F.size("embedding"))).first()
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not total:
         return alone
@@ -202,7 +221,8 @@ def near_vectors(vectors: DataFrame, rules: IndexRules = IndexRules()) -> DataFr
     fit = np.zeros((len(sample), dims))
     for row, x in zip(fit, sample, strict=True):
         row[: len(x[0])] = x[0]
-    index = fitted(unit_rows(fit), total, rules)
+    peers = distinct.groupBy("label").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] / total
+    index = fitted(unit_rows(fit), peers, rules)
     element = distinct.schema["embedding"].dataType.simpleString()
     grid = distinct.mapInArrow(_visits(index), f"id bigint, label bigint, copies bigint, embedding {element}, i int, j int, away boolean")
     cells = grid.withColumn("cell", F.xxhash64("label", F.size("embedding"), "i", "j")).drop("i", "j", "label")
@@ -218,10 +238,10 @@ def near_vectors(vectors: DataFrame, rules: IndexRules = IndexRules()) -> DataFr
     met = written(dealt.mapInArrow(_meetings(dims, rules.cosine), "id bigint, links bigint, peer bigint"), "links")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(met.filter("peer is not null").select("id", "peer"))
-    members = distinct.select("id", "copies", "least").join(parts, distinct.id == parts.node, "left").drop("node")
-    roots = members.filter("component is not null").groupBy("component").agg(F.min("least").alias("root"))
-    classes = members.join(roots, "component", "left").join(links, "id", "left")
-    classes = classes.select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "least").alias("component_id"))
+    members = distinct.select("id", "copies", "least").join(parts, distinct.id == parts.node, "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    roots = members.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n"))
+    classes = spread_join(members, roots, "component", total).join(links, "id", "left")
+    classes = classes.select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("root").alias("component_id"), F.col("copies").alias("n"))
     usable_rows = rows.filter("usable").select("vec_id", F.xxhash64("label", "embedding").alias("id"))
-    linked = usable_rows.join(classes, "id").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = spread_join(usable_rows, classes, "id", copies).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return linked.unionByName(alone)

@@ -4,7 +4,7 @@ Fingerprints of one or more 64-bit words are made inside map tasks; only ids and
 Equal fingerprints are merged first. The index is a tree of masked bit patterns. Each node of its top level is a
 mask and a pattern, and the shuffle deals the nodes out. `pigeonhole_masks` choose the masks so that no pair is
 lost: 64 bits in `blocks` blocks, every choice of `blocks - max_bits` of them; two fingerprints that differ in
-`max_bits` bits agree on one such choice. For the wide limits of long fingerprints, `sampled_masks` take
+`max_bits` bits agree on one such choice. The number of blocks grows with the table, so that nodes don't. For the wide limits of long fingerprints, `sampled_masks` take
 disjoint groups of bits, as many as the target recall at the limit needs. Inside a node fingerprints are sorted by
 Gray rank; runs of them are factored into nested nodes that hold the bits all members share, and a pair of
 nodes is pruned as a whole once the bits that both fix differ in more than `max_bits` places. A node with more
@@ -25,10 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.components import connected_components
+from lintlake.llm.components import connected_components, spread_join
 from lintlake.llm.shared import written
 
 _LEAF = 16
+_NODE_TARGET = 256
 _FRONTIER = 2048
 _SHINGLES = 2_000_000
 
@@ -99,6 +100,14 @@ def pigeonhole_masks(max_bits: int, blocks: int) -> list[list[int]]:
     return [[_signed(sum(c))] for c in combinations(parts, blocks - max_bits)]
 
 
+def block_count(rows: int, max_bits: int) -> int:
+    """The fewest blocks whose masks leave about `_NODE_TARGET` of `rows` fingerprints, or fewer, in a node."""
+    blocks = max_bits + 1
+    while blocks < 16 and rows > _NODE_TARGET * 2 ** (64 * (blocks - max_bits) / blocks):
+        blocks += 1
+    return blocks
+
+
 def sampled_masks(width: int, max_bits: int, node_bits: int, recall: float) -> list[list[int]]:
     """Masks of `node_bits` random bits each, disjoint as far as the fingerprint goes, so many that two
     fingerprints at the limit agree on one of them with probability `recall` (closer ones are surer)."""
@@ -277,16 +286,17 @@ def near_duplicates(
     fingerprint (null if no member has an id); repeated rows each get a row; an empty table gives an empty one;
     further columns are ignored.
     """
-    masks = masks or pigeonhole_masks(max_bits, max_bits + 2)
-    names = [f"f{w}" for w in range(len(masks[0]))]
+    names = [f"f{w}" for w in range(len(masks[0]) if masks else 1)]
     rows = written(fingerprints(docs, words, len(names), once), "fingerprints")
+    total = rows.count()
+    masks = masks or pigeonhole_masks(max_bits, block_count(total, max_bits))
     own_id = F.col("f0") if len(names) == 1 else F.xxhash64(*names)
-    least = rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("id", own_id)
-    parts = connected_components(linked_fingerprints(least.drop("least"), masks, max_bits, node_rows))
-    members = least.join(parts, least.id == parts.node, "left").select("id", "least", F.col("component").alias("part"))
-    roots = members.filter("part is not null").groupBy("part").agg(F.min("least").alias("root"))
-    classes = members.join(roots, "part", "left").select("id", F.coalesce("root", "least").alias("component_id"))
-    out = rows.withColumn("id", own_id).join(classes, "id")
+    least = written(rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", own_id), "distinct")
+    parts = connected_components(linked_fingerprints(least.drop("least", "n"), masks, max_bits, node_rows))
+    members = least.join(parts, least.id == parts.node, "left").select("id", "least", "n", F.coalesce("component", "id").alias("part"))
+    roots = members.groupBy("part").agg(F.min("least").alias("root"), F.count("*").alias("n"))
+    classes = spread_join(members.withColumnRenamed("n", "times"), roots, "part", total).select("id", F.col("root").alias("component_id"), F.col("times").alias("n"))
+    out = spread_join(rows.withColumn("id", own_id), classes, "id", total)
     digits = F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in names))
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -401,15 +411,16 @@ def near_copies(docs: DataFrame, words: int, similarity: float, width: int, node
     masks = sampled_masks(width, max_bits, node_bits, recall)
     names = [f"f{w}" for w in range(width)]
     rows = written(shingle_sets(docs.filter("doc_id is not null"), words, width), "fingerprints")
-    sets = rows.groupBy("set", "size", *names).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*names))
+    total = rows.count()
+    sets = rows.groupBy("set", "size", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.xxhash64(*names))
     sets = written(sets, "sets")
     parts = connected_components(linked_fingerprints(sets.select("id", *names).dropDuplicates(["id"]), masks, max_bits))
     classes = sets.join(parts, sets.id == parts.node, "left").select("set", "size", "least", F.coalesce("component", "id").alias("part"))
     copies = connected_components(similar_links(docs, written(classes, "classes"), words, similarity))
-    members = sets.join(copies, sets.set == copies.node).select("set", "least", "component")
-    roots = members.groupBy("component").agg(F.min("least").alias("root"))
-    found = members.join(roots, "component").select("set", "root")
-    return rows.select("doc_id", "set").join(sets.select("set", "least"), "set").join(found, "set", "left").select("doc_id", F.coalesce("root", "least").alias("component_id"))
+    members = sets.join(copies, sets.set == copies.node, "left").select("set", "least", F.col("n").alias("times"), F.coalesce("component", "set").alias("component"))
+    roots = members.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n"))
+    found = spread_join(members, roots, "component", total).select("set", F.col("times").alias("n"), "root")
+    return spread_join(rows.select("doc_id", "set"), found, "set", total).select("doc_id", F.col("root").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, node_bits: int = 12, recall: float = 0.99) -> DataFrame:

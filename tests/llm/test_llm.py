@@ -374,7 +374,7 @@ def test_near_vectors(spark, node_rows):
         base = rng.normal(size=8)
         rows += [(len(rows) + j, (base + rng.normal(size=8) * 0.25).astype(np.float32).tolist(), k % 3) for j in range(6)]
     rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], None), (903, None, 0), (904, [0.0] * 8, 0), (905, [float("nan")] * 8, 0), (906, [], 0), (907, [None] * 8, 0)]
-    got = {r["vec_id"]: r for r in multi_index.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), multi_index.IndexRules(node_rows=node_rows, cell_rows=40)).collect()}
+    got = {r["vec_id"]: r for r in multi_index.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), multi_index.IndexRules(node_rows=node_rows)).collect()}
     unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v, label in rows if label is not None and i < 903}
     label = {i: x for i, _, x in rows}
     pairs = [(a, b) for a, b in itertools.combinations(unit, 2) if label[a] == label[b] and unit[a] @ unit[b] >= 0.93]
@@ -525,3 +525,12 @@ def test_pipeline(spark, odd, tmp_path):
     assert out.groupby("sequence_id").length.sum().max() <= 2048
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from lintlake.llm.components import spread_join
+
+    left = spark.createDataFrame([(i, 0 if i < 900 else i) for i in range(1000)], "x bigint, k bigint")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as v")
+    assert sorted(map(tuple, spread_join(left, right, "k", 1000).select("x", "k", "v").collect())) == [(i, k, 2 * k) for i in range(1000) for k in [0 if i < 900 else i]]
+    assert simhash.block_count(10_000, 4) == 5 and simhash.block_count(10**8, 4) == 6 and simhash.block_count(10**11, 4) == 8
