@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.shared import written
 
-_SLICE_BYTES = 16_000_000
+_SLICE_BYTES = 4_000_000
 _JOINED = 2000
-_RECENT = 300_000
+_RECENT = 150_000
 _MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 _LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 

@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 5, width: int = 1, once: bool = F
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(raw, words, width, once) for raw in batch["_raw"].to_pylist()]
+            found = [simhash(raw.as_py(), words, width, once) for raw in batch["_raw"]]
             columns = np.array(found, np.uint64).reshape(-1, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(columns[:, w]) for w in range(width))], ["doc_id", *names])
 
@@ -245,9 +245,9 @@ def _node_stream(max_bits: int, width: int):
     return stream
 
 
-def _meetings(member: str) -> Column:
+def _meetings(*member: str) -> Column:
     """The pairs `x`, `y` of chunks, with the `half` of its own, in which a row of a key with `chunks` chunks takes part."""
-    own = F.pmod(F.xxhash64(member), "chunks").cast("int")
+    own = F.pmod(F.xxhash64(*member), "chunks").cast("int")
 
     def meeting(other: Column) -> Column:
         half = F.when(own == other, 0).when(own < other, 1).otherwise(2)
@@ -257,22 +257,26 @@ def _meetings(member: str) -> Column:
     return F.when(F.col("chunks").isNull(), alone).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), meeting))
 
 
+def fingerprint_id(width: int) -> Column:
+    """The id of a fingerprint `f0`, `f1`...: itself, or a hash of its words."""
+    return F.col("f0") if width == 1 else F.xxhash64(*(f"f{w}" for w in range(width)))
+
+
 def linked_fingerprints(fps: DataFrame, masks: list[list[int]], max_bits: int, node_rows: int = 8192) -> DataFrame:
-    """Pairs `a`, `b` of ids of fingerprints that differ in at most `max_bits` bits: enough of them to connect all
-    that meet under a mask. `fps` has a distinct `id` for each distinct fingerprint `f0`, `f1`..."""
+    """Pairs `a`, `b` of `fingerprint_id`s of fingerprints that differ in at most `max_bits` bits: enough of them to connect
+    all that meet under a mask. `fps` has distinct fingerprints `f0`, `f1`..., which are all that is shuffled."""
     width = len(masks[0])
     names = [f"f{w}" for w in range(width)]
     listed = F.array(*(F.array(*(F.lit(x) for x in mask)) for mask in masks))
-    placed = fps.select("id", *names, F.posexplode(listed).alias("m", "mask"))
-    placed = placed.select("id", *names, F.xxhash64("m", *(F.col(f).bitwiseAND(F.col("mask")[w]) for w, f in enumerate(names))).alias("key"))
+    placed = fps.select(*names, F.posexplode(listed).alias("m", "mask"))
+    placed = placed.select(*names, F.xxhash64("m", *(F.col(f).bitwiseAND(F.col("mask")[w]) for w, f in enumerate(names))).alias("key"))
     crowded = placed.groupBy("key").count().filter(F.col("count") > node_rows)
     crowded = crowded.select("key", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks"))
     placed = placed.join(crowded, "key", "left")
-    dealt = placed.select("key", "id", *names, F.inline(_meetings("id")))
+    dealt = placed.select("key", *names, F.inline(_meetings(*names)))
     node = F.when((F.col("x") == 0) & (F.col("y") == 0), F.col("key")).otherwise(F.xxhash64("key", "x", "y"))
-    dealt = dealt.select(node.alias("node"), "half", gray_rank(F.col("f0")).alias("gray"), "id", *names)
-    dealt = dealt.repartition("node").sortWithinPartitions("node", "half", "gray")
-    return dealt.drop("gray").mapInArrow(_node_stream(max_bits, width), "a bigint, b bigint")
+    dealt = dealt.select(node.alias("node"), "half", *names).repartition("node").sortWithinPartitions("node", "half", gray_rank(F.col("f0")))
+    return dealt.withColumn("id", fingerprint_id(width)).mapInArrow(_node_stream(max_bits, width), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -290,9 +294,9 @@ def near_duplicates(
     rows = written(fingerprints(docs, words, len(names), once), "fingerprints")
     total = rows.count()
     masks = masks or pigeonhole_masks(max_bits, block_count(total, max_bits))
-    own_id = F.col("f0") if len(names) == 1 else F.xxhash64(*names)
+    own_id = fingerprint_id(len(names))
     least = written(rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", own_id), "distinct")
-    parts = connected_components(linked_fingerprints(least.drop("least", "n"), masks, max_bits, node_rows))
+    parts = connected_components(linked_fingerprints(least.select(*names), masks, max_bits, node_rows))
     members = least.join(parts, least.id == parts.node, "left").select("id", "least", "n", F.coalesce("component", "id").alias("part"))
     roots = members.groupBy("part").agg(F.min("least").alias("root"), F.count("*").alias("n"))
     classes = spread_join(members.withColumnRenamed("n", "times"), roots, "part", total).select("id", F.col("root").alias("component_id"), F.col("times").alias("n"))
@@ -301,23 +305,33 @@ def near_duplicates(
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), _text_hash().alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
+
+
 def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63)
 
 
 def shingle_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """`doc_id`, `set` (digest of the distinct shingles), `size` (their number) and fingerprint `f0`, `f1`... of every row."""
+    """`doc_id`, `hash` (of the text), `set` (digest of the distinct shingles), `size` (their number) and fingerprint `f0`,
+    `f1`... of every row."""
     names = [f"f{w}" for w in range(width)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(raw, words)) for raw in batch["_raw"].to_pylist()]
-            columns = np.array([_majority(x, width) for x in found], np.uint64).reshape(-1, width).view(np.int64)
-            own = [pa.array([_set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *own, *(pa.array(columns[:, w]) for w in range(width))], ["doc_id", "set", "size", *names])
+            found = []
+            for raw in batch["_raw"]:
+                own = np.unique(shingle_hashes(raw.as_py(), words))
+                found.append((_set_id(own), len(own), *_majority(own, width).view(np.int64).tolist()))
+            columns = np.array(found, np.int64).reshape(-1, 2 + width)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], *map(pa.array, columns.T)], ["doc_id", "hash", "set", "size", *names])
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
-    return texts.mapInArrow(hashed, ", ".join(f"{c} bigint" for c in ["doc_id", "set", "size", *names]))
+    return _keyed(docs).mapInArrow(hashed, ", ".join(f"{c} bigint" for c in ["doc_id", "hash", "set", "size", *names]))
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -373,63 +387,68 @@ def _similar_stream(words: int, similarity: float):
                 if now != key:
                     yield from linked(held)
                     key, held = now, {}
-                hashes = np.unique(shingle_hashes(raw.as_py(), words))
-                if _set_id(hashes) == own:  # else another text under the same doc_id
-                    held[own] = hashes
+                held[own] = np.unique(shingle_hashes(raw.as_py(), words))
         yield from linked(held)
 
     return stream
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, shingles: int = _SHINGLES) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, rows: int, words: int, similarity: float, shingles: int = _SHINGLES) -> DataFrame:
     """Pairs `a`, `b` of sets of one candidate class whose exact Jaccard similarity is `similarity` or more: enough
     of them to connect all such pairs of the class.
 
-    `classes` has `set`, `size`, `least` (the doc_id that stands for the set) and `part`, the candidate class. A class of
+    `classes`, of at most `rows` rows, has `set`, `size`, `least` (the doc_id and hash of the text that stands for the set) and `part`, the candidate class. A class of
     more than `shingles` shingles is cut into chunks, each pair of which is compared by itself.
     """
     several = classes.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
     chunks = F.when(F.col("total") > shingles, F.ceil(F.col("total") / shingles).cast("int"))
-    chosen = classes.join(several, "part").select("set", "part", "least", chunks.alias("chunks"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
-    met = texts.join(chosen, "least").select("part", "set", "_raw", F.inline(_meetings("set")))
+    chosen = spread_join(classes.drop("size"), several.select("part", "n", chunks.alias("chunks")), "part", rows)
+    chosen = chosen.select("part", "set", "chunks", "least.doc_id", "least.hash").distinct()
+    met = _keyed(docs).join(chosen, ["doc_id", "hash"]).select("part", "set", "_raw", F.inline(_meetings("set")))
     dealt = met.select(F.xxhash64("part", "x", "y").alias("key"), "set", "_raw").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_similar_stream(words, similarity), "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, words: int, similarity: float, width: int, node_bits: int, recall: float) -> DataFrame:
-    """`doc_id`, `component_id` of every row with a doc_id: the smallest one reachable over pairs of shingle sets of
-    Jaccard similarity `similarity` or more.
+    """`doc_id`, `hash` of its text, and `root` (the least such pair reachable over pairs of shingle sets of Jaccard
+    similarity `similarity` or more) of every row with a doc_id.
 
     Shingle sets of similarity s have cosine 2s / (1 + s), and a SimHash bit of theirs differs with probability
     acos(cosine) / pi. Candidates differ in at most that expectation over 64 * `width` bits plus three standard
-    deviations, which 1 in 700 pairs at `similarity` itself exceeds; the masks find a pair at that limit with
-    probability `recall`. Candidate classes are then compared by their exact shingle sets.
+    deviations, which 1 in 700 pairs at `similarity` itself exceeds; the masks find a pair at the expectation with
+    probability `recall`, and one at the limit with 0.96 of the default. Candidate classes are then compared by their exact
+    shingle sets.
     """
     bits, differ = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
     max_bits = round(bits * differ + 3 * math.sqrt(bits * differ * (1 - differ)))
-    masks = sampled_masks(width, max_bits, node_bits, recall)
+    masks = sampled_masks(width, round(bits * differ), node_bits, recall)
     names = [f"f{w}" for w in range(width)]
     rows = written(shingle_sets(docs.filter("doc_id is not null"), words, width), "fingerprints")
     total = rows.count()
-    sets = rows.groupBy("set", "size", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.xxhash64(*names))
+    sets = rows.groupBy("set", "size", *names).agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.count("*").alias("n")).withColumn("id", fingerprint_id(width))
     sets = written(sets, "sets")
-    parts = connected_components(linked_fingerprints(sets.select("id", *names).dropDuplicates(["id"]), masks, max_bits))
+    parts = connected_components(linked_fingerprints(sets.select(*names).distinct(), masks, max_bits))
     classes = sets.join(parts, sets.id == parts.node, "left").select("set", "size", "least", F.coalesce("component", "id").alias("part"))
-    copies = connected_components(similar_links(docs, written(classes, "classes"), words, similarity))
+    copies = connected_components(similar_links(docs, written(classes, "classes"), total, words, similarity))
     members = sets.join(copies, sets.set == copies.node, "left").select("set", "least", F.col("n").alias("times"), F.coalesce("component", "set").alias("component"))
     roots = members.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n"))
     found = spread_join(members, roots, "component", total).select("set", F.col("times").alias("n"), "root")
-    return spread_join(rows.select("doc_id", "set"), found, "set", total).select("doc_id", F.col("root").alias("component_id"))
+    return spread_join(rows.select("doc_id", "hash", "set"), found, "set", total).drop("set")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, node_bits: int = 12, recall: float = 0.99) -> DataFrame:
-    """The row of `docs` with the smallest doc_id of each class of `near_copies`, with its columns as they were.
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, node_bits: int = 12, recall: float = 0.999) -> DataFrame:
+    """Of each class of `near_copies` the row of `docs` with the smallest doc_id, with its columns as they were.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id stay, as no id can stand for them, and link
-    no others.
+    Rows that repeat a doc_id are told apart by their texts: each is judged as if it had an id of its own, and of
+    rows with the same doc_id and text one stays. Rows with a null doc_id stay, as no id can stand for them, and link no
+    others.
     """
-    gone = near_copies(docs, words, similarity, width, node_bits, recall).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(left.filter("doc_id is null").select(*docs.columns))
+    found = near_copies(docs, words, similarity, width, node_bits, recall)
+    gone = found.filter(F.col("root") != F.struct("doc_id", "hash")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).count().filter("count > 1").drop("count")
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # no name of theirs can clash
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col("doc_id").cast("bigint").alias("_id"), _text_hash().alias("_hash"))
+    left = keyed.join(gone, ["_id", "_hash"], "left_anti")
+    once = left.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])  # only rows that repeat are shuffled for it
+    kept = left.join(again, ["_id", "_hash"], "left_anti").unionByName(once)
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
