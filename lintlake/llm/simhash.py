@@ -31,7 +31,7 @@ from lintlake.llm.shared import written
 _LEAF = 16
 _NODE_TARGET = 256
 _FRONTIER = 2048
-_SHINGLES = 2_000_000
+_SHINGLES = 400_000
 
 
 def shingle_hashes(raw: bytes, words: int) -> np.ndarray:
@@ -348,7 +348,7 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
     values, places = np.unique(np.concatenate([sets[x] for x in rest]), return_inverse=True)
     mark, a, b = np.zeros(len(values), bool), [], []
     while len(rest) > 1:
-        first, own = rest[0], places[: sizes[rest[0]]]
+        first, own = rest[0], places[: sizes[rest[0]]].copy()
         rest, places, work = rest[1:], places[len(own) :], [(first, own)]
         while work and len(rest):
             source, own = work.pop()
@@ -362,7 +362,7 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
             mark[own] = False
             hits = low + np.flatnonzero(shared / (n + sizes[rest[low:high]] - shared) >= similarity)
             if len(hits):
-                work += [(rest[h], places[ends[h] - sizes[rest[h]] : ends[h]]) for h in hits]
+                work += [(rest[h], places[ends[h] - sizes[rest[h]] : ends[h]].copy()) for h in hits]  # a view would hold all places
                 a += [int(source)] * len(hits)
                 b += rest[hits].tolist()
                 stay = np.ones(len(rest), bool)
