@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -28,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet under the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as Parquet under the shared folder and read back.
+
+    Meanwhile an Arrow batch holds no more than `_BATCH_BYTES`, so that a Python worker never holds 10,000 long texts at once.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, _BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
