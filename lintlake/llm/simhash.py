@@ -443,7 +443,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, width:
     rows with the same doc_id and text one stays. Rows with a null doc_id stay, as no id can stand for them, and link no
     others.
     """
-    found = near_copies(docs, words, similarity, width, node_bits, recall)
+    found = written(near_copies(docs, words, similarity, width, node_bits, recall), "copies")
     gone = found.filter(F.col("root") != F.struct("doc_id", "hash")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
     again = found.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).count().filter("count > 1").drop("count")
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # no name of theirs can clash
