@@ -20,7 +20,7 @@ from lintlake.operators.rust_tables import code_lines, exploded, parsed
 
 @dataclass(frozen=True)
 class Rule:
-    """`when` and `message` are SQL over the table that the rule reads; `symbol` too, null by default."""
+    """`when`, `message`, `symbol` and `metadata` (a JSON text) are SQL over the table that the rule reads."""
 
     id: str
     pillar: str
@@ -29,6 +29,7 @@ class Rule:
     when: str
     message: str
     symbol: str = "name"
+    metadata: str = "null"
 
 
 _CYCLOMATIC = r"1 + regexp_count(masked_body, '\\b(if|else if|match|for|while|loop)\\b|\\?|&&|\\|\\|')"
@@ -47,7 +48,7 @@ _UNWRAP = r"'\\.(unwrap|expect)\\s*\\('"
 BLOCK_RULES = [
     Rule("size.function-length", "size", "warning", "high", "not test and line_count > 50", "concat('Function `', name, '` has ', line_count, ' lines.')"),
     Rule("size.parameter-count", "size", "warning", "high", "not test and size(params) > 5", "concat('Function `', name, '` declares ', size(params), ' parameters.')"),
-    Rule("complexity.cyclomatic", "complexity", "warning", "high", "not test and cyclomatic > 10", "concat('Function `', name, '` has cyclomatic complexity ', cyclomatic, '.')"),
+    Rule("complexity.cyclomatic", "complexity", "warning", "high", "not test and cyclomatic > 10", "concat('Function `', name, '` has cyclomatic complexity ', cyclomatic, '.')", metadata="to_json(named_struct('complexity', cyclomatic))"),
     Rule("complexity.nesting-depth", "complexity", "warning", "high", "not test and nesting > 4", "concat('Function `', name, '` has nesting depth ', nesting, '.')"),
     Rule("complexity.cognitive", "complexity", "warning", "high", "not test and cyclomatic + 2 * nesting > 15", "concat('Function `', name, '` has cognitive complexity ', cyclomatic + 2 * nesting, '.')"),
     Rule("metrics.halstead-volume", "complexity", "advisory", "medium", f"not test and not {_CALIBRATION} and volume > 1500", "concat('Function `', name, '` has high volume.')"),
@@ -125,12 +126,12 @@ def _found(table: DataFrame, rules: list[Rule], phase: int, line: str = "line")
     """Findings of all rules over one table in one pass. emit_seq orders by phase, row and rule."""
 
     def of(k: int, r: Rule) -> Column:
-        parts = (F.lit(r.id).alias("rule_id"), F.expr(r.message).alias("message"), F.lit(r.severity).alias("severity"), F.lit(r.pillar).alias("pillar"), F.lit(r.confidence).alias("confidence"), F.expr(f"cast({r.symbol} as string)").alias("symbol"), F.lit(k).alias("k"))
+        parts = (F.lit(r.id).alias("rule_id"), F.expr(r.message).alias("message"), F.lit(r.severity).alias("severity"), F.lit(r.pillar).alias("pillar"), F.lit(r.confidence).alias("confidence"), F.expr(f"cast({r.symbol} as string)").alias("symbol"), F.expr(f"cast({r.metadata} as string)").alias("metadata"), F.lit(k).alias("k"))
         return F.when(F.expr(r.when), F.struct(*parts))
 
     hits = table.select("file_path", F.col(line).alias("line"), F.col("seq"), F.explode(F.array_compact(F.array(*(of(k, r) for k, r in enumerate(rules))))).alias("x"))
     seq = F.lit(phase).cast("bigint") * 10**12 + F.col("seq").cast("bigint") * 1000 + F.col("x.k")
-    return hits.select("file_path", F.col("line").cast("int").alias("line"), *(f"x.{c}" for c in ("rule_id", "message", "severity", "pillar", "confidence", "symbol")), seq.alias("emit_seq"))
+    return hits.select("file_path", F.col("line").cast("int").alias("line"), *(f"x.{c}" for c in ("rule_id", "message", "severity", "pillar", "confidence", "symbol", "metadata")), seq.alias("emit_seq"))
 
 
 def measured_blocks(table: DataFrame) -> DataFrame:
@@ -263,17 +264,17 @@ def length_findings(sources: DataFrame, threshold: int = 600) -> DataFrame:
     return _found(text_rules.file_length(kept, threshold).withColumns({"line": F.lit(1), "seq": F.lit(0)}), [rule], 14)
 
 
-def rust_findings(sources: DataFrame) -> DataFrame:
+def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, file_length: int = 600) -> DataFrame:
     """Identified, deduplicated findings of all Rust rules over sources (file_path, content).
 
     The scanner's table is persisted, as every group of rules reads it; files are scanned once.
     """
     table = parsed(sources).persist()
-    blocks = _found(measured_blocks(table), BLOCK_RULES, 1, "start_line")
+    blocks = _found(measured_blocks(table), BLOCK_RULES if block_rules is None else block_rules, 1, "start_line")
     lines = _found(lines_in_context(table), LINE_RULES, 2)
     comments = _found(exploded(table, "comments"), COMMENT_RULES, 3)
     found = blocks
-    parts = (lines, comments, item_findings(table), module_findings(table), crypto_findings(table), paired_findings(table), sensitive_findings(sources), length_findings(sources))
+    parts = (lines, comments, item_findings(table), module_findings(table), crypto_findings(table), paired_findings(table), sensitive_findings(sources), length_findings(sources, file_length))
     for part in parts:
-        found = found.unionByName(part)
+        found = found.unionByName(part, allowMissingColumns=True)
     return deduped(identified(found.withColumn("end_line", F.lit(None).cast("int"))))

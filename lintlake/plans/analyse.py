@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 from dataclasses import dataclass
 
@@ -12,13 +11,14 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import findings as O
 from lintlake.operators import scoring, text_rules
-from lintlake.operators.rust_rules import Rule, _found, rust_findings, sensitive_findings, workflow_findings
+from lintlake.operators.rust_rules import BLOCK_RULES, Rule, _found, rust_findings, sensitive_findings, workflow_findings
 from lintlake.operators.rust_tables import parsed
-from lintlake.plans import render
+from lintlake.plans import catalog, render
 from lintlake.sources.discovery import source_files
 from lintlake.sources.manifest import manifest_findings
 from lintlake.sources.patch import patch_tables
 from lintlake.sources.settings import Settings, confidence_name, parse_settings
+from lintlake.sources.stored import read_baseline, write_baseline
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,14 @@ def custom_findings(sources: DataFrame, rules: tuple[dict, ...]) -> DataFrame |
     return out
 
 
+def _block_rules(settings: Settings) -> list[Rule]:
+    """The block rules under the thresholds of the settings; one that no rule takes is an error."""
+    known = {r.id for r in BLOCK_RULES} | {"size.file-length"}
+    if wrong := sorted(settings.thresholds.keys() - known):
+        raise ValueError(f"no threshold can be set for {', '.join(wrong)}")
+    return [catalog.with_threshold(r, *settings.thresholds[r.id]) if r.id in settings.thresholds else r for r in BLOCK_RULES]
+
+
 def analyse(spark: SparkSession, root: str, paths: tuple[str, ...] = (".",), settings: Settings = Settings(), baseline: DataFrame | None = None, patch: str | None = None) -> Scan:
     """Findings of a tree: rules, dedupe, baseline, exclusions and, with a patch, changed lines only, in that order."""
     sources, problems = source_files(spark, root, paths, settings.ignored_paths)
@@ -60,12 +68,14 @@ def analyse(spark: SparkSession, root: str, paths: tuple[str, ...] = (".",), set
         lines, files = patch_tables(spark, patch)
         sources = sources.join(files.select("file_path").distinct(), "file_path", "left_semi")
     project, more = manifest_findings(spark, root)
-    found = rust_findings(sources.filter("is_rust")).drop("fingerprint", "stable_identity")
+    longest, level = settings.thresholds.get("size.file-length", (600, "warning"))
+    found = rust_findings(sources.filter("is_rust"), _block_rules(settings), int(longest)).drop("fingerprint", "stable_identity")
+    found = found.withColumn("severity", F.when(F.col("rule_id") == "size.file-length", level).otherwise(F.col("severity")))
     texts = sources.filter("not is_rust")
     null = F.lit(None).cast("int")
     for part in (project, sensitive_findings(texts), workflow_findings(texts), custom_findings(sources, settings.custom_rules)):
         if part is not None:
-            found = found.unionByName(part.withColumn("end_line", null))
+            found = found.unionByName(part.withColumn("end_line", null), allowMissingColumns=True)
     found = O.deduped(O.identified(found.filter(settings.enabled())))
     if baseline is not None:
         found = O.not_in_baseline(found, baseline)
@@ -77,32 +87,34 @@ def analyse(spark: SparkSession, root: str, paths: tuple[str, ...] = (".",), set
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """Prints a report as JSON, Markdown or workflow commands; the exit code tells what was found."""
+    """Prints a report in the wanted form; the exit code tells what was found. JSON, text, SARIF and workflow commands hold
+    all findings and are streamed."""
     parser = argparse.ArgumentParser(prog="lintlake")
     parser.add_argument("root")
     parser.add_argument("paths", nargs="*", default=["."])
-    parser.add_argument("--format", choices=["json", "markdown", "github", "sarif", "hotspot"], default="json")
+    parser.add_argument("--format", choices=["json", "text", "markdown", "github", "sarif", "hotspot"], default="json")
     parser.add_argument("--config")
     parser.add_argument("--patch")
-    parser.add_argument("--fail-on", choices=["advisory", "warning", "error"])
+    parser.add_argument("--baseline", help="folder of a written baseline, whose findings are left out")
+    parser.add_argument("--write-baseline", help="folder for a baseline of what is found")
+    parser.add_argument("--fail-on", choices=["none", "advisory", "warning", "error"])
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lintlake").getOrCreate()
     settings = parse_settings(open(args.config, encoding="utf-8").read()) if args.config else Settings()
-    scan = analyse(spark, args.root, tuple(args.paths), settings, patch=open(args.patch, encoding="utf-8").read() if args.patch else None)
-    if args.format == "github":
-        out = "\n".join(r[0] for r in render.github_commands(scan.findings).toLocalIterator())
-    elif args.format == "sarif":
-        results = [json.loads(r[0]) for r in render.sarif_results(scan.findings).toLocalIterator()]
-        out = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "lintlake"}}, "results": results}]}, indent=2)
-    elif args.format == "json":
-        sys.stdout.writelines(render.json_report(scan.findings))
-        out = None
+    baseline = read_baseline(spark, args.baseline) if args.baseline else None
+    scan = analyse(spark, args.root, tuple(args.paths), settings, baseline, patch=open(args.patch, encoding="utf-8").read() if args.patch else None)
+    if args.write_baseline:
+        write_baseline(scan.findings, args.write_baseline)
+    streamed = {
+        "github": lambda: (f"{r[0]}\n" for r in render.github_commands(scan.findings).toLocalIterator()), "sarif": lambda: render.sarif_report(scan.findings),
+        "json": lambda: render.json_report(scan.findings, settings.unscored), "text": lambda: render.text_report(scan.findings, settings.unscored),
+    }
+    if args.format in streamed:
+        sys.stdout.writelines(streamed[args.format]())
     else:
-        document = render.report(scan.findings)
-        out = {"markdown": render.markdown, "hotspot": render.hotspot}[args.format](document)
-    if out is not None:
-        print(out)
-    return scoring.exit_code(scan.findings, scan.diagnostics.count(), args.fail_on)
+        print({"markdown": render.markdown, "hotspot": render.hotspot}[args.format](render.report(scan.findings, unscored=settings.unscored)))
+    level = args.fail_on or settings.minimum_severity.get("analyse")
+    return scoring.exit_code(scan.findings, scan.diagnostics.count(), None if level == "none" else level)
 
 
 if __name__ == "__main__":

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +30,38 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(result).alias("result"))
 
 
+def sarif_report(findings: DataFrame) -> Iterator[str]:
+    """A SARIF 2.1.0 document in parts; results come one partition at a time."""
+    yield '{"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "lintlake"}}, "results": ['
+    between = "\n"
+    for row in sarif_results(findings).toLocalIterator():
+        yield between + row["result"]
+        between = ",\n"
+    yield "\n]}]}\n"
+
+
+def text_report(findings: DataFrame, unscored: Sequence[str] = ()) -> Iterator[str]:
+    """The findings a line each, in report order, and the summary."""
+    for f in ordered(findings).toLocalIterator():
+        yield f"{f['severity']} {f['file_path']}{'' if f['line'] is None else ':' + str(f['line'])} {f['rule_id']} {f['message']}\n"
+    document = report(findings, 0, unscored)
+    counts = ", ".join(f"{document['summary'][k]} {k}" for k in ("error", "warning", "advisory"))
+    yield f"score {document['score']['score']:.1f} ({document['score']['grade']}); {counts}\n"
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """What a report shows of each finding, in report order."""
-    shown = ("rule_id", "message", "file_path", "line", "severity", "pillar", "confidence", "symbol", "fingerprint")
+    shown = ("rule_id", "message", "file_path", "line", "severity", "pillar", "confidence", "symbol", "metadata", "fingerprint")
     return findings.orderBy("file_path", *scoring.report_order()).select(*shown)
 
 
-def report(findings: DataFrame, shown: int = 50) -> dict:
-    """The report document: summary, score, pillars, worst files and the first `shown` findings in order.
+def report(findings: DataFrame, shown: int = 50, unscored: Sequence[str] = ()) -> dict:
+    """The report document: summary, score, pillars, worst files and the first `shown` findings in order. The rules
+    `unscored` add no penalty.
 
     Only aggregates and top-k rows reach the driver; all findings are written with `DataFrame.write`.
     """
-    scores = scoring.pillar_scores(findings)
+    scores = scoring.pillar_scores(findings, unscored)
     first = ordered(findings).limit(shown)
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
@@ -53,9 +73,9 @@ def report(findings: DataFrame, shown: int = 50) -> dict:
     }
 
 
-def json_report(findings: DataFrame) -> Iterator[str]:
+def json_report(findings: DataFrame, unscored: Sequence[str] = ()) -> Iterator[str]:
     """The report document with all findings as JSON text, in parts; findings come one partition at a time."""
-    head = json.dumps(report(findings, 0) | {"findings": []}, indent=2)
+    head = json.dumps(report(findings, 0, unscored) | {"findings": []}, indent=2)
     yield head.removesuffix("]\n}")
     between = "\n    "
     for row in ordered(findings).toLocalIterator():

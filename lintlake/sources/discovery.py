@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from lintlake.functions.columns import glob_regex
 
 # Folders that are skipped, and the text files that are read.
-VERSION_FOLDERS = frozenset((".git", ".hg", ".svn", ".jj"))
-SKIPPED_FOLDERS = frozenset("target node_modules vendor dist build coverage .venv venv __pycache__ .idea .vscode .cache out tmp".split())
-TEXT_SUFFIXES = frozenset("toml lock md markdown txt yml yaml json env ini cfg conf sh bash py js ts html css xml properties sql".split())
-TEXT_NAMES = frozenset("Dockerfile Makefile Justfile Procfile Jenkinsfile Vagrantfile .npmrc .pypirc .netrc .dockercfg .htpasswd credentials".split())
+VERSION_FOLDERS = frozenset((".git", ".hg", ".svn"))
+SKIPPED_FOLDERS = frozenset(".git .hg .svn .idea .vscode build cache coverage dist generated node_modules target tmp vendor".split())
+TEXT_SUFFIXES = frozenset("bash conf config crt env gradle ini json key lock md markdown pem properties sh tf tfvars toml txt xml yaml yml".split())
+TEXT_NAMES = frozenset(".dockerignore .netrc .npmrc .pypirc .yarnrc config containerfile dockerfile gnumakefile justfile makefile procfile".split())
 
 
 def _ignore_rules(folder: str, base: str) -> list[tuple[re.Pattern, bool, bool]]:
-    """(pattern over paths below the root, negated, folders only) of the ignore files of a folder, in order."""
+    """(pattern over paths below the root, negated, folders only) of the ignore files of a folder, weakest first."""
     rules = []
-    for name in (".gitignore", ".ignore", ".git/info/exclude"):
+    for name in (".git/info/exclude", ".gitignore", ".ignore"):
         try:
             lines = open(os.path.join(folder, name), encoding="utf-8").read().splitlines()
         except OSError:
@@ -65,8 +65,9 @@ def walk(root: str, ignored_globs: Sequence[str] = (), include_ignored: bool = F
 
 def is_source(name: str) -> bool:
     """Rust files, and text files in which secrets are looked for."""
-    suffix = name.rpartition(".")[2].lower() if "." in name else ""
-    return suffix == "rs" or suffix in TEXT_SUFFIXES or name.startswith(".env") or name in TEXT_NAMES
+    lower = name.lower()
+    suffix = lower.rpartition(".")[2] if "." in lower.lstrip(".") else ""
+    return suffix == "rs" or suffix in TEXT_SUFFIXES or lower.startswith(".env") or lower in TEXT_NAMES
 
 
 def source_files(spark: SparkSession, root: str, paths: Sequence[str] = (".",), ignored_globs: Sequence[str] = (), include_ignored: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +90,6 @@ def source_files(spark: SparkSession, root: str, paths: Sequence[str] = (".",),
     read = spark.read.format("binaryFile").load([os.path.join(root, p) for p in sorted(wanted)])
     below = F.regexp_replace("path", "^file:/*" + re.escape(os.path.abspath(root).lstrip("/")) + "/", "")
     rows = read.select(below.alias("file_path"), F.col("content").cast("string").alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("fine"))
-    good = rows.filter("fine").select("file_path", F.col("file_path").endswith(".rs").alias("is_rust"), F.col("text").alias("content"))
+    good = rows.filter("fine").select("file_path", F.lower("file_path").endswith(".rs").alias("is_rust"), F.col("text").alias("content"))
     bad = rows.filter("not fine").select(F.lit("read-error").alias("diagnostic_type"), F.lit("not UTF-8").alias("message"), "file_path")
     return good, kept.unionByName(bad)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lintlake.operators.findings import Exclusion
 
+# Keys of a settings file, and the levels of a failing run.
 _ROOT = frozenset(("schemaVersion", "minimumSeverity", "paths", "allowlists", "custom_rules", "rules", "exclude"))
 _CUSTOM = frozenset(("id", "pillar", "severity", "confidence", "message", "scope", "pattern", "include_paths", "exclude_paths", "remediation"))
+_LEVELS = ("none", "advisory", "warning", "error")
 
 
 @dataclass(frozen=True)
@@ -23,10 +25,10 @@ class Settings:
     ignore: tuple[str, ...] = ()
     disabled: tuple[str, ...] = ()
     unscored: tuple[str, ...] = ()
-    severities: dict[str, str] = field(default_factory=dict)
+    thresholds: dict[str, tuple[float, str]] = field(default_factory=dict)
     exclusions: tuple[Exclusion, ...] = ()
     custom_rules: tuple[dict, ...] = ()
-    minimum_severity: str | None = None
+    minimum_severity: dict[str, str] = field(default_factory=dict)
 
     def enabled(self) -> Column:
         """Whether a finding's rule is on: ignored and disabled rules are off, then only selected ones are on."""
@@ -59,14 +61,28 @@ def parse_settings(text: str) -> Settings:
     if not isinstance(data, dict):
         raise ValueError("settings must be a mapping")
     _known(data, _ROOT, "settings")
-    if "schemaVersion" not in data:
-        raise ValueError("schemaVersion is required")
+    version = data.get("schemaVersion")
+    if not isinstance(version, str) or version.rpartition(".")[2] != "v1":
+        raise ValueError("schemaVersion is required and must name version v1")
+    if data.get("allowlists"):
+        raise ValueError("allowlists are not supported")
+    levels = data.get("minimumSeverity") or {}
+    for name, level in levels.items():
+        if level not in _LEVELS:
+            raise ValueError(f"minimumSeverity.{name} must be one of {', '.join(_LEVELS)}")
     rules = dict(data.get("rules") or {})
     select, ignore, custom = (rules.pop(k, None) or [] for k in ("select", "ignore", "custom"))
     for name, own in rules.items():
         _known(own, frozenset(("enabled", "threshold", "severity", "options", "excludeFromScore")), f"rules.{name}")
         if ("threshold" in own) != ("severity" in own):
             raise ValueError(f"rules.{name}: threshold and severity go together")
+        for key in ("enabled", "excludeFromScore"):
+            if not isinstance(own.get(key, True), bool):
+                raise ValueError(f"rules.{name}.{key} must be a boolean")
+        if own.get("options"):
+            raise ValueError(f"rules.{name}.options are not supported")
+        if "threshold" in own and (own["severity"] not in _LEVELS[1:] or isinstance(own["threshold"], bool) or not isinstance(own["threshold"], int | float)):
+            raise ValueError(f"rules.{name}: threshold must be a number and severity one of {', '.join(_LEVELS[1:])}")
     for own in data.get("custom_rules") or []:
         _known(own, _CUSTOM, "custom_rules")
     exclusions = []
@@ -77,5 +93,5 @@ def parse_settings(text: str) -> Settings:
     off = [n for n, own in rules.items() if own.get("enabled") is False] + [f"custom.{n}" for n, own in dict(custom or {}).items() if own.get("enabled") is False]
     return Settings(
         tuple((data.get("paths") or {}).get("ignore") or ()), tuple(select), tuple(ignore), tuple(off), tuple(n for n, own in rules.items() if own.get("excludeFromScore")),
-        {n: own["severity"] for n, own in rules.items() if "severity" in own}, tuple(exclusions), tuple(data.get("custom_rules") or ()), (data.get("minimumSeverity") or {}).get("report"),
+        {n: (float(own["threshold"]), own["severity"]) for n, own in rules.items() if "threshold" in own}, tuple(exclusions), tuple(data.get("custom_rules") or ()), dict(levels),
     )

@@ -6,6 +6,7 @@ import pytest
 
 from lintlake.functions.rust_source import Scan, masked
 from lintlake.operators import findings as O
+from lintlake.operators import scoring
 from lintlake.plans import analyse, fixtures
 from lintlake.sources.discovery import walk
 from lintlake.sources.manifest import dependencies, locked_packages
@@ -103,3 +104,43 @@ def test_json_report_has_every_finding(spark, tmp_path, capsys):
     document = json.loads(capsys.readouterr().out)
     assert len(document["findings"]) == document["summary"]["total"] > 60
     assert set(document) == {"summary", "score", "pillars", "topOffenders", "findings"}
+    analyse.main([str(tmp_path), "--format", "sarif"])
+    assert len(json.loads(capsys.readouterr().out)["runs"][0]["results"]) == document["summary"]["total"]
+    analyse.main([str(tmp_path), "--format", "text", "--write-baseline", str(tmp_path / "base")])
+    assert len(capsys.readouterr().out.splitlines()) == document["summary"]["total"] + 1
+    analyse.main([str(tmp_path), "--format", "json", "--baseline", str(tmp_path / "base")])
+    assert json.loads(capsys.readouterr().out)["summary"]["total"] == 0
+
+
+def test_settings_act(spark, tmp_path, capsys):
+    (tmp_path / "lib.rs").write_text("fn walked(a: u8) -> u8 {\n    if a > 1 && a < 3 {\n        return 2;\n    }\n    if a > 5 { 1 } else { 3 }\n}\n")
+    config = tmp_path / "settings.yaml"
+    config.write_text("schemaVersion: tool.config.v1\nminimumSeverity: {analyse: error}\nrules:\n  complexity.cyclomatic: {threshold: 2, severity: error, excludeFromScore: true}\n  size.file-length: {threshold: 3, severity: advisory}\n")
+    assert analyse.main([str(tmp_path), "--config", str(config)]) == 1
+    document = json.loads(capsys.readouterr().out)
+    found = {f["rule_id"]: f for f in document["findings"]}
+    assert found["complexity.cyclomatic"]["severity"] == "error" and json.loads(found["complexity.cyclomatic"]["metadata"])["complexity"] > 2
+    assert found["size.file-length"]["severity"] == "advisory"
+    assert next(p for p in document["pillars"] if p["pillar"] == "complexity")["score"] == 100
+    assert analyse.main([str(tmp_path), "--config", str(config), "--fail-on", "none"]) == 0
+    capsys.readouterr()
+    scan = analyse.analyse(spark, str(tmp_path), settings=parse_settings(config.read_text()))
+    assert sum(r["findings"] for r in scoring.complexity_histogram(scan.findings).collect()) == 1
+    for bad in ("allowlists: {a: [b]}", "minimumSeverity: {analyse: high}", "rules: {a.b: {options: {x: 1}}}", "rules: {a.b: {enabled: 1}}"):
+        with pytest.raises(ValueError, match="support|must be"):
+            parse_settings(f"schemaVersion: v1\n{bad}")
+    with pytest.raises(ValueError, match="schemaVersion"):
+        parse_settings("schemaVersion: v2")
+    with pytest.raises(ValueError, match="threshold"):
+        analyse.analyse(spark, str(tmp_path), settings=analyse.Settings(thresholds={"docs.stale-todo": (1.0, "error")}))
+
+
+def test_discovery_of_key_files_and_folders(tmp_path):
+    for name in ("server.pem", "Dockerfile", "X.RS", ".ENV.local", "main.TF", "a.py", "generated/x.rs", "cache/y.rs", "out/z.rs", ".venv/v.rs", "logs/keep.txt", "logs/drop.txt", "deep/cache/w.rs"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("*.txt\n")
+    (tmp_path / ".gitignore").write_text("!keep.txt\n")
+    read = {p for p, ignored in walk(str(tmp_path)) if not ignored}
+    assert read == {"server.pem", "Dockerfile", "X.RS", ".ENV.local", "main.TF", "out/z.rs", ".venv/v.rs", "logs/keep.txt", "deep/cache/w.rs"}
