@@ -6,8 +6,8 @@ with one perturbed score each, in falling order. The scores are drawn top down:
 is a Gumbel variable around the region's log mass, at most its parent's score. A best-first (A*) search keeps regions
 in a heap. Taking the best one draws its path word by word from the lattice's backward sums, and leaves as new regions,
 for each word of the rest, all paths that agree before that word and differ in it. The score of the first region
-left after k gives each sample its inclusion score. No piece crosses a blank, so the lattice of a text is a chain of word
-lattices; those of a group of texts are built and drawn from together, in arrays. Every number drawn follows from the
+left after k gives each sample its inclusion score. In every piece blanks only lead, so texts are cut before each run of
+blanks and the lattice of a text is a chain of word lattices; those of a group of texts are built and drawn from together, in arrays. Every number drawn follows from the
 row's key, the round and the word's place, so a text gets the same samples in any group, partition or repeated task.
 """
 
@@ -53,7 +53,7 @@ class Pieces:
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
-                if "▁" not in piece[1:]:
+                if "▁" not in piece.lstrip("▁"):
                     self.known[piece] = (-math.log(max(0.0, -score) + 1) - total, (i,))
         self.byte_log = -math.log(size) - total
         self.longest = max(map(len, self.known))
@@ -108,25 +108,32 @@ class Pieces:
 
 
 class Lattice:
-    """The lattice of one word: edges (end, share of the paths from there on, ids) from each place."""
+    """The lattice of one word: the log mass of the paths from each place on; edges are found again when they are drawn."""
 
     def __init__(self, word: str, pieces: Pieces):
-        n = len(word)
-        mass, self.edges = [0.0] * (n + 1), [[]] * n
-        for i in range(n - 1, -1, -1):
-            found = [(j, own) for j in range(i + 1, min(n, i + pieces.longest) + 1) if (own := pieces.known.get(word[i:j]))]
-            found = found or [(i + 1, pieces.by_itself(word[i]))]
-            logs = [w + mass[j] for j, (w, _) in found]
+        self.word, self.pieces, self.mass = word, pieces, np.zeros(len(word) + 1)
+        for i in range(len(word) - 1, -1, -1):
+            logs = [v for _, v, _ in self._leaving(i)]
             top = max(logs)
-            mass[i] = top + math.log(sum([math.exp(v - top) for v in logs]))
-            self.edges[i] = [(j, math.exp(v - mass[i]), own) for v, (j, (_, own)) in zip(logs, found, strict=True)]
+            self.mass[i] = top + math.log(sum([math.exp(v - top) for v in logs]))
+
+    def _leaving(self, i: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """End, log mass of the paths through it, and ids of every edge from a place."""
+        word, pieces, n = self.word, self.pieces, len(self.word)
+        found = [(j, own) for j in range(i + 1, min(n, i + pieces.longest) + 1) if (own := pieces.known.get(word[i:j]))]
+        found = found or [(i + 1, pieces.by_itself(word[i]))]
+        return [(j, w + float(self.mass[j]), own) for j, (w, own) in found]
+
+    def edges(self, i: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """End, share of the paths from there on, and ids of every edge from a place."""
+        return [(j, math.exp(v - self.mass[i]), own) for j, v, own in self._leaving(i)]
 
     def draw(self, uniform, ruled: dict[tuple[int, ...], float] | None = None) -> tuple[float, tuple[int, ...]]:
         """A path by its probability among those that are not in `ruled` (ids to log probabilities): its own, and its ids."""
         i, log, ids = 0, 0.0, []
         ruled = ruled or {}
-        while i < len(self.edges):
-            at, ways = len(ids), self.edges[i]
+        while i < len(self.word):
+            at, ways = len(ids), self.edges(i)
             free = [max(0.0, p - sum([math.exp(v - log) for r, v in ruled.items() if r[at : at + len(own)] == own])) for _, p, own in ways]
             u = uniform() * sum(free)
             for (j, p, own), share in zip(ways, free, strict=True):  # noqa: B007
@@ -153,19 +160,21 @@ def _uniform(key: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Texts with their leading marks, cut before each blank and, if no piece holds one, around line ends."""
+    """Texts with their leading marks, cut before each run of blanks and, if no piece holds one, around line ends."""
 
     def __init__(self, texts: list[str], lines: bool):
         self.whole = "▁" + "▁".join(texts).replace(" ", "▁")
         self.chars = chars = np.frombuffer(self.whole.encode("utf-32-le"), np.uint32)
         begins = chars == ord("▁")
+        begins[1:] &= chars[:-1] != ord("▁")
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        begins[text_ends[:-1]] = True
         if lines:
             ends = chars == ord("\n")
             begins |= ends
             begins[1:] |= ends[:-1]
         self.starts = np.flatnonzero(begins)
         self.sizes = np.diff(self.starts, append=len(chars))
-        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         self.ends = np.searchsorted(self.starts, text_ends)
         self.counts = np.diff(self.ends, prepend=0)
 
@@ -389,7 +398,9 @@ def _best_first(lattice: Callable[[int], Lattice], rounds: list[tuple], k: int,
 def sampled_texts(docs: DataFrame, model: str, k: int = 2, with_ids: bool = True) -> DataFrame:
     """doc_id, sample (0: the best), log_prob, perturbed, inclusion, n_pieces, ids, ids_crc32, round_trip.
 
-    Up to `k` rows for every row of `docs`, fewer where a text has fewer segmentations. `round_trip` tells whether
+    Up to `k` rows for every row of `docs`, fewer where a text has fewer segmentations (what is left of a region at a word
+    counts as none under a share of 1e-12). Words of `_LONG_WORD` characters or more, runs of blanks before them included,
+    are drawn one by one and from other random numbers, by the same law. `round_trip` tells whether
     decoding gives the text back. A null or empty text has the segmentations of the leading mark alone; repeated rows
     draw the same samples, as the seed follows from id and text; an empty table gives an empty one; further
     columns are ignored. `with_ids` leaves the ids themselves out if false.

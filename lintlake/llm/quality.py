@@ -1,9 +1,10 @@
 """Quality rules: base counts, and divergence of a document's histograms from its language's reference.
 
-Two passes over the texts, neither of which moves a text: the first adds up, for each language, the mean
-character-class and common-word histograms of all documents that are long enough; the second compares each
-document with the reference of its language by Jensen-Shannon distance. Between them only one row for a
-language and a task is shuffled, and one row for a language reaches the driver.
+Two passes over the texts, neither of which moves a text: the first adds up, for each language with a word list and
+for all documents together, the mean character-class and common-word histograms of all documents that are long enough;
+the second compares each document with the reference of its language by Jensen-Shannon distance, or its character
+classes alone, letters of all scripts as one, with that of all documents where its language is null, has no word list
+or has too few documents. Between them only one row for a language and a task is shuffled, and one row for a language reaches the driver.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ class QualityRules:
 
     Distances are roots of the Jensen-Shannon divergence in bits (0 to 1). A short text's histogram strays from
     its language by chance alone, in proportion to 1 / sqrt(words), so each limit is `limit + slack / sqrt(words)`.
-    Texts under `min_words` are never judged by distance, and a language needs `min_reference` documents of at
-    least `min_reference_bytes` to have a reference.
+    Texts under `min_words` are never judged by distance, and a reference needs `min_reference` documents of at
+    least `min_reference_bytes`.
     """
 
     min_words: int = 50
@@ -97,6 +98,11 @@ def _char_counts(raw: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS_SUMS
 
 
+def _any_script(shares: np.ndarray) -> np.ndarray:
+    """Shares of classes with all letters as one, so that a script that is rare among all documents is no divergence."""
+    return np.concatenate([[shares[0] + shares[1] + shares[6]], shares[2:6], shares[7:]])
+
+
 def _word_shares(raw: bytes, common: dict[bytes, int]) -> np.ndarray:
     """Shares of the language's common words; the last slot has all other words."""
     plain = raw.translate(_PLAIN).split()
@@ -114,6 +120,7 @@ def _js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (divergence(p) + divergence(q)) / 2)))
 
 
+_ANY = ""  # stands for all documents among the references
 _COMMON_SLOT = {lang: {w.encode(): i for i, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
 
 
@@ -122,16 +129,19 @@ def _input(docs: DataFrame, carried: list) -> DataFrame:
 
 
 def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of each language that has common words listed, over all its documents long enough."""
+    """Mean histograms of each language that has common words listed, over all its documents long enough, and under
+    `_ANY` the mean character classes of all documents long enough."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for raw, lang in zip(batch["_raw"].to_pylist(), batch["_lang"].to_pylist(), strict=True):
-                if lang in _COMMON_SLOT and len(raw) >= rules.min_reference_bytes:
+                if len(raw) >= rules.min_reference_bytes:
                     chars = _char_counts(raw)
-                    both = [[1.0], chars / chars.sum(), _word_shares(raw, _COMMON_SLOT[lang])]
-                    total[lang] = total.get(lang, 0) + np.concatenate(both)
+                    shares = _word_shares(raw, _COMMON_SLOT[lang]) if lang in _COMMON_SLOT else np.zeros(_WORD_SLOTS)
+                    both = np.concatenate([[1.0], chars / max(chars.sum(), 1), shares])
+                    for name in {lang, _ANY} & {_ANY, *_COMMON_SLOT}:
+                        total[name] = total.get(name, 0) + both
         names = sorted(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([total[n].tolist() for n in names], pa.list_(pa.float64()))], ["lang", "part"]
@@ -168,7 +178,10 @@ def _verdict(raw: bytes, lang: str | None, refs: dict, rules: QualityRules) -> t
     failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
     chars = common = None
     kept = not failed
-    if kept and lang in refs:
+    if kept and (lang not in _COMMON_SLOT or lang not in refs) and _ANY in refs:
+        chars = _js_distance(_any_script(counts / counts.sum()), _any_script(refs[_ANY][0]))
+        kept = chars <= rules.char_limit + rules.char_slack / n**0.5
+    elif kept and lang in refs:
         chars = _js_distance(counts / counts.sum(), refs[lang][0])
         common = _js_distance(_word_shares(raw, _COMMON_SLOT[lang]), refs[lang][1])
         kept = chars <= rules.char_limit + rules.char_slack / n**0.5 and common <= rules.word_limit + rules.word_slack / n**0.5
@@ -199,9 +212,10 @@ def _named_back(judged: DataFrame, carried: list[str], *others: str) -> DataFram
 def quality_verdicts(docs: DataFrame, carried: list[str], refs: dict, rules: QualityRules = QualityRules()) -> DataFrame:
     """The columns `carried` of every row of `docs` and `VERDICT_COLUMNS`.
 
-    A null text counts as empty; an empty or short text fails the base rules and has null distances. A null or
-    unlisted language, or one with too few documents for a reference, has null distances, which reject nothing.
-    Repeated rows each get a row; an empty table gives an empty one; further columns of `docs` are ignored.
+    A null text counts as empty; an empty or short text fails the base rules and has null distances. Where the
+    language is null, not listed or without a reference, the character classes alone are compared, with those of all documents,
+    and word_distance is null; where too few documents are long enough for that either, both distances are null and
+    reject nothing. Repeated rows each get a row; an empty table gives an empty one; further columns of `docs` are ignored.
     """
     return _named_back(_judged(docs, carried, refs, rules), carried, *VERDICT_COLUMNS)
 

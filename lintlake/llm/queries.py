@@ -21,8 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct segmentations of every document, with a digest of their ids."""
-    return lattice_sampling.sampled_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 2, False).drop("ids")
+    """Two distinct segmentations of every document."""
+    return lattice_sampling.sampled_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 2)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Secret scans: three base patterns, and a battery of randomness tests on every long token.
 
 All of it is DataFrame expressions. A token of `[A-Za-z0-9+/_=-]` that is long enough is taken as text in the
-smallest encoding whose alphabet holds it (hex, base32, lower-case base36, base62, base64). Three tests ask
+smallest encoding whose alphabet holds it (digits, hex, letters of one case, base32, lower-case base36, letters, base62,
+base64). A token of digits alone or of letters of one case alone must be longer, as a word of 20 letters passes for a
+draw of 20 from 26 too often. Three tests ask
 whether its symbols could be uniform draws from that alphabet: chi-squared of the symbol counts, the number of
 runs above and below the middle of the alphabet, and the serial correlation of neighbouring symbols. Fisher's
 method combines them. Over all tokens of the corpus the Benjamini-Hochberg rule decides which are not random;
@@ -31,9 +33,11 @@ _BINS = 2000
 
 @dataclass(frozen=True)
 class RandomnessRules:
-    """`min_length` of a token, and the share `false_discovery` of random tokens that may be taken for text."""
+    """`min_length` of a token, `one_class_length` of one of digits or of letters of one case alone, and the share
+    `false_discovery` of random tokens that may be taken for text."""
 
     min_length: int = 20
+    one_class_length: int = 40
     false_discovery: float = 0.05
 
 
@@ -69,8 +73,9 @@ def _counted(t: Column) -> Column:
         F.array_distinct(symbols), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), 2)
     )
     high = F.when(F.lit(False), "")
-    for size, middle in ((16, "7"), (32, "M"), (36, "h"), (62, "V"), (64, "V")):
+    for size, middle in ((10, "4"), (16, "7"), (32, "M"), (36, "h"), (52, "Z"), (62, "V"), (64, "V")):
         high = high.when(t.kind == size, F.translate(token, _SYMBOLS, "".join("1" if c > middle else "0" for c in _SYMBOLS)))
+    high = high.when(t.kind == 26, F.translate(F.upper(token), _SYMBOLS, "".join("1" if c > "M" else "0" for c in _SYMBOLS)))
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("sum", "squares", "lagged", "last")))
 
     def step(acc: Column, c: Column) -> Column:
@@ -101,15 +106,16 @@ def _p_value(t: Column) -> Column:
 
 
 def _candidates(text: Column, rules: RandomnessRules) -> Column:
-    """start, end, p of the tokens that could be keys: long enough, and with a digit and a letter.
+    """start, end, p of the tokens that could be keys, which are all that are long enough.
 
     Each transform reads what the one inside it made, so nothing is computed twice for a token.
     """
     spans = _matches(text, f"[A-Za-z0-9+/_=-]{{{rules.min_length},}}", None, rules.min_length)
     named = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.substring(text, s.start + 1, s.end - s.start).alias("token")))
-    likely = F.filter(named, lambda s: s.token.rlike("[0-9]") & s.token.rlike("[A-Za-z]"))
+    likely = F.filter(named, lambda s: (s.end - s.start >= rules.one_class_length) | ~s.token.rlike("^([0-9]+|[a-z]+|[A-Z]+)$"))
     kind = (
-        lambda w: F.when(w.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(w.rlike("^[A-Z2-7]+=*$"), 32).when(w.rlike("^[0-9a-z]+$"), 36)
+        lambda w: F.when(w.rlike("^[0-9]+$"), 10).when(w.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(w.rlike("^([a-z]+|[A-Z]+)$"), 26)
+        .when(w.rlike("^[A-Z2-7]+=*$"), 32).when(w.rlike("^[0-9a-z]+$"), 36).when(w.rlike("^[A-Za-z]+$"), 52)
         .when(w.rlike("^[0-9A-Za-z]+$"), 62).otherwise(64)
     )
     typed = F.transform(likely, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.token.alias("token"), kind(s.token).alias("kind")))

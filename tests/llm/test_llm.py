@@ -163,6 +163,26 @@ def test_quality_keeps_good_documents(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_of_a_language_without_a_reference(spark):
+    prose = ["the cat sat on the mat, and then it went out of the house to see what was there. " * 15 + f"End {k}" for k in range(30)]
+    plain = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + j % 26)} some" for j in range(60)) for k in range(3)]
+    russian = " ".join("слово за словом идут по дороге домой" + chr(0x430 + k % 32) for k in range(20))
+    junk = " ".join(f"{k * 7919 % 100003}#{k * 31 % 997}@{{{k}}}" for k in range(200))
+    rows = [(k, t, "en") for k, t in enumerate(prose)] + [(100, russian, None), (101, russian, "ru"), (102, junk, None), (103, junk, "xx")] + [(200 + k, t, "fr") for k, t in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    refs = quality.language_references(docs)
+    limits = quality.QualityRules(max_repeat_percent=100)
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs, ["doc_id"], refs, limits).collect()}
+    assert set(refs) == {"", "en"} and all(got[k]["kept"] and got[k]["word_distance"] is None for k in (100, 101, 200, 201, 202))
+    assert not got[102]["kept"] and not got[103]["kept"] and got[102]["char_distance"] > 0.2
+
+    counts = [sum(c.islower() and c.isascii() for c in junk), sum(c.isupper() for c in junk), sum(c.isdigit() for c in junk), junk.count(" "), 0, sum(c in "#@{}" for c in junk), 0, 0]
+    p, q = (np.array([v[0] + v[1] + v[6], *v[2:6], v[7]]) / sum(v) for v in (counts, refs[""][0]))
+    m = (p + q) / 2
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    assert abs(got[102]["char_distance"] - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+
+
 def test_base_secrets_by_definition(spark, odd):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -191,6 +211,19 @@ def test_random_tokens_are_told_from_text(spark):
     assert len(hits & set(range(30))) >= 27 and len(hits - set(range(30))) <= 3
 
 
+def test_tokens_of_one_class_of_characters(spark):
+    rng = np.random.default_rng(9)
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = ["".join(rng.choice(list(c), n)) for c, n in ((small, 60), (large, 60), (digits, 30), (small + large, 40)) for _ in range(10)]
+    words = ["Geschwindigkeitsbegrenzung", "einlichkeitverkeitach", "=" * 40, "0" * 50, "-" * 20, "and/or/else/then/with/that", "some-words-with-hyphens-between"] * 10
+    docs = spark.createDataFrame(list(enumerate(keys + words)), "doc_id bigint, text string")
+    n = secret_spans.n_spans(secret_spans.F.col("spans"), "random").alias("n")
+    hits = {r["doc_id"] for r in secret_spans.secret_spans(docs).select("doc_id", n).collect() if r["n"]}
+    assert not hits - {*range(20), *range(30, 40)} and all(len(hits & set(range(k, k + 10))) >= 8 for k in (0, 10, 30))
+    shorter = secret_spans.secret_spans(docs, secret_spans.RandomnessRules(one_class_length=28)).select("doc_id", n).collect()
+    assert len({r["doc_id"] for r in shorter if r["n"]} & set(range(20, 30))) >= 8
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefgh12 and token: ABCDEFGHIJ.", 0), (2, None, None), (3, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_spans.redacted(docs).collect()}
@@ -489,9 +522,28 @@ def test_segmentations_are_drawn_without_replacement(spark, odd):
     assert {r["doc_id"] for r in got} == {i for i, *_ in ODD}
 
 
+def test_runs_of_blanks_are_part_of_the_lattice():
+    pieces = lattice_sampling._pieces(tokenizer_path("piece_bpe_32k.model"))
+    model = "▁" * 4 + "c"
+
+    def paths(rest):
+        if not rest:
+            return {(): 1.0}
+        heads = [(own, n) for n in range(1, len(rest) + 1) if (own := pieces.known.get(rest[:n]))]
+        return {own[1] + ids: math.exp(own[0]) * w for own, n in heads for ids, w in paths(rest[n:]).items()}
+
+    wanted = {np.array(p, "<i4").tobytes(): w for p, w in paths(model).items()}
+    got = {ids: math.exp(w) for w, _, _, ids in lattice_sampling.sampled("   c", len(wanted) + 5, 1, pieces)}
+    total = sum(wanted.values())
+    assert all(abs(p - wanted[ids] / total) < 1e-9 for ids, p in got.items()) and len({len(ids) for ids in got}) > 1
+    assert {ids for ids, w in wanted.items() if w / total > 1e-9} <= set(got)
+    for text in ("   c", "a   b  ", " " * 300 + "x", "    \n    y", " "):
+        assert all(lattice_sampling.decode(ids, pieces) == text for *_, ids in lattice_sampling.sampled(text, 3, 5, pieces))
+
+
 def test_samples_do_not_depend_on_the_group(monkeypatch):
     pieces = lattice_sampling._pieces(tokenizer_path("piece_bpe_32k.model"))
-    texts = ["", "a", "two words", "line\n\nend \n", " 日本 😀" * 5, "x" * 300 + " and more", "tab\tand  blanks ", "▁mark"] + ["the same words again"] * 2
+    texts = ["", "a", "two words", "line\n\nend \n", " 日本 😀" * 5, "x" * 300 + " and more", "tab\tand  blanks ", "  two before", " " * 100, "▁mark"] + ["the same words again"] * 2
     keys = list(range(len(texts)))
     apart = [lattice_sampling.sampled(t, 3, key, pieces) for t, key in zip(texts, keys, strict=True)]
     assert lattice_sampling.sampled_group(texts, 3, keys, pieces) == apart
