@@ -41,6 +41,13 @@ def composite(scores: DataFrame) -> DataFrame:
     return scores.filter("scored").agg(F.avg("score").alias("score")).withColumn("grade", grade(F.col("score")))
 
 
+def file_pillar_scores(findings: DataFrame) -> DataFrame:
+    """file_path, pillar, findings, penalty, score, grade of every pillar that has findings in a file."""
+    sums = findings.groupBy("file_path", "pillar").agg(F.count("*").alias("findings"), F.sum(penalty()).alias("penalty"))
+    scores = sums.withColumn("score", F.greatest(F.lit(0.0), 100.0 - F.col("penalty")))
+    return scores.withColumn("grade", grade(F.col("score")))
+
+
 def top_files(findings: DataFrame, limit: int = 10) -> DataFrame:
     """Files with the lowest scores: file_path, findings, penalty, score. Every rule counts here."""
     sums = findings.groupBy("file_path").agg(F.count("*").alias("findings"), F.sum(penalty()).alias("penalty"))

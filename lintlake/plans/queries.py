@@ -36,9 +36,8 @@ _SCORED = "(VALUES " + ", ".join(f"('{p}')" for p in C.SCORED_PILLARS) + ") s(pi
 _PILLAR_SQL = f"""
 pillars AS (SELECT coalesce(s.pillar, f.pillar) AS pillar, coalesce(f.findings, 0) AS findings, coalesce(f.penalty, 0.0::DOUBLE) AS penalty,
   greatest(0.0::DOUBLE, 100.0 - coalesce(f.penalty, 0.0::DOUBLE)) AS score, s.pillar IS NOT NULL AS scored FROM {_SCORED}
-  FULL OUTER JOIN (SELECT pillar, count(*) AS findings, sum(CASE WHEN {{unscored}} THEN 0.0::DOUBLE ELSE penalty END) AS penalty FROM findings WHERE {{which}} GROUP BY pillar) f ON s.pillar = f.pillar)"""
+  FULL OUTER JOIN (SELECT pillar, count(*) AS findings, sum(CASE WHEN {{unscored}} THEN 0.0::DOUBLE ELSE penalty END) AS penalty FROM findings GROUP BY pillar) f ON s.pillar = f.pillar)"""
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
-_FEW = "file_path LIKE '%/f7_.rs' AND emit_seq % 13 = 0"
 
 
 def _query(sql: str | None = None, *parts: str) -> Callable[[Query], Query]:
@@ -162,36 +161,30 @@ def severity_summary(spark, sf_dir):
     return S.severity_summary(M.findings(spark, sf_dir))
 
 
-@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="false", which=_FEW))
+@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="false"))
 def pillar_scores(spark, sf_dir):
-    """Pillar scores of a few files."""
-    return S.pillar_scores(M.findings(spark, sf_dir).filter(_FEW))
-
-
-@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="false", which="true"))
-def pillar_scores_all(spark, sf_dir):
     """Pillar scores of all files."""
     return S.pillar_scores(M.findings(spark, sf_dir))
 
 
-@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="rule_id IN ('rule-3', 'rule-7', 'rule-11')", which="true"))
+@_query("SELECT * FROM pillars", _F, _PILLAR_SQL.format(unscored="rule_id IN ('rule-3', 'rule-7', 'rule-11')"))
 def exclude_from_score(spark, sf_dir):
     """Pillar scores without the penalty of three rules."""
     return S.pillar_scores(M.findings(spark, sf_dir), ("rule-3", "rule-7", "rule-11"))
 
 
-@_query(f"SELECT score, {_GRADE} AS grade FROM (SELECT avg(score) AS score FROM pillars WHERE scored)", _F, _PILLAR_SQL.format(unscored="false", which=_FEW))
+@_query(f"SELECT score, {_GRADE} AS grade FROM (SELECT avg(score) AS score FROM pillars WHERE scored)", _F, _PILLAR_SQL.format(unscored="false"))
 def composite_grade(spark, sf_dir):
-    """Composite score and grade."""
-    return S.composite(S.pillar_scores(M.findings(spark, sf_dir).filter(_FEW)))
-
-
-@_query(f"SELECT score, {_GRADE} AS grade FROM (SELECT avg(score) AS score FROM pillars WHERE scored)", _F, _PILLAR_SQL.format(unscored="false", which="true"))
-def composite_grade_all(spark, sf_dir):
     """Composite score and grade of all files."""
     return S.composite(S.pillar_scores(M.findings(spark, sf_dir)))
 
 
+@_query(f"SELECT *, {_GRADE} AS grade FROM (SELECT file_path, pillar, count(*) AS findings, sum(penalty) AS penalty, greatest(0.0::DOUBLE, 100.0 - sum(penalty)) AS score FROM findings GROUP BY ALL)", _F)
+def file_pillar_scores(spark, sf_dir):
+    """Scores of every file's pillars, of which fewer floor at 0 than of the whole table's."""
+    return S.file_pillar_scores(M.findings(spark, sf_dir))
+
+
 @_query("SELECT file_path, count(*) AS findings, sum(penalty) AS penalty, greatest(0.0::DOUBLE, 100.0 - sum(penalty)) AS score FROM findings GROUP BY 1 ORDER BY score, findings DESC, file_path LIMIT 10", _F)
 def top_files(spark, sf_dir):
     """The ten worst files."""
@@ -204,7 +197,7 @@ def top_rules(spark, sf_dir):
     return S.top_rules(M.findings(spark, sf_dir))
 
 
-@_query(f"SELECT p.pillar, p.findings, coalesce(advisory, 0) AS advisory, coalesce(warning, 0) AS warning, coalesce(error, 0) AS error, score, {_GRADE} AS grade, scored AS applicable FROM pillars p LEFT JOIN (SELECT pillar, count(*) FILTER (severity = 'advisory') AS advisory, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'error') AS error FROM findings GROUP BY 1) c ON p.pillar = c.pillar", _F, _PILLAR_SQL.format(unscored="false", which="true"))
+@_query(f"SELECT p.pillar, p.findings, coalesce(advisory, 0) AS advisory, coalesce(warning, 0) AS warning, coalesce(error, 0) AS error, score, {_GRADE} AS grade, scored AS applicable FROM pillars p LEFT JOIN (SELECT pillar, count(*) FILTER (severity = 'advisory') AS advisory, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'error') AS error FROM findings GROUP BY 1) c ON p.pillar = c.pillar", _F, _PILLAR_SQL.format(unscored="false"))
 def pillar_digest(spark, sf_dir):
     """Digest by pillar."""
     return S.pillar_digest(M.findings(spark, sf_dir))
@@ -255,18 +248,9 @@ def module_fan_out(spark, sf_dir):
     return P.module_fan_out(M.items(spark, sf_dir), 70)
 
 
-@_query("SELECT p_brand AS name, list_sort(list(DISTINCT 'v' || (p_size % 7)))::VARCHAR AS versions, min(p_size) AS line FROM part WHERE p_partkey % 3 > 0 GROUP BY 1 HAVING count(DISTINCT p_size % 7) > 2")
+@_query("SELECT p_brand AS name, list_sort(list(DISTINCT 'v' || (p_size % 7)))::VARCHAR AS versions, min(p_size) AS line FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 7) > 2")
 def duplicate_versions(spark, sf_dir):
     """Packages locked in many versions."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 > 0")
-    packages = rows.selectExpr("p_brand as name", "concat('v', p_size % 7) as version", "p_size as line")
-    found = P.duplicate_versions(packages)
-    return found.withColumn("versions", F.concat(F.lit("["), F.array_join("versions", ", "), F.lit("]")))
-
-
-@_query("SELECT p_brand AS name, list_sort(list(DISTINCT 'v' || (p_size % 7)))::VARCHAR AS versions, min(p_size) AS line FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 7) > 2")
-def duplicate_versions_all(spark, sf_dir):
-    """Packages locked in many versions, over every part."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     packages = rows.selectExpr("p_brand as name", "concat('v', p_size % 7) as version", "p_size as line")
     found = P.duplicate_versions(packages)

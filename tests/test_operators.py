@@ -123,4 +123,4 @@ def test_flagship(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_scores_over_all_findings(spark):
     total = queries.QUERIES["identities"](spark, DATA).count()
-    assert queries.QUERIES["pillar_scores_all"](spark, DATA).agg(F.sum("findings")).first()[0] == total
+    assert queries.QUERIES["pillar_scores"](spark, DATA).agg(F.sum("findings")).first()[0] == total
