@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -50,3 +53,16 @@ def dropped(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def in_small_batches(batches: Iterator[pa.RecordBatch], column: str = "_raw", most: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in batches whose `column` has about `most` bytes, or one row, at most."""
+    for batch in batches:
+        low, held = 0, 0
+        for k, size in enumerate(pc.binary_length(batch[column]).to_pylist()):
+            if held and held + size > most:
+                yield batch.slice(low, k - low)
+                low, held = k, 0
+            held += size
+        if low < batch.num_rows:
+            yield batch.slice(low)

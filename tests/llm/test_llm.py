@@ -564,6 +564,7 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
