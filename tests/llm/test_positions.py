@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from lintlake.llm import periodic, positional_index, queries
+from lintlake.llm import collocations, periodic, positional_index, queries
 
+DATA = "/root/testdata/sf0.001"
 UPPER = {c: c + 32 for c in range(65, 91)}
 DOCUMENT = "doc_id bigint, text string, lang string, row string, runs string, start string"
 LONG = "alpha beta gamma delta " * 3000
@@ -148,3 +151,56 @@ def test_periodic_runs_query(spark, odd, tmp_path):
     assert sum(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in more) > 5
     found = periodic.periodic_runs(odd.limit(0), ["doc_id", "runs"])
     assert found.count() == 0 and found.columns[:2] == ["doc_id", "runs"]
+
+
+def brute_collocations(docs, rules, top):
+    n, f = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, rules.most_words + 1):
+                f.update((lang, tuple(w[k : k + m])) for k in range(len(w) - m + 1))
+    f = {k: v for k, v in f.items() if v >= rules.least}
+    rows = defaultdict(list)
+    for (lang, w), a in f.items():
+        if len(w) > 1:
+            score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+            inside = lambda v: any(v[x : x + len(w)] == w for x in range(len(v) - len(w) + 1))
+            if not any(o == lang and len(v) > len(w) and 100 * b >= rules.absorbed_percent * a and inside(v) for (o, v), b in f.items()):
+                rows[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return [(lang, r, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang in rows for r, x in enumerate(sorted(rows[lang])[:top], 1)]
+
+
+@pytest.mark.parametrize(("segment", "percent", "words"), [(4_000_000, 100, 5), (40, 100, 5), (40, 60, 3)])
+def test_collocations_by_hand(spark, segment, percent, words):
+    rng = random.Random(segment + percent)
+    vocabulary, marks = ["the", "The", "of", "Éa", "éa", "x y", "\U0001d518", "of\x00"], [" ", " ", " ", " ", "  ", "\t", ", ", ".", "\n", "\x0b", "!"]
+    docs = [("".join(rng.choice(vocabulary) + rng.choice(marks) for _ in range(rng.randrange(40))), rng.choice(["en", "en", "en", "de", None, ""])) for _ in range(150)]
+    docs += [(None, "en"), ("", None), ("the of the of", "und")] + [("hot group of copies here", "en")] * 60 + [("the of " * 300, "en")]
+    rules = collocations.CollocationRules(least=4, absorbed_percent=percent, most_words=words, segment_words=segment)
+    frame = spark.createDataFrame([(k, t, lang, "x", 1) for k, (t, lang) in enumerate(docs)], "doc_id int, text string, lang string, phrase string, seg int")
+    for top in (2000, 3):
+        assert rows_of(collocations.collocations(frame, top, rules)) == sorted(map(repr, brute_collocations(docs, rules, top)))
+
+
+def test_scores_past_64_bits(spark):
+    totals = spark.createDataFrame([("en", 3 * 10**13)], "lang string, n bigint")
+    found = spark.createDataFrame([("en", 2, "a b", 7 * 10**10), ("en", 1, "a", 9 * 10**12), ("en", 1, "b", 11 * 10**12)], "lang string, size int, phrase string, f bigint")
+    got = collocations.scored_phrases(totals, found).first()
+    assert got["score"] == 1000 * 7 * 10**10 * 3 * 10**13 // (9 * 10**12 * 11 * 10**12)
+
+
+def test_rare_words_give_no_phrases(spark):
+    frame = spark.createDataFrame([(1, "one two three", "en")], "doc_id int, text string, lang string")
+    assert collocations.collocations(frame).count() == 0 == collocations.collocations(frame.limit(0)).count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    assert rows_of(got) == sorted(map(repr, db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()))
