@@ -1,6 +1,6 @@
 """A positional inverted index of documents, and exact phrase and proximity matches from it, in DataFrame expressions only.
 
-The index is two written tables: `rows` with the words of every document and `postings` with (term, row, pos) for every
+The index is two written tables: `rows` with the text of every document and `postings` with (term, row, pos) for every
 word. A part of the postings holds the documents that one task read, sorted by the term's hash, so that each term's lists
 stand together, a part is written without a shuffle, and a frequent term is spread over all parts.
 
@@ -25,7 +25,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Index:
-    """`rows`: row, doc_id, n_words, words. `postings`: hash, term, row, pos."""
+    """`rows`: row, doc_id, text. `postings`: hash, term, row, pos."""
 
     rows: DataFrame
     postings: DataFrame
@@ -48,34 +48,44 @@ def built(docs: DataFrame, key: str = "doc_id") -> Index:
     A row gets a number of its own, so rows may repeat their id and a null id stays null. A row of a null or empty
     text has no postings; an empty table gives an empty index.
     """
-    listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("doc_id"), words(F.col("text")).alias("words"))
-    rows = written(listed.withColumn("n_words", F.size("words").cast("bigint")), "rows")
-    postings = rows.select("row", F.posexplode("words").alias("pos", "term")).select(F.xxhash64("term").alias("hash"), "term", "row", "pos")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("doc_id"), "text"), "rows")
+    postings = rows.select("row", F.posexplode(words(F.col("text"))).alias("pos", "term")).select(F.xxhash64("term").alias("hash"), "term", "row", "pos")
     return Index(rows, written(postings.sortWithinPartitions("hash"), "postings"))
 
 
+#: Numbers of rows are broadcast up to this many (8 MB), and joined by a shuffle beyond.
+_BROADCAST_ROWS = 1_000_000
+
+
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of `rows` that stand in the written table `wanted` (row)."""
+    few = wanted.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
+    return rows.join(F.broadcast(wanted) if few else wanted, "row", "left_semi")
+
+
 def term_counts(index: Index, terms: DataFrame) -> DataFrame:
-    """term, n: how often each of the distinct `terms` (term) stands in the documents; terms without postings are left out."""
-    wanted = terms.select(F.xxhash64("term").alias("hash"), "term").distinct()
-    return index.postings.join(wanted, ["hash", "term"], "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    """term, n: how often each of the distinct `terms` (term) stands in the documents, as a written table; terms without postings are left out."""
+    wanted = written(terms.select(F.xxhash64("term").alias("hash"), "term").distinct(), "terms")
+    return written(index.postings.join(wanted, ["hash", "term"], "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
 
 
-def _ranked_terms(index: Index, phrases: DataFrame) -> DataFrame:
+def _ranked_terms(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     """phrase, off, term, n, rarity (from 1) for the words of `phrases` (phrase, gram) all of whose words have postings."""
-    listed = phrases.select("phrase", F.posexplode("gram").alias("off", "term"))
-    counted = listed.join(written(term_counts(index, listed), "counts"), "term", "left")
+    counted = phrases.select("phrase", F.posexplode("gram").alias("off", "term")).join(counts, "term", "left")
     per_phrase = Window.partitionBy("phrase")
     ranked = counted.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(per_phrase)).filter("least > 0")
     return ranked.select("phrase", "off", "term", "n", F.row_number().over(per_phrase.orderBy("n", "off")).alias("rarity"))
 
 
-def phrase_matches(index: Index, phrases: DataFrame, lists: int = 3) -> DataFrame:
+def phrase_matches(index: Index, phrases: DataFrame, counts: DataFrame | None = None, lists: int = 2) -> DataFrame:
     """row, phrase, start, past of every place where the words `gram` of a row of `phrases` (phrase, gram) stand in a document.
 
-    `phrase` tells distinct grams apart; an empty gram matches nowhere. `lists` lists are intersected before words are
-    compared, which changes no result.
+    `phrase` tells distinct grams apart; an empty gram matches nowhere. `counts` are the `term_counts` of their words, if known.
+    `lists` lists are intersected before words are compared, which changes no result.
     """
-    anchors = _ranked_terms(index, phrases).filter(F.col("rarity") <= lists)
+    if counts is None:
+        counts = term_counts(index, phrases.select(F.explode("gram").alias("term")))
+    anchors = _ranked_terms(phrases, counts).filter(F.col("rarity") <= lists)
     anchors = written(anchors.select(F.xxhash64("term").alias("hash"), "term", "phrase", "off"), "anchors")
     lengths = phrases.select("phrase", "gram", F.least(F.size("gram"), F.lit(lists)).alias("needed"))
     starts = index.postings.join(anchors, ["hash", "term"]).select("row", "phrase", (F.col("pos") - F.col("off")).alias("start"))
@@ -84,7 +94,8 @@ def phrase_matches(index: Index, phrases: DataFrame, lists: int = 3) -> DataFram
     per_row = written(found.groupBy("row").agg(F.collect_list(F.struct("phrase", "start", "gram")).alias("places")), "starts")
     # One copy of a document's words for all its candidates; a document has no more of them than places for phrases.
     same = F.filter("places", lambda p: F.slice(F.col("words"), p["start"] + 1, F.size(p["gram"])) == p["gram"])
-    held = index.rows.select("row", "words").join(per_row, "row").select("row", F.explode(same).alias("p"))
+    texts = _only(index.rows.select("row", "text"), per_row.select("row")).join(per_row, "row")
+    held = texts.select("row", "places", words(F.col("text")).alias("words")).select("row", F.explode(same).alias("p"))
     return held.select("row", "p.phrase", "p.start", (F.col("p.start") + F.size("p.gram")).alias("past"))
 
 
@@ -135,7 +146,9 @@ def contamination(docs: DataFrame, items: DataFrame, rules: ContaminationRules =
     grams = texts.select("own", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words", k + 1, rules.window))).alias("gram"))
     phrases = written(grams.select("gram").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     owners = grams.join(phrases, "gram").select("phrase", "own").distinct()
-    places = written(phrase_matches(index, phrases), "places")
+    terms = texts.select("own", F.explode(F.array_distinct("words")).alias("term"))
+    counts = term_counts(index, terms)
+    places = written(phrase_matches(index, phrases, counts), "places")
 
     # Sorted intervals: each adds what it has past the furthest end before it.
     before = Window.partitionBy("row").orderBy("start", "past").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,17 +157,17 @@ def contamination(docs: DataFrame, items: DataFrame, rules: ContaminationRules =
     named = places.select("row", "phrase").distinct().join(owners, "phrase").select("row", "own").distinct().join(ids, "own")
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
-    terms = texts.select("own", F.explode(F.array_distinct("words")).alias("term"))
     by_rarity = Window.partitionBy("own").orderBy("n", "term")
-    counted = terms.join(written(term_counts(index, terms), "counts"), "term", "left").fillna({"n": 0})
+    counted = terms.join(counts, "term", "left").fillna({"n": 0})
     groups = counted.withColumn("rarity", F.row_number().over(by_rarity)).filter(F.col("rarity") <= rules.near_terms)
     near = proximity_matches(index, groups.select(F.col("own").alias("grp"), "term"), rules.near_span)
     near = near.groupBy("row").agg(F.count_distinct("grp").alias("n_near"))
 
-    out = index.rows.select("row", "doc_id", "n_words").join(hits, "row", "left").join(named, "row", "left").join(near, "row", "left")
+    lengths = index.postings.groupBy("row").agg(F.count("*").alias("n_words"))
+    out = index.rows.select("row", "doc_id").join(lengths, "row", "left").join(hits, "row", "left").join(named, "row", "left").join(near, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        "doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(F.coalesce("item_ids", none)).cast("bigint").alias("n_items"),
         F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
