@@ -6,6 +6,9 @@ A small helper for one file at a time: everything that is decided from these fac
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+
+from lintlake.functions.rust_nodes import Nodes
 
 _QUOTED = re.compile(
     r'(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>\bb?r(?P<hash>#*)")|(?P<text>"(?:\\.|[^"\\])*"?)'
@@ -59,9 +62,42 @@ def masked(text: str) -> tuple[str, str, list[tuple[int, str, bool]]]:
     return "".join(kept) + text[at:], "".join(code) + text[at:], comments
 
 
-def comments_only(kept: str, code: str) -> str:
-    """What two masks of `masked` differ in, which is the comments; blanks for the rest."""
-    return "".join(a if a != b or a.isspace() else " " for a, b in zip(kept, code, strict=True))
+def _by_bytes(text: str) -> str:
+    """One character for each byte, so that blanks in place of characters keep the places of bytes."""
+    return text if text.isascii() else text.encode().decode("latin-1")
+
+
+def _from_bytes(text: str) -> str:
+    return text if text.isascii() else text.encode("latin-1").decode()
+
+
+def byte_masks(text: str) -> tuple[str, str]:
+    """The first two of `masked`, with one blank for each byte that goes."""
+    kept, code, _ = masked(_by_bytes(text))
+    return _from_bytes(kept), _from_bytes(code)
+
+
+_SCOPED = re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>\bb?r(?P<hash>#*)")|"(?:\\.|[^"\\])*"?', re.S)
+
+
+def comment_scope(text: str) -> str:
+    """The comments of a text and blanks for the other bytes.
+
+    Unlike the masks, this scope knows no character literals: the quote in '"' opens a string here.
+    """
+    text, parts, at = _by_bytes(text), [], 0
+    while m := _SCOPED.search(text, at):
+        parts.append(_BLANK.sub(" ", text[at : m.start()]))
+        end = m.end()
+        if m["block"] is not None:
+            end = _block_comment_end(text, m.start())
+        elif m["raw"] is not None:
+            close = text.find('"' + m["hash"], m.end())
+            end = len(text) if close < 0 else close + 1 + len(m["hash"])
+        whole = text[m.start() : end]
+        parts.append(whole if m["line"] is not None or m["block"] is not None else _BLANK.sub(" ", whole))
+        at = end
+    return _from_bytes("".join(parts) + _BLANK.sub(" ", text[at:]))
 
 
 class Scan:
@@ -77,6 +113,7 @@ class Scan:
         self.blocks: list[dict] = []
         self.items: list[dict] = []
         self.fields: list[dict] = []
+        self.nodes: list[dict] = []
         self.error = None
         self.pair: dict[int, int] = {}
         stack = []
@@ -91,13 +128,24 @@ class Scan:
         if stack:
             self.error = f"unclosed {self.tokens[stack[-1]][0]}"
             return
-        self._items(0, len(self.tokens), "", False, False, "")
+        try:
+            self._items(0, len(self.tokens), "", False, False, "")
+            self.nodes = self._node_rows(Nodes([t for t, _ in self.tokens], self.pair).rows)
+        except RecursionError:
+            self.error, self.blocks, self.items, self.fields, self.nodes = "nested too deeply", [], [], [], []
 
     def _line(self, k: int) -> int:
-        from bisect import bisect_right
-
         return bisect_right(self.starts, self.tokens[min(k, len(self.tokens) - 1)][1])
 
+    def _node_rows(self, rows: list[list]) -> list[dict]:
+        """Nodes with their lines, the code's offset at which they begin, and the function and block that they stand in."""
+        out = []
+        for node, past, parent, kind, text, first, last, whole in rows:
+            above = out[parent] if parent >= 0 else None
+            around = {"fn": None, "block": None} if above is None else {k: parent if above["kind"] == k else above[k] for k in ("fn", "block")}
+            out.append({"node": node, "past": past, "parent": parent, "kind": kind, "text": text, "line": self._line(first), "end_line": self._line(last), "at": self.tokens[first][1], "whole": whole} | around)
+        return out
+
     def _raw(self, a: int, b: int) -> str:
         return self.text[self.tokens[a][1] : self.tokens[b][1] + 1]
 
@@ -172,7 +220,7 @@ class Scan:
             start -= 1
         span = slice(start - 1, last)
         self.blocks.append(about | {
-            "start_line": start, "line_count": last - start + 1, "params": [re.sub(r"\s*:.*", "", p, flags=re.S).removeprefix("mut ").strip() for p in params], "body": "\n".join(self.lines[span]),
+            "at": self.tokens[k][1], "start_line": start, "line_count": last - start + 1, "params": [re.sub(r"\s*:.*", "", p, flags=re.S).removeprefix("mut ").strip() for p in params], "body": "\n".join(self.lines[span]),
             "masked_body": "\n".join(self.masked_lines[span]), "code_body": "\n".join(self.code.split("\n")[span]),
             "is_test": any(re.match(r"\[\s*(?:\w+\s*::\s*)*test\b", a) for a in attrs), "is_async": "async" in flags, "is_unsafe": "unsafe" in flags,
             "returns_bool": back == "bool", "returns_result": bool(re.match(r"(?:\w+\s*::\s*)*Result\b", back)), "returns": bool(back),
@@ -193,31 +241,32 @@ class Scan:
                     self.fields.append({"name": self.tokens[after][0], "line": self._line(k)})
 
 
-def bindings(code: str) -> list[tuple[int, str]]:
-    """(line, name) of names bound by let and for."""
-    found = []
-    for m in re.finditer(r"\b(?:let\s+(?:mut\s+)?|for\s+)\(?\s*(?:&?\s*mut\s+)?([a-z_]\w*)\s*(?=[:=,);]|in\b)", code):
-        found.append((code.count("\n", 0, m.start(1)) + 1, m[1]))
-    return found
-
-
 _LOOP = re.compile(r"\b(for|while|loop)\b")
 _FIXED_LOOP = re.compile(r"\bfor\s+[A-Za-z_][A-Za-z0-9_]*\s+in\s+&?[A-Z][A-Z0-9_]*(?:\s*\.iter\(\))?\s*\{?")
 
 
-def loop_lines(code: str) -> list[str]:
-    """Lines of a body that lie, as they begin or after a brace on them, inside a loop that isn't over a constant."""
-    out, scopes, pending = [], [], False
+def loop_code(code: str) -> str:
+    """The code of a body that lies between the braces of a loop that isn't over a constant, and blanks for the rest.
+
+    A line with a loop's keyword makes a loop of the next brace that opens, the first one of that line included.
+    """
+    out, depth, loops, pending = [], 0, [], None
     for line in code.split("\n"):
-        inside = any(scopes)
-        if _LOOP.search(line) and not _FIXED_LOOP.search(line):
-            pending = True
-        for c in line:
-            if c == "{":
-                scopes.append(pending)
-                pending = False
-            elif c == "}" and scopes:
-                scopes.pop()
-        if inside or any(scopes):
-            out.append(line)
-    return out
+        if _LOOP.search(line):
+            pending = not _FIXED_LOOP.search(line)
+        at, parts = 0, []
+        for m in re.finditer("[{}]", line):
+            parts.append(line[at : m.end()] if loops else " " * (m.end() - at))
+            at = m.end()
+            if m[0] == "{":
+                depth += 1
+                if pending:
+                    loops.append(depth)
+                pending = None
+            else:
+                while loops and loops[-1] >= depth:
+                    loops.pop()
+                depth = max(0, depth - 1)
+        parts.append(line[at:] if loops else " " * (len(line) - at))
+        out.append("".join(parts))
+    return "\n".join(out)

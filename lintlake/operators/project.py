@@ -38,6 +38,25 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
 
 
+def reference_source(code: Column, content: Column) -> Column:
+    """Code with the names that only attributes hold: of functions in serde's `default = "..."`."""
+    attributes = F.regexp_extract_all(content, F.lit(r"(?s)#\s*\[\s*serde\s*\((.*?)\)\s*\]"), F.lit(1))
+    names = F.transform(attributes, lambda a: F.regexp_extract_all(a, F.lit(r'\bdefault\s*=\s*"([A-Za-z_][A-Za-z0-9_:]*)"'), F.lit(1)))
+    return F.concat_ws(" ", code, F.array_join(F.flatten(names), " "))
+
+
+def file_module(file_path: Column) -> Column:
+    """The module path that a file below `src/` stands for; empty for the root files and for files elsewhere."""
+    inner = F.regexp_replace(F.regexp_extract(file_path, "^src/(.*)$", 1), r"/mod\.rs$|\.rs$", "")
+    return F.when(file_path.isin("src/lib.rs", "src/main.rs"), "").otherwise(F.replace(inner, F.lit("/"), F.lit("::")))
+
+
+def in_modules(items: DataFrame) -> DataFrame:
+    """Items whose `module_path` is that of the file and of the inline modules around them."""
+    own, outer = F.col("module_path"), file_module(F.col("file_path"))
+    return items.withColumn("module_path", F.when(own == "", outer).when(outer == "", own).otherwise(F.concat_ws("::", outer, own)))
+
+
 def identifier_counts(sources: DataFrame, text: str = "content") -> DataFrame:
     """identifier, n over all sources."""
     return sources.select(F.explode(identifiers(F.col(text))).alias("identifier")).groupBy("identifier").agg(F.count("*").alias("n"))
@@ -53,9 +72,3 @@ def unused_items(items: DataFrame, counts: DataFrame) -> DataFrame:
     """Private items outside cfg and tests, other than methods and main, whose name occurs once at most."""
     own = items.filter("not public and not cfg_gated and not test_context and kind <> 'method' and name <> 'main'")
     return own.join(counts, own.name == counts.identifier, "left").filter("coalesce(n, 0) <= 1").drop("identifier")
-
-
-def wildcard_versions(dependencies: DataFrame) -> DataFrame:
-    """Dependencies with a part of the requirement that is `*` or ends in `.*`."""
-    wild = F.exists(F.split("requirement", ","), lambda p: (F.trim(p) == "*") | F.trim(p).endswith(".*"))
-    return dependencies.filter(wild)

@@ -6,21 +6,24 @@ blocks, all line rules in one pass over the lines, so that no rule costs a shuff
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.columns import is_high_entropy
 from lintlake.operators import project as P
+from lintlake.operators import rust_facts as facts
 from lintlake.operators import text_rules
 from lintlake.operators.findings import deduped, identified
+from lintlake.operators.remedies import REMEDIES
 from lintlake.operators.rust_tables import code_lines, exploded, parsed
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`when`, `message`, `symbol` and `metadata` (a JSON text) are SQL over the table that the rule reads."""
+    """`when`, `message`, `symbol`, `metadata` (a JSON text) and `line` (else that of the row) are SQL over the table that the rule reads."""
 
     id: str
     pillar: str
@@ -30,6 +33,7 @@ class Rule:
     message: str
     symbol: str = "name"
     metadata: str = "null"
+    line: str | None = None
 
 
 _CYCLOMATIC = r"1 + regexp_count(masked_body, '\\b(if|else if|match|for|while|loop)\\b|\\?|&&|\\|\\|')"
@@ -42,45 +46,67 @@ _DOCUMENTED = r"(body rlike '(?m)^\\s*///')"
 _PUBLIC = "externally_public and not is_test and not test_context"
 _HEADING = lambda word: rf"({_DOC} rlike '(?mi)^\\s*///\\s*#+\\s*{word}\\b')"
 _BRIDGE = r"(body rlike '#\\s*\\[\\s*(?:tauri\\s*::\\s*command|command|wasm_bindgen|pyfunction|pyo3\\s*::\\s*pyfunction)\\b')"
+_RAND = r"'\\brand\\s*::\\s*(thread_rng|random)\\s*(?:::<[^>\n]+>)?\\s*\\('"
+_UNNAMED = rf"filter(params, p -> not p like '\\_%' and p rlike '^[a-z]\\w*$' and not {_DOC} rlike concat('(?i)\\b', p, '\\b'))"
 _UNWRAP = r"'\\.(unwrap|expect)\\s*\\('"
 
+# What is counted in loops, and the lines that are left out.
+_FORMAT_OWNED = (
+    r"^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*:\\s+[^=]*format!\\s*\\(|\\bErr\\(\\s*format!\\s*\\(|^\\s*return\\s+format!\\s*\\(|\\.(?:push_str|insert_str|write_str|write_all|write_fmt)\\s*\\(\\s*&?\\s*format!\\s*\\("
+    r"|^\\s*&?format!\\s*\\(|^\\s*[^=;]+=>\\s*&?format!\\s*\\(|^\\s*let\\s+[A-Za-z_][A-Za-z0-9_]*(?:label|message|desc|summary|title|name)[A-Za-z0-9_]*\\s*=\\s*&?format!\\s*\\("
+)
+_CLONE_STRUCTURAL = r"^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*:\\s+[^=]*\\.clone\\(\\)\\s*\\)*\\s*,?\\s*$|\\bSome\\(\\s*[^()]*\\.clone\\(\\)\\s*\\)|\\.(?:entry|insert)\\(\\s*&?\\s*\\(?[^=;]*\\.clone\\(\\)[^;]*\\)|^\\s*\\.clone\\(\\)\\s*$"
+_LOOP_RULES = [  # rule, severity, confidence, label, pattern, lines left out
+    ("performance.regex-in-loop", "warning", "high", "Regex::new", r"\\bRegex::new\\s*\\(", ""),
+    ("performance.format-in-loop", "advisory", "medium", "format!", r"\\bformat!\\s*\\(", _FORMAT_OWNED),
+    ("performance.clone-in-loop", "advisory", "medium", "clone()", r"\\.clone\\s*\\(", _CLONE_STRUCTURAL),
+]
+
+
+def _in_loop(rule: str, severity: str, confidence: str, label: str, pattern: str, left_out: str) -> Rule:
+    """Counts matches that begin between a loop's braces; a line is left out by what stands on all of it."""
+    counted = f"not x.whole rlike '{left_out}'" if left_out else "true"
+    lines = r"arrays_zip(split(code_body, '\n', -1), split(loop_body, '\n', -1))"
+    n = f"aggregate(transform({lines}, x -> named_struct('whole', x['0'], 'inner', x['1'])), 0, (n, x) -> n + if({counted}, regexp_count(x.inner, '{pattern}'), 0))"
+    message = f"concat('Function `', name, '` calls {label} inside a loop ', {n}, ' time(s).')"
+    return Rule(rule, "maintainability", severity, confidence, f"not test and {n} > 0", message, metadata=f"to_json(named_struct('pattern', '{label}', 'occurrences', {n}))")
+
+
 # Rule ids, thresholds, word lists and patterns.
 BLOCK_RULES = [
-    Rule("size.function-length", "size", "warning", "high", "not test and line_count > 50", "concat('Function `', name, '` has ', line_count, ' lines.')"),
+    Rule("size.function-length", "size", "warning", "high", "not test and line_count > 50 and not literal_body", "concat('Function `', name, '` has ', line_count, ' lines, above the threshold of 50.')", metadata="to_json(named_struct('lines', line_count, 'threshold', 50))"),
     Rule("size.parameter-count", "size", "warning", "high", "not test and size(params) > 5", "concat('Function `', name, '` declares ', size(params), ' parameters.')"),
     Rule("complexity.cyclomatic", "complexity", "warning", "high", "not test and cyclomatic > 10", "concat('Function `', name, '` has cyclomatic complexity ', cyclomatic, '.')", metadata="to_json(named_struct('complexity', cyclomatic))"),
-    Rule("complexity.nesting-depth", "complexity", "warning", "high", "not test and nesting > 4", "concat('Function `', name, '` has nesting depth ', nesting, '.')"),
-    Rule("complexity.cognitive", "complexity", "warning", "high", "not test and cyclomatic + 2 * nesting > 15", "concat('Function `', name, '` has cognitive complexity ', cyclomatic + 2 * nesting, '.')"),
-    Rule("metrics.halstead-volume", "complexity", "advisory", "medium", f"not test and not {_CALIBRATION} and volume > 1500", "concat('Function `', name, '` has high volume.')"),
-    Rule("metrics.maintainability-pressure", "maintainability", "advisory", "medium", f"not test and not {_CALIBRATION} and 100 - least(100, 0.08 * tokens + 2 * cyclomatic + volume / 60) < 45", "concat('Function `', name, '` is hard to maintain.')"),
+    Rule("complexity.nesting-depth", "complexity", "warning", "high", "not test and nesting > 4", "concat('Function `', name, '` has nesting depth ', nesting, '.')", metadata="to_json(named_struct('nestingDepth', nesting))"),
+    Rule("complexity.cognitive", "complexity", "warning", "high", "not test and cyclomatic + 2 * nesting > 15", "concat('Function `', name, '` has cognitive complexity ', cyclomatic + 2 * nesting, '.')", metadata="to_json(named_struct('complexity', cyclomatic + 2 * nesting, 'cyclomatic', cyclomatic, 'nestingDepth', nesting))"),
+    Rule("metrics.halstead-volume", "complexity", "advisory", "medium", f"not test and not {_CALIBRATION} and volume > 1500", "concat('Function `', name, '` has Halstead-style volume ', format_string('%.1f', volume), ', above the threshold of ', format_string('%.1f', 1500.0D), '.')", metadata="to_json(named_struct('totalTokens', tokens, 'uniqueTokens', unique_tokens, 'halsteadVolume', round(volume, 1), 'threshold', 1500.0D))"),
+    Rule("metrics.maintainability-pressure", "maintainability", "advisory", "medium", f"not test and not {_CALIBRATION} and maintainability < 45", "concat('Function `', name, '` has maintainability pressure score ', format_string('%.1f', maintainability), ', below the minimum of ', format_string('%.1f', 45.0D), '.')", metadata="to_json(named_struct('score', round(maintainability, 1), 'minimum', 45.0D, 'totalTokens', tokens, 'cyclomatic', cyclomatic, 'halsteadVolume', round(volume, 1)))"),
     Rule("design.god-function", "design", "warning", "high", "not test and line_count > 45 and cyclomatic > 10", "concat('Function `', name, '` is both long and complex.')"),
     Rule("naming.generic-function", "naming", "advisory", "high", "not test and lower(name) in ('process', 'handle', 'do_it', 'run', 'execute', 'manage')", "concat('Function `', name, '` is too generic to explain intent.')"),
     Rule("naming.boolean-prefix", "naming", "advisory", "high", "not test and returns_bool and (lower(name) rlike '(^|_)by$' or not (arrays_overlap(split(lower(name), '_'), array('is', 'has', 'can', 'should', 'allows', 'supports', 'contains', 'needs', 'uses', 'matches', 'in', 'intersects', 'overlaps')) or lower(name) like 'starts_with%' or lower(name) like 'ends_with%'))", "concat('Function `', name, '` returns bool without a predicate name.')"),
     Rule("naming.placeholder-identifier", "naming", "advisory", "medium", "not test and name in ('foo', 'bar', 'baz', 'qux')", "concat('Function `', name, '` uses a placeholder name instead of domain language.')"),
-    Rule("docs.missing-public-doc", "documentation", "advisory", "high", f"{_PUBLIC} and not {_DOCUMENTED}", "concat('Public function `', name, '` is missing rustdoc.')"),
-    Rule("docs.missing-errors-section", "documentation", "advisory", "high", f"{_PUBLIC} and returns_result and {_DOCUMENTED} and not {_HEADING('Errors')}", "concat('Public function `', name, '` lacks an Errors section.')"),
-    Rule("docs.missing-panics-section", "documentation", "advisory", "high", rf"{_PUBLIC} and {_DOCUMENTED} and (code_body rlike '\\bpanic!\\s*\\(' or code_body rlike {_UNWRAP}) and not {_HEADING('Panics')} and not {_INFRA}", "concat('Public function `', name, '` lacks a Panics section.')"),
-    Rule("docs.missing-safety-section", "documentation", "warning", "high", f"{_PUBLIC} and is_unsafe and not {_HEADING('Safety')}", "concat('Unsafe function `', name, '` lacks a Safety section.')"),
-    Rule("docs.missing-param-doc", "documentation", "advisory", "medium", rf"{_PUBLIC} and {_DOCUMENTED} and not {_BRIDGE} and exists(params, p -> not p like '\\_%' and p rlike '^[a-z]\\w*$' and not {_DOC} rlike concat('(?i)\\b', p, '\\b'))", "concat('Public function `', name, '` has undocumented parameters.')"),
-    Rule("docs.missing-return-doc", "documentation", "advisory", "medium", f"{_PUBLIC} and {_DOCUMENTED} and not {_BRIDGE} and returns and not returns_result and not {_DOC} rlike '(?i)returns?\\\\b'", "concat('Public function `', name, '` does not document its return value.')"),
-    Rule("error-handling.production-panic", "maintainability", "warning", "high", rf"not test and not {_INFRA} and masked_body rlike '\\bpanic!\\s*\\(' and not masked_body rlike '(PANIC|INVARIANT):'", "concat('Function `', name, '` calls panic! in production code.')"),
-    Rule("error-handling.unimplemented-placeholder", "maintainability", "warning", "high", r"not test and masked_body rlike '\\b(todo!|unimplemented!)\\s*\\('", "concat('Function `', name, '` has an unimplemented placeholder.')"),
-    Rule("error-handling.public-unwrap", "maintainability", "warning", "high", f"{_PUBLIC} and masked_body rlike {_UNWRAP}", "concat('Public function `', name, '` can panic through unwrap()/expect().')"),
-    Rule("concurrency.blocking-call-in-async", "maintainability", "warning", "medium", "not test and is_async and blocking is not null", "concat('Async function `', name, '` calls blocking API `', blocking, '`.')"),
-    Rule("concurrency.unbounded-channel", "maintainability", "advisory", "medium", r"not test and masked_body rlike '\\b(std::sync::mpsc::channel|mpsc::unbounded_channel|unbounded_channel)(?:\\s*::\\s*<[^>]+>)?\\s*\\('", "concat('Function `', name, '` opens an unbounded channel.')"),
-    Rule("concurrency.lock-across-await", "maintainability", "warning", "medium", r"not test and is_async and code_body rlike '\\blet\\s+(?:mut\\s+)?[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*[^;{}]*\\.(?:lock|read|write)\\s*\\([^;{}]*;(?:(?!drop\\s*\\()[^}])*\\.await'", "concat('Async function `', name, '` holds a lock across an await.')"),
-    Rule("performance.regex-in-loop", "maintainability", "warning", "high", r"not test and regexp_count(loop_body, '\\bRegex::new\\s*\\(') > 0", r"concat('Function `', name, '` calls Regex::new ', regexp_count(loop_body, '\\bRegex::new\\s*\\('), ' time(s) in a loop.')"),
-    Rule("performance.format-in-loop", "maintainability", "advisory", "medium", r"not test and exists(split(loop_body, '\n'), x -> x rlike '\\bformat!\\s*\\(' and not x rlike '^\\s*\\w+\\s*:\\s+[^=]*format!\\s*\\(|\\bErr\\(\\s*format!\\s*\\(|^\\s*return\\s+format!|^\\s*&?format!\\s*\\(|=>\\s*&?format!|\\.(?:push_str|insert_str|write_str|write_all|write_fmt)\\s*\\(\\s*&?\\s*format!')", "concat('Function `', name, '` calls format! in a loop.')"),
-    Rule("performance.clone-in-loop", "maintainability", "advisory", "medium", r"not test and exists(split(loop_body, '\n'), x -> x rlike '\\.clone\\s*\\(' and not x rlike '^\\s*\\w+\\s*:\\s+[^=]*\\.clone\\(\\)\\s*\\)*\\s*,?\\s*$|\\bSome\\(\\s*[^()]*\\.clone\\(\\)\\s*\\)|\\.(?:entry|insert)\\([^=;]*\\.clone\\(\\)[^;]*\\)|^\\s*\\.clone\\(\\)\\s*$')", "concat('Function `', name, '` calls clone() in a loop.')"),
-    Rule("security.insecure-rng-for-secrets", "security", "warning", "medium", r"not test and arrays_overlap(split(lower(name), '_'), array('token', 'tokens', 'secret', 'secrets', 'key', 'keys', 'password', 'passwords', 'nonce', 'nonces', 'salt', 'salts')) and code_body rlike '\\brand\\s*::\\s*(thread_rng|random)\\s*(?:::<[^>\n]+>)?\\s*\\('", "concat('Function `', name, '` uses a general-purpose generator for secrets.')"),
+    Rule("docs.missing-public-doc", "documentation", "advisory", "high", f"{_PUBLIC} and not {_DOCUMENTED}", "concat('Public function `', name, '` needs a brief intent description above its signature (one plain-English line, not a restatement of the type signature).')"),
+    Rule("docs.missing-errors-section", "documentation", "advisory", "high", f"{_PUBLIC} and returns_result and not {_HEADING('Errors')}", "concat('Public function `', name, '` returns Result; its rustdoc needs a `# Errors` section describing when each Err variant fires.')"),
+    Rule("docs.missing-panics-section", "documentation", "advisory", "high", rf"{_PUBLIC} and {_DOCUMENTED} and (code_body rlike '\\bpanic!\\s*\\(' or code_body rlike {_UNWRAP}) and not {_HEADING('Panics')} and not {_INFRA}", "concat('Public function `', name, '` contains code that can panic (`panic!`, `unwrap`, or `expect`); its rustdoc needs a `# Panics` section.')"),
+    Rule("docs.missing-safety-section", "documentation", "warning", "high", f"{_PUBLIC} and is_unsafe and not {_HEADING('Safety')}", "concat('Public `unsafe fn` `', name, '` needs a `# Safety` rustdoc section listing the invariants the caller must uphold.')"),
+    Rule("docs.missing-param-doc", "documentation", "advisory", "medium", f"{_PUBLIC} and {_DOCUMENTED} and not {_BRIDGE} and size({_UNNAMED}) > 0", f"concat('Public function `', name, '` rustdoc does not mention parameter `', {_UNNAMED}[0], '` by name.')", metadata=f"to_json(named_struct('undocumented', {_UNNAMED}))"),
+    Rule("docs.missing-return-doc", "documentation", "advisory", "medium", f"{_PUBLIC} and {_DOCUMENTED} and not {_BRIDGE} and returns and not returns_result and not {_DOC} rlike '(?i)returns?\\\\b'", "concat('Public function `', name, '` returns a value; its rustdoc does not describe what the return value represents.')"),
+    Rule("error-handling.production-panic", "maintainability", "warning", "high", rf"not test and not {_INFRA} and masked_body rlike '\\bpanic!\\s*\\(' and not masked_body rlike '(PANIC|INVARIANT):'", "concat('Function `', name, '` calls panic! in production code.')", metadata="'{\"macro\":\"panic!\"}'"),
+    Rule("error-handling.unimplemented-placeholder", "maintainability", "warning", "high", r"not test and masked_body rlike '\\b(todo!|unimplemented!)\\s*\\('", "concat('Function `', name, '` contains todo!/unimplemented! placeholder code.')", metadata="'{\"macros\":[\"todo!\",\"unimplemented!\"]}'"),
+    Rule("error-handling.public-unwrap", "maintainability", "warning", "high", f"{_PUBLIC} and masked_body rlike {_UNWRAP}", "concat('Public function `', name, '` uses unwrap()/expect() in its implementation.')"),
+    Rule("concurrency.blocking-call-in-async", "maintainability", "warning", "medium", "not test and is_async and blocking is not null", "concat('Async function `', name, '` calls blocking API `', blocking, '`.')", metadata="to_json(named_struct('pattern', blocking))"),
+    Rule("concurrency.unbounded-channel", "maintainability", "advisory", "medium", r"not test and masked_body rlike '\\b(std::sync::mpsc::channel|mpsc::unbounded_channel|unbounded_channel)(?:\\s*::\\s*<[^>]+>)?\\s*\\('", "concat('Function `', name, '` creates an unbounded channel.')"),
+    Rule("concurrency.lock-across-await", "maintainability", "warning", "medium", "not test and is_async and guard is not null", "concat('Async function `', name, '` appears to hold lock guard `', guard, '` across await.')", metadata="to_json(named_struct('guard', guard))"),
+    *(_in_loop(*r) for r in _LOOP_RULES),
+    Rule("security.insecure-rng-for-secrets", "security", "warning", "medium", f"not test and arrays_overlap(split(lower(name), '_'), array('token', 'tokens', 'secret', 'secrets', 'key', 'keys', 'password', 'passwords', 'nonce', 'nonces', 'salt', 'salts')) and code_body rlike {_RAND}", "concat('Function `', name, '` appears to generate secret material with non-cryptographic rand.')", metadata=f"to_json(named_struct('function', name, 'call', concat('rand::', regexp_extract(code_body, {_RAND}, 1))))", line=rf"start_line + regexp_count(regexp_extract(code_body, concat('(?s)^(.*?)', {_RAND}), 1), '\n')"),
     Rule("test-quality.no-assertions", "test-quality", "warning", "high", r"is_test and not masked_body rlike '\\b(assert!|assert_eq!|assert_ne!|matches!|panic!|assert_[A-Za-z0-9_]*\\s*\\()'", "concat('Test `', name, '` does not appear to make an assertion.')"),
     Rule("test-quality.trivial-assertion", "test-quality", "warning", "high", r"is_test and (masked_body rlike '\\bassert!\\s*\\(\\s*(true|false)\\s*\\)' or (masked_body rlike '\\bassert_eq!\\s*\\(\\s*[0-9]+\\s*,\\s*[0-9]+\\s*\\)' and regexp_extract(masked_body, '\\bassert_eq!\\s*\\(\\s*([0-9]+)\\s*,\\s*([0-9]+)\\s*\\)', 1) = regexp_extract(masked_body, '\\bassert_eq!\\s*\\(\\s*([0-9]+)\\s*,\\s*([0-9]+)\\s*\\)', 2)))", "concat('Test `', name, '` contains a trivial assertion.')"),
     Rule("test-quality.sleep-in-test", "test-quality", "advisory", "high", "is_test and masked_body rlike '(std::thread::sleep|tokio::time::sleep)'", "'Test sleeps instead of synchronising on behaviour.'"),
     Rule("test-quality.conditional-logic", "test-quality", "advisory", "high", r"is_test and masked_body rlike '\\b(if|match)\\b' and not masked_body rlike '\\bif\\s+cfg!\\s*\\('", "'Test contains conditional logic.'"),
     Rule("test-quality.unwrap-in-test", "test-quality", "advisory", "high", r"is_test and regexp_replace(masked_body, '\\bassert\\w*!\\s*\\([^;]*\\)\\s*\\.unwrap\\(\\)[^;]*;', '') rlike '\\.unwrap\\(\\)'", "'Test uses unwrap(), which can hide setup intent.'"),
-    Rule("test-quality.ignored-without-reason", "test-quality", "advisory", "high", "is_test and ignored", "concat('Test `', name, '` is ignored without a reason.')"),
-    Rule("test-quality.long-test", "test-quality", "advisory", "high", f"is_test and line_count > 120 and not {_INFRA}", "concat('Test `', name, '` has ', line_count, ' lines.')"),
-    Rule("test-quality.should-panic-without-expected", "test-quality", "advisory", "high", r"is_test and body rlike '#\\s*\\[\\s*should_panic\\b' and not body rlike '#\\s*\\[\\s*should_panic\\s*\\([^)]*\\bexpected\\s*='", "concat('Test `', name, '` uses should_panic without expected.')"),
+    Rule("test-quality.ignored-without-reason", "test-quality", "advisory", "high", "is_test and ignored", "concat('Ignored test `', name, '` does not explain why it is skipped.')"),
+    Rule("test-quality.long-test", "test-quality", "advisory", "high", f"is_test and line_count > 120 and not {_INFRA}", "concat('Test `', name, '` has ', line_count, ' lines, above the threshold of 120.')", metadata="to_json(named_struct('lines', line_count, 'threshold', 120))"),
+    Rule("test-quality.should-panic-without-expected", "test-quality", "advisory", "high", r"is_test and body rlike '#\\s*\\[\\s*should_panic\\b' and not body rlike '#\\s*\\[\\s*should_panic\\s*\\([^)]*\\bexpected\\s*='", "concat('Test `', name, '` uses #[should_panic] without an `expected = \"...\"` clause.')"),
 ]
 _CLONE_OWNED = (
     r"'\\.clone\\(\\)\\s*(?:\\?|\\.(?:unwrap_or_else|unwrap_or_default|unwrap_or|into_iter|into|collect)\\b)|^\\s*\\w+\\s*:\\s+[^=]*\\.clone\\(\\)\\s*\\)*\\s*,?\\s*$"
@@ -89,12 +115,11 @@ _CLONE_OWNED = (
 _RISKY_COMMAND = r"""(near8 rlike '(?i)Command::new\\s*\\(\\s*"(?:sh|bash|dash|zsh|cmd|powershell|pwsh)"\\s*\\)' or near8 rlike '\\.(?:arg|args)\\s*\\([^)]*"(?:-c|/C)"' or near8 rlike 'Command::new\\s*\\(\\s*[A-Za-z_]' or near8 rlike '\\.(?:arg|args)\\s*\\(\\s*(?:&?[A-Za-z_]|\\[[^\\]]*(?:&?[A-Za-z_]|format!))')"""
 LINE_RULES = [
     Rule("security.unsafe-block", "security", "warning", "high", r"code rlike '\\bunsafe\\s*\\{' and not above3 rlike 'SAFETY:'", "'Unsafe block lacks a nearby SAFETY rationale.'", "null"),
-    Rule("docs.weak-safety-rationale", "documentation", "advisory", "medium", r"code rlike '\\bunsafe\\s*\\{' and above3 rlike 'SAFETY:' and length(trim(regexp_extract(above3, 'SAFETY:([^\n]*)', 1))) < 12", "'SAFETY rationale is too vague.'", "null"),
+    Rule("docs.weak-safety-rationale", "documentation", "advisory", "medium", r"code rlike '\\bunsafe\\s*\\{' and above3 rlike 'SAFETY:' and length(trim(regexp_extract(above3, 'SAFETY:([^\n]*)', 1))) < 12", r"concat('Unsafe block\'s SAFETY rationale is too short or vague: `', trim(regexp_extract(above3, 'SAFETY:([^\n]*)', 1)), '`.')", "null"),
     Rule("security.tls-verification-disabled", "security", "warning", "high", r"code rlike '\\.(?:danger_accept_invalid_certs|accept_invalid_hostnames)\\s*\\(\\s*true\\s*\\)'", "'TLS certificate or hostname verification is explicitly disabled.'", "null"),
     Rule("security.process-command", "security", "warning", "high", rf"code rlike '(std::process::Command|Command)::new\\s*\\(' and {_RISKY_COMMAND}", "'Process command execution is used; validate command arguments are not user-controlled.'", "null"),
-    Rule("security.sql-dynamic-query", "security", "warning", "high", r"code rlike '(?:^|\\W)(query|execute|prepare)\\s*\\(\\s*&?\\s*format!\\s*\\('", "'SQL text is built with format!.'", r"regexp_extract(code, '(?:^|\\W)(query|execute|prepare)\\s*\\(', 1)"),
-    Rule("security.hardcoded-bind-all-interfaces", "security", "warning", "high", rf"""not {_INFRA} and not ltrim(text) rlike '^(//|\\*|/\\*)' and text rlike '"(0\\.0\\.0\\.0|\\[::\\]|::0)(?::\\d+|/\\d+)?"'""", "'Address binds all interfaces.'", "null"),
-    Rule("security.path-traversal-candidate", "security", "warning", "medium", rf"not {_INFRA} and not in_test and coalesce(nullif(regexp_extract(code, '\\b(?:Path|PathBuf)\\s*::\\s*(?:new|from)\\s*\\(\\s*&?\\s*([a-z_][a-z0-9_]*)\\s*\\)', 1), ''), nullif(regexp_extract(code, '\\.join\\s*\\(\\s*&?\\s*([a-z_][a-z0-9_]*)\\s*\\)', 1), '')) is not null and not code rlike '(root|dir|base|tempdir|temp_dir|out_dir|outdir|manifest_dir)\\s*\\)' and not above30 rlike '(?:validate|verify|sanitize|check)_\\w+\\s*\\(|canonicalize|starts_with'", "'Path is built from a variable; check that it stays below its root.'", "null"),
+    Rule("security.sql-dynamic-query", "security", "warning", "high", r"code rlike '(?:^|\\W)(query|execute|prepare)\\s*\\(\\s*&?\\s*format!\\s*\\('", r"concat('Direct dynamic SQL argument passed to `', regexp_extract(code, '(?:^|\\W)(query|execute|prepare)\\s*\\(', 1), '(...)`; review query construction.')", r"regexp_extract(code, '(?:^|\\W)(query|execute|prepare)\\s*\\(', 1)"),
+    Rule("security.hardcoded-bind-all-interfaces", "security", "warning", "high", rf"""not {_INFRA} and not ltrim(text) rlike '^(//|\\*|/\\*)' and text rlike '"(0\\.0\\.0\\.0|\\[::\\]|::0)(?::\\d+|/\\d+)?"'""", r"concat('Listener address `', regexp_extract(text, '\\x22((?:0\\.0\\.0\\.0|\\[::\\]|::0)(?::\\d+|/\\d+)?)\\x22', 1), '` binds to every network interface; review whether the bind should be restricted.')", "null"),
     Rule("modernisation.manual-is-empty", "modernisation", "advisory", "high", r"code rlike '(?:\\.len\\s*\\(\\s*\\)\\s*(?:==|!=)\\s*0\\b|\\b0\\s*(?:==|!=)\\s*[A-Za-z_][\\w\\.]*\\.len\\s*\\(\\s*\\))'", "'Use `is_empty()` instead of comparing a length with 0.'", "null"),
     Rule("modernisation.manual-contains", "modernisation", "advisory", "high", r"code rlike '\\.iter\\s*\\(\\s*\\)\\s*\\.any\\s*\\(\\s*\\|\\s*(\\w+)\\s*\\|\\s*(?:\\*\\s*\\w+\\s*==\\s*[A-Za-z_][\\w\\.]*|\\w+\\s*==\\s*&\\s*[A-Za-z_][\\w\\.]*)\\s*\\)'", "'Use `.contains(&value)` instead of `.iter().any(|x| x == &value)`.'", "null"),
     Rule("waste.unwrap-expect", "maintainability", "advisory", "high", rf"not in_test and not {_INFRA} and code rlike {_UNWRAP} and not text rlike '\\.expect\\s*\\(\\s*\\x22[^\\x22]{{15,}}\\x22'", "'unwrap()/expect() can turn recoverable errors into panics.'", "null"),
@@ -126,16 +151,16 @@ def _found(table: DataFrame, rules: list[Rule], phase: int, line: str = "line")
     """Findings of all rules over one table in one pass. emit_seq orders by phase, row and rule."""
 
     def of(k: int, r: Rule) -> Column:
-        parts = (F.lit(r.id).alias("rule_id"), F.expr(r.message).alias("message"), F.lit(r.severity).alias("severity"), F.lit(r.pillar).alias("pillar"), F.lit(r.confidence).alias("confidence"), F.expr(f"cast({r.symbol} as string)").alias("symbol"), F.expr(f"cast({r.metadata} as string)").alias("metadata"), F.lit(k).alias("k"))
+        parts = (F.lit(r.id).alias("rule_id"), F.expr(r.message).alias("message"), F.lit(r.severity).alias("severity"), F.lit(r.pillar).alias("pillar"), F.lit(r.confidence).alias("confidence"), F.expr(f"cast({r.symbol} as string)").alias("symbol"), F.expr(f"cast({r.metadata} as string)").alias("metadata"), F.expr(r.line or line).cast("int").alias("line"), F.lit(REMEDIES.get(r.id)).alias("remediation"), F.lit(k).alias("k"))
         return F.when(F.expr(r.when), F.struct(*parts))
 
-    hits = table.select("file_path", F.col(line).alias("line"), F.col("seq"), F.explode(F.array_compact(F.array(*(of(k, r) for k, r in enumerate(rules))))).alias("x"))
+    hits = table.select("file_path", F.col("seq"), F.explode(F.array_compact(F.array(*(of(k, r) for k, r in enumerate(rules))))).alias("x"))
     seq = F.lit(phase).cast("bigint") * 10**12 + F.col("seq").cast("bigint") * 1000 + F.col("x.k")
-    return hits.select("file_path", F.col("line").cast("int").alias("line"), *(f"x.{c}" for c in ("rule_id", "message", "severity", "pillar", "confidence", "symbol", "metadata")), seq.alias("emit_seq"))
+    return hits.select("file_path", *(f"x.{c}" for c in ("line", "rule_id", "message", "severity", "pillar", "confidence", "symbol", "metadata", "remediation")), seq.alias("emit_seq"))
 
 
 def measured_blocks(table: DataFrame) -> DataFrame:
-    """Function blocks with cyclomatic, nesting, tokens, volume, the first blocking call, and `test`."""
+    """Function blocks with cyclomatic, nesting, tokens, volume, maintainability, the first blocking call, the first guard live at an await, whether the body is a literal, and `test`."""
     apis = ("std::thread::sleep", "std::fs::read_to_string", "std::fs::read", "std::fs::write", "std::process::Command::new")
     blocking = F.lit(None).cast("string")
     for api in reversed(apis):
@@ -143,7 +168,11 @@ def measured_blocks(table: DataFrame) -> DataFrame:
     found = exploded(table, "blocks").withColumns({"cyclomatic": F.expr(_CYCLOMATIC), "nesting": F.expr(_NESTING), "_tokens": F.expr(_TOKENS), "blocking": blocking, "test": F.expr("is_test or test_context")})
     unique = F.size(F.array_distinct("_tokens"))
     volume = F.when(unique > 1, F.size("_tokens") * F.log2(unique.cast("double"))).otherwise(0.0)
-    return found.withColumns({"tokens": F.size("_tokens"), "volume": volume}).drop("_tokens")
+    found = found.withColumns({"tokens": F.size("_tokens"), "unique_tokens": unique, "volume": volume}).drop("_tokens")
+    found = found.withColumn("maintainability", F.expr("100 - least(100.0D, 0.08D * tokens + 2 * cyclomatic + volume / 60)"))
+    nodes = exploded(table, "nodes")
+    found = found.join(facts.guards_across_await(nodes), ["file_path", "at"], "left")
+    return found.join(facts.literal_bodies(nodes).withColumn("literal_body", F.lit(True)), ["file_path", "at"], "left").fillna(False, ["literal_body"])
 
 
 def lines_in_context(table: DataFrame) -> DataFrame:
@@ -151,24 +180,57 @@ def lines_in_context(table: DataFrame) -> DataFrame:
     tests = exploded(table, "blocks").filter("is_test or test_context").groupBy("file_path").agg(F.collect_list(F.struct("start_line", (F.col("start_line") + F.col("line_count")).alias("past"))).alias("spans"))
     order = Window.partitionBy("file_path").orderBy("line")
     joined = lambda c, a, b: F.array_join(F.collect_list(c).over(order.rowsBetween(a, b)), "\n")
-    found = code_lines(table).withColumns({"above3": joined("masked", -3, 0), "near8": joined("text", 0, 7), "above30": joined("code", -30, 0), "before": F.lag("masked").over(order)})
+    found = code_lines(table).withColumns({"above3": joined("masked", -3, 0), "near8": joined("text", 0, 7), "before": F.lag("masked").over(order)})
     inside = F.coalesce(F.exists("spans", lambda s: (F.col("line") >= s.start_line) & (F.col("line") < s.past)), F.lit(False))
     return found.join(tests, "file_path", "left").withColumns({"in_test": inside, "seq": F.col("line")})
 
 
-def item_findings(table: DataFrame) -> DataFrame:
+# Abbreviations that are accepted where the settings name none, and in folders of one kind.
+ABBREVIATIONS = ("age", "app", "db", "fs", "id", "io", "key", "log", "max", "min", "now", "raw", "rx", "tx", "ui", "url")
+_CLOUD_ABBREVIATIONS = ("ca", "ce", "cn", "cw", "dp", "dt", "gb", "gw", "lb", "pm", "py", "sa", "sg", "sn", "td", "tg", "tp", "ym")
+_PLACEHOLDERS = ("foo", "bar", "baz", "qux")
+
+
+@dataclass(frozen=True)
+class NameOptions:
+    """Further generic function names, predicate prefixes and placeholders, and the accepted abbreviations."""
+
+    generic: Sequence[str] = ()
+    prefixes: Sequence[str] = ()
+    placeholders: Sequence[str] = ()
+    abbreviations: Sequence[str] = ABBREVIATIONS
+
+
+def _any_of(column: str, values: Sequence[str]) -> str:
+    """SQL: whether the column is one of the values."""
+    listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return f"coalesce(array_contains(array({listed}), {column}), false)" if values else "false"
+
+
+def named_rules(rules: Sequence[Rule], names: NameOptions) -> list[Rule]:
+    """The block rules with the options of the naming rules."""
+    prefixed = " or ".join(_any_of(f"left(name, {len(p)})", [p]) for p in names.prefixes) or "false"
+    changed = {
+        "naming.generic-function": lambda r: replace(r, when=f"({r.when}) or (not test and {_any_of('name', names.generic)})"),
+        "naming.boolean-prefix": lambda r: replace(r, when=f"({r.when}) and not ({prefixed})"),
+        "naming.placeholder-identifier": lambda r: replace(r, when=f"({r.when}) or (not test and {_any_of('name', names.placeholders)})"),
+    }
+    return [changed.get(r.id, lambda r: r)(r) for r in rules]
+
+
+def item_findings(table: DataFrame, names: NameOptions = NameOptions()) -> DataFrame:
     """Rules on items, fields, names and references."""
-    items = exploded(table, "items")
-    public = Rule("docs.missing-public-doc", "documentation", "advisory", "medium", "externally_public and not documented and (kind in ('struct', 'enum', 'trait') or (kind = 'mod' and inline)) and not test_context", "concat('Public ', kind, ' `', name, '` is missing rustdoc.')")
-    field = Rule("modernisation.public-field", "modernisation", "advisory", "high", "true", "concat('Public field `', name, '` exposes representation.')", "null")
-    short = Rule("naming.short-variable", "naming", "advisory", "medium", "length(name) = 2 and not name like '\\\\_%' and name not in ('age', 'app', 'db', 'fs', 'id', 'io', 'key', 'log', 'max', 'min', 'now', 'raw', 'rx', 'tx', 'ui', 'url')", "concat('Variable `', name, '` is too short to explain intent.')")
-    placeholder = Rule("naming.placeholder-identifier", "naming", "advisory", "medium", "name in ('foo', 'bar', 'baz', 'qux')", "concat('Variable `', name, '` uses a placeholder name instead of domain language.')")
-    names = exploded(table, "bindings")
-    out = _found(items, [public], 4).unionByName(_found(exploded(table, "fields"), [field], 5)).unionByName(_found(names, [short, placeholder], 6))
-    shadow = table.select("file_path", F.posexplode(F.regexp_extract_all("code", F.lit(r"\blet\s+(?:mut\s+)?([a-z_]\w*)\s*=[^;]*\b\1\s*\("), F.lit(1))).alias("seq", "name"))
-    free = items.filter("kind = 'function'").select("file_path", "name", "line").dropDuplicates(["file_path", "name"])
-    hidden = Rule("naming.identifier-shadow", "naming", "advisory", "high", "true", "concat('Variable `', name, '` shadows a function of the same name.')")
-    uses = table.select("file_path", F.explode(P.identifiers(F.col("code"))).alias("name")).groupBy("file_path", "name").agg(F.count("*").alias("uses"))
+    items = P.in_modules(exploded(table, "items"))
+    public = Rule("docs.missing-public-doc", "documentation", "advisory", "medium", "externally_public and not documented and (kind in ('struct', 'enum', 'trait') or (kind = 'mod' and inline)) and not test_context", "concat('Public item `', name, '` needs a brief intent description above its declaration (one plain-English line, not a restatement of the type).')")
+    field = Rule("modernisation.public-field", "modernisation", "advisory", "high", "true", "'Public struct field exposes representation; prefer accessors when invariants matter.'", "null")
+    cloud = rf"(concat('/', file_path) rlike '/aws(/|\\.rs$)' and {_any_of('lower(name)', _CLOUD_ABBREVIATIONS)})"
+    short = Rule("naming.short-variable", "naming", "advisory", "medium", f"octet_length(name) = 2 and not name like '\\\\_%' and not {_any_of('lower(name)', [n.lower() for n in names.abbreviations])} and not {cloud}", "concat('Variable `', name, '` is too short to explain intent.')")
+    placeholder = Rule("naming.placeholder-identifier", "naming", "advisory", "medium", _any_of("name", (*_PLACEHOLDERS, *names.placeholders)), "concat('Variable `', name, '` uses a placeholder name instead of domain language.')")
+    nodes = exploded(table, "nodes")
+    bound = facts.bindings(nodes)
+    out = _found(items, [public], 4).unionByName(_found(exploded(table, "fields"), [field], 5)).unionByName(_found(bound, [short, placeholder], 6))
+    hidden = Rule("naming.identifier-shadow", "naming", "advisory", "high", "true", "concat('Local binding `', name, '` shadows same-file function `', name, '`.')", metadata="to_json(named_struct('shadows', name))")
+    uses = table.select("file_path", F.explode(P.identifiers(P.reference_source(F.col("code"), F.col("content")))).alias("name")).groupBy("file_path", "name").agg(F.count("*").alias("uses"))
     named = items.groupBy("file_path", "name").agg(F.count_if(F.col("kind").isin("function", "method")).alias("defined"))
     parents = items.filter("kind = 'mod' and not inline").select("file_path").distinct()
     private = items.filter("kind in ('function', 'method') and not public and not test_context and not cfg_gated and name <> 'main' and within in ('', 'impl')").join(parents, "file_path", "left_anti")
@@ -177,12 +239,12 @@ def item_findings(table: DataFrame) -> DataFrame:
     candidate = Rule("dead-code.unused-private-item-candidate", "dead-code", "advisory", "medium", "true", "concat('Private ', kind, ' `', name, '` is hardly referenced.')", "if(module_path = '', name, concat(module_path, '::', name))")
     counts = uses.groupBy("name").agg(F.sum("uses").alias("n")).withColumnRenamed("name", "identifier")
     rare = P.unused_items(items.filter("kind <> 'mod'"), counts)
-    return out.unionByName(_found(shadow.join(free, ["file_path", "name"]), [hidden], 7)).unionByName(_found(unused, [dead], 8)).unionByName(_found(rare, [candidate], 0))
+    return out.unionByName(_found(facts.shadowed_functions(nodes, items), [hidden], 7)).unionByName(_found(unused, [dead], 8)).unionByName(_found(rare, [candidate], 0))
 
 
 def module_findings(table: DataFrame) -> DataFrame:
     """Rules on the size and fan-out of modules."""
-    items = exploded(table, "items")
+    items = P.in_modules(exploded(table, "items"))
     label = "if(module_path = '', file_path, module_path)"
     large = Rule("architecture.large-module", "design", "advisory", "high", "true", "concat('Module has ', items, ' items.')", label)
     surface = Rule("architecture.public-api-surface", "design", "advisory", "high", "true", "concat('Module exposes ', items, ' public items.')", label)
@@ -195,7 +257,7 @@ def module_findings(table: DataFrame) -> DataFrame:
 
 _PAIRED = [  # rule, message, pattern, pairs of groups that must agree
     ("modernisation.manual-strip-prefix", "Use `strip_prefix` instead of slicing after `starts_with`.", r"if\s+(\w+)\s*\.starts_with\s*\(\s*(\w+)\s*\)\s*\{\s*&\s*(\w+)\s*\[\s*(\w+)\s*\.len\s*\(\s*\)\s*\.\.\s*\]", ((1, 3), (2, 4))),
-    ("modernisation.manual-unwrap-or-default", "Use `unwrap_or_default` instead of matching.", r"match\s+[A-Za-z_][\w\.]*\s*\{\s*Some\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*None\s*=>\s*(?:Default\s*::\s*default|String\s*::\s*new|Vec\s*::\s*new)\s*\(\s*\)", ((1, 2),)),
+    ("modernisation.manual-unwrap-or-default", "Use `.unwrap_or_default()` instead of a manual `match` with `Default::default()`.", r"match\s+[A-Za-z_][\w\.]*\s*\{\s*Some\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*None\s*=>\s*(?:Default\s*::\s*default|String\s*::\s*new|Vec\s*::\s*new)\s*\(\s*\)", ((1, 2),)),
     ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,?\s*\}", ((1, 2), (3, 4))),
     ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,?\s*\}", ((1, 2), (3, 4))),
     ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"if\s+let\s+Err\s*\(\s*(\w+)\s*\)\s*=\s*[^{;]{1,200}?\{\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*;?\s*\}", ((1, 2),)),
@@ -223,7 +285,7 @@ def crypto_findings(table: DataFrame) -> DataFrame:
     hit = F.when(used != "", F.struct(F.lit(0).alias("late"), used.alias("name"))).when(made != "", F.struct(F.lit(1).alias("late"), made.alias("name")))
     hits = lines.withColumn("x", hit).filter("x is not null").select("file_path", "line", F.col("x.late").alias("late"), F.replace(F.lower("x.name"), F.lit("_"), F.lit("")).alias("name"))
     first = hits.groupBy("file_path", "name").agg(F.min(F.struct("late", "line")).alias("at")).select("file_path", "name", F.col("at.line").alias("line"), F.col("at.line").alias("seq"))
-    rule = Rule("security.weak-crypto", "security", "warning", "medium", "true", "concat('Weak primitive `', name, '` is used.')")
+    rule = Rule("security.weak-crypto", "security", "warning", "medium", "true", "concat('Weak cryptographic primitive `', name, '` is referenced; review cryptographic use.')")
     return _found(first, [rule], 9)
 
 
@@ -236,6 +298,12 @@ def sensitive_findings(sources: DataFrame) -> DataFrame:
     return _found(lines, TEXT_RULES, 10).unionByName(_found(keys, KEY_RULES, 11)).unionByName(_found(entropic, ENTROPY_RULES, 12))
 
 
+def path_findings(table: DataFrame) -> DataFrame:
+    """Paths made of a plain name, outside test folders."""
+    rule = Rule("security.path-traversal-candidate", "security", "warning", "medium", f"not {_INFRA}", "concat('Filesystem path constructed from `', name, '`; review whether the value can escape the intended directory.')", "null", "to_json(named_struct('argument', name))")
+    return _found(facts.path_traversals(table), [rule], 15)
+
+
 def workflow_findings(sources: DataFrame) -> DataFrame:
     """`github.event.` inside a `run` value or its block, in workflow files.
 
@@ -253,7 +321,7 @@ def workflow_findings(sources: DataFrame) -> DataFrame:
     opened = marked.withColumns({"run": F.try_element_at(runs, F.lit(-1)), "above": ends})
     inside = F.col("run").isNotNull() & (F.col("indent") > F.col("run.indent")) & ~F.exists("above", lambda x: (x["at"] > F.col("run.at")) & (x.indent <= F.col("run.indent")))
     hit = opened.filter(F.col("text").contains("github.event.") & (inside | (F.col("is_run") & ~F.col("value").rlike(r"^[|>]"))))
-    rule = Rule("ci.github-event-shell-interpolation", "security", "warning", "high", "true", "'Workflow shell text interpolates github.event data.'", "null")
+    rule = Rule("ci.github-event-shell-interpolation", "security", "warning", "high", "true", "'GitHub event data is interpolated directly into a workflow shell step.'", "null")
     return _found(hit.select("file_path", (F.col("at") + 1).alias("line"), F.col("at").alias("seq")), [rule], 13)
 
 
@@ -264,17 +332,18 @@ def length_findings(sources: DataFrame, threshold: int = 600) -> DataFrame:
     return _found(text_rules.file_length(kept, threshold).withColumns({"line": F.lit(1), "seq": F.lit(0)}), [rule], 14)
 
 
-def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, file_length: int = 600) -> DataFrame:
+def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, names: NameOptions = NameOptions(), table: DataFrame | None = None) -> DataFrame:
     """Identified, deduplicated findings of all Rust rules over sources (file_path, content).
 
-    The scanner's table is persisted, as every group of rules reads it; files are scanned once.
+    `table` is what `parsed` gives for the sources. Every group of rules reads it, so give a persisted one, and unpersist it
+    when the findings have been used.
     """
-    table = parsed(sources).persist()
-    blocks = _found(measured_blocks(table), BLOCK_RULES if block_rules is None else block_rules, 1, "start_line")
+    table = parsed(sources) if table is None else table
+    rules = named_rules(BLOCK_RULES if block_rules is None else block_rules, names)
+    found = _found(measured_blocks(table), rules, 1, "start_line")
     lines = _found(lines_in_context(table), LINE_RULES, 2)
     comments = _found(exploded(table, "comments"), COMMENT_RULES, 3)
-    found = blocks
-    parts = (lines, comments, item_findings(table), module_findings(table), crypto_findings(table), paired_findings(table), sensitive_findings(sources), length_findings(sources, file_length))
+    parts = (lines, comments, item_findings(table, names), module_findings(table), crypto_findings(table), paired_findings(table), path_findings(table), sensitive_findings(sources))
     for part in parts:
         found = found.unionByName(part, allowMissingColumns=True)
     return deduped(identified(found.withColumn("end_line", F.lit(None).cast("int"))))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from lintlake.functions.rust_source import Scan, bindings, comments_only, loop_lines
+from lintlake.functions.rust_source import Scan, byte_masks, comment_scope, loop_code
 
 _ABOUT = "name string, line int, module_path string, public boolean, externally_public boolean, cfg_gated boolean, test_context boolean, documented boolean, within string"
 BLOCK = (
-    _ABOUT + ", start_line int, line_count int, params array<string>, body string, masked_body string, code_body string, loop_body string, is_test boolean, is_async boolean, "
+    _ABOUT + ", at int, start_line int, line_count int, params array<string>, body string, masked_body string, code_body string, loop_body string, is_test boolean, is_async boolean, "
     "is_unsafe boolean, returns_bool boolean, returns_result boolean, returns boolean, ignored boolean"
 )
 PARSED = {
@@ -21,36 +22,33 @@ PARSED = {
     "items": f"array<struct<{(_ABOUT + ', kind string, inline boolean').replace(' ', ':').replace(',:', ',')}>>",
     "fields": "array<struct<name:string,line:int>>",
     "comments": "array<struct<line:int,text:string,is_doc:boolean>>",
-    "bindings": "array<struct<line:int,name:string>>",
+    "nodes": "array<struct<node:int,past:int,parent:int,kind:string,text:string,line:int,end_line:int,at:int,whole:boolean,fn:int,block:int>>",
 }
+_SCHEMA = "file_path string, content string, masked string, code string, comment_text string, error string, " + ", ".join(f"{k} {v}" for k, v in PARSED.items())
 
 
 def parsed(sources: DataFrame) -> DataFrame:
     """file_path, content, masked, code, comment_text, error, and the arrays of `PARSED`, for every Rust source (file_path, content).
 
-    A file whose brackets don't match has an error and no items; its text columns are there all the same.
+    A file whose brackets don't match, or are nested too deeply, has an error and no items; its text columns are there all the same.
     """
+    schema = StructType.fromDDL(_SCHEMA)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
         for batch in batches:
-            texts, codes, notes, errors, facts = [], [], [], [], []
-            for text in batch["content"].to_pylist():
+            rows = []
+            for path, text in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 s = Scan(text or "")
                 for b in s.blocks:
-                    b["loop_body"] = "\n".join(loop_lines(b["code_body"]))
-                texts.append(s.masked)
-                codes.append(s.code)
-                notes.append(comments_only(s.masked, s.code))
-                errors.append(s.error)
-                facts.append(json.dumps({
-                    "blocks": s.blocks, "items": s.items, "fields": s.fields, "comments": [dict(zip(("line", "text", "is_doc"), c, strict=True)) for c in s.comments],
-                    "bindings": [dict(zip(("line", "name"), b, strict=True)) for b in ([] if s.error else bindings(s.code))],
-                }))
-            yield pa.RecordBatch.from_arrays([batch["file_path"], batch["content"], *(pa.array(x, pa.string()) for x in (texts, codes, notes, errors, facts))], ["file_path", "content", "masked", "code", "comment_text", "error", "facts"])
-
-    found = sources.select("file_path", "content").mapInArrow(scan, "file_path string, content string, masked string, code string, comment_text string, error string, facts string")
-    schema = ", ".join(f"{k} {v}" for k, v in PARSED.items())
-    return found.withColumn("facts", F.from_json("facts", schema)).select("file_path", "content", "masked", "code", "comment_text", "error", "facts.*")
+                    b["loop_body"] = loop_code(b["code_body"])
+                kept, code = (s.masked, s.code) if s.text.isascii() else byte_masks(s.text)
+                comments = [dict(zip(("line", "text", "is_doc"), c, strict=True)) for c in s.comments]
+                rows.append((path, text, kept, code, comment_scope(s.text), s.error, s.blocks, s.items, s.fields, comments, s.nodes))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    return sources.select("file_path", "content").mapInArrow(scan, schema)
 
 
 def exploded(table: DataFrame, what: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import findings as O
 from lintlake.operators import scoring, text_rules
-from lintlake.operators.rust_rules import BLOCK_RULES, Rule, _found, rust_findings, sensitive_findings, workflow_findings
+from lintlake.operators.rust_rules import BLOCK_RULES, Rule, _found, length_findings, rust_findings, sensitive_findings, workflow_findings
 from lintlake.operators.rust_tables import parsed
 from lintlake.plans import catalog, render
 from lintlake.sources.discovery import source_files
@@ -69,11 +69,11 @@ def analyse(spark: SparkSession, root: str, paths: tuple[str, ...] = (".",), set
         sources = sources.join(files.select("file_path").distinct(), "file_path", "left_semi")
     project, more = manifest_findings(spark, root)
     longest, level = settings.thresholds.get("size.file-length", (600, "warning"))
-    found = rust_findings(sources.filter("is_rust"), _block_rules(settings), int(longest)).drop("fingerprint", "stable_identity")
-    found = found.withColumn("severity", F.when(F.col("rule_id") == "size.file-length", level).otherwise(F.col("severity")))
+    found = rust_findings(sources.filter("is_rust"), _block_rules(settings)).drop("fingerprint", "stable_identity")
+    long = length_findings(sources, int(longest)).withColumn("severity", F.lit(level))
     texts = sources.filter("not is_rust")
     null = F.lit(None).cast("int")
-    for part in (project, sensitive_findings(texts), workflow_findings(texts), custom_findings(sources, settings.custom_rules)):
+    for part in (project, long, sensitive_findings(texts), workflow_findings(texts), custom_findings(sources, settings.custom_rules)):
         if part is not None:
             found = found.unionByName(part.withColumn("end_line", null), allowMissingColumns=True)
     found = O.deduped(O.identified(found.filter(settings.enabled())))

@@ -42,7 +42,10 @@ def suggestions(catalogue: DataFrame, wanted: str, most: int = 3, most_edits: in
 
 
 def with_threshold(rule: R.Rule, threshold: float, severity: str) -> R.Rule:
-    """A block rule with another threshold and severity. The number is the last one that its condition compares with."""
+    """A block rule with another threshold and severity, in its condition, message and metadata.
+
+    A rule that counts compares with the threshold's whole part.
+    """
     if rule.id not in THRESHOLDS:
         raise ValueError(f"{rule.id} has no threshold")
     exact = rule.id.startswith("metrics.")
@@ -51,4 +54,5 @@ def with_threshold(rule: R.Rule, threshold: float, severity: str) -> R.Rule:
     changed, n = re.subn(rf"([<>]) {default}\b", rf"\1 {shown}", rule.when)
     if not n:
         raise ValueError(f"{rule.id} is not built from a condition")
-    return replace(rule, when=changed, severity=severity)
+    said = (rf"\b{default}\.0D", f"{shown}D") if exact else (rf"(threshold of |'threshold', ){default}\b", rf"\g<1>{shown}")
+    return replace(rule, when=changed, severity=severity, message=re.sub(*said, rule.message), metadata=re.sub(*said, rule.metadata))
