@@ -38,19 +38,22 @@ def not_in_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(baseline.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def net_deltas(introduced: DataFrame, removed: DataFrame) -> DataFrame:
-    """rule_id, introduced, removed, net: counts of rows by rule on either side."""
-    new = introduced.groupBy("rule_id").agg(F.count("*").alias("introduced"))
-    old = removed.groupBy("rule_id").agg(F.count("*").alias("removed"))
-    zero = F.lit(0).cast("bigint")
-    both = new.join(old, "rule_id", "full_outer").select("rule_id", F.coalesce("introduced", zero).alias("introduced"), F.coalesce("removed", zero).alias("removed"))
-    return both.withColumn("net", F.col("introduced") - F.col("removed"))
+def _net(counts: DataFrame) -> DataFrame:
+    return counts.filter("introduced + removed > 0").withColumn("net", F.col("introduced") - F.col("removed"))
 
 
 def baseline_deltas(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """By rule, findings that the baseline doesn't list and its entries that are gone."""
-    gone = baseline.join(findings.select(*KEY).distinct(), KEY, "left_anti")
-    return net_deltas(not_in_baseline(findings, baseline), gone)
+    """rule_id, introduced, removed, net: by rule, findings that the baseline doesn't list and its entries that are gone.
+
+    Both sides are counted by key in one shuffle of pre-aggregated rows, and then by rule.
+    """
+    sides = findings.select(*KEY, F.lit(1).alias("now"), F.lit(0).alias("before")).unionByName(baseline.select(*KEY, F.lit(0).alias("now"), F.lit(1).alias("before")))
+    keys = sides.groupBy(*KEY).agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    zero = F.lit(0).cast("bigint")
+    counted = keys.groupBy("rule_id").agg(
+        F.sum(F.when(F.col("before") == 0, F.col("now")).otherwise(zero)).alias("introduced"), F.sum(F.when(F.col("now") == 0, F.col("before")).otherwise(zero)).alias("removed")
+    )
+    return _net(counted)
 
 
 def baseline_entries(findings: DataFrame) -> DataFrame:
@@ -94,37 +97,59 @@ def exclusion_counts(marked: DataFrame, exclusions: Sequence[Exclusion]) -> Data
     return listed.join(counted, "exclusion", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(0).cast("bigint")))
 
 
-def changed_only(findings: DataFrame, changed_lines: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """Findings in changed files that have no line, lie in a file changed as a whole, or cover a changed line.
+def with_changed(findings: DataFrame, changed_lines: DataFrame, changed_files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Adds changed: whether a finding lies in a changed file and has no line there, or the file is changed as a whole, or a
+    changed line lies between its lines or, with `blocks`, in its smallest enclosing block.
 
-    `changed_lines`: file_path, line. `changed_files`: file_path, whole_file.
+    `changed_lines`: file_path, line. `changed_files`: file_path, whole_file. `blocks`: file_path, name, start_line,
+    line_count, block_seq; blocks named by the finding's symbol go first. The lines and blocks of a file are arrays of one row,
+    so findings meet them in one equi join on the file, and repeated findings all stay.
     """
-    files = changed_files.groupBy("file_path").agg(F.max("whole_file").alias("whole_file"))
-    inside = findings.join(files, "file_path")
-    free = inside.filter("whole_file or line is null").drop("whole_file")
-    placed = inside.filter("not whole_file and line is not null").drop("whole_file").withColumns({"_low": F.col("line"), "_high": F.coalesce("end_line", "line")})
-    lines = changed_lines.select(F.col("file_path").alias("_file"), F.col("line").alias("_line"))
-    on = (F.col("file_path") == F.col("_file")) & (F.col("_line") >= F.col("_low")) & (F.col("_line") <= F.col("_high"))
-    return free.unionByName(placed.join(lines, on, "left_semi").drop("_low", "_high"))
+    about = changed_files.groupBy("file_path").agg(F.max("whole_file").alias("_whole"))
+    about = about.join(changed_lines.groupBy("file_path").agg(F.collect_set("line").alias("_lines")), "file_path", "left")
+    low, high = F.col("line"), F.greatest("line", F.coalesce("end_line", "line"))
+    touched = lambda a, z: F.coalesce(F.exists("_lines", lambda x: (x >= a) & (x <= z)), F.lit(False))
+    held = touched(low, high)
+    if blocks is not None:
+        last = F.col("start_line") + F.col("line_count") - 1
+        about = about.join(blocks.groupBy("file_path").agg(F.collect_list(F.struct("line_count", "block_seq", "start_line", last.alias("last"), "name")).alias("_blocks")), "file_path", "left")
+        around = F.filter("_blocks", lambda b: (F.col("line") >= b["start_line"]) & (F.col("line") <= b["last"]))
+        named = lambda b: F.col("symbol").isNull() | (F.col("symbol") == b["name"]) | F.col("symbol").endswith(F.concat(F.lit("."), b["name"]))
+        best = F.array_min(F.transform(around, lambda b: F.struct((~named(b)).alias("other"), b["line_count"].alias("n"), b["block_seq"].alias("seq"), b["start_line"].alias("first"), b["last"].alias("last"))))
+        held = held | touched(best["first"], best["last"])
+    placed = F.col("_whole").isNotNull() & (F.col("_whole") | F.col("line").isNull() | held)
+    return findings.join(about, "file_path", "left").withColumn("changed", F.coalesce(placed, F.lit(False))).select(*findings.columns, "changed")
+
+
+def changed_only(findings: DataFrame, changed_lines: DataFrame, changed_files: DataFrame) -> DataFrame:
+    """Findings in changed files that have no line, lie in a file changed as a whole, or cover a changed line."""
+    return with_changed(findings, changed_lines, changed_files).filter("changed").drop("changed")
 
 
 def changed_by_symbol(findings: DataFrame, blocks: DataFrame, changed_lines: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """As `changed_only`, and also findings whose smallest enclosing block holds a changed line.
+    """As `changed_only`, and also findings whose smallest enclosing block holds a changed line."""
+    return with_changed(findings, changed_lines, changed_files, blocks).filter("changed").drop("changed")
 
-    `blocks`: file_path, name, start_line, line_count, block_seq. Blocks named by the finding's symbol go first.
-    """
-    direct = changed_only(findings, changed_lines, changed_files)
-    rest = findings.join(changed_files.select("file_path").distinct(), "file_path", "left_semi").filter("line is not null")
-    rest = rest.join(direct.select("file_path", "emit_seq", "fingerprint").distinct(), ["file_path", "emit_seq", "fingerprint"], "left_anti")
-    last = F.col("start_line") + F.col("line_count") - 1
-    held = rest.join(blocks, "file_path").filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= last))
-    named = F.coalesce((F.col("symbol") == F.col("name")) | F.col("symbol").endswith(F.concat(F.lit("."), F.col("name"))), F.lit(False))
-    # rank, so that repeated findings all stay: block_seq tells the blocks of a file apart.
-    own = Window.partitionBy("file_path", "emit_seq", "fingerprint", "line").orderBy(named.desc(), "line_count", "block_seq")
-    smallest = held.withColumn("_nth", F.rank().over(own)).filter("_nth = 1").drop("_nth")
-    lines = changed_lines.select(F.col("file_path").alias("_file"), F.col("line").alias("_line"))
-    on = (F.col("file_path") == F.col("_file")) & (F.col("_line") >= F.col("start_line")) & (F.col("_line") <= last)
-    return direct.unionByName(smallest.join(lines, on, "left_semi").select(*findings.columns))
+
+def patch_deltas(flagged: DataFrame) -> DataFrame:
+    """rule_id, introduced, removed, net: by rule, findings that a patch keeps (`changed`) and suppresses, in one pass."""
+    return _net(flagged.groupBy("rule_id").agg(F.count_if("changed").alias("introduced"), F.count_if(~F.col("changed")).alias("removed")))
+
+
+def patch_totals(flagged: DataFrame) -> DataFrame:
+    """One row: total, kept, suppressed, and by severity what is kept."""
+    of = lambda level: F.count_if(F.col("changed") & (F.col("severity") == level)).alias(level)
+    return flagged.agg(F.count("*").alias("total"), F.count_if("changed").alias("kept"), F.count_if(~F.col("changed")).alias("suppressed"), *map(of, ("error", "warning", "advisory")))
+
+
+def patch_diagnostic(flagged: DataFrame, missing: DataFrame) -> DataFrame:
+    """The diagnostic row of a patch: what it kept, and the files of the patch that were not analysed (`missing`)."""
+    listed = missing.agg(F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("files"))
+    said = F.concat(F.lit("Patch filter kept "), "kept", F.lit(" of "), "total", F.lit(" findings; suppressed "), "suppressed", F.lit(" outside changed new-side lines."))
+    rest = F.when(F.col("files") == "", " All patch files were analysed.").otherwise(F.concat(F.lit(" Patch files not analysed: "), "files", F.lit(".")))
+    # One row on either side.
+    both = patch_totals(flagged).withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k")
+    return both.select(F.lit("patch-filter").alias("diagnostic_type"), F.concat(said, rest).alias("message"), F.lit(None).cast("string").alias("file_path"))
 
 
 def explicit_ranges(ranges: Sequence[tuple[int, int]], files: DataFrame) -> DataFrame:

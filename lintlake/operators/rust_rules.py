@@ -242,8 +242,9 @@ def item_findings(table: DataFrame, names: NameOptions = NameOptions()) -> DataF
     return out.unionByName(_found(facts.shadowed_functions(nodes, items), [hidden], 7)).unionByName(_found(unused, [dead], 8)).unionByName(_found(rare, [candidate], 0))
 
 
-def module_findings(table: DataFrame) -> DataFrame:
-    """Rules on the size and fan-out of modules."""
+def module_findings(table: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Rules on the size and fan-out of modules; `limits` by the rules' names without their pillar."""
+    limits = {"large-module": 25, "public-api-surface": 12, "module-fan-out": 8} | (limits or {})
     items = P.in_modules(exploded(table, "items"))
     label = "if(module_path = '', file_path, module_path)"
     large = Rule("architecture.large-module", "design", "advisory", "high", "true", "concat('Module has ', items, ' items.')", label)
@@ -251,8 +252,8 @@ def module_findings(table: DataFrame) -> DataFrame:
     fan = Rule("architecture.module-fan-out", "design", "advisory", "high", "true", "concat('File declares ', declared, ' modules.')", "file_path")
     own = items.filter("kind <> 'mod'")
     numbered = lambda df: df.withColumn("seq", F.lit(0))
-    out = _found(numbered(P.large_modules(own)), [large], 0).unionByName(_found(numbered(P.public_surface(own)), [surface], 0))
-    return out.unionByName(_found(numbered(P.module_fan_out(items.filter("kind = 'mod'"))), [fan], 0))
+    out = _found(numbered(P.large_modules(own, limits["large-module"])), [large], 0).unionByName(_found(numbered(P.public_surface(own, limits["public-api-surface"])), [surface], 0))
+    return out.unionByName(_found(numbered(P.module_fan_out(items.filter("kind = 'mod'"), limits["module-fan-out"])), [fan], 0))
 
 
 _PAIRED = [  # rule, message, pattern, pairs of groups that must agree
@@ -332,7 +333,7 @@ def length_findings(sources: DataFrame, threshold: int = 600) -> DataFrame:
     return _found(text_rules.file_length(kept, threshold).withColumns({"line": F.lit(1), "seq": F.lit(0)}), [rule], 14)
 
 
-def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, names: NameOptions = NameOptions(), table: DataFrame | None = None) -> DataFrame:
+def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, names: NameOptions = NameOptions(), table: DataFrame | None = None, modules: dict[str, int] | None = None) -> DataFrame:
     """Identified, deduplicated findings of all Rust rules over sources (file_path, content).
 
     `table` is what `parsed` gives for the sources. Every group of rules reads it, so give a persisted one, and unpersist it
@@ -343,7 +344,7 @@ def rust_findings(sources: DataFrame, block_rules: list[Rule] | None = None, nam
     found = _found(measured_blocks(table), rules, 1, "start_line")
     lines = _found(lines_in_context(table), LINE_RULES, 2)
     comments = _found(exploded(table, "comments"), COMMENT_RULES, 3)
-    parts = (lines, comments, item_findings(table, names), module_findings(table), crypto_findings(table), paired_findings(table), path_findings(table), sensitive_findings(sources))
+    parts = (lines, comments, item_findings(table, names), module_findings(table, modules), crypto_findings(table), paired_findings(table), path_findings(table), sensitive_findings(sources))
     for part in parts:
         found = found.unionByName(part, allowMissingColumns=True)
     return deduped(identified(found.withColumn("end_line", F.lit(None).cast("int"))))

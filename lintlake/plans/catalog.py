@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators import rust_rules as R
+from lintlake.sources.settings import Settings, confidence_name
 
 # Rules with thresholds, and the thresholds.
 THRESHOLDS = {
@@ -24,7 +26,7 @@ _ELSEWHERE = [  # rules that are built where they are used: id, pillar, severity
     ("dependency.path-source", "security", "advisory", "high"), ("dependency.wildcard-version", "security", "warning", "high"), ("docs.missing-readme", "documentation", "advisory", "high"),
     ("modernisation.manual-strip-prefix", "modernisation", "advisory", "high"), ("modernisation.manual-unwrap-or-default", "modernisation", "advisory", "high"),
     ("modernisation.public-field", "modernisation", "advisory", "high"), ("modernisation.question-mark-candidate", "modernisation", "advisory", "high"), ("naming.identifier-shadow", "naming", "advisory", "high"),
-    ("naming.short-variable", "naming", "advisory", "medium"), ("security.weak-crypto", "security", "warning", "medium"), ("size.file-length", "size", "warning", "high"),
+    ("naming.short-variable", "naming", "advisory", "medium"), ("security.path-traversal-candidate", "security", "warning", "medium"), ("security.weak-crypto", "security", "warning", "medium"), ("size.file-length", "size", "warning", "high"),
 ]
 
 
@@ -35,6 +37,59 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, pillar string, severity string, confidence string, threshold double")
 
 
+def selector_matches(catalogue: DataFrame, selectors: DataFrame) -> DataFrame:
+    """selector, rank, rule_id: the rules that each of `selectors` (selector) takes, by the first kind of match that there is.
+
+    Kinds are the exact id (0), a pillar's name in any case and spacing (1), and a dotted prefix with or without `.*` (2). A
+    selector that takes none has one row without rank and rule. All three are equi joins.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    named = selectors.select("selector", F.trim("selector").alias("own")).distinct()
+    parts = F.split("rule_id", r"\.")
+    prefixes = catalogue.select("rule_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("prefix")).filter("prefix <> rule_id")
+    kinds = [
+        named.join(catalogue, F.col("own") == F.col("rule_id")).select("selector", F.lit(0).alias("rank"), "rule_id"),
+        named.join(catalogue, plain("own") == plain("pillar")).select("selector", F.lit(1).alias("rank"), "rule_id"),
+        named.withColumn("prefix", F.regexp_replace("own", r"\.\*$", "")).join(prefixes, "prefix").select("selector", F.lit(2).alias("rank"), "rule_id"),
+    ]
+    found = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("least", F.min("rank").over(Window.partitionBy("selector")))
+    return named.select("selector").join(found.filter("rank = least").drop("least"), "selector", "left")
+
+
+def expanded(catalogue: DataFrame, selectors: Sequence[str], where: str) -> list[str]:
+    """The ids of the rules that the selectors take; one that is empty, malformed or takes none is an error."""
+    for s in map(str.strip, selectors):
+        if not s:
+            raise ValueError(f"empty selector in {where}")
+        if ":" in s or ("*" in s and not s.endswith(".*")):
+            raise ValueError(f"unsupported selector {s!r} in {where}")
+    rows = selector_matches(catalogue, catalogue.sparkSession.createDataFrame([(s,) for s in selectors], "selector string")).collect()  # no more than selectors times rules
+    if unknown := sorted(r["selector"] for r in rows if r["rule_id"] is None):
+        raise ValueError(f"unknown selector {unknown[0]!r} in {where}; expected a rule id, a dotted prefix or a pillar")
+    return sorted({r["rule_id"] for r in rows})
+
+
+def resolved(spark: SparkSession, settings: Settings) -> Settings:
+    """The settings with rule ids in place of selectors. Custom rules count as rules; settings of unknown rules are errors."""
+    custom = [(f"custom.{r['id'].removeprefix('custom.')}", r["pillar"], r["severity"], confidence_name(r.get("confidence")), None) for r in settings.custom_rules]
+    catalogue = rules(spark)
+    catalogue = catalogue.unionByName(spark.createDataFrame(custom, catalogue.schema)) if custom else catalogue
+    known = {r["rule_id"] for r in catalogue.select("rule_id").collect()}
+    if wrong := sorted({*settings.disabled, *settings.unscored, *settings.thresholds} - known):
+        raise ValueError(f"settings for unknown rules: {', '.join(wrong)}")
+    if unbounded := sorted(settings.thresholds.keys() - THRESHOLDS.keys()):
+        raise ValueError(f"no threshold can be set for {', '.join(unbounded)}")
+    return replace(settings, select=tuple(expanded(catalogue, settings.select, "rules.select")), ignore=tuple(expanded(catalogue, settings.ignore, "rules.ignore")))
+
+
+def score_warnings(spark: SparkSession, settings: Settings) -> DataFrame:
+    """A diagnostic for each rule on security or secrets that is left out of the score."""
+    kept = rules(spark).filter(F.col("pillar").isin("security", "sensitive-data") & F.col("rule_id").isin(*settings.unscored)) if settings.unscored else rules(spark).limit(0)
+    shown = F.regexp_replace(F.initcap(F.translate("pillar", "-", " ")), " ", "")
+    said = F.concat(F.lit("Rule `"), "rule_id", F.lit("` ("), shown, F.lit(" pillar) is configured with `excludeFromScore: true`; its findings still surface but no longer affect the composite score."))
+    return kept.orderBy("rule_id").select(F.lit("excluded-security-rule-from-score").alias("diagnostic_type"), said.alias("message"), F.lit(None).cast("string").alias("file_path"))
+
+
 def suggestions(catalogue: DataFrame, wanted: str, most: int = 3, most_edits: int = 3) -> DataFrame:
     """The ids nearest to a mistyped one, at most `most_edits` edits away."""
     near = catalogue.select("rule_id", F.levenshtein("rule_id", F.lit(wanted)).alias("distance")).filter(F.col("distance") <= most_edits)

@@ -13,6 +13,7 @@ from lintlake.operators import project as P
 from lintlake.operators import scoring as S
 from lintlake.operators import text_rules as T
 from lintlake.plans import simulate as M
+from lintlake.sources.settings import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,7 +227,9 @@ def history_tail(spark, sf_dir):
 def selector_enable(spark, sf_dir):
     """Findings of selected rules at or over a severity."""
     found = M.findings(spark, sf_dir)
-    chosen = (F.col("rule_id").startswith("rule-1") | (F.col("pillar") == "security")) & (F.col("rule_id") != "rule-13")
+    wanted = found.filter(F.col("rule_id").startswith("rule-1")).select("rule_id").distinct()
+    settings = Settings(select=tuple(r["rule_id"] for r in wanted.collect()), ignore=("rule-13",))  # at most as many as there are rules
+    chosen = settings.enabled() | ((F.col("pillar") == "security") & Settings(ignore=("rule-13",)).enabled())
     return found.filter(chosen & (C.severity_rank(F.col("severity")) >= 1)).select("fingerprint", "rule_id", "severity")
 
 
@@ -341,3 +344,84 @@ def line_window(spark, sf_dir):
 def first_of_each(spark, sf_dir):
     """The first line of each word of a list in each text."""
     return T.first_of_each(T.lines(M.sources(spark, sf_dir)), "(that|der|que|les) ")
+
+
+_FLAGGED_SQL = """
+flagged AS (SELECT f.*, EXISTS (SELECT 1 FROM changed_files c WHERE c.file_path = f.file_path AND (c.whole_file OR f.line IS NULL OR EXISTS (
+  SELECT 1 FROM changed_lines l WHERE l.file_path = f.file_path AND l.line = f.line))) AS changed FROM findings f)"""
+
+
+def _flagged(spark, sf_dir):
+    return O.with_changed(M.findings(spark, sf_dir), M.changed_lines(spark, sf_dir), M.changed_files(spark, sf_dir))
+
+
+@_query("SELECT rule_id, count(*) FILTER (WHERE changed) AS introduced, count(*) FILTER (WHERE NOT changed) AS removed, count(*) FILTER (WHERE changed) - count(*) FILTER (WHERE NOT changed) AS net FROM flagged GROUP BY rule_id", _F, _CH, _FLAGGED_SQL)
+def patch_deltas(spark, sf_dir):
+    """By rule, findings that a patch keeps and suppresses."""
+    return O.patch_deltas(_flagged(spark, sf_dir))
+
+
+@_query(
+    "SELECT 'patch-filter' AS diagnostic_type, 'Patch filter kept ' || k || ' of ' || n || ' findings; suppressed ' || (n - k) || ' outside changed new-side lines.' || CASE WHEN m IS NULL THEN ' All patch files were analysed.' "
+    "ELSE ' Patch files not analysed: ' || m || '.' END AS message, CAST(NULL AS VARCHAR) AS file_path FROM (SELECT count(*) AS n, count(*) FILTER (WHERE changed) AS k FROM flagged), "
+    "(SELECT string_agg(file_path, ', ' ORDER BY file_path) AS m FROM (SELECT file_path FROM changed_files EXCEPT SELECT file_path FROM findings))", _F, _CH, _FLAGGED_SQL,
+)
+def patch_diagnostic(spark, sf_dir):
+    """What a patch kept, and which of its files were not analysed."""
+    return O.patch_diagnostic(_flagged(spark, sf_dir), O.unanalysed(M.changed_files(spark, sf_dir), M.findings(spark, sf_dir)))
+
+
+@_query(
+    "SELECT pillar, count(*) FILTER (WHERE changed) AS kept, count(*) FILTER (WHERE NOT changed) AS suppressed FROM flagged GROUP BY pillar", _F, _CH, _FLAGGED_SQL
+)
+def patch_pillars(spark, sf_dir):
+    """By pillar, both sides of a patch in one pass."""
+    flagged = _flagged(spark, sf_dir)
+    return flagged.groupBy("pillar").agg(F.count_if("changed").alias("kept"), F.count_if(~F.col("changed")).alias("suppressed"))
+
+
+@_query("""
+WITH c AS (SELECT DISTINCT 'g' || (p_size % 10) || '.' || lower(split_part(p_type, ' ', 1)) AS rule_id, p_brand AS pillar FROM part),
+s AS (SELECT DISTINCT unnest([p_brand, upper(p_brand), 'g' || (p_size % 12), 'g' || (p_size % 10) || '.*', 'g3.' || lower(split_part(p_type, ' ', 1))]) AS selector FROM part),
+plain AS (SELECT selector, lower(regexp_replace(selector, '[^A-Za-z0-9]', '', 'g')) AS p FROM s),
+m AS (SELECT selector, 0 AS rank, rule_id FROM s JOIN c ON selector = rule_id
+  UNION ALL SELECT selector, 1, rule_id FROM plain JOIN c ON p = lower(regexp_replace(pillar, '[^A-Za-z0-9]', '', 'g'))
+  UNION ALL SELECT selector, 2, rule_id FROM s JOIN c ON starts_with(rule_id, regexp_replace(selector, '\\.\\*$', '') || '.'))
+SELECT s.selector, rank, rule_id FROM s LEFT JOIN (SELECT *, min(rank) OVER (PARTITION BY selector) AS least FROM m) m ON s.selector = m.selector AND rank = least""")
+def selector_matches(spark, sf_dir):
+    """Which rules selectors take, by the first kind of match; rules and selectors are made of the parts."""
+    from lintlake.plans.catalog import selector_matches as matches
+
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("kind", F.lower(F.split("p_type", " ")[0]))
+    catalogue = rows.selectExpr("concat('g', p_size % 10, '.', kind) as rule_id", "p_brand as pillar").distinct()
+    selectors = rows.select(F.explode(F.expr("array(p_brand, upper(p_brand), concat('g', p_size % 12), concat('g', p_size % 10, '.*'), concat('g3.', kind))")).alias("selector")).distinct()
+    return matches(catalogue, selectors)
+
+
+@_query(r"""SELECT file_path, name, line, row_number() OVER (ORDER BY file_path, line, name) AS nth FROM (
+  SELECT file_path, name, min(line) AS line FROM (SELECT file_path, line, unnest(regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]*)\s*\.', 1)) AS name FROM (
+    SELECT file_path, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT file_path, string_split(regexp_replace(content, '[^\x00-\x7F]', ' ', 'g'), chr(10)) AS l FROM sources)))
+  WHERE name NOT IN ('if', 'for', 'while', 'match', 'loop', 'return', 'fn') GROUP BY 1, 2)""", _SRC)
+def call_index(spark, sf_dir):
+    """The names before a full stop in each text, which stands for a bracket, where each first stands, and its number in the order of all.
+
+    Letters outside ASCII are blanks here, as engines differ on whether they bound a word.
+    """
+    plain = M.sources(spark, sf_dir).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " "))
+    return P.numbered(P.calls(plain, opens=r"\."), "file_path", "line", "name")
+
+
+@_query("SELECT file_path, octet_length(encode(content)) AS bytes, row_number() OVER (ORDER BY file_path) AS nth FROM sources", _SRC)
+def source_index(spark, sf_dir):
+    """All texts with their bytes and numbers in the order of their paths."""
+    return P.numbered(M.sources(spark, sf_dir).select("file_path", F.octet_length("content").alias("bytes")), "file_path")
+
+
+@_query(r"""SELECT word AS identifier, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content || ' ' || coalesce(array_to_string(regexp_extract_all(content, 'default="([A-Za-z_][A-Za-z0-9_:]*)"', 1), ' '), ''), '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM (
+  SELECT content || chr(10) || '#[serde(rename = "r", default="' || 'f' || (hash_of % 97) || '")]' AS content FROM (SELECT content, length(content) AS hash_of FROM sources WHERE content IS NOT NULL))) GROUP BY 1""", _SRC)
+def reference_counts(spark, sf_dir):
+    """Identifiers of all texts and, once more, those that only an attribute's value names."""
+    sources = M.sources(spark, sf_dir).filter("content is not null")
+    added = F.concat(F.col("content"), F.lit('\n#[serde(rename = "r", default="f'), (F.length("content") % 97).cast("string"), F.lit('")]'))
+    referenced = sources.withColumn("content", added).withColumn("content", P.reference_source(F.col("content"), F.col("content")))
+    return P.identifier_counts(referenced)

@@ -38,8 +38,8 @@ def locked_packages(text: str) -> list[tuple]:
     return sorted((p["name"], p["version"], at, p.get("source")) for p, at in zip(found, lines, strict=True))
 
 
-def manifest_findings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Findings on the root's manifest, lock file and README, and diagnostics for files that can't be parsed."""
+def manifest_findings(spark: SparkSession, root: str, versions: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Findings on the root's manifest, lock file (packages in over `versions` versions) and README, and diagnostics for files that can't be parsed."""
     problems, deps, package, packages, manifest = [], [], {}, [], False
     for name in ("Cargo.toml", "Cargo.lock"):
         try:
@@ -63,7 +63,7 @@ def manifest_findings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     ]
     out = _found(about, rules, 0)
     locked = spark.createDataFrame(packages, "name string, version string, line int, source string")
-    many = P.duplicate_versions(locked).withColumns({"file_path": F.lit("Cargo.lock"), "seq": F.lit(0)})
+    many = P.duplicate_versions(locked, versions).withColumns({"file_path": F.lit("Cargo.lock"), "seq": F.lit(0)})
     out = out.unionByName(_found(many, [Rule("dependency.duplicate-locked-version", "security", "advisory", "high", "true", "concat('Package `', name, '` is locked in ', size(versions), ' versions.')")], 0))
     readme = any(n.lower() == "readme.md" for n in os.listdir(root))
     gaps = [k for k in ("description", "license") if manifest and not str(package.get(k, "")).strip()]

@@ -21,11 +21,16 @@ def write_baseline(findings: DataFrame, folder: str) -> None:
     rows.withColumn("schemaVersion", F.lit(VERSION)).write.mode("overwrite").json(folder)
 
 
-def read_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries that `write_baseline` wrote; another version is an error when the rows are read."""
-    rows = spark.read.schema(f"{_ENTRY}, schemaVersion string").json(folder)
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """Entries that `write_baseline` wrote to a folder, or of one JSON document with `entries`; another version is an error when the rows are read."""
+    whole = f"schemaVersion string, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>"
+    if os.path.isfile(path):
+        rows = spark.read.schema(whole).option("multiLine", True).json(path).select("schemaVersion", F.inline("entries"))
+    else:
+        rows = spark.read.schema(f"{_ENTRY}, schemaVersion string").json(path)
     wrong = F.raise_error(F.concat(F.lit("baseline has version "), F.coalesce("schemaVersion", F.lit("none"))))
-    checked = rows.withColumn("fingerprint", F.when(F.col("schemaVersion") == VERSION, F.col("fingerprint")).otherwise(wrong))
+    known = F.col("schemaVersion").rlike(r"^[\w-]+\.baseline\.v1$")
+    checked = rows.withColumn("fingerprint", F.when(known, F.col("fingerprint")).otherwise(wrong))
     return checked.drop("schemaVersion").withColumnsRenamed({"ruleId": "rule_id", "filePath": "file_path"})
 
 

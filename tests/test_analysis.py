@@ -3,11 +3,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lintlake.functions.rust_source import Scan, masked
 from lintlake.operators import findings as O
-from lintlake.operators import scoring
-from lintlake.plans import analyse, fixtures
+from lintlake.operators import project, scoring
+from lintlake.operators.rust_tables import exploded, parsed
+from lintlake.plans import analyse, catalog, fixtures, render
+from lintlake.sources import discovery
+from lintlake.sources.discovery import tree as tree_source
 from lintlake.sources.discovery import walk
 from lintlake.sources.manifest import dependencies, locked_packages
 from lintlake.sources.patch import parse_patch, parse_ranges
@@ -55,7 +59,7 @@ def test_manifests():
 def test_settings():
     got = parse_settings("schemaVersion: v1\nrules:\n  ignore: [naming]\n  size.file-length: {enabled: false}\nexclude:\n  - {rule: docs.stale-todo, paths: ['src/**'], reason: r}\n")
     assert (got.ignore, got.disabled, got.exclusions) == (("naming",), ("size.file-length",), (O.Exclusion(("docs.stale-todo",), ("src/**",), None, "r"),))
-    for bad in ("{}", "schemaVersion: v1\nnope: 1", "schemaVersion: v1\nrules: {a.b: {threshold: 1}}"):
+    for bad in ("{}", "schemaVersion: v1\nnope: 1", "schemaVersion: anything.v1", "schemaVersion: v1\nallowlists: {a: [b]}", "schemaVersion: v1\nrules: {a.b: {options: {x: 1}}}", "schemaVersion: v1\nrules: {a.b: {threshold: 1}}"):
         with pytest.raises(ValueError, match="schemaVersion|unknown|together"):
             parse_settings(bad)
 
@@ -76,7 +80,7 @@ def tree(tmp_path_factory):
 
 def test_walk_follows_ignore_files(tree):
     assert {p for p, ignored in walk(str(tree)) if not ignored} == {"src/lib.rs", "kept.txt", "Cargo.toml", "bad.md"}
-    assert {p for p, ignored in walk(str(tree)) if ignored} == {"skipped", "target", "a.txt"}
+    assert {p for p, ignored in walk(str(tree)) if ignored} == {"skipped", "target", "a.txt", ".git"}
 
 
 def test_analysis_of_a_tree(spark, tree, capsys):
@@ -103,7 +107,7 @@ def test_json_report_has_every_finding(spark, tmp_path, capsys):
     analyse.main([str(tmp_path), "--format", "json"])
     document = json.loads(capsys.readouterr().out)
     assert len(document["findings"]) == document["summary"]["total"] > 60
-    assert set(document) == {"summary", "score", "pillars", "topOffenders", "findings"}
+    assert set(document) >= {"schemaVersion", "run", "paths", "diagnostics", "suppressions", "summary", "score", "pillars", "topOffenders", "findings"}
     analyse.main([str(tmp_path), "--format", "sarif"])
     assert len(json.loads(capsys.readouterr().out)["runs"][0]["results"]) == document["summary"]["total"]
     analyse.main([str(tmp_path), "--format", "text", "--write-baseline", str(tmp_path / "base")])
@@ -125,9 +129,10 @@ def test_settings_act(spark, tmp_path, capsys):
     assert analyse.main([str(tmp_path), "--config", str(config), "--fail-on", "none"]) == 0
     capsys.readouterr()
     scan = analyse.analyse(spark, str(tmp_path), settings=parse_settings(config.read_text()))
+    assert "lines, above the threshold of 3." in {f["rule_id"]: f for f in document["findings"]}["size.file-length"]["message"]
     assert sum(r["findings"] for r in scoring.complexity_histogram(scan.findings).collect()) == 1
-    for bad in ("allowlists: {a: [b]}", "minimumSeverity: {analyse: high}", "rules: {a.b: {options: {x: 1}}}", "rules: {a.b: {enabled: 1}}"):
-        with pytest.raises(ValueError, match="support|must be"):
+    for bad in ("allowlists: {acceptedAbbreviations: [1]}", "rules: {naming.generic-function: {options: {extraGenericNames: x}}}", "minimumSeverity: {analyse: high}", "rules: {a.b: {enabled: 1}}"):
+        with pytest.raises(ValueError, match="must be"):
             parse_settings(f"schemaVersion: v1\n{bad}")
     with pytest.raises(ValueError, match="schemaVersion"):
         parse_settings("schemaVersion: v2")
@@ -144,3 +149,134 @@ def test_discovery_of_key_files_and_folders(tmp_path):
     (tmp_path / ".gitignore").write_text("!keep.txt\n")
     read = {p for p, ignored in walk(str(tmp_path)) if not ignored}
     assert read == {"server.pem", "Dockerfile", "X.RS", ".ENV.local", "main.TF", "out/z.rs", ".venv/v.rs", "logs/keep.txt", "deep/cache/w.rs"}
+
+
+def test_selectors_and_score_warnings(spark):
+    rules = catalog.rules(spark)
+    of = lambda *names: set(catalog.expanded(rules, names, "rules.select"))
+    assert of("docs.stale-todo") == {"docs.stale-todo"}
+    assert of("Sensitive data") == of("sensitivedata") == of("sensitive-data") == {r["rule_id"] for r in rules.collect() if r["pillar"] == "sensitive-data"}
+    assert of("naming") == of("Naming") and of("waste.*") == of("waste") == {"waste.unreachable-code", "waste.unnecessary-clone-candidate", "waste.unwrap-expect"}
+    assert of("docs") == {r["rule_id"] for r in rules.collect() if r["rule_id"].startswith("docs.")} and of("documentation") >= of("docs")
+    for bad, why in (("nope", "unknown"), ("doc", "unknown"), ("docs.stale", "unknown"), (" ", "empty"), ("tier:1", "unsupported"), ("doc*", "unsupported")):
+        with pytest.raises(ValueError, match=why):
+            of("naming", bad)
+    settings = analyse.Settings(select=("Naming", "custom.own"), ignore=("naming.short-variable",), custom_rules=({"id": "custom.own", "pillar": "design", "severity": "error"},), unscored=("security.weak-crypto", "naming.boolean-prefix", "sensitive-data.jwt-token"))
+    got = catalog.resolved(spark, settings)
+    assert "custom.own" in got.select and "naming.generic-function" in got.select and got.ignore == ("naming.short-variable",)
+    with pytest.raises(ValueError, match="unknown rules: a.b"):
+        catalog.resolved(spark, analyse.Settings(unscored=("a.b",)))
+    rows = catalog.score_warnings(spark, settings).collect()
+    assert [r["message"].split(" is ")[0] for r in rows] == ["Rule `security.weak-crypto` (Security pillar)", "Rule `sensitive-data.jwt-token` (SensitiveData pillar)"]
+
+
+def test_custom_rules_are_checked():
+    good = {"id": "custom.a-b", "pillar": "design", "severity": "error", "message": "m", "pattern": "x+"}
+    text = lambda own: "schemaVersion: v1\ncustom_rules: " + json.dumps(own)
+    assert parse_settings(text([good])).custom_rules == (good,)
+    for key, value in (("id", "own"), ("id", "custom.-a"), ("id", "custom.A"), ("pillar", "style"), ("severity", "none"), ("scope", "all"), ("message", ""), ("pattern", "("), ("pattern", "x*")):
+        with pytest.raises(ValueError, match="custom_rules"):
+            parse_settings(text([good | {key: value}]))
+    with pytest.raises(ValueError, match="twice"):
+        parse_settings(text([good, good]))
+
+
+@pytest.fixture(scope="module")
+def ruled(tmp_path_factory):
+    root = tmp_path_factory.mktemp("ruled")
+    for name, text in {
+        ".gitignore": "skip/x.rs\n*.log\n!build\n!quiet/y.rs\n", "skip/x.rs": "a", "quiet/y.rs": "a", "build/z.rs": "a", "deep/build/w.rs": "a", "deep/.ignore": "v.rs\n", "deep/v.rs": "a",
+        "deep/more/v.rs": "a", "deep/more/u.txt": "a", ".git/config": "a", "deep/.hg/t.rs": "a",
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    return root
+
+
+def listing(frame, ignored):
+    return sorted(r["file_path"] for r in frame.filter(F.col("ignored") == ignored).collect())
+
+
+def test_tree_source(spark, ruled):
+    read = tree_source(spark, str(ruled), ignored_globs=["quiet/**"])
+    assert listing(read, False) == ["deep/build/w.rs", "deep/more/u.txt"]
+    assert listing(read, True) == [".git", "build", "deep/.hg", "deep/more/v.rs", "deep/v.rs", "quiet", "skip/x.rs"]
+    assert listing(tree_source(spark, str(ruled), include_ignored=True), False) == ["build/z.rs", "deep/build/w.rs", "deep/more/u.txt", "deep/more/v.rs", "deep/v.rs", "quiet/y.rs", "skip/x.rs"]
+    # A walk from a folder doesn't see the ignore files above it, nor the settings that ignore the folder itself.
+    assert listing(tree_source(spark, str(ruled), "skip"), False) == ["skip/x.rs"]
+    assert listing(tree_source(spark, str(ruled), "quiet", ["quiet/**"]), False) == ["quiet/y.rs"]
+    assert listing(tree_source(spark, str(ruled), "build"), False) == ["build/z.rs"]
+    assert {bytes(r["content"]) for r in read.filter("not ignored").collect()} == {b"a"} and read.filter("ignored and content is not null").count() == 0
+
+
+def test_tree_parts_share_the_tree(ruled):
+    whole = sorted(discovery.walk(str(ruled)))
+    for enough in (1, 2, 3, 100):
+        parts = discovery.Walk(str(ruled)).parts(enough)
+        found = [x for at in parts for x in discovery.Walk(str(ruled)).files(at)]
+        assert sorted(found) == whole and (len(parts) > 1) == (enough > 1)
+
+
+def test_tree_filters_are_pushed(spark, ruled):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert listing(tree_source(spark, str(ruled)).filter(F.col("file_path").startswith("deep/more")), False) == ["deep/more/u.txt"]
+        reader = discovery.FilteredTreeReader(discovery.Walk(str(ruled)), 64, False)
+        assert len(list(reader.pushFilters([discovery.StringStartsWith(("file_path",), "deep/more/")]))) == 1
+        assert [f.base for f in reader.partitions()] == ["", "deep", "deep/more"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_large_tree_is_listed_in_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k}").mkdir()
+        for n in range(50):
+            (tmp_path / f"d{k}" / f"f{n}.rs").write_text("x")
+    assert tree_source(spark, str(tmp_path)).filter("not ignored").count() == 2000
+    assert tree_source(spark, str(tmp_path), contents=False).rdd.getNumPartitions() == 41
+    good, problems, ignored = discovery.source_files(spark, str(tmp_path), ("d1", "d2/f3.rs", "d1/f3.rs", "nope"))
+    assert good.count() == 51 and [r["diagnostic_type"] for r in problems.collect()] == ["missing-path"] and ignored.count() == 0
+
+
+def test_patch_scopes_deltas_and_reports(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "lib.rs").write_text("fn handle(a: A) {\n    a.unwrap();\n    b();\n}\n\nfn run(a: A) {\n    a.unwrap();\n}\n")
+    (tmp_path / "src" / "bro ken.rs").write_text("fn handle(")
+    patch = "+++ b/src/lib.rs\n@@ -3 +3 @@\n+    b();\n+++ b/src/gone.rs\n@@ -1 +1 @@\n+x\n"
+    shown = lambda scan: {(r["rule_id"], r["line"]) for r in scan.findings.collect()}
+    hunk, symbol = analyse.analyse(spark, str(tmp_path), patch=patch), analyse.analyse(spark, str(tmp_path), patch=patch, scope="symbol")
+    assert shown(hunk) == set() and shown(symbol) >= {("naming.generic-function", 1), ("waste.unwrap-expect", 2)} and {line for _, line in shown(symbol)} == {1, 2}
+    assert {(r["rule_id"], r["introduced"], r["removed"], r["net"]) for r in symbol.deltas.collect()} >= {("naming.generic-function", 1, 1, 0), ("waste.unwrap-expect", 1, 1, 0)}
+    said = [r["message"] for r in symbol.diagnostics.collect() if r["diagnostic_type"] == "patch-filter"]
+    assert len(said) == 1 and said[0].startswith("Patch filter kept 4 of ") and said[0].endswith("Patch files not analysed: src/gone.rs.")
+    assert shown(analyse.analyse(spark, str(tmp_path), ranges="7-9")) == {("waste.unwrap-expect", 7)}
+    config = tmp_path / "settings.yaml"
+    config.write_text("schemaVersion: tool.config.v1\nrules: {security.weak-crypto: {excludeFromScore: true}}\nallowlists: {acceptedAbbreviations: [id]}\nexclude: [{rule: docs.missing-readme, reason: none yet}]\n")
+    analyse.main([str(tmp_path), "--config", str(config)])
+    document = json.loads(capsys.readouterr().out)
+    assert {d["diagnostic_type"] for d in document["diagnostics"]} == {"parse-error", "excluded-security-rule-from-score"}
+    assert document["suppressions"][0]["suppressed"] == 1 and document["paths"]["analysedFiles"] == 3 and document["run"]["failOn"] == "none"
+    assert all(f["remediation"] for f in document["findings"])
+    assert analyse.main([str(tmp_path), "--config", str(config), "--format", "sarif"]) == 2
+    run = json.loads(capsys.readouterr().out)["runs"][0]
+    assert len(run["tool"]["driver"]["rules"]) == 79 and not run["invocations"][0]["executionSuccessful"]
+    assert [r["suppressions"][0]["justification"] for r in run["results"] if "suppressions" in r] == ["none yet"]
+    entries = [{"fingerprint": r["fingerprint"], "ruleId": r["rule_id"], "filePath": r["file_path"], "line": r["line"], "symbol": r["symbol"], "message": r["message"]} for r in analyse.analyse(spark, str(tmp_path)).findings.collect()]
+    (tmp_path / "base.json").write_text(json.dumps({"schemaVersion": "tool.baseline.v1", "entries": entries}))
+    analyse.main([str(tmp_path), "--baseline", str(tmp_path / "base.json"), "--format", "text"])
+    out = capsys.readouterr().out
+    assert "waste.unwrap-expect" not in out and "problem src/bro ken.rs parse-error" in out
+    assert render.uri(F.lit("src/bro ken#é.rs")) is not None and spark.range(1).select(render.uri(F.lit("src/bro ken#é.rs"))).first()[0] == "src/bro%20ken%23%C3%A9.rs"
+
+
+def test_project_index(spark):
+    texts = {"src/a/mod.rs": "pub mod m {\n fn f() { g(1); h(); g(2) }\n}\nmod n;\n", "src/lib.rs": "fn g() {}\nfn k() { f() }\n", "other.rs": "struct S;"}
+    table = parsed(spark.createDataFrame(list(texts.items()), "file_path string, content string"))
+    found = project.index(table, project.in_modules(exploded(table, "items")))
+    rows = lambda name, *columns: [tuple(r) for r in found[name].orderBy("nth").select(*columns, "nth").collect()]
+    assert rows("modules", "file_path", "module_path", "line") == [("src/a/mod.rs", "a::m", 1, 1), ("src/a/mod.rs", "a::n", 4, 2)]
+    assert rows("items", "module_path", "name") == [("", "S", 1), ("a::m", "f", 2), ("", "g", 3), ("", "k", 4)]
+    assert rows("calls", "file_path", "name", "line") == [("src/a/mod.rs", "f", 2, 1), ("src/a/mod.rs", "g", 2, 2), ("src/a/mod.rs", "h", 2, 3), ("src/lib.rs", "g", 1, 4), ("src/lib.rs", "f", 2, 5), ("src/lib.rs", "k", 2, 6)]
+    assert [r[0] for r in rows("sources", "file_path")] == ["other.rs", "src/a/mod.rs", "src/lib.rs"]
+    spark.catalog.clearCache()
