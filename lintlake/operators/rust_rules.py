@@ -179,8 +179,11 @@ def lines_in_context(table: DataFrame) -> DataFrame:
     """Lines with what the line rules look back and ahead to, and whether they lie in test code."""
     tests = exploded(table, "blocks").filter("is_test or test_context").groupBy("file_path").agg(F.collect_list(F.struct("start_line", (F.col("start_line") + F.col("line_count")).alias("past"))).alias("spans"))
     order = Window.partitionBy("file_path").orderBy("line")
-    joined = lambda c, a, b: F.array_join(F.collect_list(c).over(order.rowsBetween(a, b)), "\n")
-    found = code_lines(table).withColumns({"above3": joined("masked", -3, 0), "near8": joined("text", 0, 7), "before": F.lag("masked").over(order)})
+    above = F.concat_ws("\n", *(F.lag("masked", k).over(order) for k in (3, 2, 1)), "masked")
+    near = F.concat_ws("\n", "text", *(F.lead("text", k).over(order) for k in range(1, 8)))
+    # Only the lines whose rules look at their neighbours join them.
+    context = {"above3": F.when(F.col("code").contains("unsafe"), above), "near8": F.when(F.col("code").contains("Command"), near), "before": F.lag("masked").over(order)}
+    found = code_lines(table).withColumns(context)
     inside = F.coalesce(F.exists("spans", lambda s: (F.col("line") >= s.start_line) & (F.col("line") < s.past)), F.lit(False))
     return found.join(tests, "file_path", "left").withColumns({"in_test": inside, "seq": F.col("line")})
 
@@ -308,8 +311,8 @@ def path_findings(table: DataFrame) -> DataFrame:
 def workflow_findings(sources: DataFrame) -> DataFrame:
     """`github.event.` inside a `run` value or its block, in workflow files.
 
-    A block ends at the first line that is not blank and no deeper than its `run` key: for each line, the last line
-    above that is shallow enough to end a block must be that key.
+    A block ends at the first line that is not blank and no deeper than its `run` key: a line is inside while the least indent
+    since that key is deeper.
     """
     flows = sources.filter(F.col("file_path").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$"))
     lines = flows.select("file_path", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
@@ -317,10 +320,11 @@ def workflow_findings(sources: DataFrame) -> DataFrame:
     own = F.regexp_extract("text", r"^\s*(?:-\s+)?run:\s*(.*)$", 1)
     marked = lines.withColumns({"indent": indent, "is_run": F.col("text").rlike(r"^\s*(?:-\s+)?run:"), "value": own}).filter("trim(text) <> ''")
     before = Window.partitionBy("file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    runs = F.collect_list(F.when(F.col("is_run") & F.col("value").rlike(r"^[|>]"), F.struct("at", "indent"))).over(before)
-    ends = F.collect_list(F.struct("at", "indent")).over(before)
-    opened = marked.withColumns({"run": F.try_element_at(runs, F.lit(-1)), "above": ends})
-    inside = F.col("run").isNotNull() & (F.col("indent") > F.col("run.indent")) & ~F.exists("above", lambda x: (x["at"] > F.col("run.at")) & (x.indent <= F.col("run.indent")))
+    opens = F.when(F.col("is_run") & F.col("value").rlike(r"^[|>]"), F.struct("at", "indent"))
+    opened = marked.withColumn("run", F.last(opens, ignorenulls=True).over(before))
+    since = Window.partitionBy("file_path", "run.at").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opened = opened.withColumn("least", F.min("indent").over(since))
+    inside = F.col("run").isNotNull() & (F.col("least") > F.col("run.indent"))
     hit = opened.filter(F.col("text").contains("github.event.") & (inside | (F.col("is_run") & ~F.col("value").rlike(r"^[|>]"))))
     rule = Rule("ci.github-event-shell-interpolation", "security", "warning", "high", "true", "'GitHub event data is interpolated directly into a workflow shell step.'", "null")
     return _found(hit.select("file_path", (F.col("at") + 1).alias("line"), F.col("at").alias("seq")), [rule], 13)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from dataclasses import dataclass
 
@@ -127,11 +128,24 @@ def _read(name: str) -> str:
     return sys.stdin.read() if name == "-" else open(name, encoding="utf-8").read()
 
 
+def _listed(spark: SparkSession, wanted: str) -> int:
+    """Prints the rule list or one rule's card; an unknown name is answered with the nearest ones."""
+    cards = catalog.cards(spark)
+    rows = cards.orderBy("rule_id").collect() if wanted == "rules" else cards.filter(F.col("rule_id") == wanted).collect()
+    for r in rows:
+        shown = f"{r['rule_id']}\t{r['pillar']}\t{r['severity']}\t{r['confidence']}\t{'' if r['threshold'] is None else r['threshold']}"
+        print(shown if wanted == "rules" else f"{r['title']}\n{shown}\noptions: {', '.join(r['options']) or 'none'}\n{r['remediation']}")
+    if not rows:
+        near = [r["rule_id"] for r in catalog.suggestions(cards, wanted).collect()]
+        print(f"no folder or rule {wanted!r}{'; did you mean ' + ', '.join(near) + '?' if near else ''}", file=sys.stderr)
+    return 0 if rows else 2
+
+
 def main(arguments: list[str] | None = None) -> int:
     """Prints a report in the wanted form; the exit code tells what was found. JSON, text, SARIF and workflow commands hold
     all findings and are streamed. Findings are persisted while the report is made."""
     parser = argparse.ArgumentParser(prog="lintlake")
-    parser.add_argument("root")
+    parser.add_argument("root", help="a folder, or `rules` to list the rules, or a rule's id for its card")
     parser.add_argument("paths", nargs="*", default=["."])
     parser.add_argument("--format", choices=["json", "text", "markdown", "github", "sarif", "hotspot"], default="json")
     parser.add_argument("--config")
@@ -143,6 +157,8 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--fail-on", choices=["none", "advisory", "warning", "error"])
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lintlake").getOrCreate()
+    if not os.path.exists(args.root):
+        return _listed(spark, args.root)
     settings = parse_settings(_read(args.config)) if args.config else Settings()
     baseline = read_baseline(spark, args.baseline) if args.baseline else None
     scan = analyse(spark, args.root, tuple(args.paths), settings, baseline, _read(args.patch) if args.patch else None, args.ranges, args.scope)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators import rust_rules as R
+from lintlake.operators.remedies import REMEDIES
 from lintlake.sources.settings import Settings, confidence_name
 
 # Rules with thresholds, and the thresholds.
@@ -30,6 +31,22 @@ _ELSEWHERE = [  # rules that are built where they are used: id, pillar, severity
 ]
 
 
+OPTIONS = {"naming.generic-function": ["extraGenericNames"], "naming.boolean-prefix": ["predicatePrefixes"], "naming.placeholder-identifier": ["extraPlaceholders"]}
+
+
+def cards(spark: SparkSession) -> DataFrame:
+    """The rules with a title, the names of their options, and what to do about a finding."""
+    rows = rules(spark)
+    told = spark.createDataFrame([(r["rule_id"], OPTIONS.get(r["rule_id"], []), REMEDIES.get(r["rule_id"])) for r in rows.select("rule_id").collect()], "rule_id string, options array<string>, remediation string")
+    title = F.initcap(F.translate(F.element_at(F.split("rule_id", r"\."), -1), "-", " "))
+    return rows.withColumn("title", title).join(told, "rule_id")
+
+
+def described(counts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Counts by rule with the title, confidence and remediation that the catalogue has of it; custom rules have none."""
+    return counts.join(catalogue.select("rule_id", "title", F.col("confidence").alias("rule_confidence"), "remediation"), "rule_id", "left")
+
+
 def rules(spark: SparkSession) -> DataFrame:
     """rule_id, pillar, severity, confidence, threshold of every built-in rule."""
     listed = [(r.id, r.pillar, r.severity, r.confidence) for part in (R.BLOCK_RULES, R.LINE_RULES, R.COMMENT_RULES, R.TEXT_RULES, R.KEY_RULES, R.ENTROPY_RULES) for r in part]
