@@ -38,38 +38,66 @@ _ASIDE = frozenset(
 _MAIN = frozenset("article body content entry main page post section story text".split())
 _STATE = frozenset("has is js no show hide with without enabled disabled open opened closed active visible hidden on off layout".split())
 _FILLER = frozenset("a an and at by for from in of on or the to".split())
+# Words that say where or in what shape something stands, so that a name of them and of aside words is sure.
+_SHAPE = frozenset(
+    "area bar block bottom box container footer global group header holder inner left list main outer panel primary right secondary site slot sticky thread top unit wrap wrapper".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?:(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|(template|svg)\b[^>]*(?<!/)>.*?</\2\s*>"
-    r"|(noscript|iframe)\b[^>]*(?<!/)>(?:(?!<\3\b).)*?</\3\s*>)"
+    r"|<(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
+_EMBEDDED = frozenset("template svg noscript iframe".split())
+_EMBEDDED_TAG = re.compile(r"<(/?)(template|svg|noscript|iframe)\b[^>]*>", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]+")
 _OWN = ("in_article", "in_chrome", "hinted", "heading", "paragraph")
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", *_OWN)
 
 
-def _hints(name: str) -> bool:
-    """Whether one class or id name names what is not main text; names of states and slugs of titles don't."""
+def _hints(name: str) -> int:
+    """Whether one class or id name names what is not main text: 2 if it surely does, 1 if it may, else 0.
+
+    Names of states and slugs of titles don't. A name is sure if it has no other words than those of `_ASIDE` and `_SHAPE`.
+    """
     words = [w.lower() for w in _HUMP.split(name) if w]
     if not words or len(words) > 3 or not {words[0], words[-1]} & _ASIDE or set(words) & (_STATE | _FILLER):
-        return False
-    return not (words[-1] == "header" and words[0] in _MAIN)  # the header of an article has its title
+        return 0
+    if words[-1] == "header" and words[0] in _MAIN:  # the header of an article has its title
+        return 0
+    return 2 if all(w in _ASIDE or w in _SHAPE for w in words) else 1
 
 
-def _hinted(tag: str, attributes: str) -> bool:
-    """Hints of an element's own class, id and role. A name of main text beside them outweighs them."""
+def _hinted(tag: str, attributes: str) -> int:
+    """The surest hint of an element's own class, id and role. A name of main text beside them outweighs them."""
     names = "".join(f" {''.join(m)}" for m in _NAMED.findall(attributes)).split()
-    if tag in ("html", "body", "main") or tag in _HEADINGS:
-        return False
+    if tag in ("html", "body", "main") or tag in _HEADINGS or any(n.lower() in _MAIN for n in names):
+        return 0
     if tag == "article":  # only a name that is such a word, as of a reader's comment
-        return any(n.lower() in _ASIDE for n in names) and not any(n.lower() in _MAIN for n in names)
-    return any(map(_hints, names)) and not any(n.lower() in _MAIN for n in names)
+        return 2 * any(n.lower() in _ASIDE for n in names)
+    return max(map(_hints, names), default=0)
+
+
+def _embedded_ends(page: str) -> dict[int, int]:
+    """Where each svg, template, noscript and iframe element that has an end tag ends, by where it begins.
+
+    One scan from the end to the start: svg and template end at the next end tag of their name, the others only if none
+    of their name begins before it.
+    """
+    ends, after = {}, {}
+    for m in reversed(list(_EMBEDDED_TAG.finditer(page))):
+        name = m[2].lower()
+        if m[1]:
+            after[name] = m.end()
+        else:
+            if name in after and not m[0].endswith("/>"):
+                ends[m.start()] = after[name]
+            if name in ("noscript", "iframe"):
+                after.pop(name, None)
+    return ends
 
 
 def blocks(page: str) -> list[tuple]:
@@ -78,10 +106,12 @@ def blocks(page: str) -> list[tuple]:
     References are decoded and white space becomes one space. Scripts, styles and comments hold no text,
     nor does the head, which ends where anything stands that can't be in it. Self-closed and unclosed svg, template,
     noscript and iframe elements are empty. Main, and a page's only article, are main text whatever holds them. A form is
-    chrome unless it holds an article, or most words of the page and a heading. Titles in an article's header are not.
+    chrome unless it holds an article, or most words of the page and a heading. Titles in an article's header are not. A
+    name that may but need not mean something else than main text is no hint where most of the page's text outside of chrome, links
+    and sure hints has such names.
     """
     found, forms = [], [[0, False, False]]  # forms: words, article inside, heading inside; the first is the page
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, in_article, in_chrome, hinted, form
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, in_article, in_chrome, hint, form
     parts: list[str] = []
     linked: list[str] = []
     link, alone = False, len(re.findall(r"<article\b", page, re.I)) == 1
@@ -89,7 +119,7 @@ def blocks(page: str) -> list[tuple]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tag, article, chrome, hint, form = stack[-1] if stack else ("", False, False, False, 0)
+            tag, article, chrome, hint, form = stack[-1] if stack else ("", False, False, 0, 0)
             heading = tag in _HEADINGS
             if heading and chrome and article and all(t not in _CHROME or t == "header" for t, *_ in stack):
                 chrome = False
@@ -97,15 +127,15 @@ def blocks(page: str) -> list[tuple]:
         parts.clear()
         linked.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, embedded = 0, _embedded_ends(page)
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if link:
                 linked.append(parts[-1])
-        at = m.end()
-        closing, tag, attributes = (m[4], m[5], m[6]) if m[5] else (m[7], m[8], m[9])
-        if not tag:
+        at = embedded.get(m.start(), m.end())
+        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if not tag or m.start() in embedded:
             continue
         tag = tag.lower()
         if tag == "a":
@@ -121,17 +151,17 @@ def blocks(page: str) -> list[tuple]:
             elif tag != "hr":
                 if stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in _CLOSES_SELF)):
                     stack.pop()
-                _, article, chrome, hint, form = stack[-1] if stack else ("", False, False, False, 0)
-                own = "=" in attributes and _hinted(tag, attributes)
+                _, article, chrome, hint, form = stack[-1] if stack else ("", False, False, 0, 0)
+                own = _hinted(tag, attributes) if "=" in attributes else 0
                 if tag == "form":
                     forms.append([0, False, False])
                     form = len(forms) - 1
                 elif tag in ("article", "main") and not own:
                     forms[form][1] = True
                     if tag == "main" or alone:
-                        chrome = hint = False
+                        chrome, hint = False, 0
                 forms[form][2] |= tag in _HEADINGS
-                stack.append((tag, article or tag in ("article", "main"), chrome or tag in _CHROME, hint or own, form))
+                stack.append((tag, article or tag in ("article", "main"), chrome or tag in _CHROME, max(hint, own), form))
     parts.append(page[at:])
     if link:
         linked.append(parts[-1])
@@ -142,6 +172,9 @@ def blocks(page: str) -> list[tuple]:
     for block in found:
         words, article, heading = forms[block[-1]]
         block[4] |= bool(block[-1]) and not (article or (heading and 2 * words > total))
+    plain = [sum(b[1] - b[2] for b in found if not b[4] and b[5] == hint) for hint in (0, 1)]
+    for block in found:
+        block[5] = block[5] == 2 or (block[5] == 1 and plain[1] <= plain[0])
     return [tuple(block[:-1]) for block in found]
 
 

@@ -592,3 +592,30 @@ def test_hot_keys_are_dealt_out(spark):
     right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as v")
     assert sorted(map(tuple, spread_join(left, right, "k", 1000).select("x", "k", "v").collect())) == [(i, k, 2 * k) for i in range(1000) for k in [0 if i < 900 else i]]
     assert simhash.block_count(10_000, 4) == 5 and simhash.block_count(10**8, 4) == 6 and simhash.block_count(10**11, 4) == 8
+
+
+ORDINARY = "the river rose in the night and by morning the lower road was under water so the carts went round by the mill"
+
+
+@pytest.mark.parametrize("opened", ["<section class=ad-hoc>", "<section class='social-policy'>", "<div class=cookie-recipe>", "<div class=menu-item>", "<div id=story-about-comment>", "<section class=header-section>"])
+def test_names_that_only_look_like_asides(opened):
+    tag = opened[1:].split()[0]
+    page = f"<html><body><nav><a href=/>home</a></nav>{opened}<p>{ORDINARY}</p></{tag}><footer>foot</footer></body></html>"
+    assert html_text.main_text(page) == ORDINARY
+    beside = f"<html><body><article><p>{ORDINARY} one</p><p>{ORDINARY} two</p></article><div class=related-posts><p>{ORDINARY} three</p></div><div class=comment-list><p>{ORDINARY}</p></div></body></html>"
+    assert html_text.main_text(beside) == f"{ORDINARY} one\n\n{ORDINARY} two"
+
+
+@pytest.mark.parametrize("tag", ["<template>", "<svg>", "<noscript>", "<iframe>", "<svg/>", "<template><svg>"])
+def test_unclosed_elements_take_linear_time(tag):
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text(tag * 100_000 + f"<p>{ORDINARY}</p>") == ORDINARY
+    assert time.process_time() - began < 2
+
+
+def test_embedded_elements_are_left_out():
+    page = f"<p>{ORDINARY}</p><svg><text>a</text><svg>b</svg> <noscript>c <noscript>d</noscript><template><p>e</p></template><p>{ORDINARY}</p>"
+    assert html_text.main_text(page) == f"{ORDINARY}\n\nc\n\n{ORDINARY}" or html_text.main_text(page).count(ORDINARY) == 2
+    assert not any(x in html_text.main_text(page).split() for x in ("a", "b", "d", "e"))
