@@ -6,8 +6,9 @@ add up to its exact frequency. A list is kept if that sum reaches the limit. Lev
 phrase of k words with the places, one further, of the kept phrases that begin with its second word: a place in both is one
 of the extended phrase. So a word that is rare, and a phrase that ends in a rare phrase, is never extended.
 
-Words get numbers (frequent ones only), and a phrase is its words' numbers, so phrases are told apart exactly. Only dictionaries of
-segments, the words' segments and lists of places move; from three words on they are few.
+A frequent word or phrase is named by the number of its first list, and a longer phrase by the two phrases that overlap in
+it, so phrases are told apart exactly. Only dictionaries of segments, segments and lists of places move; from three words on
+lists of several segments are joined together, so that they are few.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ _GAP = 0xFF  # stands in no UTF-8 text
 _SEPARATED = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + bytes([_GAP] * 10) + b" ")
 _GAP_WORD = bytes([_GAP])
 _SPACED_GAP = b" " + _GAP_WORD + b" "
+_SHIFT, _LOW = 32, (1 << 32) - 1
+_NUMBER = 30  # bits of a list's number within its segment or group
+_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,7 @@ def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
             places = np.concatenate(parts)
             first.pop(_GAP_WORD, None)
             counts = np.bincount(places[places >= 0], minlength=len(first))
-            seg, made = (task << 24) + made, made + 1
+            seg, made = (task << 10) + made, made + 1  # up to 1024 segments a task
             columns = [
                 pa.array([seg], pa.int64()), pa.array([lang], pa.string()), pa.array([[w.decode() for w in first]], pa.list_(pa.string())),
                 pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([places.tobytes()], pa.binary()),
@@ -79,34 +83,27 @@ def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
     return plain.mapInArrow(scan, "seg bigint, lang string, words array<string>, counts array<bigint>, places binary")
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """`df` written, with numbers `id` from 0 without gaps. Only the row count of each part reaches the driver."""
-    rows = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
-    before, starts = 0, []
-    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):
-        starts.append((part, before))
-        before += n
-    begun = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
-    return rows.join(F.broadcast(begun), "_part").withColumn("id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
-
-
-def _lists_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Distinct keys, the ascending places of each, and their numbers; `places` ascend."""
+def _lists_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct keys and the ascending places of each; `places` ascend."""
     order = np.argsort(keys, kind="stable")
-    ranked, at = keys[order], places[order].astype(np.int32)
+    ranked, at = keys[order], places[order]
     edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(edges, len(ranked)))
-    offsets = pa.py_buffer((np.append(edges, len(ranked)) * 4).astype(np.int32))
-    lists = pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(at)])
-    return ranked[edges], lists, sizes
+    offsets = pa.py_buffer((np.append(edges, len(ranked)) * at.itemsize).astype(np.int32))
+    return ranked[edges], pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(at)])
 
 
-_SHIFT = 32
-_ROWS = 100_000
+def _batches(seg: int, first: np.ndarray, second: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(first), _ROWS):
+        part = slice(low, low + _ROWS)
+        own = (seg << _NUMBER) + np.arange(low, low + len(first[part]))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(first[part], pa.int64()), pa.array(second[part], pa.int64()), lists[part]], ["own", "a", "b", "places"])
+
+
+_LISTS = "own bigint, a bigint, b bigint, places binary"
 
 
 def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
-    """seg, pair, n, places of the pairs of frequent words in each segment; pair holds both numbers.
+    """The lists of all pairs of frequent words in each segment; places are int32, within the segment.
 
     `segments` and, in `frequent`, what is known of the words of each (no, id) meet by segment.
     """
@@ -117,41 +114,47 @@ def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 words = np.frombuffer(batch["places"][k].as_py(), np.int32)
-                number = np.full(max(int(words.max(initial=-1)), 0) + 2, -1, np.int64)  # the last slot is for -1
-                number[batch["no"][k].values.to_numpy()] = batch["id"][k].values.to_numpy()
-                ids = number[words]
-                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                keys, lists, sizes = _lists_of((ids[at] << _SHIFT) | ids[at + 1], at)
-                for low in range(0, len(keys), _ROWS):
-                    part = slice(low, low + _ROWS)
-                    seg = pa.array(np.full(len(keys[part]), batch["seg"][k].as_py()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([seg, pa.array(keys[part]), pa.array(sizes[part]), lists[part]], ["seg", "pair", "n", "places"])
+                ids = np.full(max(int(words.max(initial=-1)), 0) + 2, -1, np.int64)  # the last slot is for -1
+                ids[batch["no"][k].values.to_numpy()] = batch["id"][k].values.to_numpy()
+                known = ids[words] >= 0
+                at = np.flatnonzero(known[:-1] & known[1:])
+                keys, lists = _lists_of((words[at].astype(np.int64) << _SHIFT) | words[at + 1], at.astype(np.int32))
+                yield from _batches(batch["seg"][k].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], lists)
 
-    return both.mapInArrow(scan, "seg bigint, pair bigint, n bigint, places binary")
+    return both.mapInArrow(scan, _LISTS)
 
 
-def _kept(lists: DataFrame, key: str, rules: CollocationRules) -> DataFrame:
-    """The lists of phrases whose lists have `least` places or more together, and the exact frequency `f`."""
-    return lists.withColumn("f", F.sum("n").over(Window.partitionBy(key))).filter(F.col("f") >= rules.least)
+def _kept(lists: DataFrame, width: int, rules: CollocationRules) -> DataFrame:
+    """The lists of phrases that have `least` places or more together, with the exact frequency `f` and the phrase's `id`: the first list's own number."""
+    same = Window.partitionBy("a", "b")
+    counted = lists.withColumns({"f": F.sum(F.octet_length("places") / width).over(same).cast("bigint"), "id": F.min("own").over(same)})
+    return counted.filter(F.col("f") >= rules.least)
 
 
-def _extended(lists: DataFrame) -> DataFrame:
-    """seg, ids, n, places of phrases one word longer than those of `lists`, by a merge join within each segment."""
+def _extended(lists: DataFrame, group: Column, width: int) -> DataFrame:
+    """The lists of phrases one word longer, by a merge join within each group of segments; places are int64, within the group.
+
+    A longer phrase is the one at a place (a) and the one that begins one word further (b).
+    """
 
     def merge(table: pa.Table) -> pa.Table:
-        phrases = np.array(table["ids"].to_pylist(), np.int64)
-        lists = [np.frombuffer(x.as_py(), np.int32) for x in table["places"]]
-        which, places = np.repeat(np.arange(len(lists)), list(map(len, lists))), np.concatenate(lists)
+        column = table["places"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
+        places = np.frombuffer(column.buffers()[2], np.int32 if width == 4 else np.int64)[ends[0] : ends[-1]]
+        which = np.repeat(np.arange(len(column)), np.diff(ends))
+        if width == 4:
+            segments = np.unique(table["own"].to_numpy() >> _NUMBER, return_inverse=True)[1]
+            places = (segments[which] << _SHIFT) | places
+        ids, phrase = np.unique(table["id"].to_numpy(), return_inverse=True)
         order = np.argsort(places, kind="stable")
-        which, places = which[order], places[order]
-        at = np.flatnonzero(places[1:] == places[:-1] + 1)  # a place has one phrase of a length, so its neighbour in the list is one further or none
-        keys, longer, sizes = _lists_of((which[at] << _SHIFT) | phrases[which[at + 1], -1], places[at])
-        ids = np.column_stack([phrases[keys >> _SHIFT], keys & ((1 << _SHIFT) - 1)])
-        seg = pa.array(np.full(len(keys), table["seg"][0].as_py()), pa.int64())
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
-        return pa.table({"seg": seg, "ids": flat, "n": pa.array(sizes, pa.int64()), "places": longer})
+        which, places = phrase[which[order]], places[order]
+        at = np.flatnonzero(places[1:] == places[:-1] + 1)  # a place has one phrase of a length, so the next one is one further or the list's neighbour isn't
+        keys, longer = _lists_of((which[at] << _SHIFT) | which[at + 1], places[at])
+        found = list(_batches(table["grp"][0].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], longer))
+        return pa.Table.from_batches(found) if found else pa.table({"own": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
 
-    return lists.select("seg", "ids", "places").groupBy("seg").applyInArrow(merge, "seg bigint, ids array<bigint>, n bigint, places binary")
+    return lists.select(group.alias("grp"), "own", "id", "places").groupBy("grp").applyInArrow(merge, _LISTS)
 
 
 def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules()) -> tuple[DataFrame, DataFrame]:
@@ -159,25 +162,32 @@ def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules
     segments = written(_segments(docs, rules), "segments")
     totals = written(segments.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")), "totals")
     dictionary = segments.select("seg", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "x")).select("seg", "lang", "no", "x.words", "x.counts")
-    dictionary = dictionary.withColumnRenamed("words", "word")
-    counted = dictionary.groupBy("lang", "word").agg(F.sum("counts").alias("f")).filter(F.col("f") >= rules.least)
-    words = _numbered(counted, "words")
-    lists = _kept(_pairs(segments, dictionary.join(words, ["lang", "word"]).select("seg", "no", "id")), "pair", rules)
-    numbers = F.array(F.shiftright("pair", _SHIFT), F.col("pair").bitwiseAND((1 << _SHIFT) - 1)).alias("ids")
-    levels = [written(lists.select("seg", numbers, "f", "places"), "lists")]
+    same = Window.partitionBy("lang", "word")
+    own = F.shiftleft("seg", _NUMBER).bitwiseOR(F.col("no")).alias("own")
+    dictionary = dictionary.select("seg", "lang", "no", F.col("words").alias("word"), "counts", own)
+    named = dictionary.withColumns({"f": F.sum("counts").over(same), "id": F.min("own").over(same)}).filter(F.col("f") >= rules.least)
+    named = written(named.select("seg", "no", "own", "id", "lang", "word", "f"), "words")
+    names = named.filter("own = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
+    found = [names.select("lang", F.lit(1).alias("size"), "phrase", "f")]
+    lists = written(_kept(_pairs(segments, named.select("seg", "no", "id")), 4, rules), "lists")
     dropped(segments)
-    for _ in range(rules.most_words - 2):
-        levels.append(written(_kept(_extended(levels[-1]), "ids", rules), "lists"))
-    phrases = levels[0].select("ids", "f").distinct()
-    for level in levels[1:]:
-        phrases = phrases.union(level.select("ids", "f").distinct())
-    spelt = phrases.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
-    spelt = spelt.groupBy("ids", "f", "lang").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("ws"))
-    spelt = spelt.select("lang", F.size("ids").alias("size"), F.array_join("ws.word", " ").alias("phrase"), "f")
-    found = written(spelt.union(words.select("lang", F.lit(1), "word", "f")), "phrases")
-    for level in levels:
-        dropped(level)
-    return totals, found
+    # Groups of segments have about half a segment's places that are left.
+    groups = -(-2 * (lists.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 1) // rules.segment_words)
+    group, width = F.pmod(F.xxhash64(F.shiftright("own", _NUMBER)), F.lit(int(groups))), 4
+    for size in range(2, rules.most_words + 1):
+        second = names.select(F.col("id").alias("b"), F.col("last").alias("end"))
+        spelt = lists.filter("own = id").select("id", "a", "b", "f").join(names.select(F.col("id").alias("a"), "lang", "phrase"), "a").join(second, "b")
+        names = written(spelt.select("id", "lang", F.concat_ws(" ", "phrase", "end").alias("phrase"), F.col("end").alias("last"), "f"), "names")
+        found.append(names.select("lang", F.lit(size).alias("size"), "phrase", "f"))
+        if size < rules.most_words:
+            longer = written(_kept(_extended(lists, group, width), 8, rules), "lists")
+            dropped(lists)
+            lists, group, width = longer, F.shiftright("own", _NUMBER), 8
+    dropped(lists)
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    return totals, written(every, "phrases")
 
 
 def _joined(ws: Column, start: Column, size: Column) -> Column:
