@@ -131,30 +131,56 @@ def _kept(lists: DataFrame, width: int, rules: CollocationRules) -> DataFrame:
     return counted.filter(F.col("f") >= rules.least)
 
 
-def _extended(lists: DataFrame, group: Column, width: int) -> DataFrame:
-    """The lists of phrases one word longer, by a merge join within each group of segments; places are int64, within the group.
+def _placed(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists of a group: the distinct phrases, the places in order, the phrase (by number) at each, and which places are right before the next one.
 
-    A longer phrase is the one at a place (a) and the one that begins one word further (b).
+    A place has one phrase of a length at most, so the phrase one word further is the next one or there is none.
     """
+    column = table["places"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
+    places = np.frombuffer(column.buffers()[2], np.int32 if width == 4 else np.int64)[ends[0] : ends[-1]]
+    which = np.repeat(np.arange(len(column)), np.diff(ends))
+    if width == 4:
+        segments = np.unique(table["own"].to_numpy() >> _NUMBER, return_inverse=True)[1]
+        places = (segments[which] << _SHIFT) | places
+    ids, phrase = np.unique(table["id"].to_numpy(), return_inverse=True)
+    order = np.argsort(places, kind="stable")
+    which, places = phrase[which[order]], places[order]
+    return ids, places, which, np.flatnonzero(places[1:] == places[:-1] + 1)
+
+
+def _extended(lists: DataFrame, group: Column, width: int, rules: CollocationRules) -> DataFrame:
+    """The lists of phrases one word longer, by a merge join within each group of segments; places are int64, within the group.
 
-    def merge(table: pa.Table) -> pa.Table:
-        column = table["places"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
-        places = np.frombuffer(column.buffers()[2], np.int32 if width == 4 else np.int64)[ends[0] : ends[-1]]
-        which = np.repeat(np.arange(len(column)), np.diff(ends))
-        if width == 4:
-            segments = np.unique(table["own"].to_numpy() >> _NUMBER, return_inverse=True)[1]
-            places = (segments[which] << _SHIFT) | places
-        ids, phrase = np.unique(table["id"].to_numpy(), return_inverse=True)
-        order = np.argsort(places, kind="stable")
-        which, places = phrase[which[order]], places[order]
-        at = np.flatnonzero(places[1:] == places[:-1] + 1)  # a place has one phrase of a length, so the next one is one further or the list's neighbour isn't
+    A longer phrase is the one at a place (a) and the one that begins one word further (b). It can only be frequent if a is
+    followed by some kept phrase at `least` of its places, and b follows one at as many of its own; so these are counted first, and
+    phrases that fail are not extended on that side.
+    """
+    grouped = lists.select(group.alias("grp"), "own", "id", "places")
+
+    def linked(table: pa.Table) -> pa.Table:
+        ids, _, which, at = _placed(table, width)
+        counts = [np.bincount(which[x], minlength=len(ids)) for x in (at, at + 1)]
+        some = np.flatnonzero(counts[0] + counts[1])
+        return pa.table({"grp": pa.array(np.full(len(some), table["grp"][0].as_py()), pa.int64()), "id": ids[some], "after": counts[0][some], "before": counts[1][some]})
+
+    same = Window.partitionBy("id")
+    counted = grouped.groupBy("grp").applyInArrow(linked, "grp bigint, id bigint, after bigint, before bigint")
+    flags = counted.select("grp", "id", (F.sum("after").over(same) >= rules.least).alias("first"), (F.sum("before").over(same) >= rules.least).alias("second")).filter("first or second")
+
+    def merge(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not known.num_rows or not table.num_rows:
+            return pa.table({"own": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
+        ids, places, which, at = _placed(table, width)
+        sides = np.zeros((2, len(ids)), bool)
+        sides[:, np.searchsorted(ids, known["id"].to_numpy())] = [known[c].to_numpy() for c in ("first", "second")]
+        at = at[sides[0][which[at]] & sides[1][which[at + 1]]]
         keys, longer = _lists_of((which[at] << _SHIFT) | which[at + 1], places[at])
         found = list(_batches(table["grp"][0].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], longer))
-        return pa.Table.from_batches(found) if found else pa.table({"own": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
+        return pa.Table.from_batches(found) if found else merge(table, known.slice(0, 0))
 
-    return lists.select(group.alias("grp"), "own", "id", "places").groupBy("grp").applyInArrow(merge, _LISTS)
+    return grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(merge, _LISTS)
 
 
 def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules()) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +206,7 @@ def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules
         names = written(spelt.select("id", "lang", F.concat_ws(" ", "phrase", "end").alias("phrase"), F.col("end").alias("last"), "f"), "names")
         found.append(names.select("lang", F.lit(size).alias("size"), "phrase", "f"))
         if size < rules.most_words:
-            longer = written(_kept(_extended(lists, group, width), 8, rules), "lists")
+            longer = written(_kept(_extended(lists, group, width, rules), 8, rules), "lists")
             dropped(lists)
             lists, group, width = longer, F.shiftright("own", _NUMBER), 8
     dropped(lists)
