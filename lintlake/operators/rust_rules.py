@@ -120,7 +120,7 @@ LINE_RULES = [
     Rule("security.process-command", "security", "warning", "high", rf"code rlike '(std::process::Command|Command)::new\\s*\\(' and {_RISKY_COMMAND}", "'Process command execution is used; validate command arguments are not user-controlled.'", "null"),
     Rule("security.sql-dynamic-query", "security", "warning", "high", r"code rlike '(?:^|\\W)(query|execute|prepare)\\s*\\(\\s*&?\\s*format!\\s*\\('", r"concat('Direct dynamic SQL argument passed to `', regexp_extract(code, '(?:^|\\W)(query|execute|prepare)\\s*\\(', 1), '(...)`; review query construction.')", r"regexp_extract(code, '(?:^|\\W)(query|execute|prepare)\\s*\\(', 1)"),
     Rule("security.hardcoded-bind-all-interfaces", "security", "warning", "high", rf"""not {_INFRA} and not ltrim(text) rlike '^(//|\\*|/\\*)' and text rlike '"(0\\.0\\.0\\.0|\\[::\\]|::0)(?::\\d+|/\\d+)?"'""", r"concat('Listener address `', regexp_extract(text, '\\x22((?:0\\.0\\.0\\.0|\\[::\\]|::0)(?::\\d+|/\\d+)?)\\x22', 1), '` binds to every network interface; review whether the bind should be restricted.')", "null"),
-    Rule("modernisation.manual-is-empty", "modernisation", "advisory", "high", r"code rlike '(?:\\.len\\s*\\(\\s*\\)\\s*(?:==|!=)\\s*0\\b|\\b0\\s*(?:==|!=)\\s*[A-Za-z_][\\w\\.]*\\.len\\s*\\(\\s*\\))'", "'Use `is_empty()` instead of comparing a length with 0.'", "null"),
+    Rule("modernisation.manual-is-empty", "modernisation", "advisory", "high", r"code rlike '(?:\\.len\\s*\\(\\s*\\)\\s*(?:==|!=)\\s*0\\b|\\b0\\s*(?:==|!=)\\s*[A-Za-z_][\\w\\.]*\\.len\\s*\\(\\s*\\))'", "'Use `.is_empty()` instead of comparing `.len()` against zero.'", "null"),
     Rule("modernisation.manual-contains", "modernisation", "advisory", "high", r"code rlike '\\.iter\\s*\\(\\s*\\)\\s*\\.any\\s*\\(\\s*\\|\\s*(\\w+)\\s*\\|\\s*(?:\\*\\s*\\w+\\s*==\\s*[A-Za-z_][\\w\\.]*|\\w+\\s*==\\s*&\\s*[A-Za-z_][\\w\\.]*)\\s*\\)'", "'Use `.contains(&value)` instead of `.iter().any(|x| x == &value)`.'", "null"),
     Rule("waste.unwrap-expect", "maintainability", "advisory", "high", rf"not in_test and not {_INFRA} and code rlike {_UNWRAP} and not text rlike '\\.expect\\s*\\(\\s*\\x22[^\\x22]{{15,}}\\x22'", "'unwrap()/expect() can turn recoverable errors into panics.'", "null"),
     Rule("waste.unnecessary-clone-candidate", "maintainability", "advisory", "high", rf"not in_test and not {_INFRA} and code rlike '\\.clone\\(\\)' and not code rlike {_CLONE_OWNED}", "'clone() call may be avoidable; confirm ownership requires it.'", "null"),
@@ -239,7 +239,7 @@ def item_findings(table: DataFrame, names: NameOptions = NameOptions()) -> DataF
     private = items.filter("kind in ('function', 'method') and not public and not test_context and not cfg_gated and name <> 'main' and within in ('', 'impl')").join(parents, "file_path", "left_anti")
     unused = private.join(uses, ["file_path", "name"]).join(named, ["file_path", "name"]).filter("uses - defined = 0")
     dead = Rule("dead-code.unused-private-function", "dead-code", "advisory", "low", "true", "concat('Private function `', name, '` appears to be unused in this file.')")
-    candidate = Rule("dead-code.unused-private-item-candidate", "dead-code", "advisory", "medium", "true", "concat('Private ', kind, ' `', name, '` is hardly referenced.')", "if(module_path = '', name, concat(module_path, '::', name))")
+    candidate = Rule("dead-code.unused-private-item-candidate", "dead-code", "advisory", "medium", "true", "concat('Private ', kind, ' `', name, '` is an unused candidate; no other discovered Rust source references its name.')", "if(module_path = '', name, concat(module_path, '::', name))", "to_json(named_struct('kind', kind, 'module', module_path, 'candidate', true))")
     counts = uses.groupBy("name").agg(F.sum("uses").alias("n")).withColumnRenamed("name", "identifier")
     rare = P.unused_items(items.filter("kind <> 'mod'"), counts)
     return out.unionByName(_found(facts.shadowed_functions(nodes, items), [hidden], 7)).unionByName(_found(unused, [dead], 8)).unionByName(_found(rare, [candidate], 0))
@@ -250,9 +250,9 @@ def module_findings(table: DataFrame, limits: dict[str, int] | None = None) -> D
     limits = {"large-module": 25, "public-api-surface": 12, "module-fan-out": 8} | (limits or {})
     items = P.in_modules(exploded(table, "items"))
     label = "if(module_path = '', file_path, module_path)"
-    large = Rule("architecture.large-module", "design", "advisory", "high", "true", "concat('Module has ', items, ' items.')", label)
-    surface = Rule("architecture.public-api-surface", "design", "advisory", "high", "true", "concat('Module exposes ', items, ' public items.')", label)
-    fan = Rule("architecture.module-fan-out", "design", "advisory", "high", "true", "concat('File declares ', declared, ' modules.')", "file_path")
+    large = Rule("architecture.large-module", "design", "advisory", "high", "true", f"concat('Module `', {label}, '` contains ', items, ' indexed items, above the threshold of {limits['large-module']}.')", label, f"to_json(named_struct('items', items, 'threshold', {limits['large-module']}, 'module', {label}))")
+    surface = Rule("architecture.public-api-surface", "design", "advisory", "high", "true", f"concat('Module `', {label}, '` exposes ', items, ' public items, above the threshold of {limits['public-api-surface']}.')", label, f"to_json(named_struct('publicItems', items, 'threshold', {limits['public-api-surface']}, 'module', {label}))")
+    fan = Rule("architecture.module-fan-out", "design", "advisory", "high", "true", f"concat('File `', file_path, '` declares ', declared, ' child modules, above the threshold of {limits['module-fan-out']}.')", "file_path", f"to_json(named_struct('modules', declared, 'threshold', {limits['module-fan-out']}))")
     own = items.filter("kind <> 'mod'")
     numbered = lambda df: df.withColumn("seq", F.lit(0))
     out = _found(numbered(P.large_modules(own, limits["large-module"])), [large], 0).unionByName(_found(numbered(P.public_surface(own, limits["public-api-surface"])), [surface], 0))
@@ -262,9 +262,9 @@ def module_findings(table: DataFrame, limits: dict[str, int] | None = None) -> D
 _PAIRED = [  # rule, message, pattern, pairs of groups that must agree
     ("modernisation.manual-strip-prefix", "Use `strip_prefix` instead of slicing after `starts_with`.", r"if\s+(\w+)\s*\.starts_with\s*\(\s*(\w+)\s*\)\s*\{\s*&\s*(\w+)\s*\[\s*(\w+)\s*\.len\s*\(\s*\)\s*\.\.\s*\]", ((1, 3), (2, 4))),
     ("modernisation.manual-unwrap-or-default", "Use `.unwrap_or_default()` instead of a manual `match` with `Default::default()`.", r"match\s+[A-Za-z_][\w\.]*\s*\{\s*Some\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*None\s*=>\s*(?:Default\s*::\s*default|String\s*::\s*new|Vec\s*::\s*new)\s*\(\s*\)", ((1, 2),)),
-    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,?\s*\}", ((1, 2), (3, 4))),
-    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,?\s*\}", ((1, 2), (3, 4))),
-    ("modernisation.question-mark-candidate", "Use `?` instead of passing the error on by hand.", r"if\s+let\s+Err\s*\(\s*(\w+)\s*\)\s*=\s*[^{;]{1,200}?\{\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*;?\s*\}", ((1, 2),)),
+    ("modernisation.question-mark-candidate", "Use `?` instead of a manual `match` / `if let Err` that returns the same error.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,?\s*\}", ((1, 2), (3, 4))),
+    ("modernisation.question-mark-candidate", "Use `?` instead of a manual `match` / `if let Err` that returns the same error.", r"match\s+[A-Za-z_][\w\.()]*\s*\{\s*Err\s*\(\s*(\w+)\s*\)\s*=>\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*,\s*Ok\s*\(\s*(\w+)\s*\)\s*=>\s*(\w+)\s*,?\s*\}", ((1, 2), (3, 4))),
+    ("modernisation.question-mark-candidate", "Use `?` instead of a manual `match` / `if let Err` that returns the same error.", r"if\s+let\s+Err\s*\(\s*(\w+)\s*\)\s*=\s*[^{;]{1,200}?\{\s*return\s+Err\s*\(\s*(\w+)\s*\)\s*;?\s*\}", ((1, 2),)),
 ]
 
 

@@ -40,12 +40,13 @@ def locked_packages(text: str) -> list[tuple]:
 
 def manifest_findings(spark: SparkSession, root: str, versions: int = 2) -> tuple[DataFrame, DataFrame]:
     """Findings on the root's manifest, lock file (packages in over `versions` versions) and README, and diagnostics for files that can't be parsed."""
-    problems, deps, package, packages, manifest = [], [], {}, [], False
+    problems, deps, package, packages, manifest, at = [], [], {}, [], False, 1
     for name in ("Cargo.toml", "Cargo.lock"):
         try:
             text = open(os.path.join(root, name), encoding="utf-8").read()
             if name == "Cargo.toml":
                 manifest, package, deps = True, tomllib.loads(text).get("package", {}), dependencies(text)
+                at = next((k for k, line in enumerate(text.split("\n"), 1) if line.strip() == "[package]"), 1)
             else:
                 packages = locked_packages(text)
         except FileNotFoundError:
@@ -56,21 +57,21 @@ def manifest_findings(spark: SparkSession, root: str, versions: int = 2) -> tupl
     about = about.withColumn("wild", F.coalesce(F.exists(F.split("requirement", ","), lambda p: (F.trim(p) == "*") | F.trim(p).endswith(".*")), F.lit(False)))
     blank = "(rev is null or trim(rev) = '')"
     rules = [
-        Rule("dependency.git-source", "security", "warning", "high", "git is not null", "concat('Dependency `', name, '` comes from git.')"),
+        Rule("dependency.git-source", "security", "warning", "high", "git is not null", "concat('Dependency `', name, '` in `', section, '` uses a git source.')", metadata="to_json(named_struct('section', section, 'git', git))"),
         Rule("dependency.git-unpinned-revision", "security", "warning", "high", f"git is not null and {blank}", "concat('Git dependency `', name, '` is not pinned to a revision.')"),
-        Rule("dependency.path-source", "security", "advisory", "high", "path is not null", "concat('Dependency `', name, '` comes from a path.')"),
-        Rule("dependency.wildcard-version", "security", "warning", "high", "wild", "concat('Dependency `', name, '` has a wildcard version.')"),
+        Rule("dependency.path-source", "security", "advisory", "high", "path is not null", "concat('Dependency `', name, '` in `', section, '` uses a local path source.')", metadata="to_json(named_struct('section', section, 'path', path))"),
+        Rule("dependency.wildcard-version", "security", "warning", "high", "wild", "concat('Dependency `', name, '` in `', section, '` uses wildcard version `', requirement, '`.')", metadata="to_json(named_struct('section', section, 'requirement', requirement))"),
     ]
     out = _found(about, rules, 0)
     locked = spark.createDataFrame(packages, "name string, version string, line int, source string")
     many = P.duplicate_versions(locked, versions).withColumns({"file_path": F.lit("Cargo.lock"), "seq": F.lit(0)})
-    out = out.unionByName(_found(many, [Rule("dependency.duplicate-locked-version", "security", "advisory", "high", "true", "concat('Package `', name, '` is locked in ', size(versions), ' versions.')")], 0))
+    out = out.unionByName(_found(many, [Rule("dependency.duplicate-locked-version", "security", "advisory", "high", "true", f"concat('Package `', name, '` is locked at ', size(versions), ' versions, above the threshold of {versions}.')", metadata="to_json(named_struct('versions', versions))")], 0))
     readme = any(n.lower() == "readme.md" for n in os.listdir(root))
     gaps = [k for k in ("description", "license") if manifest and not str(package.get(k, "")).strip()]
-    facts = spark.createDataFrame([("Cargo.toml", 1, 0, package.get("name"), ", ".join(gaps), readme)], "file_path string, line int, seq int, name string, gaps string, readme boolean")
+    facts = spark.createDataFrame([("Cargo.toml", at, 0, package.get("name") or "package", ", ".join(gaps), readme)], "file_path string, line int, seq int, name string, gaps string, readme boolean")
     whole = [
-        Rule("dependency.missing-package-metadata", "documentation", "advisory", "high", "gaps <> ''", "concat('Package metadata lacks ', gaps, '.')"),
-        Rule("docs.missing-readme", "documentation", "advisory", "high", "not readme", "'Project has no README.md.'", "null"),
+        Rule("dependency.missing-package-metadata", "documentation", "advisory", "high", "gaps <> ''", "concat('Package `', name, '` is missing Cargo metadata: ', gaps, '.')", metadata="to_json(named_struct('missing', split(gaps, ', ')))"),
+        Rule("docs.missing-readme", "documentation", "advisory", "high", "not readme", "'Project root does not contain a README.md file.'", "null"),
     ]
     missing = _found(facts, whole, 0).withColumn("file_path", F.when(F.col("rule_id") == "docs.missing-readme", "README.md").otherwise(F.col("file_path")))
     return out.unionByName(missing), spark.createDataFrame(problems, "diagnostic_type string, message string, file_path string")
