@@ -619,3 +619,22 @@ def test_embedded_elements_are_left_out():
     page = f"<p>{ORDINARY}</p><svg><text>a</text><svg>b</svg> <noscript>c <noscript>d</noscript><template><p>e</p></template><p>{ORDINARY}</p>"
     assert html_text.main_text(page) == f"{ORDINARY}\n\nc\n\n{ORDINARY}" or html_text.main_text(page).count(ORDINARY) == 2
     assert not any(x in html_text.main_text(page).split() for x in ("a", "b", "d", "e"))
+
+
+def test_language_model_follows_from_the_rows_alone(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(150)] + ["same text here"] * 40
+    docs = spark.createDataFrame([(k if k < 150 else None, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    rules = bilinear.ModelRules(listed=20, own=5, endings=3, width=4, every=2, batch=16, noise=4, shard=200)
+    one, many = ([tuple(r) for r in bilinear.scored(docs.repartition(n), rules).orderBy("doc_id", "n_tokens", "score").collect()] for n in (1, 9))
+    assert one == many
+    assert any(abs(r[5] - r[6]) > 1e-3 for r in one)
+
+
+def test_a_ring_walked_by_hand(spark):
+    """Ids of one shard stay on it when another is added, or move to the new one or onward from a full shard; no shard overflows."""
+    docs = spark.range(999).selectExpr("id as doc_id", "repeat('x', cast(id % 7 as int)) as text")
+    got = sharding.sharded(docs).toPandas()
+    assert sorted(got.groupby("shard").size()) == [124] + [125] * 7 and got["size"].sum() == sum(k % 7 + 1 for k in range(999))
+    assert all(r.text_crc32 == zlib.crc32(b"x" * (r.doc_id % 7)) for r in got.itertuples())
