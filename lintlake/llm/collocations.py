@@ -6,13 +6,14 @@ add up to its exact frequency. A list is kept if that sum reaches the limit. Lev
 phrase of k words with the places, one further, of the kept phrases that begin with its second word: a place in both is one
 of the extended phrase. So a word that is rare, and a phrase that ends in a rare phrase, is never extended.
 
-A frequent word or phrase is named by the number of its first list, and a longer phrase by the two phrases that overlap in
+A frequent word or phrase is named by a number of one of its lists, and a longer phrase by the two phrases that overlap in
 it, so phrases are told apart exactly. Only dictionaries of segments, segments and lists of places move; from three words on
 lists of several segments are joined together, so that they are few.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,6 @@ _SEPARATED = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", byt
 _GAP_WORD = bytes([_GAP])
 _SPACED_GAP = b" " + _GAP_WORD + b" "
 _SHIFT, _LOW = 32, (1 << 32) - 1
-_NUMBER = 30  # bits of a list's number within its segment or group
 _ROWS = 100_000
 
 
@@ -43,7 +43,7 @@ class CollocationRules:
 
 
 def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
-    """seg, lang, words (distinct, as they first come), counts, places (int32: number in `words` of the word at a place, -1 for an end)."""
+    """seg, lang, words (distinct, as they first come), counts, places (deflated int32: number in `words` of the word at a place, -1 for an end)."""
     plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
             seg, made = (task << 10) + made, made + 1  # up to 1024 segments a task
             columns = [
                 pa.array([seg], pa.int64()), pa.array([lang], pa.string()), pa.array([[w.decode() for w in first]], pa.list_(pa.string())),
-                pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([places.tobytes()], pa.binary()),
+                pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([zlib.compress(places.tobytes(), 1)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["seg", "lang", "words", "counts", "places"])
 
@@ -95,11 +95,20 @@ def _lists_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Arra
 def _batches(seg: int, first: np.ndarray, second: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
     for low in range(0, len(first), _ROWS):
         part = slice(low, low + _ROWS)
-        own = (seg << _NUMBER) + np.arange(low, low + len(first[part]))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(first[part], pa.int64()), pa.array(second[part], pa.int64()), lists[part]], ["own", "a", "b", "places"])
+        own = np.full(len(first[part]), seg)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(first[part], pa.int64()), pa.array(second[part], pa.int64()), lists[part]], ["seg", "a", "b", "places"])
 
 
-_LISTS = "own bigint, a bigint, b bigint, places binary"
+_LISTS = "seg bigint, a bigint, b bigint, places binary"
+
+
+def _named(rows: DataFrame, key: list[str]) -> DataFrame:
+    """`rows` by key, with numbers `own` and in `id` the least number of a key's rows, which names the key.
+
+    Rows are numbered where they are grouped, so that no number moves; write the result, as another run numbers anew.
+    """
+    numbered = rows.repartition(*key).withColumn("own", F.monotonically_increasing_id())
+    return numbered.withColumn("id", F.min("own").over(Window.partitionBy(*key)))
 
 
 def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = np.frombuffer(batch["places"][k].as_py(), np.int32)
+                words = np.frombuffer(zlib.decompress(batch["places"][k].as_py()), np.int32)
                 ids = np.full(max(int(words.max(initial=-1)), 0) + 2, -1, np.int64)  # the last slot is for -1
                 ids[batch["no"][k].values.to_numpy()] = batch["id"][k].values.to_numpy()
                 known = ids[words] >= 0
@@ -125,9 +134,8 @@ def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def _kept(lists: DataFrame, width: int, rules: CollocationRules) -> DataFrame:
-    """The lists of phrases that have `least` places or more together, with the exact frequency `f` and the phrase's `id`: the first list's own number."""
-    same = Window.partitionBy("a", "b")
-    counted = lists.withColumns({"f": F.sum(F.octet_length("places") / width).over(same).cast("bigint"), "id": F.min("own").over(same)})
+    """The lists of phrases that have `least` places or more together, with the exact frequency `f` and the phrase's `id`."""
+    counted = _named(lists, ["a", "b"]).withColumn("f", F.sum(F.octet_length("places") / width).over(Window.partitionBy("a", "b")).cast("bigint"))
     return counted.filter(F.col("f") >= rules.least)
 
 
@@ -140,13 +148,13 @@ def _placed(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
     places = np.frombuffer(column.buffers()[2], np.int32 if width == 4 else np.int64)[ends[0] : ends[-1]]
-    which = np.repeat(np.arange(len(column)), np.diff(ends))
+    which = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(ends))
     if width == 4:
-        segments = np.unique(table["own"].to_numpy() >> _NUMBER, return_inverse=True)[1]
-        places = (segments[which] << _SHIFT) | places
+        segments = np.unique(table["seg"].to_numpy(), return_inverse=True)[1]
+        places = (segments[which].astype(np.int64) << _SHIFT) | places
     ids, phrase = np.unique(table["id"].to_numpy(), return_inverse=True)
     order = np.argsort(places, kind="stable")
-    which, places = phrase[which[order]], places[order]
+    which, places = phrase.astype(np.int32)[which[order]], places[order]
     return ids, places, which, np.flatnonzero(places[1:] == places[:-1] + 1)
 
 
@@ -157,7 +165,7 @@ def _extended(lists: DataFrame, group: Column, width: int, rules: CollocationRul
     followed by some kept phrase at `least` of its places, and b follows one at as many of its own; so these are counted first, and
     phrases that fail are not extended on that side.
     """
-    grouped = lists.select(group.alias("grp"), "own", "id", "places")
+    grouped = lists.select(group.alias("grp"), "seg", "id", "places")
 
     def linked(table: pa.Table) -> pa.Table:
         ids, _, which, at = _placed(table, width)
@@ -171,12 +179,12 @@ def _extended(lists: DataFrame, group: Column, width: int, rules: CollocationRul
 
     def merge(table: pa.Table, known: pa.Table) -> pa.Table:
         if not known.num_rows or not table.num_rows:
-            return pa.table({"own": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
+            return pa.table({"seg": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
         ids, places, which, at = _placed(table, width)
         sides = np.zeros((2, len(ids)), bool)
         sides[:, np.searchsorted(ids, known["id"].to_numpy())] = [known[c].to_numpy() for c in ("first", "second")]
         at = at[sides[0][which[at]] & sides[1][which[at + 1]]]
-        keys, longer = _lists_of((which[at] << _SHIFT) | which[at + 1], places[at])
+        keys, longer = _lists_of((which[at].astype(np.int64) << _SHIFT) | which[at + 1], places[at])
         found = list(_batches(table["grp"][0].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], longer))
         return pa.Table.from_batches(found) if found else merge(table, known.slice(0, 0))
 
@@ -188,18 +196,16 @@ def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules
     segments = written(_segments(docs, rules), "segments")
     totals = written(segments.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")), "totals")
     dictionary = segments.select("seg", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "x")).select("seg", "lang", "no", "x.words", "x.counts")
-    same = Window.partitionBy("lang", "word")
-    own = F.shiftleft("seg", _NUMBER).bitwiseOR(F.col("no")).alias("own")
-    dictionary = dictionary.select("seg", "lang", "no", F.col("words").alias("word"), "counts", own)
-    named = dictionary.withColumns({"f": F.sum("counts").over(same), "id": F.min("own").over(same)}).filter(F.col("f") >= rules.least)
+    dictionary = dictionary.select("seg", "lang", "no", F.col("words").alias("word"), "counts")
+    named = _named(dictionary, ["lang", "word"]).withColumn("f", F.sum("counts").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= rules.least)
     named = written(named.select("seg", "no", "own", "id", "lang", "word", "f"), "words")
     names = named.filter("own = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = [names.select("lang", F.lit(1).alias("size"), "phrase", "f")]
     lists = written(_kept(_pairs(segments, named.select("seg", "no", "id")), 4, rules), "lists")
     dropped(segments)
-    # Groups of segments have about half a segment's places that are left.
-    groups = -(-2 * (lists.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 1) // rules.segment_words)
-    group, width = F.pmod(F.xxhash64(F.shiftright("own", _NUMBER)), F.lit(int(groups))), 4
+    # A group of segments has about as many places that are left as a segment may have.
+    groups = -(-(lists.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 1) // rules.segment_words)
+    group, width = F.pmod(F.xxhash64("seg"), F.lit(int(groups))), 4
     for size in range(2, rules.most_words + 1):
         second = names.select(F.col("id").alias("b"), F.col("last").alias("end"))
         spelt = lists.filter("own = id").select("id", "a", "b", "f").join(names.select(F.col("id").alias("a"), "lang", "phrase"), "a").join(second, "b")
@@ -208,7 +214,7 @@ def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules
         if size < rules.most_words:
             longer = written(_kept(_extended(lists, group, width, rules), 8, rules), "lists")
             dropped(lists)
-            lists, group, width = longer, F.shiftright("own", _NUMBER), 8
+            lists, group, width = longer, F.col("seg"), 8
     dropped(lists)
     every = found[0]
     for part in found[1:]:
