@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.llm.positional_index import words
+
 # Phrases whose every occurrence counts, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -48,8 +50,6 @@ TEMPLATES = {
         purpose, commercial or non-commercial, and by any means.""",
 }
 
-_APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
 
 @dataclass(frozen=True)
 class DiagonalRules:
@@ -60,15 +60,6 @@ class DiagonalRules:
     coverage: float = 0.6
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words: runs of digits, ASCII letters and non-ASCII characters.
-
-    `lower` also lowers letters outside ASCII. That neither joins nor parts words, and no phrase or template has
-    a letter that comes from one of those.
-    """
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _APART), "")
-
-
 def _templates(spark: SparkSession, rules: DiagonalRules) -> DataFrame:
     """One row for each k-gram of each template: bounded by the length of the template list."""
     rows = []

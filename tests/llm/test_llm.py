@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lintlake.llm import bilinear, html_text, lattice_sampling, licenses, multi_index, packing, quality, secret_spans, sharding, simhash
 from lintlake.llm.components import connected_components
@@ -638,3 +639,9 @@ def test_a_ring_walked_by_hand(spark):
     got = sharding.sharded(docs).toPandas()
     assert sorted(got.groupby("shard").size()) == [124] + [125] * 7 and got["size"].sum() == sum(k % 7 + 1 for k in range(999))
     assert all(r.text_crc32 == zlib.crc32(b"x" * (r.doc_id % 7)) for r in got.itertuples())
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    text = "Under the MIT License. K É"
+    rows = spark.createDataFrame([(text,), (None,)], "text string").select(licenses.words(F.col("text")).alias("w")).collect()
+    assert rows[0]["w"] == ["under", "the", "mit", "license", "K", "É"] and rows[1]["w"] == []
