@@ -1,61 +1,18 @@
-"""Tables written to the folder that the driver and all executors share.
-
-Writing a table cuts the lineage: whatever reads it later survives the loss of the executors that made it.
-"""
+"""Tables in the shared folder, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-_CONF = "spark.checkpoint.dir"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_BATCH_BYTES = 8 << 20
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
-    found = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{_CONF} must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lintlake-")
-    return _own[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet under the shared folder and read back.
-
-    Meanwhile an Arrow batch holds no more than `_BATCH_BYTES`, so that a Python worker never holds 10,000 long texts at once.
-    """
-    spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, _BATCH_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
 
+from lintlake.sources.stored import BATCH_BYTES, dropped, shared_dir, written
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that `written` made and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["dropped", "in_small_batches", "shared_dir", "written"]
 
 
-def in_small_batches(batches: Iterator[pa.RecordBatch], column: str = "_raw", most: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def in_small_batches(batches: Iterator[pa.RecordBatch], column: str = "_raw", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in batches whose `column` has about `most` bytes, or one row, at most."""
     for batch in batches:
         low, held = 0, 0

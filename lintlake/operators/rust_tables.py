@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,18 +26,32 @@ PARSED = {
     "nodes": "array<struct<node:int,past:int,parent:int,kind:string,text:string,line:int,end_line:int,at:int,whole:boolean,fn:int,block:int>>",
 }
 _SCHEMA = "file_path string, content string, masked string, code string, comment_text string, error string, " + ", ".join(f"{k} {v}" for k, v in PARSED.items())
+_SCAN_BYTES = 256 << 10  # of text; the rows of its nodes take some hundred times as much in Python
+
+
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in parts of about `_SCAN_BYTES` of content, or of one file that is larger."""
+    low, held = 0, 0
+    for k, size in enumerate(pc.binary_length(batch["content"]).to_pylist()):
+        if k > low and held + (size or 0) > _SCAN_BYTES:
+            yield batch.slice(low, k - low)
+            low, held = k, 0
+        held += size or 0
+    if low < batch.num_rows:
+        yield batch.slice(low)
 
 
 def parsed(sources: DataFrame) -> DataFrame:
     """file_path, content, masked, code, comment_text, error, and the arrays of `PARSED`, for every Rust source (file_path, content).
 
     A file whose brackets don't match, or are nested too deeply, has an error and no items; its text columns are there all the same.
+    Rows come in small batches, so that a worker's memory follows from the largest file and not from the number of files.
     """
     schema = StructType.fromDDL(_SCHEMA)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _in_parts(whole)):
             rows = []
             for path, text in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 s = Scan(text or "")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators.rust_rules import rust_findings
 from lintlake.operators.rust_tables import parsed
+from lintlake.sources.stored import written
 
 RULES = (
     "size.parameter-count", "size.function-length", "naming.generic-function", "naming.short-variable", "docs.missing-public-doc", "complexity.cyclomatic", "performance.clone-in-loop",
@@ -40,7 +41,7 @@ def document_sources(docs: DataFrame) -> DataFrame:
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rule_id, findings, first_file of the rules `RULES` on the sources of all documents."""
     sources = document_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    table = parsed(sources).select("*").persist()  # every group of rules reads it
+    table = written(parsed(sources), "parsed")  # every group of rules reads some of its columns
     found = rust_findings(sources, table=table).filter(F.col("rule_id").isin(*RULES))
     return found.groupBy("rule_id").agg(F.count("*").alias("findings"), F.min("file_path").alias("first_file"))
 

@@ -1,9 +1,11 @@
-"""Baselines and score histories in files."""
+"""Baselines and score histories in files, and tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from lintlake.operators.findings import baseline_entries
 
 VERSION = "lintlake.baseline.v1"
 _ENTRY = "fingerprint string, ruleId string, filePath string, line int, symbol string, message string"
+_CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+_own: dict[str, str] = {}
 
 
 def write_baseline(findings: DataFrame, folder: str) -> None:
@@ -41,3 +47,40 @@ def record_history(path: str, findings: int, score: float, keep: int = 100) -> l
     with open(path, "w", encoding="utf-8") as out:
         json.dump(history, out, indent=2)
     return history
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
+    found = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{_CONF} must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="lintlake-")
+    return _own[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet under the shared folder and read back.
+
+    That cuts the lineage: whatever reads it later survives the loss of the executors that made it.
+    Meanwhile an Arrow batch holds no more than `BATCH_BYTES`, so that a Python worker never holds 10,000 long texts at once.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` made and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,7 +12,7 @@ from lintlake.functions.columns import entropy, fingerprint, glob_regex, redact
 from lintlake.operators import findings as O
 from lintlake.operators import scoring as S
 from lintlake.operators import text_rules as T
-from lintlake.plans import flagship, queries
+from lintlake.plans import derived, flagship, queries
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = "rule_id string, message string, file_path string, line int, end_line int, severity string, pillar string, confidence string, symbol string, emit_seq bigint"
@@ -124,3 +124,14 @@ def test_flagship(spark):
 def test_scores_over_all_findings(spark):
     total = queries.QUERIES["identities"](spark, DATA).count()
     assert queries.QUERIES["pillar_scores"](spark, DATA).agg(F.sum("findings")).first()[0] == total
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_rules_on_sources_of_documents_keep_nothing_in_memory(spark):
+    """The parsed sources are many times the documents, so they are written and not kept by executors."""
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, db = kept(), duckdb.connect()
+    db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    got = derived.document_rules(spark, DATA).toPandas()
+    assert kept() == before
+    assert rows_of(got) == rows_of(db.execute(derived.ORACLE_SQL).df())

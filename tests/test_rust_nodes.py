@@ -1,9 +1,11 @@
 """The node table against trees written by hand, and the rules that read it against expected rows."""
 
+import pyarrow as pa
 import pytest
 
 from lintlake.functions.rust_source import Scan, byte_masks, comment_scope, loop_code, masked
 from lintlake.operators import rust_facts as facts
+from lintlake.operators import rust_tables
 from lintlake.operators.rust_rules import BLOCK_RULES, NameOptions, rust_findings
 from lintlake.operators.rust_tables import exploded, parsed
 
@@ -171,3 +173,13 @@ def test_references_of_attributes(findings):
 
 def test_every_block_rule_has_a_message():
     assert all(r.message.startswith(("concat(", "'")) and r.id.count(".") == 1 for r in BLOCK_RULES)
+
+
+def test_files_are_scanned_in_parts_of_bounded_size():
+    """A scan makes some hundred times its text in Python: a batch of 10,000 files took gigabytes."""
+    texts = ["fn f() {}\n" * 3000, None, "", *["fn g() { a.b(); }\n" * 200] * 400, "x" * 1_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))]), pa.array(texts)], ["file_path", "content"])
+    parts = list(rust_tables._in_parts(batch))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(sum(len(t or "") for t in p["content"].to_pylist()) <= rust_tables._SCAN_BYTES for p in parts[:-1]) and parts[-1].num_rows == 1
+    assert list(rust_tables._in_parts(batch.slice(0, 0))) == []
