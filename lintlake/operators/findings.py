@@ -160,5 +160,5 @@ def explicit_ranges(ranges: Sequence[tuple[int, int]], files: DataFrame) -> Data
 
 
 def unanalysed(changed_files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files of a patch that were not analysed."""
-    return changed_files.select("file_path").subtract(sources.select("file_path"))
+    """Files of a patch that were not analysed. Paths are told apart before the join: sources may be findings, millions of which share a path."""
+    return changed_files.select("file_path").subtract(sources.select("file_path").distinct())

@@ -135,3 +135,12 @@ def test_rules_on_sources_of_documents_keep_nothing_in_memory(spark):
     got = derived.document_rules(spark, DATA).toPandas()
     assert kept() == before
     assert rows_of(got) == rows_of(db.execute(derived.ORACLE_SQL).df())
+
+
+def test_paths_of_findings_are_told_apart_before_the_join(spark):
+    """A path that millions of findings share is one row of the join, and null paths match as in EXCEPT."""
+    files = spark.createDataFrame([("a.rs", False), ("a.rs", True), ("b.rs", False), (None, False)], "file_path string, whole_file boolean")
+    found = spark.range(50_000).selectExpr("if(id % 3 = 0, null, 'b.rs') as file_path")
+    missing = O.unanalysed(files, found)
+    assert [r["file_path"] for r in missing.collect()] == ["a.rs"]
+    assert missing._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
