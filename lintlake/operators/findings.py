@@ -136,10 +136,17 @@ def patch_deltas(flagged: DataFrame) -> DataFrame:
     return _net(flagged.groupBy("rule_id").agg(F.count_if("changed").alias("introduced"), F.count_if(~F.col("changed")).alias("removed")))
 
 
+def by_place(findings: DataFrame) -> DataFrame:
+    """file_path, line, end_line, severity, n: findings of one place and severity as one row with their number, which is all that the totals of a patch need."""
+    return findings.groupBy("file_path", "line", "end_line", "severity").agg(F.count("*").alias("n"))
+
+
 def patch_totals(flagged: DataFrame) -> DataFrame:
-    """One row: total, kept, suppressed, and by severity what is kept."""
-    of = lambda level: F.count_if(F.col("changed") & (F.col("severity") == level)).alias(level)
-    return flagged.agg(F.count("*").alias("total"), F.count_if("changed").alias("kept"), F.count_if(~F.col("changed")).alias("suppressed"), *map(of, ("error", "warning", "advisory")))
+    """One row: total, kept, suppressed, and by severity what is kept. A row with `n`, as `by_place` gives, counts so often."""
+    n = F.col("n") if "n" in flagged.columns else F.lit(1)
+    count = lambda held: F.coalesce(F.sum(F.when(held, n)), F.lit(0)).cast("bigint")
+    of = lambda level: count(F.col("changed") & (F.col("severity") == level)).alias(level)
+    return flagged.agg(count(F.lit(True)).alias("total"), count(F.col("changed")).alias("kept"), count(~F.col("changed")).alias("suppressed"), *map(of, ("error", "warning", "advisory")))
 
 
 def patch_diagnostic(flagged: DataFrame, missing: DataFrame) -> DataFrame:

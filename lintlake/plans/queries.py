@@ -368,7 +368,8 @@ def patch_deltas(spark, sf_dir):
 )
 def patch_diagnostic(spark, sf_dir):
     """What a patch kept, and which of its files were not analysed."""
-    return O.patch_diagnostic(_flagged(spark, sf_dir), O.unanalysed(M.changed_files(spark, sf_dir), M.findings(spark, sf_dir)))
+    files, places = M.changed_files(spark, sf_dir), O.by_place(M.findings(spark, sf_dir))
+    return O.patch_diagnostic(O.with_changed(places, M.changed_lines(spark, sf_dir), files), O.unanalysed(files, places))
 
 
 @_query(

@@ -144,3 +144,14 @@ def test_paths_of_findings_are_told_apart_before_the_join(spark):
     missing = O.unanalysed(files, found)
     assert [r["file_path"] for r in missing.collect()] == ["a.rs"]
     assert missing._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_totals_of_a_patch_from_counted_places(spark):
+    found = table(spark, finding(seq=1), finding(seq=2, rule="x"), finding(line=7, seq=3, severity="error"), finding(line=None, seq=4), finding(file="z.rs", seq=5))
+    lines = spark.createDataFrame([("a.rs", 1)], "file_path string, line int")
+    files = spark.createDataFrame([("a.rs", False)], "file_path string, whole_file boolean")
+    places = O.by_place(found)
+    assert sorted(r["n"] for r in places.collect()) == [1, 1, 1, 2]
+    one, many = (O.patch_totals(O.with_changed(x, lines, files)).first().asDict() for x in (places, found))
+    assert one == many == {"total": 5, "kept": 3, "suppressed": 2, "error": 0, "warning": 3, "advisory": 0}
+    assert O.patch_totals(O.with_changed(places.filter("false"), lines, files)).first()["total"] == 0
