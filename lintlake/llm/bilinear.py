@@ -3,8 +3,8 @@
 The vectors of the two words before a token, each from the table of its position, add up to a prediction; its products
 with the vectors of all listed words, of the end of text and of one class for all rarer words, plus their biases, are
 the logits. Within the class of rarer words a word has its share of their counts. The model is trained in
-numpy by noise-contrastive estimation on every `every`-th token of every training document, other ones in each round, so the
-number of updates grows with the corpus. Tokens are dealt to shards by a hash of their document, and the number of shards follows
+numpy by noise-contrastive estimation on every token of every training document: documents are dealt to the rounds by a hash, so
+the number of updates grows with the corpus. Tokens are dealt to shards by a hash of their document, and the number of shards follows
 from the table alone: each shard starts a round from the same vectors and trains on its own tokens in the order of
 their hashes; changes are merged row by row in a shuffle, in the order of the shards. So neither files nor tasks change a score, and the
 driver holds no more than the bounded tables. As logits are sums of a part for each
@@ -37,20 +37,25 @@ _MOST = 3.0  # bound of a vector's components, under which no normaliser overflo
 class ModelRules:
     """`listed` words have vectors of their own as targets and the first `own` of them as contexts; other contexts are
     classed by their last two bytes, the `endings` most frequent of which have vectors. A change counts in full up to `votes`
-    updates of a row in all shards and is averaged beyond that. A shard has about `shard` tokens in a round."""
+    updates of a row in all shards and is averaged beyond that. Documents are dealt to `every` shares, at most as many as there are
+    `rounds`, which take them in turn, so that each token is trained on. A shard has about `shard` tokens in a round."""
 
     listed: int = 65_536
     own: int = 1024
     endings: int = 62
     width: int = 32
-    every: int = 8
+    every: int = 3
     rounds: int = 3
-    shard: int = 1_000_000
-    batch: int = 256
+    shard: int = 2_500_000
+    batch: int = 1024
     noise: int = 128
     rate: float = 0.1
     votes: float = 10.0
 
+    def __post_init__(self):
+        if not 0 < self.every <= self.rounds:
+            raise ValueError(f"{self.rounds} rounds can't train on {self.every} shares of the documents")
+
 
 @dataclass
 class Model:
@@ -161,33 +166,41 @@ def listed_model(counts: DataFrame, rules: ModelRules) -> Model:
     return Model({w: k for k, w in enumerate(words)}, context_of, endings, n, float(rare + rare_kinds + 1), far, near, word)
 
 
-_TOKEN = np.dtype([("far", "<u2"), ("near", "<u2"), ("target", "<u4")])
-
-
 def training_tokens(train: DataFrame, model: Model, rules: ModelRules, shards: int) -> DataFrame:
-    """shard, key and, for each round k, ids<k> (binary): context before last, last context and target of every `every`-th token of a
-    document, from another one on in each round. Equal documents of one id have equal rows."""
-    rounds = range(rules.rounds)
+    """shard, key, share and ids (binary, deflated uint32): the share of the rounds that a document falls to, and all its tokens and the end.
+
+    A token of the class of rarer words is numbered from that class on by its context class. Equal documents of one id have equal rows.
+    """
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[bytes]] = [[] for _ in rounds]
+            rows = []
             for raw in batch["_raw"].to_pylist():
-                far, near, target = model.encoded(raw.lower().split())
-                found = np.zeros(len(target), _TOKEN)
-                found["far"], found["near"], found["target"] = far, near, target
-                first = zlib.crc32(raw) % rules.every
-                for k in rounds:
-                    rows[k].append(found[(first + k * rules.every // rules.rounds) % rules.every :: rules.every].tobytes())
-            yield pa.RecordBatch.from_arrays([batch["shard"], batch["key"], *(pa.array(r, pa.binary()) for r in rows)], ["shard", "key", *(f"ids{k}" for k in rounds)])
+                _, near, target = model.encoded(raw.lower().split())
+                context = np.append(near[1:], 0)  # each token's own class; that of the end isn't asked for
+                rows.append(zlib.compress(np.where(target > model.end, target + context, target).astype("<u4").tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([batch["shard"], batch["key"], batch["share"], pa.array(rows, pa.binary())], ["shard", "key", "share", "ids"])
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    texts = _texts(train, F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"))
-    return texts.mapInArrow(taken, "shard int, key bigint, " + ", ".join(f"ids{k} binary" for k in rounds))
+    share = F.pmod(F.xxhash64(key), F.lit(rules.every)).cast("int")
+    texts = _texts(train, F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), share.alias("share"))
+    return texts.mapInArrow(taken, "shard int, key bigint, share int, ids binary")
+
+
+def in_context(model: Model, ids: np.ndarray) -> np.ndarray:
+    """Rows context before last, last context and target of the tokens of whole documents, as `training_tokens` numbers them."""
+    end, ends = len(model.word) - 2, len(model.far) - 1
+    context = np.concatenate([model.context_of[:-1], [ends], np.arange(ends)]).astype(np.int32)[ids]
+    near = np.concatenate([np.full(1, ends, np.int32), context[:-1]])
+    far = np.where(near == ends, ends, np.concatenate([near[:1], near[:-1]]))  # nothing of the document before
+    return np.stack([far, near, np.minimum(ids, end + 1)]).astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    out = np.minimum(np.maximum(x, -40), 40)
+    np.exp(np.negative(out, out=out), out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class _Rows:
@@ -240,22 +253,20 @@ def _changes(model, rules: ModelRules, rate: float, seed: int):
         shard, part, held, size = -1, 0, [], 0
         for batch in batches:
             for own, raw in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                if held and (own != shard or size > 4 * rules.shard):
-                    yield (shard << 20) + part, np.concatenate(held)
+                if held and (own != shard or size > 2 * rules.shard):
+                    yield (shard << 20) + part, in_context(model.value, np.concatenate(held))
                     part, held, size = part + 1 if own == shard else 0, [], 0
                 shard = own
-                held.append(np.frombuffer(raw, _TOKEN))
+                held.append(np.frombuffer(zlib.decompress(raw), "<u4"))
                 size += len(held[-1])
         if held:
-            yield (shard << 20) + part, np.concatenate(held)
+            yield (shard << 20) + part, in_context(model.value, np.concatenate(held))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = model.value
-        for shard, tokens in pieces(batches):
-            if not len(tokens):
-                continue
-            ids, first = np.stack([tokens[c].astype(np.int64) for c in ("far", "near", "target")]), 0
-            for was, now in zip((start.far, start.near, start.word), noise_contrastive(start, ids, rules, rate, seed + zlib.crc32(tokens.tobytes())), strict=True):
+        for shard, ids in pieces(batches):
+            first = 0
+            for was, now in zip((start.far, start.near, start.word), noise_contrastive(start, ids, rules, rate, seed + zlib.crc32(ids.tobytes())), strict=True):
                 rows = np.flatnonzero(now.times)
                 change = np.zeros((len(rows), rules.width + 1), "<f4")
                 change[:, : was.shape[1]] = now.values[rows] - was[rows]
@@ -296,7 +307,7 @@ def fitted(train: DataFrame, counts: DataFrame, rules: ModelRules) -> Model:
     sizes = np.cumsum([len(model.far), len(model.near)])
     for k in range(rules.rounds):
         shared = context.broadcast(replace(model, names={}))
-        dealt = tokens.select("shard", "key", F.col(f"ids{k}").alias("ids")).repartition(tasks, "shard").sortWithinPartitions("shard", "key", "ids")
+        dealt = tokens.filter(F.col("share") == k % rules.every).select("shard", "key", "ids").repartition(tasks, "shard").sortWithinPartitions("shard", "key", "ids")
         changes = dealt.mapInArrow(_changes(shared, rules, rules.rate * (1 - k / rules.rounds), k), "block int, shard bigint, rows binary, votes binary, change binary")
         merged = changes.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_merged(rules.width), "block int, change binary").collect()  # at most all rows of the model
         whole = np.zeros((-(-(sizes[1] + len(model.word)) // _BLOCK) * _BLOCK, rules.width + 1), np.float32)

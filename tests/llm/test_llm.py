@@ -645,3 +645,21 @@ def test_only_ascii_letters_are_lowered(spark):
     text = "Under the MIT License. K É"
     rows = spark.createDataFrame([(text,), (None,)], "text string").select(licenses.words(F.col("text")).alias("w")).collect()
     assert rows[0]["w"] == ["under", "the", "mit", "license", "K", "É"] and rows[1]["w"] == []
+
+
+def test_the_rounds_train_on_every_token(spark, odd):
+    """Each training document falls to a share that some round takes, with all its tokens in their contexts."""
+    rules = bilinear.ModelRules(listed=6, own=3, endings=1, width=4, batch=8, noise=4)
+    assert {k % rules.every for k in range(rules.rounds)} == set(range(rules.every))
+    with pytest.raises(ValueError, match="shares"):
+        bilinear.ModelRules(every=8)
+    more = spark.createDataFrame([(100 + k, " ".join(f"w{k * j % 7}" for j in range(k))) for k in range(60)], odd.select("doc_id", "text").schema)
+    train = odd.select("doc_id", "text").union(more).filter(~bilinear.held_out())
+    model = bilinear.listed_model(bilinear.token_counts(train), rules)
+    got = bilinear.training_tokens(train, model, rules, 2).collect()
+    assert {r["share"] for r in got} == set(range(rules.every)) and {r["shard"] for r in got} == {0, 1}
+    ids = [np.frombuffer(zlib.decompress(r["ids"]), "<u4") for r in got]
+    wanted = [np.stack(model.encoded((r["text"] or "").encode().lower().split())).tolist() for r in train.collect()]
+    assert sorted(bilinear.in_context(model, x).tolist() for x in ids) == sorted(wanted)
+    assert bilinear.in_context(model, np.concatenate(ids)).tolist() == np.concatenate([bilinear.in_context(model, x) for x in ids], axis=1).tolist()
+    assert sum(map(len, ids)) == model.counts.sum()
