@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import dropped, written
+from lintlake.llm.shared import dropped, in_small_batches, written
 
 _FLUSH = 400_000
 _BLOCK = 512
+_AT_ONCE = 1 << 20  # bytes of the texts that are numbered, or deflated ones of those that are scored, at once
 _MOST = 3.0  # bound of a vector's components, under which no normaliser overflows
 
 
@@ -75,15 +76,16 @@ class Model:
     def end(self) -> int:
         return len(self.names)
 
-    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context before last, last context, target id) of each word and then of the end; a text starts after two ends."""
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word of whole documents, in which an empty one stands for an end; one of the class of rarer words is numbered from that class on by its context class."""
         at = np.fromiter(map(self.names.get, words, repeat(-1)), np.int64, len(words))
-        context = self.context_of[at]
         for k in np.flatnonzero(at < 0).tolist():
-            context[k] = self.endings.get(words[k][-2:], len(self.far) - 2)
-        ends = len(self.far) - 1
-        padded = np.concatenate([[ends, ends], context])
-        return padded[:-1], padded[1:], np.append(np.where(at < 0, self.end + 1, at), self.end)
+            at[k] = self.end + 1 + self.endings.get(words[k][-2:], len(self.far) - 2) if words[k] else self.end
+        return at
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context before last, last context, target id) of each word and then of the end; a text starts after two ends."""
+        return tuple(in_context(self, self.numbered([*words, b""])))
 
     def normalised(self) -> Model:
         """The model with the log of the normaliser of every two context classes, by products over blocks of words."""
@@ -96,10 +98,12 @@ class Model:
     def log10(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 probability of each target after its context; that of a rarer word is its class's."""
         out = np.empty(len(target))
-        for k in range(0, len(target), 1 << 16):  # of a very long text only so many vectors at once
-            part = slice(k, k + (1 << 16))
-            word, context = self.word[target[part]].astype(float), self.far[far[part]].astype(float) + self.near[near[part]]
-            out[part] = np.einsum("ij,ij->i", context, word[:, :-1]) + word[:, -1] - self.log_norm[far[part], near[part]]
+        before, last = self.far.astype(float), self.near.astype(float)
+        for k in range(0, len(target), 1 << 14):  # of a very long text only so many vectors at once
+            part = slice(k, k + (1 << 14))
+            word, context = self.word.take(target[part], axis=0), before.take(far[part], axis=0)
+            context += last.take(near[part], axis=0)
+            out[part] = np.einsum("ij,ij->i", context, word[:, :-1].astype(float)) + word[:, -1] - self.log_norm[far[part], near[part]]
         return out / np.log(10)
 
 
@@ -112,6 +116,27 @@ def _texts(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.coalesce("text", F.lit("")).cast("binary").alias("_raw"))
 
 
+def _batch_words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts of a batch, each text's followed by an empty one for its end, and how many those are by text."""
+    words: list[bytes] = []
+    pasts = [0]
+    for raw in batch["_raw"].to_pylist():
+        words += raw.lower().split()
+        words.append(b"")
+        pasts.append(len(words))
+    return words, np.diff(pasts)
+
+
+def _deflated(raw: bytes) -> bytes:
+    small = zlib.compressobj(1, wbits=12, memLevel=4)  # the tables that zlib clears for each text are no longer than most texts
+    return small.compress(raw) + small.flush()
+
+
+def _split(items: list, cuts: np.ndarray) -> list[list]:
+    edges = [0, *cuts.tolist(), len(items)]
+    return [items[low:past] for low, past in zip(edges, edges[1:], strict=False)]
+
+
 def token_counts(train: DataFrame) -> DataFrame:
     """word (binary; empty: the end of text), c: how often each token occurs, added up in each task first."""
 
@@ -167,24 +192,28 @@ def listed_model(counts: DataFrame, rules: ModelRules) -> Model:
 
 
 def training_tokens(train: DataFrame, model: Model, rules: ModelRules, shards: int) -> DataFrame:
-    """shard, key, share and ids (binary, deflated uint32): the share of the rounds that a document falls to, and all its tokens and the end.
+    """doc_id, held_out, shard, key, share, ids (binary, deflated uint32), words, times, row (another in each run, so write the result).
 
-    A token of the class of rarer words is numbered from that class on by its context class. Equal documents of one id have equal rows.
+    `share` is that of the rounds that a document falls to, `ids` are the numbers of all its tokens and the end (`Model.numbered`), `words`
+    its distinct words of the class of rarer words and `times` how often each stands in it. Equal documents of one id have equal rows.
     """
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw in batch["_raw"].to_pylist():
-                _, near, target = model.encoded(raw.lower().split())
-                context = np.append(near[1:], 0)  # each token's own class; that of the end isn't asked for
-                rows.append(zlib.compress(np.where(target > model.end, target + context, target).astype("<u4").tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([batch["shard"], batch["key"], batch["share"], pa.array(rows, pa.binary())], ["shard", "key", "share", "ids"])
+        for batch in in_small_batches(batches, most=_AT_ONCE):
+            words, sizes = _batch_words(batch)
+            numbers, pasts = model.numbered(words), np.cumsum(sizes)
+            away = np.flatnonzero(numbers > model.end)
+            rare = [Counter(x) for x in _split([words[k] for k in away.tolist()], np.searchsorted(away, pasts[:-1]))]
+            rows = [_deflated(x.tobytes()) for x in np.split(numbers.astype("<u4"), pasts[:-1])]
+            columns = [pa.array(rows, pa.binary()), pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "ids", "words", "times"])
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     share = F.pmod(F.xxhash64(key), F.lit(rules.every)).cast("int")
-    texts = _texts(train, F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), share.alias("share"))
-    return texts.mapInArrow(taken, "shard int, key bigint, share int, ids binary")
+    dealt = [F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), share.alias("share")]
+    texts = _texts(train, F.col("doc_id").cast("bigint"), held_out().alias("held_out"), *dealt)
+    shape = "doc_id bigint, held_out boolean, shard int, key bigint, share int, ids binary, words array<binary>, times array<bigint>"
+    return texts.mapInArrow(taken, shape).withColumn("row", F.monotonically_increasing_id())
 
 
 def in_context(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -196,51 +225,79 @@ def in_context(model: Model, ids: np.ndarray) -> np.ndarray:
     return np.stack([far, near, np.minimum(ids, end + 1)]).astype(np.int32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.minimum(np.maximum(x, -40), 40)
-    np.exp(np.negative(out, out=out), out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
+@dataclass
+class _Rows:
+    """A table of vectors, and how often each row was updated."""
 
+    values: np.ndarray
+    times: np.ndarray
 
-class _Rows:
-    """A table of vectors with Adagrad sums, and how often each row was updated."""
 
-    def __init__(self, values: np.ndarray):
-        self.values, self.sums, self.times = values.copy(), np.ones(values.shape, np.float32), np.zeros(len(values), np.float32)
+def _summed(gradients: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, how often each occurs, and the sums of the gradients of each, added in their order.
 
-    def update(self, rows: np.ndarray, gradients: np.ndarray, rate: float) -> None:
-        order = rows.argsort(kind="stable")
-        ranked = rows[order]
-        at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        own, g = ranked[at], np.add.reduceat(gradients[order], at, axis=0)
-        sums = self.sums[own] + g * g
-        self.sums[own], self.times[own] = sums, self.times[own] + np.diff(np.append(at, len(ranked)))
-        self.values[own] -= rate * g / np.sqrt(sums)
+    Of 64-bit numbers a sort also gives the order. Rows that occur once aren't added up, and sums take two columns at once, as complex numbers.
+    """
+    bits = len(rows).bit_length()
+    ranked = np.sort((rows << bits) | np.arange(len(rows)))
+    order, ranked = ranked & ((1 << bits) - 1), ranked >> bits
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    times = np.diff(at, append=len(ranked))
+    total = gradients.take(order[at], axis=0)
+    many = np.flatnonzero(times > 1)
+    if len(many):
+        own = gradients.take(order[np.repeat(times > 1, times)], axis=0).view(np.complex64)
+        total[many] = np.add.reduceat(own, np.cumsum(times[many]) - times[many], axis=0).view(np.float32)
+    return ranked[at], times, total
 
 
 def noise_contrastive(model: Model, ids: np.ndarray, rules: ModelRules, rate: float, seed: int) -> list[_Rows]:
     """Far, near and word rows after one pass over the columns of `ids`, in an order that the seed gives.
 
     Each batch shares `noise` words drawn by their counts; a batch's true words are told from them by their logits, taken as
-    normalised, less the log of the expected number of such noise words.
+    normalised, less the log of the expected number of such noise words. Rows are updated with Adagrad. The three tables are one, with
+    zeros up to an even number of columns, so that a batch is one update.
     """
     rng, share = np.random.default_rng(seed), (model.counts + 1) / (model.counts + 1).sum()
     cumulative, log_noise = np.cumsum(share) / share.sum(), np.log(rules.noise * share).astype(np.float32)
-    far, near, word = _Rows(model.far), _Rows(model.near), _Rows(model.word)
-    ids = ids[:, rng.permutation(ids.shape[1])]
-    for k in range(0, ids.shape[1], rules.batch):
-        a, b, true = ids[:, k : k + rules.batch]
-        wrong = np.minimum(np.searchsorted(cumulative, rng.random(rules.noise)), len(share) - 1)
-        guess = np.concatenate([far.values[a] + near.values[b], np.ones((len(a), 1), np.float32)], axis=1)
-        true_rows, wrong_rows = word.values[true], word.values[wrong]
-        true_error = _sigmoid(np.einsum("ij,ij->i", guess, true_rows) - log_noise[true]) - 1
-        wrong_error = _sigmoid(guess @ wrong_rows.T - log_noise[wrong])
-        back = (true_error[:, None] * true_rows + wrong_error @ wrong_rows)[:, :-1]
-        word.update(np.concatenate([true, wrong]), np.concatenate([true_error[:, None] * guess, wrong_error.T @ guess]), rate)
-        far.update(a, back, rate)
-        near.update(b, back, rate)
-    return [far, near, word]
+    starts, bias = np.cumsum([0, len(model.far), len(model.near), len(model.word)]), model.far.shape[1]
+    values = np.zeros((starts[-1], bias + 2 - bias % 2), np.float32)
+    for low, table in zip(starts, (model.far, model.near, model.word), strict=False):
+        values[low : low + len(table), : table.shape[1]] = table
+    sums, times = np.ones(values.shape, np.float32), np.zeros(len(values), np.float32)
+    columns = ids.T[rng.permutation(ids.shape[1])]
+    columns += starts[:3].astype(columns.dtype)
+    drawn = np.searchsorted(cumulative, rng.random((-(-len(columns) // rules.batch), rules.noise)))
+    for k, wrong in zip(range(0, len(columns), rules.batch), np.minimum(drawn, len(share) - 1), strict=True):
+        a, b, true = columns[k : k + rules.batch].T
+        guess = values.take(a, axis=0)
+        guess += values.take(b, axis=0)
+        guess[:, bias] = 1
+        true_rows, wrong_rows = values.take(true, axis=0), values.take(wrong + starts[2], axis=0)
+        away = wrong_rows.copy()
+        away[:, bias] -= log_noise[wrong]
+        with np.errstate(over="ignore"):  # of a large logit: 1 / (1 + inf)
+            true_error = -1 / (1 + np.exp(np.einsum("ij,ij->i", guess, true_rows) - log_noise[true - starts[2]]))
+            wrong_error = guess @ np.negative(away, out=away).T
+            np.exp(wrong_error, out=wrong_error)
+        wrong_error += 1
+        np.reciprocal(wrong_error, out=wrong_error)
+        back = wrong_error @ wrong_rows
+        true_rows *= true_error[:, None]
+        back += true_rows
+        back[:, bias:] = 0
+        toward = wrong_error.T @ guess
+        guess *= true_error[:, None]
+        own, often, g = _summed(np.concatenate([back, back, guess, toward]), np.concatenate([a, b, true, wrong + starts[2]]).astype(np.int64))
+        seen = sums.take(own, axis=0)
+        seen += g * g
+        sums[own] = seen
+        times[own] += often
+        g *= rate
+        g /= np.sqrt(seen, out=seen)
+        values[own] -= g
+    cuts = [slice(low, past) for low, past in zip(starts, starts[1:], strict=False)]
+    return [_Rows(values[x, : table.shape[1]], times[x]) for x, table in zip(cuts, (model.far, model.near, model.word), strict=True)]
 
 
 def _changes(model, rules: ModelRules, rate: float, seed: int):
@@ -298,11 +355,22 @@ def _merged(width: int):
     return merge
 
 
+def _shards(model: Model, rules: ModelRules) -> int:
+    return max(1, -(-int(model.counts.sum()) // (rules.every * rules.shard)))
+
+
 def fitted(train: DataFrame, counts: DataFrame, rules: ModelRules) -> Model:
+    """The model trained on the documents of `train`, whose tokens `counts` counts."""
+    model = listed_model(counts, rules)
+    tokens = written(training_tokens(train, model, rules, _shards(model, rules)), "training")
+    model = trained(model, tokens, rules)
+    dropped(tokens)
+    return model
+
+
+def trained(model: Model, tokens: DataFrame, rules: ModelRules) -> Model:
     """The trained model. Rounds differ in their rate and tokens; what a shard draws follows from its own tokens."""
-    context, model = train.sparkSession.sparkContext, listed_model(counts, rules)
-    shards = max(1, -(-int(model.counts.sum()) // (rules.every * rules.shard)))
-    tokens = written(training_tokens(train, model, rules, shards), "training")
+    context, shards = tokens.sparkSession.sparkContext, _shards(model, rules)
     tasks = min(shards, 4096)
     sizes = np.cumsum([len(model.far), len(model.near)])
     for k in range(rules.rounds):
@@ -318,42 +386,38 @@ def fitted(train: DataFrame, counts: DataFrame, rules: ModelRules) -> Model:
         word[:, :-1] = np.clip(word[:, :-1], -_MOST, _MOST)
         model = replace(model, far=np.clip(model.far + far[:, :-1], -_MOST, _MOST), near=np.clip(model.near + near[:, :-1], -_MOST, _MOST), word=word)
         shared.unpersist()
-    dropped(tokens)
     return model.normalised()
 
 
 def scored_with(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """`scored` under a fitted model and its counts."""
+    return scores_of(written(training_tokens(docs, model, ModelRules(), 1), "training"), counts, model)
+
+
+def scores_of(tokens: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """The scores of the written documents of `training_tokens`, under a fitted model and its counts."""
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast(replace(model, names={}))
+    end = model.end
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         log_counts = np.log10(np.append(own.counts[:-1] + 1, 1.0))  # of the class of rarer words: added from the join
-        for batch in batches:
-            rows, rare_words, rare_counts = [], [], []
-            for raw in batch["_raw"].to_pylist():
-                words = raw.lower().split()
-                far, near, target = own.encoded(words)
-                away = np.flatnonzero(target == own.end + 1)
-                rare = Counter([words[k] for k in away.tolist()])
-                score = own.log10(far, near, target).sum() - len(away) * np.log10(own.rare_size)
-                rows.append((len(target), len(words) - len(away), log_counts[target].sum(), score))
-                rare_words.append(list(rare))
-                rare_counts.append(list(rare.values()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)),
-                 pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int64()))],
-                ["doc_id", "held_out", "n_tokens", "listed", "logs", "model", "words", "times"],
-            )
-
-    texts = _texts(docs, F.col("doc_id").cast("bigint"), held_out().alias("held_out"))
-    shape = "doc_id bigint, held_out boolean, n_tokens bigint, listed bigint, logs double, model double, words array<binary>, times array<bigint>"
-    local = written(texts.mapInArrow(score, shape).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = local.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+        for batch in in_small_batches(batches, "ids", _AT_ONCE):
+            ids = [np.frombuffer(zlib.decompress(x), "<u4") for x in batch["ids"].to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            far, near, target = in_context(own, np.concatenate(ids))
+            starts = np.cumsum(sizes) - sizes
+            rare = np.add.reduceat((target == end + 1).astype(np.int64), starts)
+            score = np.add.reduceat(own.log10(far, near, target), starts) - rare * np.log10(own.rare_size)
+            columns = [sizes, sizes - 1 - rare, np.add.reduceat(log_counts[target], starts), score]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns)], ["row", "doc_id", "held_out", "n_tokens", "listed", "logs", "model"])
+
+    shape = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, listed bigint, logs double, model double"
+    local = written(tokens.select("row", "doc_id", "held_out", "ids").mapInArrow(score, shape), "scores")
+    rare = tokens.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
-    out = local.drop("words", "times").join(met, "row", "left")
+    out = local.join(met, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     known_end = F.lit(int(model.counts[-2] > 0))
     return out.select(
@@ -372,4 +436,6 @@ def scored(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
     """
     train = docs.filter(~held_out())
     counts = written(token_counts(train), "tokens")
-    return scored_with(docs, counts, fitted(train, counts, rules))
+    model = listed_model(counts, rules)
+    tokens = written(training_tokens(docs, model, rules, _shards(model, rules)), "training")
+    return scores_of(tokens, counts, trained(model, tokens.filter(~F.col("held_out")), rules))

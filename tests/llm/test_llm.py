@@ -663,3 +663,26 @@ def test_the_rounds_train_on_every_token(spark, odd):
     assert sorted(bilinear.in_context(model, x).tolist() for x in ids) == sorted(wanted)
     assert bilinear.in_context(model, np.concatenate(ids)).tolist() == np.concatenate([bilinear.in_context(model, x) for x in ids], axis=1).tolist()
     assert sum(map(len, ids)) == model.counts.sum()
+
+
+def test_texts_are_numbered_once(spark):
+    """Each text is read for the counts and numbered once, for training and scoring."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(k, f"a b c w{k % 7}") for k in range(50)], "doc_id bigint, text string")
+    rules = bilinear.ModelRules(listed=6, own=3, endings=1, width=4, batch=8, noise=4)
+    got = bilinear.scored(docs.mapInArrow(passed, docs.schema), rules).collect()
+    assert len(got) == 50 and read.value == 2 * 50
+
+
+def test_gradients_of_a_row_are_added_up():
+    rng = np.random.default_rng(4)
+    rows, gradients = rng.integers(0, 40, 60), rng.normal(size=(60, 6)).astype(np.float32)
+    own, times, total = bilinear._summed(gradients, rows)
+    assert own.tolist() == sorted(set(rows.tolist())) and times.tolist() == [int((rows == r).sum()) for r in own]
+    assert np.allclose(total, [gradients[rows == r].sum(axis=0) for r in own], atol=1e-6)
