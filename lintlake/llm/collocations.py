@@ -7,8 +7,9 @@ phrase of k words with the places, one further, of the kept phrases that begin w
 of the extended phrase. So a word that is rare, and a phrase that ends in a rare phrase, is never extended.
 
 A frequent word or phrase is named by a number of one of its lists, and a longer phrase by the two phrases that overlap in
-it, so phrases are told apart exactly. Only dictionaries of segments, segments and lists of places move; from three words on
-lists of several segments are joined together, so that they are few.
+it, so phrases are told apart exactly. Only dictionaries of segments, segments and lists of places move. Lists move in blocks: all those of a
+segment whose phrases a hash deals to one bucket are one deflated row, sorted by phrase, and a bucket is added up as one group. So rows
+grow with segments, not with the phrases that pass the limit. From three words on lists of several segments are joined together.
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ _SEPARATED = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", byt
 _GAP_WORD = bytes([_GAP])
 _SPACED_GAP = b" " + _GAP_WORD + b" "
 _SHIFT, _LOW = 32, (1 << 32) - 1
-_ROWS = 100_000
+_BUCKET_WORDS = 20_000  # words of the table for each bucket, up to `buckets`
 
 
 @dataclass(frozen=True)
 class CollocationRules:
-    """The least frequency of a phrase, its most words, and of which share of its frequency (in percent) a longer phrase that holds it drops it."""
+    """The least frequency of a phrase, its most words, and of which share of its frequency (in percent) a longer phrase that holds it drops it.
+
+    A segment has about `segment_words` words, and phrases are added up in `buckets` groups at most."""
 
     least: int = 100
     most_words: int = 5
     absorbed_percent: int = 100
     segment_words: int = 4_000_000
+    buckets: int = 1024
 
 
 def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
@@ -83,23 +87,55 @@ def _segments(docs: DataFrame, rules: CollocationRules) -> DataFrame:
     return plain.mapInArrow(scan, "seg bigint, lang string, words array<string>, counts array<bigint>, places binary")
 
 
-def _lists_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct keys and the ascending places of each; `places` ascend."""
-    order = np.argsort(keys, kind="stable")
-    ranked, at = keys[order], places[order]
-    edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    offsets = pa.py_buffer((np.append(edges, len(ranked)) * at.itemsize).astype(np.int32))
-    return ranked[edges], pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(at)])
+def _packed(keys: list[np.ndarray], counts: np.ndarray, places: np.ndarray) -> bytes:
+    """Keys (int64; of the first, which ascends, the steps), counts and places of lists, deflated byte plane by byte plane."""
+    columns = [np.diff(keys[0], prepend=0), *keys[1:], counts.astype(np.int32), places]
+    return zlib.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), 1)
+
+
+def _unpacked(data: bytes, n: int, keys: int, width: int) -> list[np.ndarray]:
+    """What `_packed` packed of n lists with places of `width` bytes."""
+    raw, low, found = zlib.decompress(data), 0, []
+    for kind in [np.int64] * keys + [np.int32, np.int32 if width == 4 else np.int64]:
+        size = np.dtype(kind).itemsize
+        past = len(raw) if len(found) == keys + 1 else low + n * size
+        found.append(np.ascontiguousarray(np.frombuffer(raw[low:past], np.uint8).reshape(size, -1).T).view(kind).ravel())
+        low = past
+    found[0] = np.cumsum(found[0])
+    return found
+
+
+_BLOCKS = "bucket bigint, seg bigint, n bigint, size bigint, data binary"
 
 
-def _batches(seg: int, first: np.ndarray, second: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
-    for low in range(0, len(first), _ROWS):
-        part = slice(low, low + _ROWS)
-        own = np.full(len(first[part]), seg)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(first[part], pa.int64()), pa.array(second[part], pa.int64()), lists[part]], ["seg", "a", "b", "places"])
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["bucket", "seg", "n", "size", "data"])
 
 
-_LISTS = "seg bigint, a bigint, b bigint, places binary"
+def _blocks(seg: int, buckets: int, ids: np.ndarray, which: np.ndarray, places: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The blocks of the longer phrases at `at`: the one there, ids[which], and the one that begins one word further; `places` ascend."""
+    pairs = (which[at].astype(np.int64) << _SHIFT) | which[at + 1]
+    order = np.argsort(pairs, kind="stable")
+    ranked, places = pairs[order], places[at][order]
+    edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    counts = np.diff(edges, append=len(ranked))
+    a, b = ids[ranked[edges] >> _SHIFT], ids[ranked[edges] & _LOW]
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((b, a, bucket))
+    a, b, counts, edges, bucket = a[order], b[order], counts[order], edges[order], bucket[order]
+    pasts = np.cumsum(counts)
+    places = places[np.repeat(edges - (pasts - counts), counts) + np.arange(len(places))]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], pasts])
+    rows = []
+    for low, past in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        own = places[ends[low] : ends[past]]
+        rows.append((int(bucket[low]), seg, past - low, len(own), _packed([a[low:past], b[low:past]], counts[low:past], own)))
+    return _block_rows(rows)
 
 
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -111,8 +147,8 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     return numbered.withColumn("id", F.min("own").over(Window.partitionBy(*key)))
 
 
-def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The lists of all pairs of frequent words in each segment; places are int32, within the segment.
+def _pairs(segments: DataFrame, frequent: DataFrame, buckets: int) -> DataFrame:
+    """The blocks of all pairs of frequent words in each segment; places are int32, within the segment.
 
     `segments` and, in `frequent`, what is known of the words of each (no, id) meet by segment.
     """
@@ -127,68 +163,68 @@ def _pairs(segments: DataFrame, frequent: DataFrame) -> DataFrame:
                 ids[batch["no"][k].values.to_numpy()] = batch["id"][k].values.to_numpy()
                 known = ids[words] >= 0
                 at = np.flatnonzero(known[:-1] & known[1:])
-                keys, lists = _lists_of((words[at].astype(np.int64) << _SHIFT) | words[at + 1], at.astype(np.int32))
-                yield from _batches(batch["seg"][k].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], lists)
-
-    return both.mapInArrow(scan, _LISTS)
-
+                yield _blocks(batch["seg"][k].as_py(), buckets, ids, words, np.arange(len(words), dtype=np.int32), at)
 
-def _kept(lists: DataFrame, width: int, rules: CollocationRules) -> DataFrame:
-    """The lists of phrases that have `least` places or more together, with the exact frequency `f` and the phrase's `id`."""
-    counted = _named(lists, ["a", "b"]).withColumn("f", F.sum(F.octet_length("places") / width).over(Window.partitionBy("a", "b")).cast("bigint"))
-    return counted.filter(F.col("f") >= rules.least)
+    return both.mapInArrow(scan, _BLOCKS)
 
 
-def _placed(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lists of a group: the distinct phrases, the places in order, the phrase (by number) at each, and which places are right before the next one.
+def _kept(blocks: DataFrame, width: int, rules: CollocationRules) -> DataFrame:
+    """The blocks of the phrases that have `least` places or more together, and for each bucket a row without data that has these phrases.
 
-    A place has one phrase of a length at most, so the phrase one word further is the next one or there is none.
+    A phrase is named by its bucket and its number there; the row of a bucket has, by number, the two phrases a and b that overlap in each and its
+    exact frequency f.
     """
-    column = table["places"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
-    places = np.frombuffer(column.buffers()[2], np.int32 if width == 4 else np.int64)[ends[0] : ends[-1]]
-    which = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(ends))
-    if width == 4:
-        segments = np.unique(table["seg"].to_numpy(), return_inverse=True)[1]
-        places = (segments[which].astype(np.int64) << _SHIFT) | places
-    ids, phrase = np.unique(table["id"].to_numpy(), return_inverse=True)
-    order = np.argsort(places, kind="stable")
-    which, places = phrase.astype(np.int32)[which[order]], places[order]
-    return ids, places, which, np.flatnonzero(places[1:] == places[:-1] + 1)
-
-
-def _extended(lists: DataFrame, group: Column, width: int, rules: CollocationRules) -> DataFrame:
-    """The lists of phrases one word longer, by a merge join within each group of segments; places are int64, within the group.
-
-    A longer phrase is the one at a place (a) and the one that begins one word further (b). It can only be frequent if a is
-    followed by some kept phrase at `least` of its places, and b follows one at as many of its own; so these are counted first, and
-    phrases that fail are not extended on that side.
-    """
-    grouped = lists.select(group.alias("grp"), "seg", "id", "places")
-
-    def linked(table: pa.Table) -> pa.Table:
-        ids, _, which, at = _placed(table, width)
-        counts = [np.bincount(which[x], minlength=len(ids)) for x in (at, at + 1)]
-        some = np.flatnonzero(counts[0] + counts[1])
-        return pa.table({"grp": pa.array(np.full(len(some), table["grp"][0].as_py()), pa.int64()), "id": ids[some], "after": counts[0][some], "before": counts[1][some]})
 
-    same = Window.partitionBy("id")
-    counted = grouped.groupBy("grp").applyInArrow(linked, "grp bigint, id bigint, after bigint, before bigint")
-    flags = counted.select("grp", "id", (F.sum("after").over(same) >= rules.least).alias("first"), (F.sum("before").over(same) >= rules.least).alias("second")).filter("first or second")
+    def added(table: pa.Table) -> pa.Table:
+        bucket, sizes = table["bucket"][0].as_py(), table["n"].to_numpy()
+        lists = [_unpacked(data, n, 2, width) for data, n in zip(table["data"].to_pylist(), sizes.tolist(), strict=True)]
+        a, b, counts = (np.concatenate([x[k] for x in lists]) for k in range(3))
+        order = np.lexsort((b, a))
+        first = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+        at = np.flatnonzero(first)
+        f = np.add.reduceat(counts[order].astype(np.int64), at)
+        kept = f >= rules.least
+        number = np.empty(len(order), np.int64)
+        number[order] = np.where(kept, np.cumsum(kept) - 1, -1)[np.cumsum(first) - 1]
+        rows, low = [], 0
+        for seg, (_, _, n, places) in zip(table["seg"].to_pylist(), lists, strict=True):
+            own, low = number[low : low + len(n)], low + len(n)
+            left = places[np.repeat(own >= 0, n)]
+            if len(left):
+                rows.append((bucket, seg, int((own >= 0).sum()), len(left), _packed([own[own >= 0]], n[own >= 0], left)))
+        if not rows:
+            return pa.table([pa.array([], k) for k in (*[pa.int64()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 3)], names=names)
+        own = order[at[kept]]
+        phrases = [[None] * len(rows) + [x.tolist()] for x in (a[own], b[own], f[kept])]
+        columns = _block_rows([*rows, (bucket, None, len(own), None, None)]).columns
+        return pa.table([*columns, *(pa.array(x, pa.list_(pa.int64())) for x in phrases)], names=names)
+
+    names = ["bucket", "seg", "n", "size", "data", "a", "b", "f"]
+    return blocks.groupBy("bucket").applyInArrow(added, f"{_BLOCKS}, a array<bigint>, b array<bigint>, f array<bigint>")
+
+
+def _extended(kept: DataFrame, group: Column, width: int, buckets: int) -> DataFrame:
+    """The blocks of phrases one word longer, by a merge join within each group of segments; places are int64, within the group.
+
+    A longer phrase is the one at a place (a) and the one that begins one word further (b). A place has one phrase of a length at most, so the
+    phrase one word further is that of the next place or there is none.
+    """
 
-    def merge(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not known.num_rows or not table.num_rows:
-            return pa.table({"seg": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
-        ids, places, which, at = _placed(table, width)
-        sides = np.zeros((2, len(ids)), bool)
-        sides[:, np.searchsorted(ids, known["id"].to_numpy())] = [known[c].to_numpy() for c in ("first", "second")]
-        at = at[sides[0][which[at]] & sides[1][which[at + 1]]]
-        keys, longer = _lists_of((which[at].astype(np.int64) << _SHIFT) | which[at + 1], places[at])
-        found = list(_batches(table["grp"][0].as_py(), ids[keys >> _SHIFT], ids[keys & _LOW], longer))
-        return pa.Table.from_batches(found) if found else merge(table, known.slice(0, 0))
+    def merge(table: pa.Table) -> pa.Table:
+        segments = np.unique(table["seg"].to_numpy(), return_inverse=True)[1].tolist()
+        names, places = [], []
+        for bucket, seg, n, data in zip(table["bucket"].to_pylist(), segments, table["n"].to_pylist(), table["data"].to_pylist(), strict=True):
+            number, counts, own = _unpacked(data, n, 1, width)
+            names.append(np.repeat((bucket << _SHIFT) | number, counts))
+            places.append((seg << _SHIFT) | own.astype(np.int64) if width == 4 else own)
+        ids, which = np.unique(np.concatenate(names), return_inverse=True)
+        places = np.concatenate(places)
+        order = np.argsort(places, kind="stable")
+        places, which = places[order], which.astype(np.int32)[order]
+        at = np.flatnonzero(places[1:] == places[:-1] + 1)
+        return pa.Table.from_batches([_blocks(table["grp"][0].as_py(), buckets, ids, which, places, at)])
 
-    return grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(merge, _LISTS)
+    return kept.filter("seg is not null").select(group.alias("grp"), "bucket", "seg", "n", "data").groupBy("grp").applyInArrow(merge, _BLOCKS)
 
 
 def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules()) -> tuple[DataFrame, DataFrame]:
@@ -201,18 +237,21 @@ def frequent_phrases(docs: DataFrame, rules: CollocationRules = CollocationRules
     named = written(named.select("seg", "no", "own", "id", "lang", "word", "f"), "words")
     names = named.filter("own = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = [names.select("lang", F.lit(1).alias("size"), "phrase", "f")]
-    lists = written(_kept(_pairs(segments, named.select("seg", "no", "id")), 4, rules), "lists")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, min(rules.buckets, int(words) // _BUCKET_WORDS))
+    lists = written(_kept(_pairs(segments, named.select("seg", "no", "id"), buckets), 4, rules), "lists")
     dropped(segments)
     # A group of segments has about as many places that are left as a segment may have.
-    groups = -(-(lists.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 1) // rules.segment_words)
+    groups = -(-(lists.agg(F.sum("size")).first()[0] or 1) // rules.segment_words)
     group, width = F.pmod(F.xxhash64("seg"), F.lit(int(groups))), 4
     for size in range(2, rules.most_words + 1):
         second = names.select(F.col("id").alias("b"), F.col("last").alias("end"))
-        spelt = lists.filter("own = id").select("id", "a", "b", "f").join(names.select(F.col("id").alias("a"), "lang", "phrase"), "a").join(second, "b")
+        phrases = lists.filter("seg is null").select("bucket", F.posexplode(F.arrays_zip("a", "b", "f")).alias("no", "x"))
+        spelt = phrases.select(F.shiftleft("bucket", _SHIFT).bitwiseOR(F.col("no").cast("bigint")).alias("id"), "x.a", "x.b", "x.f").join(names.select(F.col("id").alias("a"), "lang", "phrase"), "a").join(second, "b")
         names = written(spelt.select("id", "lang", F.concat_ws(" ", "phrase", "end").alias("phrase"), F.col("end").alias("last"), "f"), "names")
         found.append(names.select("lang", F.lit(size).alias("size"), "phrase", "f"))
         if size < rules.most_words:
-            longer = written(_kept(_extended(lists, group, width, rules), 8, rules), "lists")
+            longer = written(_kept(_extended(lists, group, width, buckets), 8, rules), "lists")
             dropped(lists)
             lists, group, width = longer, F.col("seg"), 8
     dropped(lists)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from lintlake.llm import collocations, periodic, positional_index, queries
@@ -204,3 +205,20 @@ def test_query_against_sql(spark, name):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     assert rows_of(got) == sorted(map(repr, db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()))
+
+
+def test_lists_of_a_segment_move_in_one_block_for_a_bucket():
+    """However many phrases there are, a segment has no more rows than buckets; the blocks hold every place of every pair."""
+    rng = np.random.default_rng(6)
+    ids, words = np.sort(rng.choice(10**12, 300, replace=False)), rng.integers(0, 300, 5000).astype(np.int32)
+    at = np.flatnonzero(rng.random(4999) < 0.8)
+    for kind, width in ((np.int32, 4), (np.int64, 8)):
+        places = np.arange(5000, dtype=kind) * 7
+        got = collocations._blocks(9, 4, ids, words, places, at).to_pylist()
+        assert len(got) == len({r["bucket"] for r in got}) == 4 and {r["seg"] for r in got} == {9}
+        found = []
+        for r in got:
+            a, b, counts, own = collocations._unpacked(r["data"], r["n"], 2, width)
+            assert len(a) == r["n"] and len(own) == counts.sum() == r["size"]
+            found += zip(np.repeat(a, counts).tolist(), np.repeat(b, counts).tolist(), own.tolist(), strict=True)
+        assert sorted(found) == sorted((int(ids[words[k]]), int(ids[words[k + 1]]), int(places[k])) for k in at)
